@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -100,13 +101,36 @@ def tag(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[#,/\\]", ""), "-+", "-"), "^-+|-+$", "")
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def _cut(s: Column, start: Column, end: Column) -> Column:
+    """s without the characters from start up to end (from 1), as it is where start is 0."""
+    return F.when(start > 0, F.concat(F.substring(s, F.lit(1), start - 1), F.substring(s, end, F.lit(1 << 30)))).otherwise(s)
+
+
 def without_front(markdown: Column) -> Column:
     """Markdown without what stands between the first line that begins with three dashes and the next three dashes, and without the first heading line.
 
     In a thread that takes out the second post; descriptions and slugs depend on it.
     """
-    body = F.regexp_replace(markdown, r"(?s)\A((?:(?!(?:\A|(?<=\n))---).)*+)---.*?---[" + SPACE + "]*", "$1")
-    return F.regexp_replace(body, r"(?s)\A((?:(?!(?:\A|(?<=\n))# ).)*+)# [^\n]*", "$1")
+
+    def front(s: Column) -> Column:
+        def close(first: Column) -> Column:
+            def cut(second: Column) -> Column:
+                rest = F.regexp_replace(F.substring(s, second + 3, F.lit(1 << 30)), rf"\A[{SPACE}]+", "")
+                return F.when((first > 0) & (second > 0), F.concat(F.substring(s, F.lit(1), first - 1), rest)).otherwise(s)
+
+            return bound(F.when(first > 0, F.call_function("locate", F.lit("---"), s, first + 3)).otherwise(0), cut)
+
+        return bound(F.regexp_instr(s, F.lit("(?m)^---")), close)
+
+    def heading(s: Column) -> Column:
+        return bound(F.regexp_instr(s, F.lit("(?m)^# ")), lambda at: _cut(s, at, F.when(F.call_function("locate", F.lit("\n"), s, F.greatest(at, F.lit(1))) > 0, F.call_function("locate", F.lit("\n"), s, F.greatest(at, F.lit(1)))).otherwise(F.length(s) + 1)))
+
+    return bound(bound(markdown, front), heading)
 
 
 def description(markdown: Column, most: int = 200) -> Column:
@@ -116,8 +140,8 @@ def description(markdown: Column, most: int = 200) -> Column:
     # Lines are taken until what is joined is 80 characters longer than needed.
     taken = F.aggregate(prose, F.lit(""), lambda acc, x: F.when(F.length(acc) >= most + 80, acc).otherwise(F.concat_ws(" ", F.nullif(acc, F.lit("")), x)))
     text = F.regexp_replace(F.regexp_replace(taken, IMAGE, ""), LINK, "$1")
-    text = squeezed(F.regexp_replace(text, "[*_`]", ""))
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), rf"[{SPACE}]+[^{SPACE}]*$", ""), F.lit("…")))
+    shown = squeezed(F.regexp_replace(text, "[*_`]", ""))
+    return bound(shown, lambda x: F.when(F.length(x) <= most, x).otherwise(F.concat(F.regexp_replace(F.substring(x, 1, most), rf"[{SPACE}]+[^{SPACE}]*$", ""), F.lit("…"))))
 
 
 def slug_preview(markdown: Column) -> Column:

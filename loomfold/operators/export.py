@@ -13,13 +13,10 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import dates, text, urls
 
@@ -87,8 +84,7 @@ def templated_name(template: str, most: int = 120) -> Column:
     """A file name by a template, parsed once on the driver; empty if nothing is left of it."""
     name = _filled(template, {k: text.file_part(v) for k, v in placeholders().items()})
     name = text.file_part(F.regexp_replace(name, r"(?i)\.md$", ""))
-    name = text.trimmed(F.substring(name, 1, most))
-    return F.when(name == "", F.lit("")).otherwise(F.concat(name, F.lit(".md")))
+    return text.bound(text.trimmed(F.substring(name, 1, most)), lambda n: F.when(n == "", F.lit("")).otherwise(F.concat(n, F.lit(".md"))))
 
 
 def filename(template: str = "") -> Column:
@@ -101,7 +97,7 @@ def tags(template: str = "") -> Column:
     """An array of tags; a piece with an unknown placeholder, or of which nothing is left, is dropped."""
     values = placeholders()
     pieces = [_filled(p.strip(), values) for p in (template.strip() or DEFAULT_TAGS).split(",") if p.strip()]
-    made = [F.when(~p.rlike(r"\{[^}]+\}"), F.nullif(text.tag(p), F.lit(""))) for p in pieces]
+    made = [text.bound(p, lambda x: F.when(~x.rlike(r"\{[^}]+\}"), F.nullif(text.tag(x), F.lit("")))) for p in pieces]
     return F.array_compact(F.array(*made)) if made else F.array().cast("array<string>")
 
 
@@ -114,11 +110,10 @@ def front_matter(options: Options, body: Column) -> Column:
     plain = lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"'))
     handle, name, on = F.col("author.handle"), F.col("author.name"), F.col("date")
     if options.for_notes:
-        about, marks = text.description(body), tags(options.tags_template)
         lines = {
             "title": _line("title", text.yaml_quoted(title_of())), "source": _line("source", plain(F.col("source_url"))), "author": F.concat(F.lit('author: "[['), handle, F.lit(']]"')),
             "author_name": _line("author_name", text.yaml_quoted(name)), "handle": _line("handle", plain(handle)), "published": _line("published", dates.date_only(on)), "created": F.lit(f"created: {options.run_date}"),
-            "type": _line("type", F.col("type")), "description": F.when(about != "", _line("description", text.yaml_quoted(about))), "tags": F.when(F.size(marks) > 0, F.concat(F.lit("tags: ["), F.array_join(marks, ", "), F.lit("]"))),
+            "type": _line("type", F.col("type")), "description": text.bound(text.description(body), lambda a: F.when(a != "", _line("description", text.yaml_quoted(a)))), "tags": text.bound(tags(options.tags_template), lambda m: F.when(F.size(m) > 0, F.concat(F.lit("tags: ["), F.array_join(m, ", "), F.lit("]")))),
         }
     else:
         lines = {"author": _line("author", plain(name)), "handle": _line("handle", plain(handle)), "source": _line("source", plain(F.col("source_url"))), "date": _line("date", on), "type": _line("type", F.col("type"))}
@@ -126,9 +121,8 @@ def front_matter(options: Options, body: Column) -> Column:
     return F.concat_ws("\n", F.lit("---"), *[lines[k] for k in options.active()], F.lit("---"), F.lit(""))
 
 
-def with_stats(markdown: Column) -> Column:
-    """Markdown with the stats line: in a thread before the first rule after the front matter, else before the footer or at the end."""
-    line = text.stats_line({k: F.col(f"counts.{k}") for k in COUNTS})
+def with_stats(markdown: Column, line: Column) -> Column:
+    """Markdown with its stats line: in a thread before the first rule after the front matter, else before the footer or at the end."""
     at_end = F.concat(F.regexp_replace(markdown, rf"[{text.SPACE}]*\z", ""), F.lit("\n\n"), line, F.lit("\n"))
     head = F.regexp_extract(markdown, r"(?s)\A(---.*?\n.*?---)?", 0)
     rest = F.substring(markdown, F.length(head) + 1, F.lit(1 << 30))
@@ -139,49 +133,42 @@ def with_stats(markdown: Column) -> Column:
     return F.when(line == "", markdown).when(F.col("type") == "thread", in_thread).otherwise(in_post)
 
 
-def local_images(markdown: str, folder: str) -> tuple[str, list[dict]]:
-    """Markdown with allowed images in a local folder, and the images; previews of linked pages stay remote."""
-    found: dict[str, str] = {}
+IMAGE = r"!\[(.*?)\]\((https://[^)]+)\)"
 
-    def local(m: re.Match) -> str:
-        alt, url = m[1], m[2]
-        try:
-            at = urlsplit(url)
-        except ValueError:
-            return m[0]
-        if at.scheme != "https" or at.hostname not in urls.IMAGE_HOSTS or alt == "Link card preview":
-            return m[0]
-        name = at.path.rpartition("/")[2] or "image"
-        kind = re.search(r"format=([a-zA-Z0-9]+)", url)
-        name += "" if "." in name else f".{kind[1]}" if kind else ".jpg"
-        path = f"{folder}/{re.sub('[^a-zA-Z0-9_.-]', '_', name)}"
-        found.setdefault(url, path)
-        return f"![{alt}]({path})"
 
-    return re.sub(r"!\[(.*?)\]\((https://[^)]+)\)", local, markdown), [{"url": u, "filename": f} for u, f in found.items()]
+def local_images(markdown: Column, name: Column) -> Column:
+    """An array of struct(mark, local, url, filename): allowed images of Markdown and how they read in a local folder; previews of linked pages stay remote."""
+    folder = F.regexp_replace(name, r"\.md$", "")
 
+    def local(mark: Column) -> Column:
+        alt, url = F.regexp_extract(mark, IMAGE, 1), F.regexp_extract(mark, IMAGE, 2)
+        last, kind = F.regexp_extract(url, r"^https://[^/?#]+(?:/[^/?#]*)*/([^/?#]*)", 1), F.regexp_extract(url, "format=([a-zA-Z0-9]+)", 1)
+        file = F.when(last == "", "image").otherwise(last)
+        file = F.when(F.contains(file, F.lit(".")), file).when(kind != "", F.concat(file, F.lit("."), kind)).otherwise(F.concat(file, F.lit(".jpg")))
+        path = F.concat(folder, F.lit("/"), F.regexp_replace(file, "[^a-zA-Z0-9_.-]", "_"))
+        wanted = urls.allowed_image(url) & (alt != "Link card preview")
+        return F.when(wanted, F.struct(mark.alias("mark"), F.concat(F.lit("!["), alt, F.lit("]("), path, F.lit(")")).alias("local"), url.alias("url"), path.alias("filename")))
 
-_IMAGES = ArrayType(StructType([StructField("url", StringType()), StructField("filename", StringType())]))
-
-
-@arrow_udf(StructType([StructField("markdown", StringType()), StructField("images", _IMAGES)]))
-def localised(markdown: pa.Array, name: pa.Array) -> pa.Array:
-    each = [local_images(m or "", (n or "").replace(".md", "", 1)) for m, n in zip(markdown.to_pylist(), name.to_pylist(), strict=True)]
-    kind = pa.struct([("markdown", pa.string()), ("images", pa.list_(pa.struct([("url", pa.string()), ("filename", pa.string())])))])
-    return pa.array([{"markdown": m, "images": i} for m, i in each], kind)
+    return F.array_compact(F.transform(F.array_distinct(F.regexp_extract_all(markdown, F.lit(IMAGE), 0)), local))
 
 
 def post_processed(rows: DataFrame, options: Options) -> DataFrame:
     """rows with filename, markdown as exported, and images."""
-    body = F.col("markdown")
+    out = rows.withColumn("filename", filename(options.filename_template))
     if options.include_metadata:
-        body = text.without_source_footer(body)
-        body = F.concat(front_matter(options, body), body)
-    out = rows.withColumns({"filename": filename(options.filename_template), "_body": body})
+        out = out.withColumn("_body", text.without_source_footer(F.col("markdown")))
+        out = out.withColumn("_body", F.concat(front_matter(options, F.col("_body")), F.col("_body")))
+    else:
+        out = out.withColumn("_body", F.col("markdown"))
     if options.inline_stats:
-        out = out.withColumn("_body", F.when(F.col("counts").isNotNull(), with_stats(F.col("_body"))).otherwise(F.col("_body")))
+        out = out.withColumn("_line", F.coalesce(text.stats_line({k: F.col(f"counts.{k}") for k in COUNTS}), F.lit("")))
+        out = out.withColumn("_body", with_stats(F.col("_body"), F.col("_line"))).drop("_line")
     if options.download_images:
-        out = out.withColumn("_local", localised("_body", "filename")).withColumns({"_body": F.col("_local.markdown"), "images": F.col("_local.images")}).drop("_local")
+        out = out.withColumn("_local", local_images(F.col("_body"), F.col("filename")))
+        out = out.withColumns({
+            "_body": F.aggregate("_local", F.col("_body"), lambda acc, i: F.replace(acc, i["mark"], i["local"])),
+            "images": F.array_distinct(F.transform("_local", lambda i: F.struct(i["url"].alias("url"), i["filename"].alias("filename")))),
+        }).drop("_local")
     else:
         out = out.withColumn("images", F.array().cast("array<struct<url: string, filename: string>>"))
     return out.withColumn("markdown", F.col("_body")).drop("_body")

@@ -111,9 +111,9 @@ def doc_description(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 SELECT doc_id, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR)
-  WHEN n < 10000 THEN CAST(t // 10 AS VARCHAR) || '.' || CAST(t % 10 AS VARCHAR) || 'K' WHEN n < 1000000 THEN CAST((n + 500) // 1000 AS VARCHAR) || 'K' ELSE 'M' END AS label
-FROM (SELECT doc_id, n_chars AS n, CASE WHEN n_chars % 100 = 50 AND n_chars % 250 <> 0 AND n_chars IN (1150, 1650, 2050, 2150, 2550, 2650, 3050, 3150, 3550, 3650, 4050, 4350, 4550, 4850, 5050, 5350, 5550, 5850, 6050, 6350, 6550, 6850, 7050, 7350, 7550, 7850, 8150, 8350, 8450, 8650, 8850, 9150, 9350, 9450, 9650, 9850)
-  THEN n_chars // 100 ELSE (n_chars + 50) // 100 END AS t FROM documents)
+  WHEN n < 10000 AND n % 500 = 250 THEN CAST((n + 50) // 1000 AS VARCHAR) || '.' || CAST((n + 50) // 100 % 10 AS VARCHAR) || 'K'
+  WHEN n < 10000 THEN printf('%.1f', n / 1000.0) || 'K' WHEN n < 1000000 THEN CAST((n + 500) // 1000 AS VARCHAR) || 'K' ELSE 'M' END AS label
+FROM (SELECT doc_id, n_chars AS n FROM documents)
 """)
 def count_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts as people read them."""
