@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,9 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, so that a lost executor costs no rerun of what made it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df computed once and kept as a table in the shared folder: a lost executor costs no rerun of what made it, and plans stay short."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.pinned_at = path
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Deletes the table of a pinned df that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.pinned_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
