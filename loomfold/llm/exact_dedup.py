@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
-from .common import bounded, id_text, lower_az, lowered, pinned, texts_of
+from .common import bounded, id_text, lower_az, lowered, pinned, released, texts_of
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def content_sha256(text: pa.Array) -> pa.Array:
     """Lowercase hex SHA-256 of the UTF-8 of the text with A-Z lower-cased; null stays null."""
     there = text.is_valid().to_pylist()
@@ -24,25 +25,30 @@ def content_sha256(text: pa.Array) -> pa.Array:
 
 
 def refined(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, broadcast_keys: int, digest_all: bool) -> DataFrame:
-    """id, n_bytes, prefix, digest of every row; the digest is null where no other row has the same length and prefix.
+    """id, n_bytes, prefix, full of every row; ``full`` is empty where no other row has the same length and prefix.
 
     The two coarse levels are decided on a narrow table (three numbers a row). The keys that survive
-    them go to the scan of the texts as a broadcast when there are at most ``broadcast_keys``. With
-    more, nearly every row would survive, so every row is hashed where it is read: hashing is
-    cheaper than shuffling texts, and the result is the same.
+    them go to the scan of the texts as a broadcast when there are at most ``broadcast_keys``, and
+    only texts with a surviving key are hashed. With more keys nearly every row would survive, so
+    every row is hashed where it is read: that costs less than a shuffle of texts, and gives the same
+    groups. ``digest_all`` adds ``digest``, the hash of every row, for callers that ask for it; the
+    groups come from ``full`` all the same.
     """
     rows = id_text(docs, id_col, text_col).select(
         "id", "text", F.octet_length("text").alias("n_bytes"), F.xxhash64(lower_az(F.substring("text", 1, prefix_chars))).alias("prefix")
     )
-    if digest_all:
-        return rows.select("id", "n_bytes", "prefix", content_sha256("text").alias("digest"))
     narrow = pinned(rows.drop("text"))
-    lengths = narrow.groupBy("n_bytes").count().where("count > 1").select("n_bytes")
-    keys = pinned(narrow.join(lengths, "n_bytes").groupBy("n_bytes", "prefix").count().where("count > 1").select("n_bytes", "prefix", F.lit(True).alias("alike")))
+    lengths = pinned(narrow.groupBy("n_bytes").count().where("count > 1").select("n_bytes"))
+    keys = pinned(narrow.join(bounded(lengths, broadcast_keys), "n_bytes").groupBy("n_bytes", "prefix").count().where("count > 1").select("n_bytes", "prefix", F.lit(True).alias("alike")))
+    released(narrow)
+    released(lengths)
     if keys.limit(broadcast_keys + 1).count() > broadcast_keys:
-        return rows.select("id", "n_bytes", "prefix", content_sha256("text").alias("digest"))
-    marked = rows.join(F.broadcast(keys), ["n_bytes", "prefix"], "left")
-    return marked.select("id", "n_bytes", "prefix", content_sha256(F.when(F.col("alike"), F.col("text"))).alias("digest"))
+        rows = rows.withColumn("alike", F.lit(True))
+    else:
+        rows = rows.join(F.broadcast(keys), ["n_bytes", "prefix"], "left")
+    text = F.col("text") if digest_all else F.when(F.col("alike"), F.col("text"))
+    hashed = rows.select("id", "n_bytes", "prefix", "alike", content_sha256(text).alias("digest"))
+    return hashed.select("id", "n_bytes", "prefix", F.when(F.col("alike"), F.col("digest")).otherwise("").alias("full"), "digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, broadcast_keys: int = 500_000, digest_all: bool = False) -> DataFrame:
@@ -54,15 +60,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and prefix alone showed that a row has no equal, unless ``digest_all``. An empty table gives an
     empty result; other columns of docs are not read, whatever their names.
     """
-    key = ["n_bytes", "prefix", "digest"]
-    rows = refined(docs, id_col, text_col, prefix_chars, broadcast_keys, digest_all).withColumn("digest", F.coalesce("digest", F.lit("")))
-    counted = pinned(rows.groupBy(*key, "id").agg(F.count("*").alias("n")))
+    key = ["n_bytes", "prefix", "full"]
+    rows = refined(docs, id_col, text_col, prefix_chars, broadcast_keys, digest_all)
+    counted = pinned(rows.groupBy(*key, "id").agg(F.count("*").alias("n"), F.first("digest").alias("digest")))
     # Pinned, so that the join reads both sides straight from an exchange and a hot group can be split.
     groups = pinned(counted.groupBy(*key).agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size")).where("group_size > 1"))
     out = counted.join(groups, key, "left").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     out = out.withColumns({"keep_id": F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
     return out.select(
-        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), F.nullif("digest", F.lit("")).alias("digest")
+        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "digest"
     )
 
 
