@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import bounded, pinned, texts_of
 
@@ -22,13 +23,13 @@ from .common import bounded, pinned, texts_of
 SLOTS = 4096
 
 
-@arrow_udf("bigint")
+@arrow_udf(LongType())
 def word_count(text: pa.Array) -> pa.Array:
     """How many runs of characters other than space and U+0009 to U+000D; null text has none."""
     return pa.array([len(t.split()) for t in texts_of(text)], pa.int64())
 
 
-@arrow_udf("struct<size: bigint, quality: double>")
+@arrow_udf(StructType([StructField("size", LongType()), StructField("quality", DoubleType())]))
 def words_and_quality(text: pa.Array) -> pa.Array:
     """``word_count``, and the default quality weight: a tenth plus the share of words that are no repeats."""
     sizes, weights = [], []
