@@ -126,8 +126,8 @@ def folded(results: DataFrame, job: str, order: str, failed: Column, pause_at: i
 
 
 def error_class(status: Column) -> Column:
-    """What an HTTP status means for a retry."""
-    return F.when(status == 429, "rate_limit").when((status >= 500) | (status == 408) | status.isNull(), "transient").otherwise("permanent")
+    """What an HTTP status means for a retry; without one the network failed."""
+    return F.when(status == 429, "rate_limit").when((status >= 500) | status.isNull(), "transient").otherwise("permanent")
 
 
 @dataclass(frozen=True)
