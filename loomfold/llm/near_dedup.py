@@ -6,9 +6,9 @@ child that its minwise token at a picked coordinate names. Nodes with few sets a
 exhaustively by sketches; larger ones branch on. Sets that a sketch finds plausibly similar form
 plausible groups, and within these links are confirmed on full sets.
 
-Nothing is capped. A node that stays large is tested against one pivot; if all its sets are
-plausibly similar to the pivot it is done, since its group is then known, and if it is still large
-at the last level, the sets that the pivot didn't take are compared with all others in blocks.
+Nothing is capped. A large node is tested against one pivot. The sets that are plausibly similar to
+the pivot are in one group then; where few are left over, and at the last level, those are compared
+with all sets of the node in blocks, and the node is done. Otherwise it branches on.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, pinned, texts_of
+from .common import bounded, pinned, released, texts_of
 from .components import components
 
 #: Coordinates of a signature; a sketch has one bit for each.
 COORDINATES = 128
-#: Sets in a node that is compared exhaustively; levels of branching; sets in a side of a block.
-LEAF, LEVELS, BLOCK = 400, 6, 2000
+#: Sets in a node that is compared exhaustively, which is what fits one block; levels of branching; sets in a side of a block.
+LEAF, LEVELS, BLOCK = 2000, 6, 2000
 #: Standard deviations of a sketch's agreement that a pair at the threshold may fall short by.
 SLACK = 5.0
 BROADCAST_ROWS = 500_000
@@ -77,12 +77,16 @@ class Shingler:
 
 
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the minwise token at each coordinate as 32 bits, the sketch as two signed 64-bit numbers)."""
+    """(the minwise token at each coordinate as 16 bits, the sketch as two signed 64-bit numbers).
+
+    Sixteen well-mixed bits tell tokens apart well enough to branch on: tokens that differ share them once in 65536 times.
+    """
     least = np.full(COORDINATES, np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(hashes), 4096):
         np.minimum(least, np.multiply.outer(MULTIPLIERS, hashes[i : i + 4096]).min(axis=1), out=least)
-    bits = (mixed(least) >> np.uint64(63)).astype(np.uint8)
-    return (least >> np.uint64(32)).astype("<u4"), np.packbits(bits).view(np.int64)
+    spread = mixed(least)
+    bits = (spread >> np.uint64(63)).astype(np.uint8)
+    return (spread & np.uint64(0xFFFF)).astype("<u2"), np.packbits(bits).view(np.int64)
 
 
 def set_key(hashes: np.ndarray) -> tuple[int, int]:
@@ -140,7 +144,7 @@ def roots(trees: int) -> Callable:
             n = batch.num_rows
             if not n:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(n, COORDINATES)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(n, COORDINATES)
             for t in range(trees):
                 c = np.full(n, ROOT_ORDER[t % COORDINATES])
                 node = child_keys(np.full(n, mixed(np.array([t + 1], np.uint64))[0]), sig[:, c[0]], c)
@@ -156,7 +160,7 @@ def branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not n:
             continue
         node = np.asarray(batch.column(0)).view(np.uint64)
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(n, COORDINATES)
+        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(n, COORDINATES)
         first = (node >> np.uint64(8)) % np.uint64(COORDINATES)
         second = (first + np.uint64(1) + (node >> np.uint64(24)) % np.uint64(COORDINATES - 1)) % np.uint64(COORDINATES)
         for c in (first, second):
@@ -279,24 +283,30 @@ def plausible_edges(reps: DataFrame, trees: int, bits: int, leaf: int, levels: i
 
     for level in range(1, levels + 1):
         large = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where(F.col("n") > leaf)
-        large = pinned(large.join(points.select(F.col("rep").alias("pivot"), F.col("s1").alias("p1"), F.col("s2").alias("p2")), "pivot"))
+        large = pinned(large.join(points.select(F.col("rep").alias("pivot"), F.col("s1").alias("p1"), F.col("s2").alias("p2")), "pivot").drop("n"))
         if large.isEmpty():
-            found.append(leaves(rows))
+            found.append(pinned(leaves(rows).distinct()))
+            released(rows)
             break
-        found.append(leaves(rows.join(bounded(large.select("node"), BROADCAST_ROWS), "node", "left_anti")))
+        small = leaves(rows.join(bounded(large.select("node"), BROADCAST_ROWS), "node", "left_anti"))
         crowd = rows.join(bounded(large, BROADCAST_ROWS), "node").withColumn("odd", agreement(F.col("s1"), F.col("s2"), F.col("p1"), F.col("p2")) < bits)
-        found.append(crowd.where("NOT odd AND rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        # Nodes in which the pivot leaves sets over.
-        sizes = pinned(crowd.groupBy("node").agg(F.count("*").alias("n"), F.count_if("odd").alias("n_odd")).where("n_odd > 0"))
-        if sizes.isEmpty():
-            break
-        if level == levels:
-            dealt = blocks(crowd.select("node", "rep", "s1", "s2", "odd"), "node", sizes, block)
-            dealt = dealt.select("node", "across", "down", "rep", "s1", "s2", "odd").repartition("node", "across", "down").sortWithinPartitions("node", "across", "down")
-            found.append(dealt.mapInArrow(compare_blocks(bits), "a bigint, b bigint"))
+        near = crowd.where("NOT odd AND rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+        # Nodes in which the pivot leaves sets over, and whether those are few.
+        sizes = crowd.groupBy("node").agg(F.count("*").alias("n"), F.count_if("odd").alias("n_odd")).where("n_odd > 0")
+        few = (F.col("n_odd") <= leaf) | F.lit(level == levels)
+        sizes = pinned(sizes.withColumn("few", few))
+        last = sizes.where("few").drop("few")
+        dealt = blocks(crowd.select("node", "rep", "s1", "s2", "odd"), "node", last, block)
+        dealt = dealt.select("node", "across", "down", "rep", "s1", "s2", "odd").repartition("node", "across", "down").sortWithinPartitions("node", "across", "down")
+        rest = dealt.mapInArrow(compare_blocks(bits), "a bigint, b bigint")
+        found.append(pinned(small.unionByName(near).unionByName(rest).distinct()))
+        alive = sizes.where("NOT few").select("node")
+        if alive.isEmpty():
+            released(rows)
             break
-        on = crowd.join(bounded(sizes.select("node"), BROADCAST_ROWS), "node", "left_semi").select("node", "rep", "s1", "s2")
-        rows = pinned(on.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", "s1", "s2").mapInArrow(branches, kinds))
+        on = rows.join(bounded(alive, BROADCAST_ROWS), "node", "left_semi")
+        was, rows = rows, pinned(on.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", "s1", "s2").mapInArrow(branches, kinds))
+        released(was)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -393,6 +403,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, recall: float
     read = pinned(sketches(docs, words, id_col, text_col))
     merged = read.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     reps = pinned(merged.where("rep IS NOT NULL"))
+    slim = pinned(read.select("id", "n_shingles", "k1", "k2"))
+    released(read)
     groups = components(plausible_edges(reps, trees_for(recall, percent), bits, leaf, levels, block))
     groups = pinned(groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct().select(F.col("node").alias("rep"), F.col("root").alias("grp")))
 
@@ -415,7 +427,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, recall: float
     root = label.join(joined, label["label"] == joined["node"], "left").select("rep", F.coalesce("root", "label").alias("root")).where("rep <> root")
 
     final = pinned(reps.select("k1", "k2", "rep", "copies").join(root, "rep", "left").where("copies > 1 OR root IS NOT NULL").select("k1", "k2", F.coalesce("root", "rep").alias("component")))
-    out = read.select("id", "n_shingles", "k1", "k2").join(final, ["k1", "k2"], "left")
+    out = slim.join(final, ["k1", "k2"], "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component"), F.col("id")).eqNullSafe(F.col("id")).alias("kept"))
 
 
