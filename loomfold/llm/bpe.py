@@ -8,18 +8,25 @@ their ids are concatenated. The result is that of the ``tokenizers`` library on
 
 from __future__ import annotations
 
+import array
 import hashlib
 import json
+import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, texts_of
+from .common import id_text, lean, texts_of
 
+#: Fixed value: how byte-level BPE splits text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text that are cut in one go, and what the cache of fragments may hold.
-SLAB_BYTES, CACHE_FRAGMENTS, CACHED_BYTES = 4 << 20, 400_000, 96
+SLAB_BYTES, CACHE_FRAGMENTS, CACHED_BYTES = 4 << 20, 150_000, 96
+#: Characters that every version of Unicode classes alike, so that two regular-expression engines split them alike.
+SETTLED = re.compile(r"[\x00-\x7f\u00c0-\u024f]*")
 
 
 def byte_of_character() -> dict[str, int]:
@@ -29,6 +36,22 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Fragments(dict):
+    """Ids of fragments as bytes, encoded when they are first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, fragment: bytes) -> bytes:
+        ids = array.array("I", self.encode(fragment.decode())).tobytes()
+        if len(fragment) <= CACHED_BYTES:
+            if len(self) >= CACHE_FRAGMENTS:
+                self.clear()
+            self[fragment] = ids
+        return ids
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder for a byte-level BPE file of the ``tokenizers`` library without normalizer or prefix space."""
 
@@ -53,7 +76,19 @@ class ForcedBoundaryBPE:
         self.bytes_of |= {i: content for content, i in self.added}
         self.cut_between = (~inside & self.harmless()).reshape(-1)
         self.may_end_space = self.space_ends().reshape(-1)
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = Fragments(self.fragment_encoder(described))
+
+    def fragment_encoder(self, described: dict):
+        """From a fragment to its ids: by the faster library where the vocabulary's ids are in the order of merges, else by ``tokenizers``."""
+        slow = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        vocab, merges = described["model"]["vocab"], described["model"]["merges"]
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+        if [vocab.get(m) for m in merged] != [*range(len(vocab) - len(merged), len(vocab))] or sys.byteorder != "little":
+            return slow
+        import tiktoken
+
+        fast = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks={self.bytes_of[i]: i for i in vocab.values()}, special_tokens={}).encode_ordinary
+        return lambda text: fast(text) if SETTLED.fullmatch(text) else slow(text)
 
     @staticmethod
     def harmless() -> np.ndarray:
@@ -80,25 +115,6 @@ class ForcedBoundaryBPE:
         ends[0x81, 0x9F] = True
         return ends
 
-    def encoded(self, fragment: bytes) -> bytes:
-        """The ids of one fragment as little-endian unsigned 32-bit integers."""
-        return np.array(self.library.encode(fragment.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def look_up(self, fragments: list[bytes]) -> list[bytes]:
-        cache = self.cache
-        if new := {f for f in fragments if f not in cache}:
-            if len(cache) + len(new) > CACHE_FRAGMENTS:
-                cache.clear()
-                new = set(fragments)
-            for f, e in zip(new, self.library.encode_batch([f.decode() for f in new], add_special_tokens=False), strict=True):
-                cache[f] = np.array(e.ids, "<u4").tobytes()
-        found = list(map(cache.__getitem__, fragments))
-        if len(cache) > CACHE_FRAGMENTS or any(len(f) > CACHED_BYTES for f in new):
-            for f in new:
-                if len(f) > CACHED_BYTES:
-                    del cache[f]
-        return found
-
     def cuts(self, text: bytes) -> np.ndarray:
         """The positions at which text may be cut."""
         b = np.frombuffer(text, np.uint8).astype(np.int32)
@@ -125,7 +141,7 @@ class ForcedBoundaryBPE:
             if stop < end:
                 slab, cuts, stop = slab[: cuts[-1]], cuts[:-1], start + int(cuts[-1])
             at = cuts.tolist()
-            out += self.look_up([slab[i:j] for i, j in zip([0, *at], [*at, len(slab)], strict=True)])
+            out += map(self.cache.__getitem__, [slab[i:j] for i, j in zip([0, *at], [*at, len(slab)], strict=True)])
             start = stop
         return b"".join(out)
 
@@ -151,7 +167,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             ids = [bpe.encode(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, n_tokens bigint, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -166,7 +182,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
             texts = pa.array([bpe.decode(x) for x in ids], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), texts], [id_col, "n_tokens", "ids", "text"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary, text string")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, n_tokens bigint, ids binary, text string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +201,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_and_verify(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,4 +217,4 @@ def encode_and_verify(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             same = [bpe.decode(x) == t for x, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], [id_col, "n_tokens", "ids", "round_trip"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary, round_trip boolean")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, n_tokens bigint, ids binary, round_trip boolean")
