@@ -12,33 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfold.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from loomfold.llm.common import shared_dir, train_row
+from loomfold.llm.common import shared_dir, small_batches, train_row
 from loomfold.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from labelled rows that aren't held out."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit(docs.where(train_row(F.col("doc_id"))), labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one stays."""
+    small_batches(spark)
     return exact_dedup.keep_one_of_equals(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 80 % of their shingles of five words, one of each group stays."""
+    small_batches(spark)
     return near_dedup.keep_one_of_near(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights; a document that is taken twice comes as two rows."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to the text."""
+    small_batches(spark)
     encoded = bpe.encode_and_verify(docs, tokenizer_path())
     return encoded.select("doc_id", "n_tokens", "ids", "round_trip")
 

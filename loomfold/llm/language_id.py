@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, texts_of
+from .common import id_text, lean, texts_of
 
 BLOCK, LEVEL = 4096, 3
 #: Texts of fewer bytes are compressed at a level that finds matches of three bytes.
@@ -114,4 +114,4 @@ def identify(docs: DataFrame, model: CompressionClassifier, id_col: str = "doc_i
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.float64(), pa.bool_()], strict=True)]], [id_col, "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")

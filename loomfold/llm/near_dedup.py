@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, pinned, released, texts_of
+from .common import bounded, lean, pinned, released, texts_of
 from .components import components
 
 #: Coordinates of a signature; a sketch has one bit for each.
@@ -50,7 +50,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of 64-bit hashes of word shingles; hashes of words are kept in a bounded cache."""
 
-    def __init__(self, words: int, cached: int = 500_000):
+    def __init__(self, words: int, cached: int = 200_000):
         self.words, self.cached, self.cache = words, cached, {}
 
     def hashes(self, text: bytes) -> np.ndarray:
@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["id", "n_shingles", "k1", "k2", "sig", "s1", "s2"])
 
-    return rows.mapInArrow(run, "id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary, s1 bigint, s2 bigint")
+    return rows.mapInArrow(lean(run), "id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary, s1 bigint, s2 bigint")
 
 
 def plausible_bits(threshold: float) -> int:
@@ -275,11 +275,11 @@ def plausible_edges(reps: DataFrame, trees: int, bits: int, leaf: int, levels: i
     """Edges (a, b) whose components hold every pair that some tree brings together and a sketch finds plausible."""
     kinds = "node bigint, rep bigint, s1 bigint, s2 bigint"
     points = reps.select("rep", "s1", "s2")
-    rows = pinned(reps.select("rep", "sig", "s1", "s2").mapInArrow(roots(trees), kinds))
+    rows = pinned(reps.select("rep", "sig", "s1", "s2").mapInArrow(lean(roots(trees)), kinds))
     found = []
 
     def leaves(of: DataFrame) -> DataFrame:
-        return of.repartition("node").sortWithinPartitions("node").mapInArrow(compare_leaves(bits), "a bigint, b bigint")
+        return of.repartition("node").sortWithinPartitions("node").mapInArrow(lean(compare_leaves(bits)), "a bigint, b bigint")
 
     for level in range(1, levels + 1):
         large = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where(F.col("n") > leaf)
@@ -298,14 +298,14 @@ def plausible_edges(reps: DataFrame, trees: int, bits: int, leaf: int, levels: i
         last = sizes.where("few").drop("few")
         dealt = blocks(crowd.select("node", "rep", "s1", "s2", "odd"), "node", last, block)
         dealt = dealt.select("node", "across", "down", "rep", "s1", "s2", "odd").repartition("node", "across", "down").sortWithinPartitions("node", "across", "down")
-        rest = dealt.mapInArrow(compare_blocks(bits), "a bigint, b bigint")
+        rest = dealt.mapInArrow(lean(compare_blocks(bits)), "a bigint, b bigint")
         found.append(pinned(small.unionByName(near).unionByName(rest).distinct()))
         alive = sizes.where("NOT few").select("node")
         if alive.isEmpty():
             released(rows)
             break
         on = rows.join(bounded(alive, BROADCAST_ROWS), "node", "left_semi")
-        was, rows = rows, pinned(on.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", "s1", "s2").mapInArrow(branches, kinds))
+        was, rows = rows, pinned(on.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", "s1", "s2").mapInArrow(lean(branches), kinds))
         released(was)
     return reduce(DataFrame.unionByName, found)
 
@@ -411,16 +411,16 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, recall: float
     # Full sets, of members of plausible groups only.
     texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("text"))
     member = texts.join(bounded(groups, BROADCAST_ROWS), "rep").select("grp", "rep", "text")
-    sets = pinned(member.mapInArrow(full_sets(words), "grp bigint, rep bigint, s1 bigint, s2 bigint, full binary"))
+    sets = pinned(member.mapInArrow(lean(full_sets(words)), "grp bigint, rep bigint, s1 bigint, s2 bigint, full binary"))
     pivots = pinned(sets.where("rep = grp").select("grp", F.col("full").alias("pivot")))
-    tested = sets.where("rep <> grp").join(pivots, "grp").select("grp", "rep", "full", "pivot").mapInArrow(confirm_with_pivot(percent), "grp bigint, rep bigint, linked boolean")
+    tested = sets.where("rep <> grp").join(pivots, "grp").select("grp", "rep", "full", "pivot").mapInArrow(lean(confirm_with_pivot(percent)), "grp bigint, rep bigint, linked boolean")
     taken = pinned(tested.groupBy("grp", "rep").agg(F.max("linked").alias("core")).unionByName(groups.where("rep = grp").select("grp", "rep", F.lit(True).alias("core"))))
 
     # What its group's pivot isn't linked to may be linked to others of the group.
     sizes = pinned(taken.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(~F.col("core")).alias("n_odd")).where("n_odd > 0 AND n > 2"))
     left = sets.join(bounded(sizes.select("grp"), BROADCAST_ROWS), "grp", "left_semi").join(taken, ["grp", "rep"]).withColumn("odd", ~F.col("core"))
     dealt = blocks(left, "grp", sizes, block).select("grp", "across", "down", "rep", "s1", "s2", "odd", "core", "full").repartition("grp", "across", "down").sortWithinPartitions("grp", "across", "down")
-    links = dealt.mapInArrow(confirm_blocks(percent, bits), "a bigint, b bigint")
+    links = dealt.mapInArrow(lean(confirm_blocks(percent, bits)), "a bigint, b bigint")
     label = taken.select("rep", F.when(F.col("core"), F.col("grp")).otherwise(F.col("rep")).alias("label"))
     ends = links.join(label.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b")
     joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))

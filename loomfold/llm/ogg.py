@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, texts_of
+from .common import id_text, lean, texts_of
 
 #: Fixed values of the container: page flags, and the header of a PCM stream (8-bit unsigned, one channel).
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -176,7 +176,7 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             texts = texts_of(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], [id_col, "n_bytes", "media"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, media binary")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, n_bytes bigint, media binary")
 
 
 def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -204,4 +204,4 @@ def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [id_col, "n_bytes", *names])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

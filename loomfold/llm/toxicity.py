@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, pinned, texts_of
+from .common import id_text, lean, pinned, texts_of
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Euler's constant, the mean of the standard extreme-value law.
@@ -33,7 +33,7 @@ def tokens(text: bytes) -> list[str]:
 #: Lengths of the beginnings of words that are scored beside whole words, as inflected insults share a stem.
 STEMS = (4, 5, 6)
 #: Words whose scores a worker remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 
 def keys_of(word: str) -> list[str]:
@@ -147,7 +147,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str, te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(longest, pa.string()), batch.column(2), batch.column(3)], ["of", "longest", "label", "draw"])
 
     joined = rows.join(F.broadcast(known), rows["id"] == F.col("of")).select("id", "text", "label", "draw")
-    each = joined.mapInArrow(keys, f"of {kind}, longest string, label int, draw double")
+    each = joined.mapInArrow(lean(keys), f"of {kind}, longest string, label int, draw double")
     chosen = pinned(each.groupBy("longest", "label").agg(F.min(F.struct("of", "draw")).alias("one")).select("one.of", "one.draw", "label"))
     return rows.join(F.broadcast(chosen), rows["id"] == F.col("of")).select("text", "label", "draw")
 
@@ -163,7 +163,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
             words = list(counted[0] | counted[1])
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counted[1][w] for w in words], pa.int64()), pa.array([counted[0][w] for w in words], pa.int64())], ["token", "toxic", "clean"])
 
-    each = rows.select("text", "label").mapInArrow(run, "token string, toxic bigint, clean bigint")
+    each = rows.select("text", "label").mapInArrow(lean(run), "token string, toxic bigint, clean bigint")
     return each.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 200_000, most_token
     model = ToxicityModel(scores, drift, min(max(low, 0.05), 5.0))
     n = max(1, rows.count())
     sample = rows.where(F.col("draw") < calibration_rows / n)
-    best = sample.mapInArrow(best_segments(model), "label int, best double, n bigint").toPandas()
+    best = sample.mapInArrow(lean(best_segments(model)), "label int, best double, n bigint").toPandas()
     clean = best[(best["label"] == 0) & (best["n"] > 0)]
     if len(clean):
         model.log_k = float((model.scale * clean["best"] - np.log(clean["n"])).mean() - EULER)
@@ -244,7 +244,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
             predicted = pa.array([int(s >= threshold) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), predicted, pa.array(passages, spans)], [id_col, "score", "predicted", "passages"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, passages array<struct<start: bigint, end: bigint, p: double>>")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, score double, predicted int, passages array<struct<start: bigint, end: bigint, p: double>>")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -255,4 +255,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, te
         for batch in batches:
             yield batch.filter(pa.array([model.score(model.features(t)) < threshold for t in texts_of(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

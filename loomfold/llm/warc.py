@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, pinned, shared_dir
+from .common import bounded, lean, pinned, shared_dir
 
 #: Bytes of records that an archive holds before the next is begun.
 ARCHIVE_BYTES = 16 << 20
@@ -116,7 +116,7 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES, level
         if size:
             yield closed()
 
-    return records.mapInArrow(run, ARCHIVE_SCHEMA)
+    return records.mapInArrow(lean(run), ARCHIVE_SCHEMA)
 
 
 def normalise_archives(archives: DataFrame, level: int = 6) -> DataFrame:
@@ -129,7 +129,7 @@ def normalise_archives(archives: DataFrame, level: int = 6) -> DataFrame:
                 rewritten, index = normalise(body, level)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rewritten], pa.binary()), pa.array([index], kind)], ["archive", "body", "index"])
 
-    return archives.mapInArrow(run, f"{ARCHIVE_SCHEMA}, {INDEX}")
+    return archives.mapInArrow(lean(run), f"{ARCHIVE_SCHEMA}, {INDEX}")
 
 
 def read_archives(normalised: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def read_archives(normalised: DataFrame) -> DataFrame:
                         out.append((inner.fullmatch(headers["warc-record-id"])[1], headers["warc-type"], headers["warc-target-uri"], payload if full else None, int(headers["x-payload-length"]), said, inner.fullmatch(refers)[1] if refers else None))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return normalised.mapInArrow(run, schema)
+    return normalised.mapInArrow(lean(run), schema)
 
 
 def archive_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, broadcast_groups: int = 500_000) -> DataFrame:
