@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,12 +127,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return np.concatenate([w[:1], w[1:] / spread])
 
 
+def copy_key(words: list[str], run: int = 5) -> int:
+    """The least hash of so many words in a row; a shorter text is one such run."""
+    starts = range(max(1, len(words) - run + 1))
+    return min(xxhash.xxh3_64_intdigest(" ".join(words[i : i + run])) for i in starts) >> 1
+
+
 def labelled(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str, text_col: str, label_col: str, seed: int = 0) -> DataFrame:
     """text, label, draw (0 to 1) of labelled documents to learn from.
 
     Labels are sampled by a hash of the id, so that what is broadcast is bounded. Of documents with
-    the same longest word and label, as copies have, one is taken: a passage that is copied a
-    thousand times says no more than one that is written once.
+    the same label and least hash of five words in a row, as copies have, one is taken: a passage
+    that is copied a thousand times says no more than one that is written once.
     """
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("of")).agg(F.max(labels[label_col].cast("int")).alias("label"))
     draw = F.pmod(F.xxhash64(F.col("of").cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -143,12 +150,12 @@ def labelled(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str, te
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            longest = [max(tokens(t), key=lambda w: (len(w), w), default="") for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(longest, pa.string()), batch.column(2), batch.column(3)], ["of", "longest", "label", "draw"])
+            least = [copy_key(tokens(t)) for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.int64()), batch.column(2), batch.column(3)], ["of", "least", "label", "draw"])
 
     joined = rows.join(F.broadcast(known), rows["id"] == F.col("of")).select("id", "text", "label", "draw")
-    each = joined.mapInArrow(lean(keys), f"of {kind}, longest string, label int, draw double")
-    chosen = pinned(each.groupBy("longest", "label").agg(F.min(F.struct("of", "draw")).alias("one")).select("one.of", "one.draw", "label"))
+    each = joined.mapInArrow(lean(keys), f"of {kind}, least bigint, label int, draw double")
+    chosen = pinned(each.groupBy("least", "label").agg(F.min(F.struct("of", "draw")).alias("one")).select("one.of", "one.draw", "label"))
     return rows.join(F.broadcast(chosen), rows["id"] == F.col("of")).select("text", "label", "draw")
 
 
