@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, lean, pinned, texts_of
@@ -174,13 +174,39 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return each.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 200_000, most_tokens: int = 100_000, calibration_rows: int = 20_000, prior_share: float = 0.03, least_z: float = 4.0, drift: float = -2.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def surprise(toxic: Column, clean: Column, share: float) -> Column:
+    """Minus the log of Chernoff's bound on the chance that so many or more of a token's documents are toxic by luck, if ``share`` of all are.
+
+    The bound is the binomial tail itself where no document is clean, and above it elsewhere.
+    """
+    n = toxic + clean
+    part = lambda x, s: F.when(x > 0, x * F.log(x / (n * F.lit(s)))).otherwise(0.0)
+    return F.when(toxic > n * F.lit(share), part(toxic, share) + part(clean, 1 - share)).otherwise(0.0)
+
+
+def discovery_cut(tested: DataFrame, false_share: float, step: float = 0.05) -> float:
+    """The least ``surprise`` at which at most ``false_share`` of the tokens of tested that reach it do so by luck (Benjamini and Hochberg); infinite if there is none.
+
+    Tokens are counted in steps of surprise, so that what comes to the driver is bounded.
+    """
+    bins = tested.groupBy(F.least(F.floor(F.col("surprise") / step), F.lit(round(100 / step))).alias("bin")).count().collect()
+    tokens, reached, cut = sum(r["count"] for r in bins), 0, math.inf
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        reached += r["count"]
+        if math.exp(-r["bin"] * step) * tokens <= false_share * reached:
+            cut = r["bin"] * step
+    return cut
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 200_000, most_tokens: int = 100_000, calibration_rows: int = 20_000, prior_share: float = 0.03, false_share: float = 0.05, least_documents: int = 3, drift: float = -2.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """A model from docs that labels mark (1 toxic, 0 clean; null labels are left out, of several the largest holds).
 
     Bounds: at most about ``most_rows`` labelled documents are learned from, the ``most_tokens``
-    tokens of the largest z-scores are kept, and the extreme-value law and logistic function are
+    tokens that luck explains least are kept, and the extreme-value law and logistic function are
     fitted on about ``calibration_rows`` documents. ``prior_share`` is the weight of the Dirichlet prior as a share of all counts; a token
-    scores above 0 if its log-odds are ``least_z`` standard errors above 0, and any other ``drift``.
+    scores above 0 if its log-odds are above ``-drift`` and it is one of those of which a share of at most ``false_share``
+    is toxic by luck, and any other ``drift``. How often a token must occur for that depends on the tokens, not on a
+    bound, so languages of few documents have their own. Tokens of fewer than ``least_documents`` are not tested.
     Without documents of both labels, every score is the share of toxic documents.
     """
     rows = labelled(docs, labels, most_rows, id_col, text_col, label_col)
@@ -195,8 +221,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 200_000, most_token
     alpha = (F.col("toxic") + F.col("clean")) * F.lit(prior_share)
     y1, y0 = F.col("toxic") + alpha, F.col("clean") + alpha
     odds = F.log(y1 / (F.lit(n1 + prior) - y1)) - F.log(y0 / (F.lit(n0 + prior) - y0))
-    scored = counts.select("token", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"), (F.col("clean") / F.lit(n0)).alias("share"))
-    kept = scored.where((F.col("z") >= least_z) & (F.col("odds") + drift > 0)).orderBy(F.desc("z"), "token").limit(most_tokens).collect()
+    tested = counts.where(F.col("toxic") + F.col("clean") >= least_documents)
+    scored = tested.select("token", odds.alias("odds"), surprise(F.col("toxic"), F.col("clean"), n1 / (n1 + n0)).alias("surprise"), (F.col("clean") / F.lit(n0)).alias("share"))
+    cut = discovery_cut(scored, false_share)
+    kept = scored.where((F.col("surprise") >= cut) & (F.col("odds") + drift > 0)).orderBy(F.desc("surprise"), "token").limit(most_tokens).collect()
     scores = {r["token"]: r["odds"] + drift for r in kept}
     # The scale of the extreme-value law solves E[exp(scale * score)] = 1 over tokens of clean text.
     shares = np.array([r["share"] for r in kept] or [0.0])

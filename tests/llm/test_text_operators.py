@@ -229,6 +229,29 @@ def test_toxicity_finds_what_labels_mark(spark):
     assert {x.doc_id for x in kept.collect()} == {x.doc_id for x in rows if not x.predicted}
 
 
+def test_toxicity_learns_from_few_documents_of_a_language(spark):
+    r = random.Random(6)
+    words = {lang: [f"{lang}{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in "lmnp"] for lang in ("xo", "zu")}
+    insults = {"xo": ["hurgle", "vrokk"], "zu": ["pilwak", "quonty"]}
+    docs, labels = [], []
+    for i in range(1600):
+        lang = "zu" if i % 8 == 0 else "xo"
+        bad = i % 10 == 1 or i % 80 == 8
+        text = [r.choice(words[lang]) for _ in range(r.randrange(8, 40))]
+        if bad:
+            for _ in range(2):
+                text.insert(r.randrange(len(text)), r.choice(insults[lang]))
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(bad)))
+    frame = spark.createDataFrame(docs, SCHEMA)
+    model = toxicity.fit(frame, spark.createDataFrame([x for x in labels if x[0] // 80 % 4], "doc_id long, toxic int"))
+    held = [x for x in toxicity.score_toxicity(frame, model).collect() if x.doc_id // 80 % 4 == 0]
+    truth = dict(labels)
+    few = [x for x in held if x.doc_id % 8 == 0 and truth[x.doc_id]]
+    assert len(few) == 5 and all(x.predicted for x in few)
+    assert sum(x.predicted != truth[x.doc_id] for x in held) <= 3
+
+
 def test_toxicity_edge_cases(spark):
     empty, none = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(empty, none)
