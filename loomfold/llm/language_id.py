@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-For each language a zstandard dictionary of raw content is made from texts of that language. A text is
+For each language a zstandard dictionary of raw content is made from distinct pieces of texts of that language. A text is
 cut into blocks, each block is compressed with each dictionary, and the language whose dictionary
 gives the fewest bytes in all is chosen. Where the runner-up comes too close, the choice is marked as
 rejected.
@@ -8,15 +8,18 @@ rejected.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, lean, texts_of
+from .common import id_text, lean, pinned, released, texts_of
 
 BLOCK, LEVEL = 4096, 3
 #: Texts of fewer bytes are compressed at a level that finds matches of three bytes.
@@ -72,29 +75,89 @@ class CompressionClassifier:
         return best, 1 - math.exp(-self.steepness * margin), margin < self.margin
 
 
-def fit(docs: DataFrame, sample_docs: int = 600, dictionary_bytes: int = 192 << 10, most_languages: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0, **kwargs) -> CompressionClassifier:
-    """A classifier from the texts and languages of docs; rows without language or text are left out.
+#: A piece ends at a word of which the hash has these bits unset, and after so many words or bytes of a word.
+PIECE_BITS, PIECE_WORDS, PIECE_BYTES = 15, 64, 256
+#: Texts that a task remembers, so as to cut copies into pieces once.
+SEEN_TEXTS = 100_000
 
-    The sample is bounded: about ``sample_docs`` documents a language, chosen by a hash of id and
-    text, of which each gives an equal share of the ``dictionary_bytes``. More than
-    ``most_languages`` languages raise an error rather than be cut.
+
+def pieces(letters: bytes) -> Iterator[bytes]:
+    """Runs of about sixteen words that cover all of a plain text; where they end depends on the words, so passages that texts share give the same pieces."""
+    words, start = letters.split(), 0
+    for i, word in enumerate(words):
+        if not zlib.crc32(word) & PIECE_BITS or i - start + 1 == PIECE_WORDS or len(word) > PIECE_BYTES or i + 1 == len(words):
+            piece, start = b" ".join(words[start : i + 1]), i + 1
+            if len(word) > PIECE_BYTES:
+                yield from (piece[j : j + PIECE_BYTES] for j in range(0, len(piece), PIECE_BYTES))
+            else:
+                yield piece
+
+
+def piece_hash(piece: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(piece) >> 1
+
+
+def lowest(found: dict[int, bytes], most_bytes: int) -> dict[int, bytes]:
+    """The pieces of the lowest hashes, up to the one that makes up ``most_bytes``."""
+    out, size = {}, 0
+    for h in sorted(found):
+        if size >= most_bytes:
+            break
+        out[h] = found[h]
+        size += len(found[h]) + 1
+    return out
+
+
+def fit(docs: DataFrame, sample_docs: int = 10_000, dictionary_bytes: int = 192 << 10, most_languages: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0, **kwargs) -> CompressionClassifier:
+    """A classifier from the texts and languages of docs; rows without language or text are left out, ids are not read.
+
+    The sample is bounded: about ``sample_docs`` distinct texts a language, drawn by a hash of the text,
+    and of their pieces those of the lowest hashes, ``dictionary_bytes`` a language. Pieces come from
+    anywhere in a text, and each counts once: neither copies, near copies nor a passage that texts share
+    take more room than one of it. Pieces that several languages have say nothing of the language and
+    are left out, unless a language has little else. A text gives at most 16 pieces, or more where texts
+    are few. More than ``most_languages`` languages raise an error rather than be cut.
     """
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()}
+    rows = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL").withColumn("hash", F.xxhash64("text", F.lit(seed)))
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", "hash").distinct().groupBy("lang").count().limit(most_languages + 1).collect()}
     if len(counts) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     if not counts:
         return CompressionClassifier({}, **kwargs)
-    chance = F.element_at(F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample_docs / n)))]), F.col("lang"))
-    each = -(-dictionary_bytes // sample_docs)
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    # Shares are cut here, so that what comes to the driver is bounded by characters as well.
-    taken = rows.where(draw < chance).select("lang", "id", F.substring("text", 1, 4 * each).alias("text")).orderBy("lang", "id", "text").collect()
-    contents = {}
-    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        texts = [plain(r["text"]) for r in taken if r["lang"] == lang]
-        share = max(each, dictionary_bytes // max(1, len(texts)))
-        contents[lang] = b"\n".join(t[:share].decode(errors="ignore").encode() for t in texts)[:dictionary_bytes]
+    of = lambda values: F.element_at(F.create_map(*[x for lang, v in values.items() for x in (F.lit(lang), F.lit(v))]), F.col("lang"))
+    chance = of({lang: min(1.0, sample_docs / n) for lang, n in counts.items()})
+    drawn = rows.where(F.pmod("hash", F.lit(1 << 30)) / float(1 << 30) < chance)
+    each = {lang: max(16, -(-dictionary_bytes // (8 * min(n, sample_docs)))) for lang, n in counts.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            found: dict[tuple[int, str], bytes] = {}
+            for text, lang, h in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (lang, h) in seen:
+                    continue
+                if len(seen) >= SEEN_TEXTS:
+                    seen.clear()
+                seen.add((lang, h))
+                own = {piece_hash(x): x for x in pieces(plain(text.decode()))}
+                found.update({(k, lang): own[k] for k in heapq.nsmallest(each[lang], own)})
+            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in found], pa.string()), pa.array([k for k, _ in found], pa.int64()), pa.array(list(found.values()), pa.binary())], ["lang", "hash", "piece"])
+
+    distinct = drawn.mapInArrow(lean(run), "lang string, hash bigint, piece binary").groupBy("hash").agg(F.collect_set("lang").alias("langs"), F.min("piece").alias("piece"))
+    merged = pinned(distinct)
+    found = merged.select(F.explode("langs").alias("lang"), "hash", "piece", (F.size("langs") == 1).alias("own"))
+    size = F.octet_length("piece") + 1
+    sizes = {r["lang"]: (r["own"], r["whole"]) for r in found.groupBy("lang").agg(F.coalesce(F.sum(F.when(F.col("own"), size)), F.lit(0)).alias("own"), F.sum(size).alias("whole")).collect()}
+    if not sizes:
+        return CompressionClassifier({}, **kwargs)
+    # What comes to the driver is cut by the hash; the lowest of it are taken there.
+    apart = {lang: 2 * own >= whole or own >= dictionary_bytes for lang, (own, whole) in sizes.items()}
+    most = of({lang: min(1.0, 1.2 * dictionary_bytes / sizes[lang][0 if apart[lang] else 1]) for lang in sizes})
+    taken: dict[str, dict[int, bytes]] = {}
+    for r in found.where((F.col("own") | ~of(apart)) & (F.col("hash") / float(1 << 63) <= most)).collect():
+        taken.setdefault(r["lang"], {})[r["hash"]] = bytes(r["piece"])
+    released(merged)
+    contents = {lang: b"\n".join(lowest(taken[lang], dictionary_bytes).values())[:dictionary_bytes] for lang in sorted(taken, key=lambda x: (-counts[x], x))}
     return CompressionClassifier({k: v for k, v in contents.items() if len(v) >= 8}, **kwargs)
 
 

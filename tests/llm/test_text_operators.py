@@ -274,6 +274,38 @@ def test_language_identification(spark):
     assert all(0 <= x.score <= 1 for x in rows)
 
 
+def languages_corpus(n):
+    """n[lang] texts a language, each of words made from the language's own syllables."""
+    r = random.Random(8)
+    syllables = {"aa": ["ka", "lo", "mi", "tu", "re", "so"], "bb": ["sch", "ein", "ung", "ber", "ge", "ach"], "cc": ["eau", "oi", "ent", "que", "lle", "re"]}
+    return [(lang, " ".join("".join(r.choice(syllables[lang]) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(20, 60)))) for lang, k in n.items() for _ in range(k)]
+
+
+def right_of(spark, learned, held):
+    """How many of held get their language from a model of learned, by language."""
+    schema = "doc_id long, lang string, text string"
+    frames = [spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], schema) for rows in (learned, held)]
+    model = language_id.fit(frames[0])
+    return collections.Counter(held[x.doc_id][0] for x in language_id.identify(frames[1], model).collect() if x.lang_pred == held[x.doc_id][0]), model
+
+
+def test_language_dictionaries_have_copies_once(spark):
+    learned = languages_corpus({"aa": 800, "bb": 800, "cc": 40})
+    one = next(x for x in learned if x[0] == "cc")[1]
+    near = [("cc", f"{one} {'abcdefghij'[i % 10] * 3}{'klmnopqrst'[i // 10 % 10] * 2}") for i in range(3000)]
+    right, model = right_of(spark, learned + [("cc", one)] * 3000 + near, languages_corpus({"aa": 40, "bb": 40, "cc": 40}))
+    assert all(right[lang] >= 39 for lang in ("aa", "bb", "cc"))
+    found = collections.Counter(model.contents["cc"].split(b"\n"))
+    assert max(found.values()) == 1
+    assert {p for lang, text in learned if lang == "cc" for p in list(language_id.pieces(language_id.plain(text)))[:-1]} <= set(found)
+
+
+def test_language_pieces_cover_the_text():
+    for text in ("", "one", "x" * 1000, " ".join("ab cd ef gh".split() * 200), "日本語テキスト。한국어 текст " * 50):
+        letters = language_id.plain(text)
+        assert b"".join(language_id.pieces(letters)).replace(b" ", b"") == letters.replace(b" ", b"")
+
+
 def test_language_identification_edge_cases(spark):
     schema = "doc_id long, text string, lang string"
     odd = spark.createDataFrame([(1, None, "aa"), (2, "", "aa"), (3, "12 !? 34", None), (None, "abc", None), (4, "long word " * 5000, "aa"), (4, "long word " * 5000, "aa")], schema)
