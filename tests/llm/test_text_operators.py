@@ -300,6 +300,18 @@ def test_language_dictionaries_have_copies_once(spark):
     assert {p for lang, text in learned if lang == "cc" for p in list(language_id.pieces(language_id.plain(text)))[:-1]} <= set(found)
 
 
+def test_language_dictionaries_are_of_whole_texts(spark):
+    notice = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} shown before everything" for i in range(60)) + " "
+    mine = lambda rows: [(lang, notice + text) for lang, text in rows]
+    learned = mine(languages_corpus({"aa": 700, "bb": 700, "cc": 100}))
+    right, _ = right_of(spark, learned, mine(languages_corpus({"aa": 40, "bb": 40, "cc": 40})))
+    assert all(right[lang] >= 38 for lang in ("aa", "bb", "cc"))
+    # A language of one long text has all of it.
+    long = " ".join(x[1] for x in languages_corpus({"cc": 60}))
+    _, model = right_of(spark, [*languages_corpus({"aa": 700}), ("cc", long)], languages_corpus({"aa": 1}))
+    assert sorted(model.contents["cc"].split()) == sorted(w for x in {p for p in language_id.pieces(language_id.plain(long))} for w in x.split())
+
+
 def test_language_pieces_cover_the_text():
     for text in ("", "one", "x" * 1000, " ".join("ab cd ef gh".split() * 200), "日本語テキスト。한국어 текст " * 50):
         letters = language_id.plain(text)
