@@ -29,9 +29,9 @@ def refined(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, broa
 
     The two coarse levels are decided on a narrow table (three numbers a row). The keys that survive
     them go to the scan of the texts as a broadcast when there are at most ``broadcast_keys``, and
-    only texts with a surviving key are hashed. With more keys nearly every row would survive, so
-    every row is hashed where it is read: that costs less than a shuffle of texts, and gives the same
-    groups. ``digest_all`` adds ``digest``, the hash of every row, for callers that ask for it; the
+    only texts with a surviving key are hashed. With more keys every row is hashed where it is read,
+    which costs less than a shuffle of texts, and the surviving keys are joined to the narrow rows that
+    come of it: the result is the same. ``digest_all`` adds ``digest``, the hash of every row, for callers that ask for it; the
     groups come from ``full`` all the same.
     """
     rows = id_text(docs, id_col, text_col).select(
@@ -43,12 +43,14 @@ def refined(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, broa
     released(narrow)
     released(lengths)
     if keys.limit(broadcast_keys + 1).count() > broadcast_keys:
-        rows = rows.withColumn("alike", F.lit(True))
+        # Pinned, so that the join reads from a table and a hot key can be split.
+        hashed = pinned(rows.select("id", "n_bytes", "prefix", content_sha256(F.col("text")).alias("digest"))).join(keys, ["n_bytes", "prefix"], "left")
     else:
         rows = rows.join(F.broadcast(keys), ["n_bytes", "prefix"], "left")
-    text = F.col("text") if digest_all else F.when(F.col("alike"), F.col("text"))
-    hashed = rows.select("id", "n_bytes", "prefix", "alike", content_sha256(text).alias("digest"))
-    return hashed.select("id", "n_bytes", "prefix", F.when(F.col("alike"), F.col("digest")).otherwise("").alias("full"), "digest")
+        text = F.col("text") if digest_all else F.when(F.col("alike"), F.col("text"))
+        hashed = rows.select("id", "n_bytes", "prefix", "alike", content_sha256(text).alias("digest"))
+    digest = F.col("digest") if digest_all else F.when(F.col("alike"), F.col("digest"))
+    return hashed.select("id", "n_bytes", "prefix", F.when(F.col("alike"), F.col("digest")).otherwise("").alias("full"), digest.alias("digest"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, broadcast_keys: int = 500_000, digest_all: bool = False) -> DataFrame:

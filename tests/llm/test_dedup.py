@@ -57,6 +57,13 @@ def test_exact_dedup_is_brute_force(spark, keys, digest_all):
             assert r.digest == hashlib.sha256(az(texts[r.doc_id]).encode()).hexdigest()
 
 
+def test_exact_dedup_digests_do_not_depend_on_the_bound(spark):
+    docs = spark.createDataFrame([(1, "alone"), (2, "a pair"), (3, "A pair"), (4, "b pair"), (5, None), (6, "")], SCHEMA)
+    small, large = ({(r.doc_id, r.keep_id, r.group_size, r.kept, r.digest) for r in exact_dedup(docs, broadcast_keys=n).collect()} for n in (100, 0))
+    assert small == large
+    assert {r[0] for r in large if r[4] is None} == {1, 4}
+
+
 def test_exact_dedup_edge_cases(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_dedup(empty).count() == 0
