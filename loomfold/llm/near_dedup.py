@@ -30,8 +30,6 @@ from .components import components
 COORDINATES = 128
 #: Sets in a node that is compared exhaustively, which is what fits one block; levels of branching; sets in a side of a block.
 LEAF, LEVELS, BLOCK = 2000, 6, 2000
-#: Standard deviations of a sketch's agreement that a pair at the threshold may fall short by.
-SLACK = 5.0
 BROADCAST_ROWS = 500_000
 
 _source = np.random.default_rng(20240501)
@@ -117,10 +115,14 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
     return rows.mapInArrow(lean(run), "id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary, s1 bigint, s2 bigint")
 
 
-def plausible_bits(threshold: float) -> int:
-    """Bits of two sketches that agree at least, if the sets are similar enough."""
-    p = (1 + threshold) / 2
-    return max(COORDINATES // 2, math.floor(COORDINATES * p - SLACK * math.sqrt(COORDINATES * p * (1 - p))))
+def plausible_bits(threshold: float, miss: float) -> int:
+    """Bits of two sketches that agree at least, if the sets are similar enough; a pair at the threshold has fewer with a chance of at most ``miss``."""
+    p, fewer = (1 + threshold) / 2, 0.0
+    for bits in range(COORDINATES):
+        fewer += math.comb(COORDINATES, bits) * p**bits * (1 - p) ** (COORDINATES - bits)
+        if fewer > miss:
+            return bits
+    return COORDINATES
 
 
 def agreement(a1, a2, b1, b2):
@@ -395,17 +397,18 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, recall: float
     that is the row's own. Words are runs of characters other than space and U+0009 to U+000D, with
     A-Z lower-cased; a document with fewer words than a shingle has is one shingle. Without words,
     or with null text, it has none and is linked with nothing. A pair at exactly the threshold is
-    found with the chance ``recall`` or better, a more similar one with a greater chance. Ids are
-    integers. Rows that repeat an id are one vertex. A row with a null id is its own component unless
+    found with the chance ``recall`` or better, a more similar one with a greater chance; sketches and
+    trees have half of the misses each. Ids are integers. Rows that repeat an id are one vertex. A row with a null id is its own component unless
     its set equals that of a row with an id. An empty table gives an empty result.
     """
-    bits = plausible_bits(percent / 100)
+    miss = (1 - recall) / 2
+    bits = plausible_bits(percent / 100, miss)
     read = pinned(sketches(docs, words, id_col, text_col))
     merged = read.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     reps = pinned(merged.where("rep IS NOT NULL"))
     slim = pinned(read.select("id", "n_shingles", "k1", "k2"))
     released(read)
-    groups = components(plausible_edges(reps, trees_for(recall, percent), bits, leaf, levels, block))
+    groups = components(plausible_edges(reps, trees_for(1 - miss, percent), bits, leaf, levels, block))
     groups = pinned(groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct().select(F.col("node").alias("rep"), F.col("root").alias("grp")))
 
     # Full sets, of members of plausible groups only.

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -64,6 +65,15 @@ def test_exact_dedup_digests_do_not_depend_on_the_bound(spark):
     assert {r[0] for r in large if r[4] is None} == {1, 4}
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.8, 0.9])
+def test_sketches_and_trees_keep_the_recall(threshold):
+    miss = 1e-7
+    bits = near_dedup.plausible_bits(threshold, miss / 2)
+    p = (1 + threshold) / 2
+    fewer = lambda b: sum(math.comb(128, i) * p**i * (1 - p) ** (128 - i) for i in range(b))
+    assert fewer(bits) <= miss / 2 < fewer(bits + 1)
+
+
 def test_exact_dedup_edge_cases(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_dedup(empty).count() == 0
