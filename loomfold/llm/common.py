@@ -9,18 +9,22 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names; only where that is unset (tests on one machine) a
-    temporary folder is taken and set as the checkpoint folder.
+    It is what ``spark.checkpoint.dir`` names. Only on one machine, as in tests, may that be unset: a
+    temporary folder is taken then and set as the checkpoint folder. On a cluster an error is raised, as a
+    folder of the driver's own wouldn't be seen by executors.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomfold-checkpoint-"))
     return named or context.getCheckpointDir()
@@ -42,12 +46,41 @@ def released(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most ``rows`` rows; beyond that it is left to a shuffled join.
+#: Bytes that a broadcast side has at most, as its values count.
+BROADCAST_BYTES = 64 << 20
 
-    df should be cheap to count: pinned, or a small aggregate.
+
+def bounded(df: DataFrame, rows: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most ``rows`` rows and ``most_bytes`` bytes; beyond that it is left to a shuffled join.
+
+    Numbers count eight bytes, strings and binaries their length and sixteen. df should be cheap to
+    count: pinned, or a small aggregate.
+    """
+    long = [f.name for f in df.schema if isinstance(f.dataType, StringType | BinaryType)]
+    size = F.lit(8 * len(df.columns) + 16 * len(long)).cast("long")
+    for c in long:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= most_bytes else df
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df, pinned, with a column for each of ``sums`` (name: column): the sum of the column up to and with the row, in ``order``.
+
+    Rows are laid out in ranges of ``order``, summed up range by range side by side, and moved by the
+    sums of the ranges before; of these there are as many as shuffle partitions. Order has to tell rows apart.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = pinned(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    upto = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = laid.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    ahead = ahead.select("_range", *[F.coalesce(F.sum(f"_{n}").over(whole), F.lit(0)).alias(f"_{n}") for n in sums])
+    moved = laid.join(F.broadcast(ahead), "_range").select(*df.columns, *[(F.sum(c).over(upto) + F.col(f"_{n}")).alias(n) for n, c in sums.items()])
+    out = pinned(moved)
+    released(laid)
+    return out
 
 
 def lean(run: Callable) -> Callable:

@@ -2,6 +2,9 @@
 
 Rows are grouped by length, the groups that survive by a hash of the first characters as well, and
 only rows of groups that still have company get a hash of the full content.
+
+Which groups survive goes to the scan of the texts as a bitmap of a fixed number of bits, so the
+same plan serves any number of groups, and texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
@@ -24,15 +27,29 @@ def content_sha256(text: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(x).hexdigest() if ok else None for x, ok in zip(texts_of(lowered(text)), there, strict=True)], pa.string())
 
 
+#: Pieces of the bitmap of surviving groups, of 32768 bits each: 2^27 bits, 16 MB, are the most that is broadcast.
+PIECES = 4096
+
+
+def bitmap_spot(n_bytes: Column, prefix: Column) -> tuple[Column, Column]:
+    """The piece of the bitmap and the bit in it of a (length, prefix hash)."""
+    h = F.xxhash64(n_bytes, prefix)
+    return F.pmod(h, F.lit(PIECES)).cast("int"), F.pmod(F.shiftright(h, 20), F.lit(32768)).cast("int")
+
+
+def bitmap_of(keys: DataFrame) -> DataFrame:
+    """piece, bits of (n_bytes, prefix); pieces without a bit are left out."""
+    piece, bit = bitmap_spot(F.col("n_bytes"), F.col("prefix"))
+    return keys.select(piece.alias("piece"), bit.cast("long").alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
 def refined(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, broadcast_keys: int, digest_all: bool) -> DataFrame:
-    """id, n_bytes, prefix, full of every row; ``full`` is empty where no other row has the same length and prefix.
+    """id, n_bytes, prefix, full, digest of every row; ``full`` is empty and ``digest`` null where no other row has the same length and prefix.
 
     The two coarse levels are decided on a narrow table (three numbers a row). The keys that survive
-    them go to the scan of the texts as a broadcast when there are at most ``broadcast_keys``, and
-    only texts with a surviving key are hashed. With more keys every row is hashed where it is read,
-    which costs less than a shuffle of texts, and the surviving keys are joined to the narrow rows that
-    come of it: the result is the same. ``digest_all`` adds ``digest``, the hash of every row, for callers that ask for it; the
-    groups come from ``full`` all the same.
+    them go to the scan of the texts as a bitmap, and only texts whose key is marked in it are hashed. With k keys about k in 2^27 of the
+    others are marked by chance and hashed too; the keys themselves, joined to the narrow rows that come of the scan, take them out again.
+    ``digest_all`` has the hash of every row in ``digest``, for callers that ask for it; the groups come from ``full`` all the same.
     """
     rows = id_text(docs, id_col, text_col).select(
         "id", "text", F.octet_length("text").alias("n_bytes"), F.xxhash64(lower_az(F.substring("text", 1, prefix_chars))).alias("prefix")
@@ -42,15 +59,16 @@ def refined(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, broa
     keys = pinned(narrow.join(bounded(lengths, broadcast_keys), "n_bytes").groupBy("n_bytes", "prefix").count().where("count > 1").select("n_bytes", "prefix", F.lit(True).alias("alike")))
     released(narrow)
     released(lengths)
-    if keys.limit(broadcast_keys + 1).count() > broadcast_keys:
-        # Pinned, so that the join reads from a table and a hot key can be split.
-        hashed = pinned(rows.select("id", "n_bytes", "prefix", content_sha256(F.col("text")).alias("digest"))).join(keys, ["n_bytes", "prefix"], "left")
-    else:
-        rows = rows.join(F.broadcast(keys), ["n_bytes", "prefix"], "left")
-        text = F.col("text") if digest_all else F.when(F.col("alike"), F.col("text"))
-        hashed = rows.select("id", "n_bytes", "prefix", "alike", content_sha256(text).alias("digest"))
-    digest = F.col("digest") if digest_all else F.when(F.col("alike"), F.col("digest"))
-    return hashed.select("id", "n_bytes", "prefix", F.when(F.col("alike"), F.col("digest")).otherwise("").alias("full"), digest.alias("digest"))
+    text = F.col("text")
+    if not digest_all:
+        piece, bit = bitmap_spot(F.col("n_bytes"), F.col("prefix"))
+        rows = rows.withColumns({"piece": piece, "bit": bit}).join(F.broadcast(bitmap_of(keys)), "piece", "left")
+        byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        text = F.when(F.getbit(byte, F.col("bit") % 8) == 1, text)
+    # Pinned, so that the join reads from a table and a hot key can be split.
+    hashed = pinned(rows.select("id", "n_bytes", "prefix", content_sha256(text).alias("digest"))).join(bounded(keys, broadcast_keys), ["n_bytes", "prefix"], "left")
+    full = F.when(F.col("alike"), F.col("digest"))
+    return hashed.select("id", "n_bytes", "prefix", F.coalesce(full, F.lit("")).alias("full"), (F.col("digest") if digest_all else full).alias("digest"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, broadcast_keys: int = 500_000, digest_all: bool = False) -> DataFrame:
