@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, lean, pinned, released, texts_of
+from .common import bounded, id_text, lean, pinned, released, texts_of
 
-BLOCK, LEVEL = 4096, 3
-#: Texts of fewer bytes are compressed at a level that finds matches of three bytes.
-SHORT, SHORT_LEVEL = 512, 19
+BLOCK = 4096
+#: How every text is compressed, whatever its length: matches of three bytes and more, taken greedily, anywhere in a dictionary.
+PARAMETERS = {"strategy": 3, "min_match": 3, "window_log": 18, "hash_log": 17, "chain_log": 16, "search_log": 4, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -44,22 +44,21 @@ class CompressionClassifier:
     def __getstate__(self):
         return self.__dict__ | {"_engines": None}
 
-    def engines(self) -> tuple[list, list]:
+    def engines(self) -> list:
         import zstandard as zstd
 
         if self._engines is None:
-            self._engines = ([], [])
-            for level, made in zip((LEVEL, SHORT_LEVEL), self._engines, strict=True):
-                for content in self.contents.values():
-                    raw = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-                    raw.precompute_compress(level=level)
-                    made.append(zstd.ZstdCompressor(dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False))
+            how, self._engines = zstd.ZstdCompressionParameters(**PARAMETERS), []
+            for content in self.contents.values():
+                raw = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+                raw.precompute_compress(compression_params=how)
+                self._engines.append(zstd.ZstdCompressor(dict_data=raw, compression_params=how))
         return self._engines
 
     def sizes(self, letters: bytes) -> list[int]:
         """Compressed bytes of the whole text by language."""
         blocks = [letters[i : i + BLOCK] for i in range(0, len(letters), BLOCK)]
-        return [sum(len(engine.compress(b)) for b in blocks) for engine in self.engines()[len(letters) < SHORT]]
+        return [sum(len(engine.compress(b)) for b in blocks) for engine in self.engines()]
 
     def classify(self, text: bytes) -> tuple[str, float, bool]:
         """(language, score, rejected). The score is the margin to the runner-up on a scale from 0 to 1; with one language it is 1."""
@@ -77,8 +76,8 @@ class CompressionClassifier:
 
 #: A piece ends at a word of which the hash has these bits unset, and after so many words or bytes of a word.
 PIECE_BITS, PIECE_WORDS, PIECE_BYTES = 15, 64, 256
-#: Texts that a task remembers, so as to cut copies into pieces once.
-SEEN_TEXTS = 100_000
+#: Texts that a task remembers, so as to cut copies into pieces once; languages up to which their few numbers are broadcast.
+SEEN_TEXTS, BROADCAST_LANGUAGES = 100_000, 100_000
 
 
 def pieces(letters: bytes) -> Iterator[bytes]:
@@ -108,56 +107,55 @@ def lowest(found: dict[int, bytes], most_bytes: int) -> dict[int, bytes]:
     return out
 
 
-def fit(docs: DataFrame, sample_docs: int = 10_000, dictionary_bytes: int = 192 << 10, most_languages: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0, **kwargs) -> CompressionClassifier:
+def fit(docs: DataFrame, sample_docs: int = 10_000, dictionary_bytes: int = 192 << 10, all_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0, **kwargs) -> CompressionClassifier:
     """A classifier from the texts and languages of docs; rows without language or text are left out, ids are not read.
 
     The sample is bounded: about ``sample_docs`` distinct texts a language, drawn by a hash of the text,
-    and of their pieces those of the lowest hashes, ``dictionary_bytes`` a language. Pieces come from
+    and of their pieces those of the lowest hashes, ``dictionary_bytes`` a language. Where languages are so many that
+    their dictionaries would have more than ``all_bytes`` together, which is what the driver and every worker hold, each has an
+    equal share of that; no language is left out. Pieces come from
     anywhere in a text, and each counts once: neither copies, near copies nor a passage that texts share
     take more room than one of it. Pieces that several languages have say nothing of the language and
     are left out, unless a language has little else. A text gives at most 16 pieces, or more where texts
-    are few. More than ``most_languages`` languages raise an error rather than be cut.
+    are few. Of texts that repeat with several languages each language learns.
     """
     rows = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL").withColumn("hash", F.xxhash64("text", F.lit(seed)))
-    counts = {r["lang"]: r["count"] for r in rows.select("lang", "hash").distinct().groupBy("lang").count().limit(most_languages + 1).collect()}
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    if not counts:
-        return CompressionClassifier({}, **kwargs)
-    of = lambda values: F.element_at(F.create_map(*[x for lang, v in values.items() for x in (F.lit(lang), F.lit(v))]), F.col("lang"))
-    chance = of({lang: min(1.0, sample_docs / n) for lang, n in counts.items()})
-    drawn = rows.where(F.pmod("hash", F.lit(1 << 30)) / float(1 << 30) < chance)
-    each = {lang: max(16, -(-dictionary_bytes // (8 * min(n, sample_docs)))) for lang, n in counts.items()}
+    counted = pinned(rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")))
+    room = min(dictionary_bytes, all_bytes // max(1, counted.count()))
+    # Of a language: the share of its texts that are drawn, and the pieces that a text gives at most.
+    shares = counted.select("lang", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("n")).alias("chance"), F.greatest(F.lit(16), F.ceil(F.lit(room) / (8 * F.least("n", F.lit(sample_docs))))).cast("int").alias("each"))
+    drawn = rows.join(bounded(shares, BROADCAST_LANGUAGES), "lang").where(F.pmod("hash", F.lit(1 << 30)) / float(1 << 30) < F.col("chance")).select("text", "lang", "hash", "each")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
         for batch in batches:
             found: dict[tuple[int, str], bytes] = {}
-            for text, lang, h in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, lang, h, each in zip(texts_of(batch.column(0)), *[batch.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
                 if (lang, h) in seen:
                     continue
                 if len(seen) >= SEEN_TEXTS:
                     seen.clear()
                 seen.add((lang, h))
                 own = {piece_hash(x): x for x in pieces(plain(text.decode()))}
-                found.update({(k, lang): own[k] for k in heapq.nsmallest(each[lang], own)})
+                found.update({(k, lang): own[k] for k in heapq.nsmallest(each, own)})
             yield pa.RecordBatch.from_arrays([pa.array([k for _, k in found], pa.string()), pa.array([k for k, _ in found], pa.int64()), pa.array(list(found.values()), pa.binary())], ["lang", "hash", "piece"])
 
     distinct = drawn.mapInArrow(lean(run), "lang string, hash bigint, piece binary").groupBy("hash").agg(F.collect_set("lang").alias("langs"), F.min("piece").alias("piece"))
     merged = pinned(distinct)
     found = merged.select(F.explode("langs").alias("lang"), "hash", "piece", (F.size("langs") == 1).alias("own"))
     size = F.octet_length("piece") + 1
-    sizes = {r["lang"]: (r["own"], r["whole"]) for r in found.groupBy("lang").agg(F.coalesce(F.sum(F.when(F.col("own"), size)), F.lit(0)).alias("own"), F.sum(size).alias("whole")).collect()}
-    if not sizes:
-        return CompressionClassifier({}, **kwargs)
-    # What comes to the driver is cut by the hash; the lowest of it are taken there.
-    apart = {lang: 2 * own >= whole or own >= dictionary_bytes for lang, (own, whole) in sizes.items()}
-    most = of({lang: min(1.0, 1.2 * dictionary_bytes / sizes[lang][0 if apart[lang] else 1]) for lang in sizes})
+    of_own = F.coalesce(F.sum(F.when(F.col("own"), size)), F.lit(0))
+    # Whether shared pieces are left out, and the share of hashes that fills a dictionary; a fifth more comes to the driver, which takes the lowest.
+    apart = (2 * F.col("own_bytes") >= F.col("whole_bytes")) | (F.col("own_bytes") >= room)
+    most = found.groupBy("lang").agg(of_own.alias("own_bytes"), F.sum(size).alias("whole_bytes")).select("lang", apart.alias("apart"), F.least(F.lit(1.0), F.lit(1.2 * room) / F.when(apart, F.col("own_bytes")).otherwise(F.col("whole_bytes"))).alias("most"))
     taken: dict[str, dict[int, bytes]] = {}
-    for r in found.where((F.col("own") | ~of(apart)) & (F.col("hash") / float(1 << 63) <= most)).collect():
+    kept = found.join(bounded(most, BROADCAST_LANGUAGES), "lang").where((F.col("own") | ~F.col("apart")) & (F.col("hash") / float(1 << 63) <= F.col("most")))
+    for r in kept.select("lang", "hash", "piece").toLocalIterator():
         taken.setdefault(r["lang"], {})[r["hash"]] = bytes(r["piece"])
+    often = {r["lang"]: r["n"] for r in counted.collect()} if taken else {}
     released(merged)
-    contents = {lang: b"\n".join(lowest(taken[lang], dictionary_bytes).values())[:dictionary_bytes] for lang in sorted(taken, key=lambda x: (-counts[x], x))}
+    released(counted)
+    contents = {lang: b"\n".join(lowest(taken[lang], room).values())[:room] for lang in sorted(taken, key=lambda x: (-often[x], x))}
     return CompressionClassifier({k: v for k, v in contents.items() if len(v) >= 8}, **kwargs)
 
 
@@ -166,7 +164,9 @@ def identify(docs: DataFrame, model: CompressionClassifier, id_col: str = "doc_i
 
     Whole texts are compressed. ``lang_pred`` is the best language even where the choice is rejected
     for a narrow margin, and ``und`` (score 0, rejected) for a text that is null or has no letter.
-    Equal texts get equal results. An empty table gives an empty result.
+    Of languages that give the same size, that with more texts wins, then that of the lesser name.
+    Equal texts get equal results. Null and repeated ids are kept as they are. An empty table gives an empty
+    result; other columns of docs are not read, whatever their names.
     """
     rows = id_text(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
