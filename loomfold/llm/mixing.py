@@ -5,8 +5,10 @@ weight. Within a source documents are taken in the order of keys until the sourc
 is spent; where the budget holds the whole source once or more, complete epochs come first and the
 selection is for the rest.
 
-No source is ever sorted as a whole. Keys are cut into slots; sums of slots show in which slot the
-budget ends, slots before it are taken whole, and only the rows of that one slot are put in order.
+No source is ever sorted as a whole. A key's place among keys is a number of 47 bits; sums over its
+first bits show in which slot the budget ends, sums over more bits of the rows in that slot alone show
+where in it, and so on. Slots before the last are taken whole, and only what is left in the last one,
+rows whose keys agree in 36 bits, is put in order. That holds for any weights, however far apart.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import bounded, pinned, texts_of
+from .common import bounded, pinned, released, running_sums, texts_of
 
-#: Slots of keys in a source; rows to be sorted together are about 1 in so many of a source.
-SLOTS = 4096
+#: Bits of a key's place, and how many of them each round of sums adds to a slot.
+PLACE_BITS, ROUND_BITS = 47, (12, 12, 12)
+#: Words in a stretch of which the share of distinct ones is taken.
+STRETCH = 64
 
 
 @arrow_udf(LongType())
@@ -29,14 +33,22 @@ def word_count(text: pa.Array) -> pa.Array:
     return pa.array([len(t.split()) for t in texts_of(text)], pa.int64())
 
 
+def variety(words: list[bytes]) -> float:
+    """The share of words in a stretch of 64 that are no repeats, on average over stretches that cover the text; so it doesn't fall with a text's length."""
+    if len(words) <= STRETCH:
+        return len(set(words)) / max(1, len(words))
+    starts = [*range(0, len(words) - STRETCH, STRETCH), len(words) - STRETCH]
+    return sum(len(set(words[i : i + STRETCH])) for i in starts) / (STRETCH * len(starts))
+
+
 @arrow_udf(StructType([StructField("size", LongType()), StructField("quality", DoubleType())]))
 def words_and_quality(text: pa.Array) -> pa.Array:
-    """``word_count``, and the default quality weight: a tenth plus the share of words that are no repeats."""
+    """``word_count``, and the default quality weight: a tenth plus the text's ``variety``."""
     sizes, weights = [], []
     for t in texts_of(text):
         words = t.split()
         sizes.append(len(words))
-        weights.append(0.1 + len(set(words)) / max(1, len(words)))
+        weights.append(0.1 + variety(words))
     return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(weights, pa.float64())], ["size", "quality"])
 
 
@@ -45,25 +57,32 @@ def uniform(column: Column, seed: int) -> Column:
     return (F.pmod(F.xxhash64(column.cast("string"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
+def place_of(key: Column) -> Column:
+    """A key's place as a whole number of 47 bits that grows with the key: its logarithm, of which keys from 1e-27 to 1e27 have all bits."""
+    most = (1 << PLACE_BITS) - 1
+    return F.greatest(F.lit(0), F.least(F.lit(most), F.floor((F.log(key) + 64) * float(1 << (PLACE_BITS - 7))))).cast("long")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
-    """sources (source, source_size) with ``target``.
+    """sources (source, source_size) with ``target``, pinned.
 
     In the order of code points, null last, sources weigh ``weights`` in turn and share ``share`` of
     all sizes; no target exceeds ``cap`` times its source, the excess going to the others by weight.
     That ends where every source has the lesser of its cap and its weight times one level, so the
-    level is found by running sums over sources in the order in which they reach their caps. The
-    windows hold one row a source.
+    level is found by running sums over sources in the order in which they reach their caps. Sums run
+    over ranges of sources side by side, and then over the ranges. Sizes and weights that are whole numbers sum up exactly, in any order.
     """
-    ranked = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1))
-    ranked = ranked.withColumn("full", F.col("source_size") * F.lit(cap)).withColumn("level", F.col("full") / F.col("weight"))
-    order = Window.orderBy("level", F.col("source").asc_nulls_last())
-    upto, all_ = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
-    sums = ranked.withColumns({"full_before": F.sum("full").over(upto) - F.col("full"), "weight_left": F.sum("weight").over(all_) - F.sum("weight").over(upto) + F.col("weight"), "pool": F.sum("source_size").over(all_) * F.lit(share)})
+    ranked = running_sums(sources.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], {"rank": "one"}).drop("one")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    ranked = ranked.withColumn("weight", weight).withColumn("level", F.col("source_size") * F.lit(cap) / F.col("weight"))
+    sums = running_sums(ranked, [F.col("level"), F.col("rank")], {"size_upto": "source_size", "weight_upto": "weight"})
+    size, heavy = sums.agg(F.sum("source_size"), F.sum("weight")).first()
     # The level if this source and those after it stay under their caps; the first source for which that holds has the right one.
-    sums = sums.withColumn("common", (F.col("pool") - F.col("full_before")) / F.col("weight_left"))
-    sums = sums.withColumn("place", F.row_number().over(order))
-    found = sums.withColumn("at", F.min(F.when(F.col("common") <= F.col("level"), F.struct("place", "common"))).over(all_)["common"])
-    return found.select("source", "source_size", F.least(F.col("full"), F.coalesce(F.col("weight") * F.col("at"), F.col("full"))).alias("target"))
+    before = (F.col("size_upto") - F.col("source_size")) * F.lit(cap)
+    common = (F.lit(float(size or 0) * share) - before) / (F.lit(float(heavy or 0)) - F.col("weight_upto") + F.col("weight"))
+    first = sums.withColumn("common", common).where("common <= level").agg(F.min(F.struct("level", "rank", "common"))).first()[0]
+    full = F.col("source_size") * F.lit(cap)
+    return sums.select("source", "source_size", (full if first is None else F.least(full, F.col("weight") * F.lit(first["common"]))).cast("double").alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", quality_col: str | None = None, seed: int = 0, cut_last: bool = True, broadcast_sources: int = 200_000) -> DataFrame:
@@ -73,47 +92,59 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     counted: ``epochs`` times its size, plus the size of documents that the rest of the budget
     selects. The document at which the budget ends gives as many of its first words as are left, or,
     without ``cut_last``, comes whole if more than half of it fits and else not at all. The quality
-    weight is ``quality_col`` (null or not positive counts as the least weight) or, without one, the
-    share of words in a document that are no repeats. Null text has size 0 and takes nothing. Rows
-    that repeat an id have the same key and are taken one after the other. A rerun gives the same
-    result, wherever rows lie. An empty table gives an empty result.
+    weight is ``quality_col`` (null or not positive counts as the least weight, 1e-6) or, without one, the
+    share of words that are no repeats, in stretches of 64. Null text has size 0 and takes nothing; null sources are a source of
+    their own, the last, and null ids an id. Rows that repeat an id have the same key and are taken one after the other; they are put
+    in order by one task where the budget ends among them. A rerun gives the same
+    result, wherever rows lie. An empty table gives an empty result; other columns of docs are not read, whatever their names.
     """
     read = words_and_quality(docs[text_col])
     rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), read.alias("read"), (F.lit(None).cast("double") if quality_col is None else docs[quality_col].cast("double")).alias("given"))
-    weight = F.col("read.quality") if quality_col is None else F.greatest(F.coalesce("given", F.lit(0.0)), F.lit(1e-6))
+    weight = F.col("read.quality") if quality_col is None else F.greatest(F.coalesce(F.nanvl("given", F.lit(0.0)), F.lit(0.0)), F.lit(1e-6))
     key = -F.log(uniform(F.coalesce(F.col("id").cast("string"), F.lit("")), seed)) / weight
-    # 1 - exp(-key) grows with the key and spreads keys over (0, 1).
-    keyed = rows.select("id", "source", F.col("read.size").alias("size"), key.alias("key")).withColumn("slot", F.least(F.floor((1 - F.exp(-F.col("key"))) * SLOTS), F.lit(SLOTS - 1)).cast("int"))
-    keyed = pinned(keyed)
-    slots = keyed.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
-    sources = pinned(targets(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, share, cap))
+    keyed = pinned(rows.select("id", "source", F.col("read.size").alias("size"), key.alias("key")).withColumn("place", place_of(F.col("key"))))
+    shift = PLACE_BITS - ROUND_BITS[0]
+    slots = pinned(keyed.groupBy("source", F.shiftright("place", shift).alias("slot")).agg(F.sum("size").alias("slot_size")))
+    sources = targets(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, share, cap)
     budget = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    budget = budget.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    # At most SLOTS rows a source.
-    running = slots.withColumn("before", F.sum("slot_size").over(Window.partitionBy("source").orderBy("slot")) - F.col("slot_size"))
-    meets = running.join(bounded(budget, broadcast_sources), running["source"].eqNullSafe(budget["source"])).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("slot_size") >= F.col("rest")))
-    last = meets.groupBy(running["source"].alias("of")).agg(F.min("slot").alias("last_slot"), F.min("before").alias("last_before"))
-    plan = pinned(budget.join(last, budget["source"].eqNullSafe(last["of"]), "left").drop("of").withColumnRenamed("source", "of"))
-    all_rows = keyed.join(bounded(plan, broadcast_sources), keyed["source"].eqNullSafe(plan["of"])).drop("of")
+    plan = pinned(budget.withColumns({"rest": F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"), "taken_before": F.lit(0).cast("long")}).withColumnRenamed("source", "of"))
+    for r, bits in enumerate(ROUND_BITS):
+        if r:
+            shift -= bits
+            at_last = keyed.join(bounded(plan.select("of", "slot"), broadcast_sources), F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("place", shift + bits) == F.col("slot")))
+            slots = at_last.groupBy("source", F.shiftright("place", shift).alias("slot")).agg(F.sum("size").alias("slot_size"))
+        # At most 4096 rows a source.
+        running = slots.withColumn("before", F.sum("slot_size").over(Window.partitionBy("source").orderBy("slot")) - F.col("slot_size"))
+        meets = running.join(bounded(plan.select("of", "rest", "taken_before"), broadcast_sources), F.col("source").eqNullSafe(F.col("of")))
+        meets = meets.withColumn("before", F.col("before") + F.col("taken_before")).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("slot_size") >= F.col("rest")))
+        last = meets.groupBy(F.col("source").alias("source")).agg(F.min(F.struct("slot", "before")).alias("last"))
+        was = plan
+        plan = plan.drop("slot", "taken_before").join(bounded(pinned(last), broadcast_sources), F.col("of").eqNullSafe(F.col("source")), "left")
+        plan = pinned(plan.select("of", "source_size", "target", "epochs", "rest", F.col("last.slot").alias("slot"), F.col("last.before").alias("taken_before")))
+        released(was)
+    all_rows = keyed.join(bounded(plan, broadcast_sources), keyed["source"].eqNullSafe(plan["of"])).drop("of").withColumn("own", F.shiftright("place", shift))
     # Without a last slot nothing is left to select.
-    at_last = F.coalesce(F.col("slot") == F.col("last_slot"), F.lit(False))
-    whole = all_rows.where(~at_last).withColumn("extra", F.when(F.col("slot") < F.col("last_slot"), F.col("size")).otherwise(F.lit(0).cast("long")))
-    edge = all_rows.where(at_last).withColumn("left", F.col("rest") - F.col("last_before") - (F.sum("size").over(Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")))
+    at_last = F.coalesce(F.col("own") == F.col("slot"), F.lit(False))
+    ahead = F.coalesce(F.col("own") < F.col("slot"), F.lit(False))
+    whole = all_rows.where(~at_last).withColumns({"extra": F.when(ahead, F.col("size")).otherwise(F.lit(0).cast("long")), "selected": ahead})
+    edge = all_rows.where(at_last).withColumn("left", F.col("rest") - F.col("taken_before") - (F.sum("size").over(Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")))
     if cut_last:
-        extra = F.greatest(F.lit(0), F.least("size", "left"))
+        edge = edge.withColumns({"selected": F.col("left") > 0, "extra": F.greatest(F.lit(0), F.least("size", "left"))})
     else:
-        extra = F.when((F.col("left") > 0) & (F.col("left") * 2 > F.col("size")), F.col("size")).otherwise(F.lit(0).cast("long"))
-    edge = edge.withColumn("selected", F.col("left") > 0 if cut_last else (F.col("left") > 0) & (F.col("left") * 2 > F.col("size"))).withColumn("extra", extra).drop("left")
-    whole = whole.withColumn("selected", F.coalesce(F.col("slot") < F.col("last_slot"), F.lit(False)))
-    return whole.unionByName(edge).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "epochs", "selected", (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"))
+        fits = (F.col("left") > 0) & (F.col("left") * 2 > F.col("size"))
+        edge = edge.withColumns({"selected": fits, "extra": F.when(fits, F.col("size")).otherwise(F.lit(0).cast("long"))})
+    return whole.unionByName(edge.select(whole.columns)).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "epochs", "selected", (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 500_000, **kwargs) -> DataFrame:
     """The rows of docs, all columns, as often as the mix takes each: ``epochs`` times, and once more if selected.
 
-    Documents come whole (``cut_last`` is off). Rows that repeat an id all come as often as the one that is taken most.
+    Documents come whole (``cut_last`` is off); those with null text or source come as their source's others do, and an empty table
+    stays empty. Rows that repeat an id all come as often as the one that is taken most. No column's name matters but those read.
     """
     counted = mix(docs, id_col=id_col, cut_last=False, **kwargs)
-    times = pinned(counted.groupBy(F.col(id_col).alias("_of")).agg(F.max(F.col("epochs") + F.col("selected").cast("long")).alias("_times")).where("_times > 0"))
-    joined = docs.join(bounded(times, broadcast_rows), docs[id_col].eqNullSafe(times["_of"]))
-    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    times = pinned(counted.groupBy(F.col(id_col).alias("of")).agg(F.max(F.col("epochs") + F.col("selected").cast("long")).alias("times")).where("times > 0"))
+    columns = docs.columns
+    plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(columns)])
+    joined = plain.join(bounded(times, broadcast_rows), plain[f"c{columns.index(id_col)}"].eqNullSafe(times["of"]))
+    return joined.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
