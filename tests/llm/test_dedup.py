@@ -7,10 +7,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
-from loomfold.llm import components, near_dedup
+from loomfold.llm import common, components, near_dedup
+from loomfold.llm import exact_dedup as exact_dedup_module
 from loomfold.llm.exact_dedup import exact_dedup, keep_one_of_equals
 
 SCHEMA = "doc_id long, text string"
@@ -65,6 +69,54 @@ def test_exact_dedup_digests_do_not_depend_on_the_bound(spark):
     assert {r[0] for r in large if r[4] is None} == {1, 4}
 
 
+@pytest.mark.parametrize("keys", [500_000, 0])
+def test_only_surviving_texts_are_hashed(spark, keys, tmp_path, monkeypatch):
+    """On both sides of the bound on broadcast keys, the texts that reach the hash are those with company in length and prefix."""
+    seen = tmp_path / "seen"
+
+    @arrow_udf(StringType())
+    def spying(text: pa.Array) -> pa.Array:
+        out = [None if t is None else hashlib.sha256(az(t).encode()).hexdigest() for t in text.to_pylist()]
+        with open(seen, "a") as f:
+            f.writelines(f"{t}\n" for t in text.to_pylist() if t is not None)
+        return pa.array(out, pa.string())
+
+    monkeypatch.setattr(exact_dedup_module, "content_sha256", spying)
+    r = random.Random(4)
+    docs = [(i, "".join(r.choice("abcdef") for _ in range(r.randrange(2, 60)))) for i in range(400)]
+    docs += [(400 + i, text.upper()) for i, (_, text) in enumerate(docs[:60])]
+    groups = collections.Counter((len(t), az(t)[:64]) for _, t in docs)
+    exact_dedup(spark.createDataFrame(docs, SCHEMA), broadcast_keys=keys).count()
+    assert collections.Counter(seen.read_text().split()) == collections.Counter(t for _, t in docs if groups[len(t), az(t)[:64]] > 1)
+
+
+def test_near_dedup_recall_at_the_threshold(spark):
+    """Pairs at exactly 8 of 10, each of words of its own; the docstring's recall leaves 0.0004 misses to expect among 4000."""
+    r = random.Random(11)
+    docs = []
+    for n in range(4000):
+        words = [f"p{n}w{k}" for k in range(10)]
+        docs += [(2 * n, " ".join(words[:9])), (2 * n + 1, " ".join(r.sample(words[:8] + words[9:], 9)))]
+    rows = near_dedup.near_dedup(spark.createDataFrame(docs, SCHEMA), words=1).collect()
+    found = sum(x.component_id == x.doc_id - 1 for x in rows if x.doc_id % 2)
+    assert found == 4000
+
+
+def test_trees_count_the_coordinates_that_they_share():
+    """The chance of a miss over all numbers of agreeing coordinates, by drawing them."""
+    r = np.random.default_rng(1)
+    for recall in (0.9, 0.99):
+        trees = near_dedup.trees_for(recall, 80)
+        s = r.binomial(128, 0.8, 200_000) / 128
+        q = np.ones_like(s)
+        for _ in range(near_dedup.LEVELS - 1):
+            q = 1 - (1 - s * q) ** 2
+        assert ((1 - s * q) ** trees).mean() <= (1 - recall) * 1.05
+        assert ((1 - s * q) ** (trees - 1)).mean() > (1 - recall) * 0.95
+    with pytest.raises(ValueError, match="recall"):
+        near_dedup.trees_for(1 - 1e-7, 10)
+
+
 @pytest.mark.parametrize("threshold", [0.2, 0.5, 0.8, 0.9])
 def test_sketches_and_trees_keep_the_recall(threshold):
     miss = 1e-7
@@ -172,3 +224,38 @@ def test_sketches_agree_on_both_sides(spark):
     b = np.array([3, -5, 2**61], np.int64)
     rows = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "x long, y long").select(near_dedup.agreement(F.col("x"), F.col("y"), F.col("y"), F.col("x")).alias("n")).collect()
     assert [r.n for r in rows] == near_dedup.agreement(a, b, b, a).tolist()
+
+
+def test_broadcast_bound_counts_rows_and_bytes(spark):
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "k long, t string")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(common.bounded(df, 50)) and not hinted(common.bounded(df, 49))
+    assert hinted(common.bounded(df, 50, 50 * (100 + 16 + 16))) and not hinted(common.bounded(df, 50, 50 * (100 + 16 + 16) - 1))
+    assert hinted(common.bounded(df.limit(0), 0))
+
+
+def test_a_cluster_has_to_name_the_shared_folder():
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_running_sums(spark):
+    r = random.Random(2)
+    rows = [(i, r.randrange(10), r.choice(["a", "b", None])) for i in r.sample(range(500), 500)]
+    out = common.running_sums(spark.createDataFrame(rows, "k long, n long, s string"), [F.col("s").asc_nulls_last(), F.col("k")], {"upto": "n"}).collect()
+    total, want = 0, {}
+    for k, n, _ in sorted(rows, key=lambda x: (x[2] is None, x[2] or "", x[0])):
+        total += n
+        want[k] = total
+    assert {x.k: x.upto for x in out} == want
+    assert common.running_sums(spark.createDataFrame([], "k long, n long"), [F.col("k")], {"upto": "n"}).count() == 0

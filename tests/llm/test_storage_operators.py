@@ -54,6 +54,49 @@ def test_warc_edge_cases(spark):
     assert sorted((x.record, x.kind, x.refers_to) for x in rows) == [("4", "response", None), ("4", "response", None), ("9", "response", None), ("None", "response", None), ("None", "revisit", "4")]
 
 
+def test_warc_members_are_read_by_seeking(spark, tmp_path):
+    """Files that gzip reads as a whole, an index table beside them, and single records taken by offset with no Spark at all."""
+    pages = [*some_pages(80), (7, "u", "same id"), (77, "http://x/:y", "colon:id")]
+    records = warc.archive_records(spark.createDataFrame(pages, PAGES).repartition(3))
+    written = warc.write_archives(records, f"{tmp_path}/mono", 30_000).collect()
+    assert len(written) > 3 and {w.archive: w.n_bytes for w in written} == {p.name: p.stat().st_size for p in (tmp_path / "mono").iterdir()}
+    warc.normalise_archives(spark.createDataFrame(written), f"{tmp_path}/mono", f"{tmp_path}/new").write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    rows = index.collect()
+    assert len(rows) == len(pages)
+    whole = sorted(b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "mono").iterdir()))
+    assert sorted(b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "new").iterdir())) == whole
+    for e in rows[::7]:
+        with open(tmp_path / "new" / e.archive, "rb") as f:
+            f.seek(e.offset)
+            head, _, rest = gzip.decompress(f.read(e.length)).partition(b"\r\n\r\n")
+        headers = warc.headers_of(head)
+        assert headers["warc-record-id"] == e.record and headers["warc-type"] == e.kind
+        http, _, payload = rest[: int(headers["content-length"])].partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and (e.kind == "response" or not payload)
+    # A filtered index reads those records only, and ids tell records apart unless page and payload agree.
+    one = warc.read_archives(index.where("record LIKE '<urn:page:7:%'"), f"{tmp_path}/new").collect()
+    assert {x.record for x in one} == {"7"} and len(one) == 2
+    assert len({e.record for e in rows}) == len(rows)
+
+
+def test_warc_ids_of_any_text(spark):
+    ids = ["a:b", "c d>", "é/ü", "%41", "<urn:page:x>"]
+    pages = spark.createDataFrame([(i, None, h) for i in ids for h in ("same", f"own {i}")], "page_id string, url string, html string")
+    rows = warc.archive_and_read(pages, keep_monolithic=True).collect()
+    assert {x.record for x in rows} == set(ids) and {x.refers_to for x in rows if x.kind == "revisit"} == {max(ids)}
+
+
+def test_warc_large_records_come_in_small_pieces():
+    """A record in thousands of pieces is put together in linear time, whatever the pieces."""
+    payload = random.Random(1).randbytes(40_000_000)
+    body = warc.record("response", "1", None, "D", payload, len(payload), None) * 2
+    out = list(warc.records_in(body[i : i + 4096] for i in range(0, len(body), 4096)))
+    assert [w for _, w in out] == [body[: len(body) // 2]] * 2
+    tiny = warc.record("response", "1", None, "D", b"\r\n\r\nx", 5, None)
+    assert [w for _, w in warc.records_in(tiny[i : i + 1] for i in range(len(tiny)))] == [tiny]
+
+
 def test_normalise_takes_one_stream_or_many_members():
     records = [warc.record("response", str(i), f"http://e/{i}", "D", (b"x" * i + b"\r\n\r\n") * 3, 3 * (i + 4), None) for i in range(50)]
     for body in (gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records[:20])) + gzip.compress(b"".join(records[20:]))):

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -152,7 +153,7 @@ def test_mixing_is_brute_force(spark, cut_last):
     texts = {i: (t or "").split() for i, _, t in docs}
     for s in sizes:
         own = [x for x in rows if x.source == s and x.size]
-        own.sort(key=lambda x: -math.log(us[x.doc_id]) / (0.1 + len(set(texts[x.doc_id])) / x.size))
+        own.sort(key=lambda x: -math.log(us[x.doc_id]) / (0.1 + len(set(texts[x.doc_id])) / x.size))  # texts of one stretch
         extras = [x.taken - x.epochs * x.size for x in own]
         ends = [n for n, (e, x) in enumerate(zip(extras, own, strict=True)) if e < x.size]
         assert not any(extras[ends[0] + 1 :]) if ends else True
@@ -166,6 +167,51 @@ def test_mixing_order_follows_quality(spark):
     assert good > 1.5 * bad > 0
 
 
+@pytest.mark.parametrize("weight", [1e-6, 0.15, 1000.0, None])
+def test_mixing_puts_few_rows_in_order(spark, weight):
+    """Whatever the weights, the sums leave next to nothing to sort, and the selection is the order of keys."""
+    r = random.Random(3)
+    docs = [(i, "s" if i % 4 else "t", "w " * r.randrange(1, 9), weight or 10 ** r.uniform(-6, 3)) for i in range(3000)]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string, q double")
+    rows = mixing.mix(frame, weights=(1, 5), share=0.6, quality_col="q").where("source = 's'").collect()
+    us, q = dict(frame.select("doc_id", mixing.uniform(F.col("doc_id"), 0)).collect()), {d[0]: d[3] for d in docs}
+    own = sorted(rows, key=lambda x: -math.log(us[x.doc_id]) / q[x.doc_id])
+    ends = next(n for n, x in enumerate(own) if x.taken < x.size)
+    assert 50 < ends and not any(x.taken for x in own[ends + 1 :])
+    keys = spark.createDataFrame([(-math.log(u) / q[i],) for i, u in us.items()], "key double")
+    slots = collections.Counter(x[0] for x in keys.select(F.shiftright(mixing.place_of(F.col("key")), mixing.PLACE_BITS - sum(mixing.ROUND_BITS))).collect())
+    assert max(slots.values()) <= 2
+
+
+def test_mixing_clashing_columns_repeats_and_long_texts(spark):
+    rows = [(1, "a", "x y " * 200_000), (2, "a", "z"), (2, "a", "z"), (2, "a", "z"), (3, None, "w w"), (None, "b", "q r s"), (None, "b", None)]
+    names = ["_of", "_times", "_nth", "of", "times", "nth", "place", "key", "slot", "size"]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({n: F.lit(n) for n in names})
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(rows) and all(0 <= x.taken <= 2 * x.size for x in out)
+    size = {"a": 400_003, None: 2, "b": 3}
+    want, taken = water_filled(size), collections.Counter()
+    for x in out:
+        taken[x.source] += x.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in size)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and all(x._of == "_of" and x.nth == "nth" for x in mixed.collect())
+
+
+def test_mixing_targets_of_many_sources(spark):
+    """Targets of thousands of sources, summed up range by range, against resharing again and again."""
+    r = random.Random(9)
+    sizes = {f"h{i:04}": r.randrange(0, 1000) for i in range(2500)} | {None: 77}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (5, 2, 1), 1.5, 2.0).collect()
+    assert {x.source: x.target for x in got} == pytest.approx(water_filled(sizes), abs=1e-4)
+
+
+def test_mixing_quality_does_not_fall_with_length():
+    words = [f"w{i % 400}".encode() for i in range(20_000)]
+    assert mixing.variety(words) == mixing.variety(words[:300]) == 1.0
+    assert mixing.variety([]) == 0.0 and mixing.variety([b"a"] * 64) == mixing.variety([b"a"] * 6400) == 1 / 64
+
+
 def test_mixing_edge_cases(spark):
     schema = "doc_id long, source string, text string"
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
@@ -190,10 +236,10 @@ def brute_segments(scores):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from([-1, 2.25, 3.5, 0.75]), max_size=14))
+@given(st.lists(st.sampled_from([-1, 2.25, 3.5, 0.75, -2.125, -0.375]), max_size=14))
 def test_segments_are_maximal(values):
-    scored = [(i, v) for i, v in enumerate(values) if v > 0]
-    found = toxicity.segments(scored, -1)
+    odds = [(i, v + 1) for i, v in enumerate(values) if v != -1]
+    found = toxicity.segments(odds, -1)
     want = brute_segments(values)
     assert [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in want]
     assert [s for *_, s in found] == pytest.approx([s for *_, s in want])
@@ -252,6 +298,101 @@ def test_toxicity_learns_from_few_documents_of_a_language(spark):
     assert sum(x.predicted != truth[x.doc_id] for x in held) <= 3
 
 
+def test_segments_take_linear_time():
+    """A million words, toxic ones among them at distances of which each lets segments merge, or none does."""
+    for every, odds, drift in ((5, 4.0, -1.0), (5, 7.0, -1.0), (2, 2.5, -1.0)):
+        scored = [(i, odds + i % 7 / 100) for i in range(0, 1_000_000, every)]
+        began = time.process_time()
+        assert toxicity.segments(scored, drift)
+        assert time.process_time() - began < 5
+    # Sums before segments that only fall: nothing merges and nothing is kept open.
+    began = time.process_time()
+    assert len(toxicity.segments([(i, 1.5) for i in range(0, 1_000_000, 5)], -1.0)) == 200_000
+    assert time.process_time() - began < 5
+
+
+def brute_toxicity(docs, labels, drift=-1.0, prior_share=0.03, false_share=0.2, least=3, step=0.05):
+    """The model's scores by their definition: log-odds with a prior, false discoveries, segments by trying all, the law, and the sums."""
+    rows = [(t, dict(labels)[i]) for i, t in docs if i in dict(labels) and t is not None]
+    counts = collections.Counter()
+    for text, label in rows:
+        counts.update({(k, label) for w in toxicity.tokens(text.encode()) for k in toxicity.keys_of(w)})
+    n = [sum(c for (_, y), c in counts.items() if y == label) for label in (0, 1)]
+    share, odds, tested = n[1] / sum(n), {}, {}
+    for token in {k for k, _ in counts}:
+        x = [counts[token, 0], counts[token, 1]]
+        if sum(x) >= least:
+            y = [v + prior_share * sum(x) for v in x]
+            odds[token] = math.log(y[1] / (n[1] + prior_share * sum(n) - y[1])) - math.log(y[0] / (n[0] + prior_share * sum(n) - y[0]))
+            part = lambda v, s, m=sum(x): v * math.log(v / (m * s)) if v else 0.0
+            tested[token] = (x[1] > sum(x) * share, part(x[1], share) + part(x[0], 1 - share))
+    kept = {}
+    for side in (True, False):
+        bins = sorted((min(2000, math.floor(s / step)) for more, s in tested.values() if more == side), reverse=True)
+        cuts = [b for b in bins if math.exp(-b * step) * len(tested) <= false_share * sum(x >= b for x in bins)]
+        kept |= {t: odds[t] for t, (more, s) in tested.items() if more == side and cuts and s >= min(cuts) * step}
+    found = {}
+    for text in {t or "" for _, t in docs}:
+        words = toxicity.tokens(text.encode())
+        scores = [max((kept[k] for k in toxicity.keys_of(w) if k in kept), default=0.0) + drift for w in words]
+        found[text] = ([s for *_, s in brute_segments(scores)], len(words))
+    clean = [found[t] for t, label in rows if label == 0]
+    islands, total = sorted(s for scores, _ in clean for s in scores), sum(m for _, m in clean)
+    scale, log_k = 1.0, math.log(0.5 / total)
+    if islands:
+        cut = islands[math.ceil(len(islands) / 2) - 1]
+        above = [s - cut for s in islands if s >= cut]
+        scale = min(5.0, 1 / max(sum(above) / len(above), 1e-3))
+        log_k = math.log((len(above) + 0.5) / total) + scale * cut
+
+    def features(text):
+        scores, m = found[text]
+        each = sorted((scale * s - log_k - math.log(max(m, 1)) for s in scores), reverse=True)
+        above = [e for e in each if e > 0]
+        sums = [sum(above[:r]) for r in range(1, len(above) + 1)]
+        together = [t - math.log(2**r * t ** (r - 1) / math.factorial(r) / math.factorial(r - 1)) for r, t in enumerate(sums, 1)]
+        return [max([*together, each[0] if each else -log_k - math.log(max(m, 1))]), scale * max(scores, default=0.0), sum(above)]
+
+    weights = toxicity.logistic(np.array([features(t) for t, _ in rows]), np.array([y for _, y in rows], float))
+    return {i: 1 / (1 + math.exp(-(weights[0] + weights[1:] @ features(t or "")))) for i, t in docs}
+
+
+def test_toxicity_query_is_brute_force(spark):
+    docs, labels = labelled_corpus(300)
+    docs = [(i, " ".join(t.split()[:40])) for i, t in docs] + [(300, None), (301, ""), (302, "12 !")]
+    marks = [x for x in labels if x[0] % 4]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    model = toxicity.fit(frame, spark.createDataFrame(marks, "doc_id long, toxic int"), merge_copies=False)
+    want = brute_toxicity(docs, marks)
+    got = {x.doc_id: x.score for x in toxicity.score_toxicity(frame, model).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    assert any(v < 0 for v in model.odds.values()) or min(model.odds.values()) > 0
+
+
+def test_toxicity_scores_add_up_segments(spark):
+    """Many weak passages say more than one of them."""
+    docs, labels = labelled_corpus()
+    model = toxicity.fit(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    clean = " ".join(w for _, t in docs[1:9] for w in t.split())[:1500]
+    words = clean.split()
+    spread = lambda n: " ".join(w + (" nastyword" if n and i % (len(words) // n) == 3 else "") for i, w in enumerate(words)).encode()
+    scores = [model.score_text(spread(n)) for n in (0, 1, 3, 6)]
+    assert scores == sorted(scores) and scores[3] > scores[1]
+
+
+def test_toxicity_long_texts_ties_and_clashing_columns(spark):
+    docs, labels = labelled_corpus()
+    model = toxicity.fit(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    long = "nastyword wo aa vilething wo bb cc " * 30_000
+    frame = spark.createDataFrame([(1, long, "x"), (2, long, "y"), (2, "wo", "z"), (None, None, None)], "doc_id long, text string, label string").withColumns({"draw": F.lit(1), "of": F.lit("o"), "passages": F.lit(0)})
+    rows = sorted(toxicity.score_toxicity(frame, model).collect(), key=lambda x: (x.doc_id or 0, -x.score))
+    assert [x.predicted for x in rows] == [0, 1, 1, 0] and rows[1].score == rows[2].score
+    kept = toxicity.drop_toxic(frame, model)
+    assert kept.columns == frame.columns and {(x.doc_id, x.label) for x in kept.collect()} == {(2, "z"), (None, None)}
+    again = toxicity.fit(spark.createDataFrame(docs, SCHEMA).withColumns({"label": F.lit("l"), "draw": F.lit("d")}), spark.createDataFrame(labels, "doc_id long, toxic int").withColumns({"text": F.lit(0), "of": F.lit(3)}))
+    assert again.odds == model.odds
+
+
 def test_toxicity_edge_cases(spark):
     empty, none = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(empty, none)
@@ -326,5 +467,70 @@ def test_language_identification_edge_cases(spark):
     nothing = language_id.fit(spark.createDataFrame([], schema))
     assert {x.lang_pred for x in language_id.identify(odd, nothing).collect()} == {"und"}
     assert language_id.identify(odd.limit(0), model).count() == 0
-    with pytest.raises(ValueError, match="languages"):
-        language_id.fit(spark.createDataFrame([(i, "text", f"l{i}") for i in range(4)], schema), most_languages=3)
+
+
+def test_language_ties_clashing_columns_and_long_texts(spark):
+    """Languages with the same dictionary tie: that of more texts wins, then the lesser name; names of columns don't matter."""
+    texts = ["ein text der beiden gehört", "noch einer davon"]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate([("zz", t) for t in texts] + [("aa", t) for t in texts] + [("mm", t) for t in [*texts, "!"]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"hash": F.lit("x"), "score": F.lit(1), "n": F.lit(2), "each": F.lit(3), "chance": F.lit("c")})
+    model = language_id.fit(docs)
+    assert list(model.contents) == ["mm", "aa", "zz"]
+    out = language_id.identify(docs, model).collect()
+    assert {x.lang_pred for x in out if x.doc_id != 6} == {"mm"}
+    long = spark.createDataFrame([(1, "noch einer davon " * 60_000)], "doc_id long, text string")
+    assert [x.lang_pred for x in language_id.identify(long, model).collect()] == ["mm"]
+
+
+def test_many_languages_share_the_bytes(spark):
+    """Six hundred languages, more than fit in 200 kB with whole dictionaries: each keeps its own words."""
+    rows = [(i, " ".join(f"{'abcdefghijklmnopqrstuvwxy'[n % 25]}{'abcdefghijklmnopqrstuvwxyz'[n // 25]}{x}" * 2 for x in "pqrstuvwxyz" for _ in range(2)), f"l{n:03}") for i, n in enumerate([*range(600)] * 2)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), all_bytes=200_000)
+    assert len(model.contents) == 600 and sum(map(len, model.contents.values())) <= 200_000
+    few = rows[:600:60]
+    out = language_id.identify(spark.createDataFrame([r[:2] for r in few], "doc_id long, text string"), model).collect()
+    assert {x.doc_id: x.lang_pred for x in out} == {i: lang for i, _, lang in few}
+
+
+def brute_dictionaries(docs, room=192 << 10):
+    """Dictionaries by their definition: pieces of each language's distinct texts, without those that others have, in the order of hashes."""
+    own = {}
+    for _, text, lang in docs:
+        if text is not None and lang is not None:
+            own.setdefault(lang, {}).update({language_id.piece_hash(x): x for x in language_id.pieces(language_id.plain(text))})
+    out = {}
+    for lang, held in own.items():
+        alone = {k: x for k, x in held.items() if not any(k in o for name, o in own.items() if name != lang)}
+        size = lambda d: sum(len(x) + 1 for x in d.values())
+        used = alone if 2 * size(alone) >= size(held) or size(alone) >= room else held
+        out[lang] = b"\n".join(used[k] for k in sorted(used))
+    return out
+
+
+def test_language_query_is_brute_force(spark):
+    """Dictionaries and choices against their definition, each block compressed by itself with a compressor of its own, texts of all lengths."""
+    import zstandard
+
+    r = random.Random(12)
+    docs = [(i, text if i % 3 else text[: r.randrange(1, 30)], lang) for i, (lang, text) in enumerate(languages_corpus({"aa": 30, "bb": 20, "cc": 10}))]
+    docs += [(100 + n, " ".join(x[1] for x in docs[:n]), "aa") for n in (2, 3, 20)] + [(200, None, "aa"), (201, "12", "bb")]
+    schema = "doc_id long, text string, lang string"
+    model = language_id.fit(spark.createDataFrame(docs, schema))
+    want = brute_dictionaries(docs)
+    assert model.contents == want
+    order = list(model.contents)
+    how = zstandard.ZstdCompressionParameters(**language_id.PARAMETERS)
+    for x in language_id.identify(spark.createDataFrame(docs, schema), model).collect():
+        text = language_id.plain(dict((i, t) for i, t, _ in docs)[x.doc_id] or "")
+        if not re.search(rb"[^ ]", text):
+            assert (x.lang_pred, x.score, x.rejected) == ("und", 0.0, True)
+            continue
+        sizes = []
+        for lang in order:
+            raw = zstandard.ZstdCompressionDict(want[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(compression_params=how)
+            sizes.append(sum(len(zstandard.ZstdCompressor(dict_data=raw, compression_params=how).compress(text[k : k + 4096])) for k in range(0, len(text), 4096)))
+        best, second = sorted(sizes)[:2]
+        assert x.lang_pred == order[sizes.index(best)]
+        assert x.score == pytest.approx(1 - math.exp(-60 * (1 - best / second)))
+        assert x.rejected == (1 - best / second < 0.01)
