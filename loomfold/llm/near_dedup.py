@@ -9,6 +9,10 @@ plausible groups, and within these links are confirmed on full sets.
 Nothing is capped. A large node is tested against one pivot. The sets that are plausibly similar to
 the pivot are in one group then; where few are left over, and at the last level, those are compared
 with all sets of the node in blocks, and the node is done. Otherwise it branches on.
+
+Links are confirmed on full sets in three steps, so that few sets travel: each set of a group with the
+group's pivot; sets that the pivot isn't linked to with the few partners that they are most like; and
+only those of them that have more partners in question with all others of the group, in blocks.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from .components import components
 COORDINATES = 128
 #: Sets in a node that is compared exhaustively, which is what fits one block; levels of branching; sets in a side of a block.
 LEAF, LEVELS, BLOCK = 2000, 6, 2000
+#: Partners that a set which its group's pivot didn't take is tried with before any others.
+PARTNERS = 4
 BROADCAST_ROWS = 500_000
 
 _source = np.random.default_rng(20240501)
@@ -322,12 +328,36 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def confirm_with_pivot(percent: int) -> Callable:
+def confirm_pairs(percent: int) -> Callable:
+    """Whether the two full sets in the last columns are linked; the columns before them stay."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             linked = [jaccard_at_least(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["grp", "rep", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+    return run
+
+
+def best_partners(percent: int, bits: int, most: int) -> Callable:
+    """For each odd row of a block, the rows of another label that its sketch agrees with most, if sketches and sizes let them be linked; with the first, how many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, 3):
+            keys = [np.asarray(table.column(k)) for k in range(3)]
+            rep, s1, s2, size, label = (np.asarray(table.column(k)) for k in range(3, 8))
+            odd = np.array(table.column(8).to_pylist(), bool)
+            starts = np.flatnonzero(np.concatenate([[True], reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])]))
+            out = []
+            for a, z in zip(starts, [*starts[1:], len(rep)], strict=True):
+                right = np.flatnonzero(~odd[a:z]) + a
+                for x in np.flatnonzero(odd[a:z]) + a:
+                    agreed = agreement(s1[right], s2[right], s1[x : x + 1], s2[x : x + 1])
+                    fits = np.flatnonzero((agreed >= bits) & (label[right] != label[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x])))
+                    out += [(int(rep[x]), int(rep[right[k]]), int(agreed[k]), 0 if n else len(fits)) for n, k in enumerate(fits[np.argsort(-agreed[fits], kind="stable")[:most]])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "agreed", "fits"])
 
     return run
 
@@ -338,55 +368,64 @@ def confirm_blocks(percent: int, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, 3, 2_000):
             keys = [np.asarray(table.column(k)) for k in range(3)]
-            rep, s1, s2 = (np.asarray(table.column(k)) for k in range(3, 6))
-            odd, core, sets = table.column(6).to_pylist(), table.column(7).to_pylist(), table.column(8)
-            odd = np.array(odd, bool)
+            rep, s1, s2, label = (np.asarray(table.column(k)) for k in range(3, 7))
+            odd, sets = np.array(table.column(7).to_pylist(), bool), table.column(8)
             starts = np.flatnonzero(np.concatenate([[True], reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])]))
             out: list[tuple[int, int]] = []
             for a, z in zip(starts, [*starts[1:], len(rep)], strict=True):
-                # Rows that the pivot took are connected from the start, and so are a set's two roles.
-                label: dict[int, int] = {}
+                joined: dict[int, int] = {}
 
                 def find(x: int) -> int:
-                    while (y := label.get(x, x)) != x:
-                        label[x] = label.get(y, y)
+                    while (y := joined.get(x, x)) != x:
+                        joined[x] = joined.get(y, y)
                         x = y
                     return x
 
-                group = int(keys[0][a])
-                for x in range(a, z):
-                    if core[x]:
-                        label[int(rep[x])] = group
                 right = np.flatnonzero(~odd[a:z]) + a
                 right_set = {int(x): np.frombuffer(sets[int(x)].as_py(), np.uint64) for x in right}
                 for x in np.flatnonzero(odd[a:z]) + a:
-                    mine, me = np.frombuffer(sets[int(x)].as_py(), np.uint64), int(rep[x])
+                    mine, me = np.frombuffer(sets[int(x)].as_py(), np.uint64), int(label[x])
                     agreed = agreement(s1[right], s2[right], s1[x : x + 1], s2[x : x + 1])
                     for k in np.argsort(-agreed, kind="stable"):
                         if agreed[k] < bits:
                             break
                         y = int(right[k])
-                        there = int(rep[y])
+                        there = int(label[y])
                         if find(me) != find(there) and jaccard_at_least(mine, right_set[y], percent):
-                            label[find(me)] = find(there)
-                            out.append((me, there))
+                            joined[find(me)] = find(there)
+                            out.append((int(rep[x]), int(rep[y])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
     return run
 
 
-def trees_for(recall: float, percent: int) -> int:
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (grp, rep, label) with the least label that each reaches over links (a, b) of reps, pinned."""
+    of = lambda end, name: labels.select(F.col("rep").alias(end), F.col("label").alias(name))
+    ends = links.join(of("a", "la"), "a").join(of("b", "lb"), "b")
+    joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    return pinned(labels.join(joined, labels["label"] == joined["node"], "left").select("grp", "rep", F.coalesce("root", "label").alias("label")))
+
+
+def trees_for(recall: float, percent: int, levels: int = LEVELS) -> int:
     """Trees that find a pair at the threshold with the chance ``recall``.
 
-    A tree brings a pair with similarity s together on its first level with chance s, and a node with two
-    children that brought it together does so again with chance 1 - (1 - s*q)^2, where q is the same
-    chance below; the chance of a tree of any depth is s times the fixed point of q.
+    A tree brings a pair together on its first level if it agrees at the root's coordinate, and a node with two
+    children that brought it together does so again with chance 1 - (1 - s*q)^2, where s is the share of coordinates at which the pair
+    agrees and q the same chance a level below. Trees draw from the same coordinates, so they are
+    independent only once s is given: the chance of a miss is taken for each number of coordinates that may agree, and summed up.
     """
-    s, q = percent / 100, 1.0
-    for _ in range(200):
-        q = 1 - (1 - s * q) ** 2
-    return math.ceil(math.log(1 - recall) / math.log(1 - s * q))
+    p, each = percent / 100, []
+    for agreeing in range(COORDINATES + 1):
+        s, q = agreeing / COORDINATES, 1.0
+        for _ in range(levels - 1):
+            q = 1 - (1 - s * q) ** 2
+        each.append((math.comb(COORDINATES, agreeing) * p**agreeing * (1 - p) ** (COORDINATES - agreeing), s * q))
+    for trees in range(1, COORDINATES + 1):
+        if sum(chance * (1 - found) ** trees for chance, found in each) <= 1 - recall:
+            return trees
+    raise ValueError(f"{COORDINATES} trees don't find pairs of {percent} % with such a recall")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 1 - 1e-7, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, levels: int = LEVELS, block: int = BLOCK) -> DataFrame:
@@ -408,26 +447,42 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, recall: float
     reps = pinned(merged.where("rep IS NOT NULL"))
     slim = pinned(read.select("id", "n_shingles", "k1", "k2"))
     released(read)
-    groups = components(plausible_edges(reps, trees_for(1 - miss, percent), bits, leaf, levels, block))
+    groups = components(plausible_edges(reps, trees_for(1 - miss, percent, levels), bits, leaf, levels, block))
     groups = pinned(groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct().select(F.col("node").alias("rep"), F.col("root").alias("grp")))
 
     # Full sets, of members of plausible groups only.
     texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("text"))
     member = texts.join(bounded(groups, BROADCAST_ROWS), "rep").select("grp", "rep", "text")
     sets = pinned(member.mapInArrow(lean(full_sets(words)), "grp bigint, rep bigint, s1 bigint, s2 bigint, full binary"))
+    linked = "a bigint, b bigint, linked boolean"
     pivots = pinned(sets.where("rep = grp").select("grp", F.col("full").alias("pivot")))
-    tested = sets.where("rep <> grp").join(pivots, "grp").select("grp", "rep", "full", "pivot").mapInArrow(lean(confirm_with_pivot(percent)), "grp bigint, rep bigint, linked boolean")
-    taken = pinned(tested.groupBy("grp", "rep").agg(F.max("linked").alias("core")).unionByName(groups.where("rep = grp").select("grp", "rep", F.lit(True).alias("core"))))
-
-    # What its group's pivot isn't linked to may be linked to others of the group.
-    sizes = pinned(taken.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(~F.col("core")).alias("n_odd")).where("n_odd > 0 AND n > 2"))
-    left = sets.join(bounded(sizes.select("grp"), BROADCAST_ROWS), "grp", "left_semi").join(taken, ["grp", "rep"]).withColumn("odd", ~F.col("core"))
-    dealt = blocks(left, "grp", sizes, block).select("grp", "across", "down", "rep", "s1", "s2", "odd", "core", "full").repartition("grp", "across", "down").sortWithinPartitions("grp", "across", "down")
-    links = dealt.mapInArrow(lean(confirm_blocks(percent, bits)), "a bigint, b bigint")
-    label = taken.select("rep", F.when(F.col("core"), F.col("grp")).otherwise(F.col("rep")).alias("label"))
-    ends = links.join(label.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b")
-    joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    root = label.join(joined, label["label"] == joined["node"], "left").select("rep", F.coalesce("root", "label").alias("root")).where("rep <> root")
+    tested = sets.where("rep <> grp").join(pivots, "grp").select(F.col("grp").alias("a"), F.col("rep").alias("b"), "full", "pivot").mapInArrow(lean(confirm_pairs(percent)), linked)
+    taken = tested.groupBy("a", "b").agg(F.max("linked").alias("linked")).select(F.col("a").alias("grp"), F.col("b").alias("rep"), F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")).alias("label"))
+    labels = pinned(taken.unionByName(groups.where("rep = grp").select("grp", "rep", F.col("grp").alias("label"))))
+
+    def left_over(marked: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+        """rows of the groups that have odd ones in marked (grp, rep, label, odd), in blocks in which odd ones meet all."""
+        sizes = pinned(marked.groupBy("grp").agg(F.count("*").alias("n"), F.count_if("odd").alias("n_odd")).where("n_odd > 0 AND n > 2"))
+        left = rows.join(bounded(sizes.select("grp"), BROADCAST_ROWS), "grp", "left_semi").join(marked, ["grp", "rep"])
+        dealt = blocks(left, "grp", sizes, block).select("grp", "across", "down", "rep", "s1", "s2", *columns)
+        return dealt.repartition("grp", "across", "down").sortWithinPartitions("grp", "across", "down")
+
+    # What its group's pivot isn't linked to is tried with the partners that its sketch is most like. Their full sets come by a join.
+    slim_sets = sets.select("grp", "rep", "s1", "s2", (F.octet_length("full") / 8).cast("long").alias("size"))
+    marked = labels.withColumn("odd", F.col("label") != F.col("grp"))
+    like = left_over(marked, slim_sets, ["size", "label", "odd"]).mapInArrow(lean(best_partners(percent, bits, PARTNERS)), "a bigint, b bigint, agreed bigint, fits bigint")
+    like = pinned(like.groupBy("a").agg(F.sum("fits").alias("fits"), F.slice(F.sort_array(F.collect_set(F.struct("agreed", "b")), False), 1, PARTNERS)["b"].alias("best")))
+    pairs = pinned(like.select("a", F.explode("best").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = pinned(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    one_set = sets.select("rep", "full").join(bounded(ends, BROADCAST_ROWS), "rep", "left_semi")
+    tried = pairs.join(one_set.withColumnRenamed("rep", "a"), "a").join(one_set.select(F.col("rep").alias("b"), F.col("full").alias("other")), "b").select("a", "b", "full", "other").mapInArrow(lean(confirm_pairs(percent)), linked)
+    labels = relabelled(labels, tried.where("linked").select("a", "b"))
+
+    # What could be linked to more than these, and still isn't one with the pivot, meets all others of its group.
+    crowded = like.where(F.col("fits") > PARTNERS).select(F.col("a").alias("rep"), F.lit(True).alias("more"))
+    marked = pinned(labels.join(crowded, "rep", "left").select("grp", "rep", "label", (F.col("more").isNotNull() & (F.col("label") != F.col("grp"))).alias("odd")))
+    links = left_over(marked, sets, ["label", "odd", "full"]).mapInArrow(lean(confirm_blocks(percent, bits)), "a bigint, b bigint")
+    root = relabelled(labels, links).select("rep", F.col("label").alias("root")).where("rep <> root")
 
     final = pinned(reps.select("k1", "k2", "rep", "copies").join(root, "rep", "left").where("copies > 1 OR root IS NOT NULL").select("k1", "k2", F.coalesce("root", "rep").alias("component")))
     out = slim.join(final, ["k1", "k2"], "left")
