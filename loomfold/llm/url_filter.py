@@ -52,19 +52,21 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     A rule fits its host and all its subdomains if the path starts with the rule's; the longest rule
     wins, and where none fits ``rule`` is null and the verdict is ``default``. A null url, or one
-    without ://, has empty host and path and fits no rule. Each distinct (host, path) is judged once,
-    however many rows share it. Rules are broadcast when they number at most ``broadcast_rules``;
+    without ://, has empty host and path and fits no rule. Rules are broadcast when they number at most ``broadcast_rules``;
     beyond that both sides are shuffled on the short hash. Rules that don't end in a slash cost one
     expression for each distinct length of their paths.
     """
     urls = pages.select(pages[id_col].alias("id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
     # Lengths, not rules: at most as many as the longest path has characters.
     odd = [r[0] for r in rules.where("path != '' AND NOT endswith(path, '/')").select(F.length("path")).distinct().collect()]
-    each = urls.select("host", "path").where("host != ''").distinct()
-    hosts = each.withColumn("suffix", F.explode(host_suffixes(F.col("host"))))
+    known = bounded(pinned(prepared_rules(rules, hash_bytes)), broadcast_rules)
+    # Expanded where they are read, by as many tasks; the join with the rules leaves few of the expressions, and these are shuffled.
+    hosts = urls.select("host", "path").where("host != ''").withColumn("suffix", F.explode(host_suffixes(F.col("host"))))
     spelled = hosts.withColumn("prefix", F.explode(path_prefixes(F.col("path"), sorted(odd))))
     digested = spelled.withColumn("digest", F.sha2(F.concat("suffix", F.lit("\n"), "prefix"), 256)).withColumn("short", F.substring("digest", 1, 2 * hash_bytes))
-    met = digested.join(bounded(prepared_rules(rules, hash_bytes), broadcast_rules), "short").where(F.col("digest") == F.col("rule_digest"))
-    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("verdict"))).alias("best"))
-    judged = urls.join(pinned(best), ["host", "path"], "left")
+    met = digested.join(known, "short").where(F.col("digest") == F.col("rule_digest"))
+    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("verdict"))).alias("best")).withColumnRenamed("host", "at")
+    # An empty host fits no rule; such rows are spread by their id rather than meet in one key.
+    spread = urls.withColumn("at", F.when(F.col("host") == "", F.concat(F.lit("\u0000"), F.xxhash64("id").cast("string"))).otherwise(F.col("host")))
+    judged = spread.join(pinned(best), ["at", "path"], "left")
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
