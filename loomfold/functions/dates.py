@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def legacy_to_iso(c: Column) -> Column:
-    """``Wed Oct 10 20:19:24 +0000 2018`` as ISO with milliseconds; what can't be read stays, null becomes empty."""
+    """``Sat Mar 02 07:08:09 +0000 2024`` as ISO with milliseconds; what can't be read stays, null becomes empty."""
     ts = F.try_to_timestamp(F.substring(c, 5, 100), F.lit("MMM dd HH:mm:ss Z yyyy"))
     shown = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return F.coalesce(shown, c, F.lit(""))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ledger import free_name
+from .ledger import Names
 from .runs import failure_runs
 
 #: Items of a job, failures in a row at which it pauses, and milliseconds that an item may take.
@@ -62,7 +62,7 @@ def recorded(job: Job, success: bool, name_or_error: str, url: str | None = None
         return job, None
     name, after = None, replace(job, awaiting=False, deadline=None, next_index=job.next_index + 1)
     if success:
-        name = free_name(set(job.names), name_or_error)
+        name = Names(job.names).give(name_or_error)
         after = replace(after, names=(*job.names, name.lower()), completed=job.completed + 1, failed_in_a_row=0)
     else:
         after = replace(after, failures=(*job.failures, (now, name_or_error)), failed_in_a_row=job.failed_in_a_row + 1)
@@ -151,13 +151,30 @@ class Review:
         return replace(self, status="closed")
 
 
-@dataclass
+@dataclass(frozen=True)
 class Progress:
-    """What a run reports while it runs."""
+    """What a run reports while it runs: items that are finished, well or not, and those that were passed over or came incomplete."""
 
     total: int
-    done: int = 0
-    failed: list[str] = field(default_factory=list)
+    completed: int = 0
+    failed: int = 0
+    skipped: int = 0
+    incomplete: int = 0
+
+    @classmethod
+    def of(cls, job: Job) -> Progress:
+        return cls(len(job.urls), job.completed, len(job.failures))
 
     def percent(self) -> int:
-        return round(100 * self.done / self.total) if self.total else 0
+        """Halves are rounded up."""
+        return (200 * (self.completed + self.failed) + self.total) // (2 * self.total) if self.total else 0
+
+
+def progress_percent(completed: Column, failed: Column, total: Column) -> Column:
+    """``Progress.percent`` of columns; 0 of nothing."""
+    return F.when(total > 0, F.floor(100 * (completed + failed) / total + 0.5)).otherwise(0).cast("int")
+
+
+def valid_result(success: Column, markdown: Column, name: Column) -> Column:
+    """Whether a result counts as a success: it says so, and has both content and a name."""
+    return F.coalesce(success, F.lit(False)) & markdown.isNotNull() & name.isNotNull()

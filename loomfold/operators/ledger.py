@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,12 +43,14 @@ def appended(ledger: DataFrame, new: DataFrame, key: str, seq: str, cap: int) ->
 
 
 def appended_to_queue(queue: DataFrame, new: DataFrame, exported: DataFrame, key: str, order: str, most: int) -> DataFrame:
-    """New items that are neither queued nor exported, the first of each key, within the room that is left."""
+    """New items that are neither queued nor exported, the first of each key, within the room that is left; the queue is counted in the same plan."""
     known = queue.select(key).unionByName(exported.select(key))
     fresh = exclude(new.where(F.col(key).isNotNull()), known, key)
     ranked = fresh.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_nth = 1").drop("_nth")
-    room = max(0, most - queue.count())
-    return first_items(ranked, room, order)
+    # At most ``most`` of them, and of these those whose number is within the room: one row of counts, no action of its own.
+    first = first_items(ranked, most, order).withColumn("_place", F.row_number().over(Window.orderBy(order)))
+    room = queue.agg((F.lit(most) - F.count("*")).alias("_room"))
+    return first.join(F.broadcast(room), F.col("_place") <= F.col("_room")).drop("_place", "_room")
 
 
 def backlog_status(backlog: DataFrame, details: DataFrame, key: str, found: str) -> DataFrame:
@@ -91,34 +95,90 @@ def numbered_names(rows: DataFrame, name: str, group: str, order: str, out: str
     return rows.withColumn(out, F.when(nth == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), nth.cast("string"), ext)))
 
 
-def free_name(taken: set[str], name: str) -> str:
-    if name.lower() not in taken:
-        return name
-    dot = name.rfind(".")
-    stem, extension = (name[:dot], name[dot:]) if dot > 0 else (name, "")
-    n = 2
-    while f"{stem}-{n}{extension}".lower() in taken:
-        n += 1
-    return f"{stem}-{n}{extension}"
+#: What stands before a name's number, and its extension; a dot at the start is no extension.
+_NAMED = re.compile(r"(.+?)(\.[^.]*)?", re.DOTALL)
+
+
+class Names:
+    """The file names of one run: none is given twice, case aside. A name that is asked for k times costs k steps in all, as its numbers are counted on."""
+
+    def __init__(self, given: Iterable[str] = ()):
+        self._given, self._number = {n.lower() for n in given}, Counter()
+
+    def give(self, name: str | None) -> str | None:
+        """The name if it is free, else the first free of name-2, name-3 and so on before the extension; none for none."""
+        if name is None:
+            return None
+        made, asked = name, name.lower()
+        while made.lower() in self._given:
+            stem, extension = _NAMED.fullmatch(name).groups("")
+            self._number[asked] += 1
+            made = f"{stem}-{self._number[asked] + 1}{extension}"
+        self._given.add(made.lower())
+        return made
 
 
 def unique_names(rows: DataFrame, name: str, group: str, order: str, out: str = "unique_name") -> DataFrame:
-    """Names as a run gives them one after the other: the first free of name, name-2, name-3, case aside.
+    """Names as a run gives them one after the other: the first free of name, name-2, name-3, case aside; a null name stays null.
 
-    Sequential in a run (``group``), as each name depends on those before; only names are held, and
+    Sequential in a run (``group``, null being a run of its own), as each name depends on those before; only names are held, and
     runs are independent. Rows come to a task in order, batch by batch.
     """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` string"
+    of, named = rows.columns.index(group), rows.columns.index(name)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, taken = None, set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names = object(), Names()
         for batch in batches:
             made = []
-            for g, n in zip(batch[group], batch[name], strict=True):
+            for g, n in zip(batch.column(of).to_pylist(), batch.column(named).to_pylist(), strict=True):
                 if g != now:
-                    now, taken = g, set()
-                made.append(free_name(taken, n))
-                taken.add(made[-1].lower())
-            yield batch.assign(**{out: made})
+                    now, names = g, Names()
+                made.append(names.give(n))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, out])
+
+    return rows.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, kinds)
+
+
+def ledger_entries(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """key, seq of every id that rows are known by, such as a repost's own and that of what it reposts; null ids are none."""
+    return rows.select(F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(k) for k in keys])))).alias("key"), F.col(seq).alias("seq")).groupBy("key").agg(F.min("seq").alias("seq"))
+
+
+def exclusion_counts(items: DataFrame, ledger: DataFrame, key: str, n: int, order: str) -> DataFrame:
+    """taken, skipped: how many items ``exclude_then_limit`` takes, and how many ledger entries it passes until it has them; what stands behind isn't looked at."""
+    seen = ledger.select(F.col(key).alias("_seen")).where("_seen IS NOT NULL").distinct().withColumn("_old", F.lit(True))
+    marked = items.join(seen, items[key] == seen["_seen"], "left").select(F.col(order).alias("at"), F.col("_old").isNotNull().alias("old"))
+    last = marked.where("NOT old").orderBy("at").limit(n).agg(F.count("*").alias("taken"), F.max("at").alias("last"))
+    passed = marked.where("old").join(F.broadcast(last.where(F.col("taken") == n).select("last")), F.col("at") < F.col("last"), "left_semi")
+    all_old = marked.where("old").agg(F.count("*").alias("every"))
+    some = passed.agg(F.count("*").alias("some"))
+    return last.join(F.broadcast(all_old)).join(F.broadcast(some)).select("taken", F.when(F.col("taken") == n, F.col("some")).otherwise(F.col("every")).alias("skipped"))
+
+
+def new_count(items: DataFrame, queued: DataFrame, exported: DataFrame, key: str) -> DataFrame:
+    """n_new: items that are neither queued nor exported; an item without a key is new."""
+    return exclude(items, queued.select(key).unionByName(exported.select(key)), key).agg(F.count("*").alias("n_new"))
+
+
+def ordered_output(backlog: DataFrame, fresh: DataFrame, order: str) -> DataFrame:
+    """Completed backlog entries first, in the backlog's order, then fresh items in the feed's; all rows of both, with their ``place``."""
+    both = backlog.withColumn("_rank", F.lit(0)).unionByName(fresh.withColumn("_rank", F.lit(1)))
+    return both.withColumn("_at", F.struct("_rank", order)).orderBy("_at").drop("_rank", "_at")
+
+
+def settled(items: DataFrame, order: str, status: str) -> DataFrame:
+    """items with ``settled``: whether they are done and may enter the ledger.
+
+    From the first item at which the rate limit or a cancel stopped the run, nothing is settled, whatever
+    became of it; failures before it aren't either.
+    """
+    stop = items.where(F.col(status).isin("rate_limit", "cancelled")).agg(F.min(order).alias("_stop"))
+    before = F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))
+    return items.join(F.broadcast(stop)).withColumn("settled", F.coalesce(before & (F.col(status) == "done"), F.lit(False))).drop("_stop")
+
 
-    return rows.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, kinds)
+def finalised(staged: DataFrame, wanted: DataFrame, key: str, order: str) -> DataFrame:
+    """The staged rows that a job's index (key, order) names, with their order; of a key that is staged twice the last."""
+    last = staged.groupBy(key).agg(F.max_by(F.struct(*[c for c in staged.columns if c != key]), "staged_at").alias("_last"))
+    return wanted.select(key, order).join(last, key).select(key, order, "_last.*").drop("staged_at")

@@ -1,9 +1,9 @@
 """Incremental export: each micro-batch is filtered, written, and only then entered in the ledger.
 
-State is tables in a folder: ``ledger`` (key, seq), ``backlog`` (key, seq) and ``output``. A batch writes
-its files under its own number first and its ledger entries after that, under the same number, each
+State is tables in a folder: ``ledger`` (key, seq), ``backlog`` (key, seq), ``held`` (whole items) and ``output``. A batch
+writes its files under its own number first and its ledger entries after that, under the same number, each
 replacing what an earlier try left. A crash between the two exports the batch again and never loses
-it; a batch that is run again changes nothing.
+it; a batch that is run again changes nothing. Items beyond a batch's cap are held as they came and lead the next batch.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import dates
@@ -30,6 +31,8 @@ class Rules:
     last_day: str | None = None
     most_items: int | None = None
     expand_threads: bool = False
+    #: Ledger entries that are looked at, the last ones; all without a number.
+    ledger_tail: int | None = None
 
 
 def filtered(items: DataFrame, rules: Rules) -> DataFrame:
@@ -46,7 +49,7 @@ def with_expansion(items: DataFrame, rules: Rules) -> DataFrame:
     return items.withColumn("needs_detail", F.col("is_article") | F.lit(rules.expand_threads))
 
 
-def _state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _state(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
@@ -72,15 +75,34 @@ class Exporter:
         """One batch; those that are incomplete go to the backlog and a folder of their own, and not to the ledger."""
         spark = batch.sparkSession
         done = self.ledger(spark).where(F.col("batch") != number)
-        items = ledger.exclude(filtered(batch, self.rules), done, "key").dropDuplicates(["key"])
+        if self.rules.ledger_tail is not None:
+            done = ledger.tail(done, self.rules.ledger_tail, "seq")
+        came = filtered(batch, self.rules)
         if self.rules.most_items is not None:
+            came = self._held(spark, number, came).unionByName(came)
+        # Of a key the row of the least number; rows without a key are all taken.
+        names = came.columns
+        first = came.where("key IS NOT NULL").groupBy("key").agg(F.min_by(F.struct(*names), "seq").alias("_first")).select("_first.*")
+        items = ledger.exclude(first.unionByName(came.where("key IS NULL")), done, "key")
+        if self.rules.most_items is not None:
+            ranked = items.withColumn("_place", F.row_number().over(Window.orderBy("seq")))
+            ranked.where(F.col("_place") > self.rules.most_items).drop("_place").write.mode("overwrite").parquet(f"{self.folder}/held/batch={number}")
             items = items.orderBy("seq").limit(self.rules.most_items)
         complete = F.col("complete") if "complete" in batch.columns else F.lit(True)
         made = self.content(items.withColumn("status", F.when(complete, "done").otherwise("incomplete")))
         made.write.mode("overwrite").partitionBy("status").parquet(f"{self.folder}/output/batch={number}")
-        written = spark.read.schema(made.schema).parquet(f"{self.folder}/output/batch={number}").select("key", "seq", "status")
+        written = spark.read.schema(made.schema).parquet(f"{self.folder}/output/batch={number}")
+        # An item may be known by a second id, as a repost is; both enter the ledger.
+        keys = ["key", *(c for c in ("canonical_key",) if c in made.columns)]
         for name, status in (("ledger", "done"), ("backlog", "incomplete")):
-            written.where(F.col("status") == status).select("key", "seq").write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={number}")
+            known = written.where(F.col("status") == status)
+            entries = ledger.ledger_entries(known, keys, "seq") if name == "ledger" else known.select("key", "seq")
+            entries.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={number}")
+
+    def _held(self, spark: SparkSession, number: int, like: DataFrame) -> DataFrame:
+        """What the batch before this one left over; each batch carries on what it doesn't take itself."""
+        every = _state(spark, f"{self.folder}/held", StructType([*like.schema.fields, StructField("batch", LongType())])).where(F.col("batch") < number)
+        return every.where(F.col("batch") == F.lit(every.agg(F.max("batch")).first()[0])).select(*like.columns)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

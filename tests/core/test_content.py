@@ -12,7 +12,7 @@ BREAK = {"type": "break"}
 
 def post(text="Hello", handle="ana", number="11", **more):
     user = {"core": {"name": handle.title(), "screen_name": handle}}
-    return {"rest_id": number, "core": {"user_results": {"result": user}}, "legacy": {"full_text": text, "created_at": "Wed Oct 10 20:19:24 +0000 2018"} | more.pop("legacy", {})} | more
+    return {"rest_id": number, "core": {"user_results": {"result": user}}, "legacy": {"full_text": text, "created_at": "Sat Mar 02 07:08:09 +0000 2024"} | more.pop("legacy", {})} | more
 
 
 def test_inline_from_entities():
@@ -100,10 +100,10 @@ def test_post_with_everything():
     node = doc["body"]
     assert node["media"][0]["url"] == "high"
     assert doc["metadata"]["engagement"] == {"replies": 0, "likes": 5, "views": 1200}
-    assert doc["metadata"]["date"] == "2018-10-10T20:19:24.000Z"
+    assert doc["metadata"]["date"] == "2024-03-02T07:08:09.000Z"
     assert markdown.document(doc) == (
         "# Ana (@ana)\n\nMain\n\n**Poll**\n- Yes — 67%\n- No — 33%\n\n![🎥 Video](https://pbs.twimg.com/x.jpg)\n\n> **Bob (@bob)**\n> \n> Quoted  \n> line\n> \n> ![Image](https://pbs.twimg.com/media/P?format=png&name=large)"
-        "\n\n---\n\n> Source: https://x.com/ana/status/11\n> Date: 2018-10-10T20:19:24.000Z"
+        "\n\n---\n\n> Source: https://x.com/ana/status/11\n> Date: 2024-03-02T07:08:09.000Z"
     )
     assert "💬 0 · ❤️ 5 · 👁 1.2K" in html.document(doc, True)
     assert "engagement" not in html.body(doc)

@@ -7,6 +7,7 @@ import random
 import zipfile
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,12 +62,11 @@ def test_queue_selection_and_snapshots(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["a.md", "A.md", "a-2.md", "b", ".c", "a-2-2.md"]), max_size=12))
 def test_free_names_never_collide(names):
-    taken = set()
+    given, run = set(), ledger.Names()
     for n in names:
-        taken_before = set(taken)
-        made = ledger.free_name(taken, n)
-        assert made.lower() not in taken_before
-        taken.add(made.lower())
+        made = run.give(n)
+        assert made.lower() not in given
+        given.add(made.lower())
 
 
 def test_unique_names(spark):
@@ -253,6 +253,29 @@ def test_incremental_export(spark, tmp_path):
     assert values(exporter.output(spark).where("status = 'done'"), "key") == [("a",), ("e",), ("f",), ("g",)]
 
 
+def test_incremental_export_loses_nothing_beyond_its_cap(spark, tmp_path):
+    schema = "key string, seq long, canonical_key string"
+    exporter = Exporter(str(tmp_path / "state"), lambda items: items.select("key", "seq", "canonical_key", "status"), Rules(most_items=2))
+    exporter.write(spark.createDataFrame([(f"k{i}", i, None) for i in range(7)] + [("k5", -1, "other")], schema), 0)
+    assert values(exporter.output(spark), "key", "seq") == [("k0", 0), ("k5", -1)]
+    assert values(exporter.ledger(spark), "key") == [("k0",), ("k5",), ("other",)]
+    # The next batch brings one known item, one known by its second id, and a new one; what was held goes first.
+    for _ in range(2):
+        exporter.write(spark.createDataFrame([("k0", 20, None), ("other", 21, None), ("new", 22, None)], schema), 1)
+    for n in (2, 3, 4):
+        exporter.write(spark.createDataFrame([], schema), n)
+    assert values(exporter.output(spark), "key") == [("k0",), ("k1",), ("k2",), ("k3",), ("k4",), ("k5",), ("k6",), ("new",)]
+
+
+def test_incremental_export_restarts(spark, tmp_path):
+    """Two streams over one state, the second from the first one's checkpoint and with one more file."""
+    source, exporter = tmp_path / "in", Exporter(str(tmp_path / "state"), lambda items: items.select("key", "seq", "status"), Rules(ledger_tail=4))
+    for run, keys in enumerate(("abc", "cd")):
+        spark.createDataFrame([(k, 10 * run + i) for i, k in enumerate(keys)], "key string, seq long").coalesce(1).write.mode("append").parquet(str(source))
+        exporter.start(spark.readStream.schema("key string, seq long").parquet(str(source)), str(tmp_path / "cp")).awaitTermination(60)
+    assert values(exporter.output(spark), "key", "seq") == [("a", 0), ("b", 1), ("c", 2), ("d", 11)]
+
+
 def test_incremental_stream(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(str(i % 5), i) for i in range(20)], "key string, seq long").repartition(3).write.parquet(str(source))
@@ -285,6 +308,90 @@ def test_job_stream(spark, tmp_path):
     assert 8 not in rows
 
 
+class State:
+    """What a job's group sees of its state, for steps of a timer's own."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.armed = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value, self.armed = value, None
+
+    def setTimeoutDuration(self, ms):
+        self.armed = ms
+
+
+def test_job_stream_arms_timers_and_times_out():
+    state, urls = State(), [f"{URL}1", f"{URL}1/photo/2", "no address", f"{URL}2", f"{URL}3"]
+    names = ["job", "seq", "kind", "url", "success", "name", "at_ms"]
+    step = lambda *events: pd.concat(list(job_stream.run_group(("j",), iter([pd.DataFrame([("j", *e) for e in events], columns=names)]), state)))
+    out = step((1, "start", json.dumps(urls), None, None, 1000))
+    assert out[["status", "failed", "next_index"]].values.tolist() == [["running", 1, 0]] and state.armed == jobs.ITEM_MS
+    assert job_stream._load(state.get[0])[0].deadline == 1000 + jobs.ITEM_MS and len(job_stream._load(state.get[0])[0].urls) == 3
+    # The timer goes off: the item failed, a row says so, and the next one is on its way.
+    state.hasTimedOut = True
+    out = pd.concat(list(job_stream.run_group(("j",), iter([]), state)))
+    assert out[["seq", "status", "failed", "next_index"]].values.tolist() == [[1, "running", 2, 1]] and state.armed == jobs.ITEM_MS
+    state.hasTimedOut = False
+    out = step((2, "result", f"{URL}2", True, "a.md", 2000), (3, "tick", None, None, None, 2001 + jobs.ITEM_MS))
+    assert out[["status", "completed", "failed"]].values.tolist() == [["running", 1, 2], ["done", 1, 3]] and state.armed is None
+    step((4, "append", json.dumps([f"{URL}9"]), None, None, None))
+    assert state.armed is None
+
+
+def test_job_stream_appends_what_the_ledger_does_not_have(spark, tmp_path):
+    urls = lambda *n: json.dumps([f"{URL}{i}" for i in n])
+    events = [("j", 0, "start", urls(1, 2), None, None, 5), ("j", 1, "append", urls(3, 4, 2, 5), None, None, 6), ("j", 2, "append", urls(4), None, None, 7)]
+    spark.createDataFrame(events, job_stream.EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    ledger_ids = spark.createDataFrame([("4",), (None,)], "key string")
+    stream = job_stream.run_jobs(spark.readStream.schema(job_stream.EVENTS).parquet(str(tmp_path / "in")), ledger_ids)
+    query = stream.writeStream.format("memory").queryName("appended").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(90)
+    rows = spark.table("appended").collect()
+    assert {r.seq for r in rows} == {0, 1} and all(r.status == "running" and r.next_index == 0 for r in rows)
+    held = job_stream.without_exported(spark.createDataFrame(events, job_stream.EVENTS), ledger_ids).where("kind = 'append'").collect()
+    assert sorted(json.loads(r.url)[0][-1] for r in held) == ["2", "3", "5"]
+
+
+def test_order_counts_and_settling(spark):
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    items = one([(i, k) for i, k in enumerate("abcdefg")], "pos int, key string")
+    old = one([("b",), ("d",), ("g",), (None,)], "key string")
+    assert values(ledger.exclusion_counts(items, old, "key", 2, "pos"), "taken", "skipped") == [(2, 1)]
+    assert values(ledger.exclusion_counts(items, old, "key", 50, "pos"), "taken", "skipped") == [(4, 3)]
+    assert values(ledger.exclusion_counts(items.limit(0), old, "key", 2, "pos"), "taken", "skipped") == [(0, 0)]
+    assert values(ledger.new_count(items.unionByName(one([(9, None)], "pos int, key string")), old, one([("a",)], "key string"), "key"), "n_new") == [(4,)]
+    assert [r.key for r in ledger.ordered_output(items.where("pos > 4"), items.where("pos < 2"), "pos").collect()] == ["f", "g", "a", "b"]
+    run = one([(0, "done"), (1, "failed"), (2, "done"), (3, "rate_limit"), (4, "done"), (5, None)], "pos int, status string")
+    assert values(ledger.settled(run, "pos", "status").where("settled"), "pos") == [(0,), (2,)]
+    assert values(ledger.settled(run.where("pos < 3"), "pos", "status").where("settled"), "pos") == [(0,), (2,)]
+    assert values(ledger.ledger_entries(one([("1", "9", 4), ("2", None, 5), ("9", "9", 6)], "a string, b string, at long"), ["a", "b"], "at"), "key", "seq") == [("1", 4), ("2", 5), ("9", 4)]
+    staged = one([("a", 1, "old"), ("a", 2, "new"), ("z", 1, "no")], "key string, staged_at int, content string")
+    assert values(ledger.finalised(staged, items, "key", "pos"), "key", "pos", "content") == [("a", 0, "new")]
+    queue = one([("a", 0), ("b", 1)], "key string, pos int")
+    assert values(ledger.appended_to_queue(queue, items.select("key", "pos"), one([("c",)], "key string"), "key", "pos", 4), "key") == [("d",), ("e",)]
+    assert ledger.appended_to_queue(queue, items.select("key", "pos"), old.where("key = 'x'"), "key", "pos", 1).count() == 0
+
+
+def test_names_of_null_runs_and_null_names(spark):
+    rows = spark.createDataFrame([(i, g, n) for i, (g, n) in enumerate([(None, "a.md"), (1, "a.md"), (None, "A.md"), (1, None), (None, None), (1, "a.md"), (None, ".md"), (None, ".md")])], "pos int, run int, name string")
+    got = {r.pos: r.unique_name for r in ledger.unique_names(rows, "name", "run", "pos").collect()}
+    assert got == {0: "a.md", 1: "a.md", 2: "A-2.md", 3: None, 4: None, 5: "a-2.md", 6: ".md", 7: ".md-2"}
+    many = ledger.Names()
+    assert [many.give("x.md") for _ in range(20_000)][-1] == "x-20000.md"
+
+
+def test_progress(spark):
+    assert [jobs.Progress(8, 1).percent(), jobs.Progress(8, 0, 3).percent(), jobs.Progress(0).percent(), jobs.Progress(3, 1, 1).percent(), jobs.Progress(200, 199).percent()] == [13, 38, 0, 67, 100]
+    rows = spark.createDataFrame([(1, 0, 8), (0, 3, 8), (0, 0, 0), (1, 1, 3), (199, 0, 200)], "c int, f int, t int")
+    assert [r[0] for r in rows.select(jobs.progress_percent(F.col("c"), F.col("f"), F.col("t"))).collect()] == [13, 38, 0, 67, 100]
+    results = spark.createDataFrame([(True, "m", "n"), (True, None, "n"), (None, "m", "n"), (False, "m", "n")], "s boolean, m string, n string")
+    assert [r[0] for r in results.select(jobs.valid_result(F.col("s"), F.col("m"), F.col("n"))).collect()] == [True, False, False, False]
+
+
 def test_documents_on_frames(spark):
     raw = json.dumps({"rest_id": "7", "legacy": {"full_text": "Hi"}, "core": {"user_results": {"result": {"core": {"name": "Ana", "screen_name": "ana"}}}}})
     docs = spark.createDataFrame([(raw,), (None,), ("no json",)], "raw string").select(columns.post_documents("raw").alias("document"))
