@@ -161,7 +161,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most_rows: int, merge_copies: b
 
     Labels are sampled by a hash of the id, so that what is broadcast is bounded by ``most_rows``. With
     ``merge_copies``, of documents with the same label and least hash of five words in a row, as copies
-    have, one is taken: a passage that is copied a thousand times says no more than one that is written once.
+    have, one is taken: a passage that is copied a thousand times says no more than one that is written once. Rows that repeat
+    both id and text are all taken. The chosen are broadcast as a number each, at most ``most_rows``.
     """
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("of")).agg(F.max(labels[label_col].cast("int")).alias("label"))
     draw = F.pmod(F.xxhash64(F.col("of").cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -178,12 +179,10 @@ def labelled(docs: DataFrame, labels: DataFrame, most_rows: int, merge_copies: b
 
     if not merge_copies:
         return pinned(joined)
-    each = pinned(joined.mapInArrow(lean(keys), "text string, label int, draw double, least bigint"))
-    text_hash = F.xxhash64("text")
-    chosen = pinned(each.groupBy("least", "label").agg(F.min(F.struct("draw", text_hash)).alias("one")).select("least", "label", "one.*").toDF("least", "label", "draw", "hash").distinct())
-    # At most one row for each sampled label. Equal texts that share a draw are rows of one id; one of them is taken.
-    kept = each.withColumn("hash", text_hash).join(F.broadcast(chosen), ["least", "label", "draw", "hash"], "left_semi").groupBy("least", "label", "draw").agg(F.first("text").alias("text"))
-    out = pinned(kept.select("text", "label", "draw"))
+    # Of a group the row of the least draw goes on by one number, so that no text is shuffled.
+    each = pinned(joined.mapInArrow(lean(keys), "text string, label int, draw double, least bigint").withColumn("pick", F.xxhash64("draw", "text")))
+    chosen = pinned(each.groupBy("least", "label").agg(F.min(F.struct("draw", "pick")).alias("one")).select("one.pick").distinct())
+    out = pinned(each.join(F.broadcast(chosen), "pick", "left_semi").select("text", "label", "draw"))
     released(each)
     released(chosen)
     return out
