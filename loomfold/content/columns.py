@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
@@ -53,9 +53,18 @@ markdown_body_of = _json_function(markdown.body_of)
 html_of = _json_function(html.document)
 html_with_counts_of = _json_function(lambda d: html.document(d, True))
 html_fragment_of = _json_function(html.fragment)
+html_many_of = _json_function(lambda docs: html.many(docs))
+json_many_of = _json_function(lambda docs: json.dumps(docs, ensure_ascii=False, indent=2))
 pretty_json_of = _json_function(lambda d: json.dumps(d, ensure_ascii=False, indent=2))
 
 
+def is_repost(raw: Column | str) -> Column:
+    """Whether raw JSON is a repost, behind a wrapper or not; in the JVM, so that a filter comes before any tree."""
+    wrapped, bare = (F.get_json_object(raw, f"$.{at}legacy.retweeted_status_result") for at in ("tweet.", ""))
+    behind = F.coalesce(F.get_json_object(raw, "$.tweet"), F.lit("")).rlike(r"^\{.*\S.*\}$")
+    return F.when(behind, wrapped.isNotNull()).otherwise(bare.isNotNull())
+
+
 @arrow_udf(StructType([StructField("posts", ArrayType(StringType())), StructField("cursor", StringType()), StructField("done", BooleanType())]))
 def feed_pages(raw: pa.Array) -> pa.Array:
     """posts (JSON), cursor and done of each feed page; what is no JSON is an empty last page."""

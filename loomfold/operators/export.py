@@ -15,9 +15,10 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..content import columns
 from ..functions import dates, text, urls
 
 #: Fields of the two kinds of front matter, and the order of CSV columns.
@@ -192,8 +193,8 @@ def csv_value(key: str, options: Options) -> Column:
 
 
 def csv_lines(rows: DataFrame, options: Options) -> DataFrame:
-    """rows (with body_markdown, null where there is no tree) with ``csv_line``; the header is ``csv_header``."""
-    return rows.withColumn("csv_line", F.concat_ws(",", *[text.csv_field(csv_value(c, options)) for c in csv_columns(options)]))
+    """rows (with body_markdown, null where there is no tree) with ``csv_line``; the header is ``csv_header``. Each value is computed once."""
+    return rows.withColumn("csv_line", F.concat_ws(",", *[text.bound(csv_value(c, options), text.csv_field) for c in csv_columns(options)]))
 
 
 def csv_header(options: Options) -> str:
@@ -217,6 +218,60 @@ def item_name(name: Column, fmt: str) -> Column:
     return name if fmt == "md" else F.concat(F.regexp_replace(name, r"(?i)\.md$", ""), F.lit(f".{fmt}"))
 
 
+#: Items of a run that go into one file; a longer run is written in parts.
+MOST_IN_A_FILE = 3000
+
+
+def in_parts(rows: DataFrame, group: str, order: str, most: int = MOST_IN_A_FILE) -> DataFrame:
+    """rows with ``part``: 0 for a run's first ``most`` items, 1 for the next and so on, so that nothing gathers a run without bound."""
+    return rows.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / most).cast("int"))
+
+
+def _gathered(rows: DataFrame, group: str, order: str, content: Column) -> DataFrame:
+    each = rows.select(group, "part", F.struct(F.col(order).alias("at"), content.alias("content")).alias("one"))
+    all_ = each.groupBy(group, "part").agg(F.array_sort(F.collect_list("one")).alias("all"))
+    return all_.select(group, "part", F.size("all").cast("bigint").alias("n_items"), F.transform("all", lambda x: x["content"]).alias("all"))
+
+
+def combined_files(rows: DataFrame, group: str, order: str, fmt: str, options: Options, most: int = MOST_IN_A_FILE) -> DataFrame:
+    """group, part, n_items, content, mime, ext: a run's items (wire rows with ``document`` and, for CSV, ``body_markdown``) in one file, in order.
+
+    Markdown and text stand between rules, pages under one style sheet, JSON in an array, and CSV below one header.
+    """
+    rule = "\n\n---\n\n"
+    each = {
+        "md": lambda: text.trimmed(columns.markdown_of("document")), "txt": lambda: text.markdown_to_plain(columns.markdown_of("document")),
+        "html": lambda: F.col("document"), "json": lambda: F.col("document"), "csv": lambda: F.col("csv_line"),
+    }
+    joined = {
+        "md": lambda a: F.concat(F.array_join(a, rule), F.lit("\n")), "txt": lambda a: F.concat(F.array_join(a, rule), F.lit("\n")), "html": lambda a: columns.html_many_of(_array(a)), "json": lambda a: columns.json_many_of(_array(a)),
+        "csv": lambda a: F.concat(F.lit(csv_header(options) + "\n"), F.array_join(a, "\n"), F.lit("\n")),
+    }
+    lines = csv_lines(rows, options) if fmt == "csv" else rows
+    made = _gathered(in_parts(lines, group, order, most), group, order, each[fmt]())
+    return made.select(group, "part", "n_items", joined[fmt](F.col("all")).alias("content"), F.lit(FORMATS[fmt]).alias("mime"), F.lit(fmt).alias("ext"))
+
+
+def _array(documents: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(documents, ","), F.lit("]"))
+
+
+def item_files(rows: DataFrame, fmt: str) -> DataFrame:
+    """rows (post-processed, with ``document``) with name, content, mime and ext of each one's own file; only Markdown keeps its images. CSV has no such form."""
+    content = {"md": lambda: F.col("markdown"), "txt": lambda: text.markdown_to_plain(columns.markdown_of("document")), "html": lambda: columns.html_of("document"), "json": lambda: columns.pretty_json_of("document")}[fmt]()
+    images = F.col("images") if fmt == "md" else F.array().cast(rows.schema["images"].dataType)
+    return rows.withColumns({"name": item_name(F.col("filename"), fmt), "content": content, "mime": F.lit(FORMATS[fmt]), "ext": F.lit(fmt), "images": images})
+
+
+def combined_name(fmt: str, day: str, part: int = 0) -> str:
+    """What a run's combined file is called, by its day (YYYY-MM-DD)."""
+    return f"x-compilation-{day.replace('-', '')}{f'-{part + 1}' if part else ''}.{fmt}"
+
+
+def archive_name(day: str, part: int = 0) -> str:
+    return f"x-files-{day.replace('-', '')}{f'-{part + 1}' if part else ''}.zip"
+
+
 def zipped(entries: list[tuple[str, str]], at: datetime) -> bytes:
     """An uncompressed archive of texts."""
     out = io.BytesIO()

@@ -124,7 +124,16 @@ def note_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "filename", "markdown", F.size("images").alias("n_images"))
 
 
-@query()
+_CSV_TEXT = _BODY.format("text")
+for _old, _new in [(r"!\[\]\(([^)]+)\)", r"\1"), (r"!\[([^\]]+)\]\(([^)]+)\)", r"\1: \2"), (r"\[([^\]]+)\]\(([^)]+)\)", r"\1 (\2)"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"\*\*([^*]+)\*\*", r"\1"), (r"(^|[^*])\*([^*]+)\*", r"\1\2"), (r"`([^`]+)`", r"\1"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]:
+    _CSV_TEXT = f"regexp_replace({_CSV_TEXT}, '{_old}', '{_new}', 'g')"
+
+
+@query(f"""
+SELECT doc_id, '2024-01-02T03:04:05.000Z,' || upper(source[1]) || source[2:] || ',' || source || ',tweet,' || n_chars || ',,,,,https://x.com/' || source || '/status/' || doc_id || ','
+  || CASE WHEN regexp_matches(t, '[",\r\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS csv_line
+FROM (SELECT doc_id, source, n_chars, coalesce({_CSV_TEXT}, '') AS t FROM documents)
+""")
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV line for each post, the text last."""
     rows = columns.wire_rows(_documents(spark, sf_dir)).withColumn("body_markdown", columns.markdown_body_of("document"))
@@ -160,7 +169,10 @@ def zip_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("run", "n_items", F.sha2("archive", 256).alias("archive_sha256"), F.length(export.data_url(F.col("archive"))).alias("url_chars"))
 
 
-@query()
+@query("""
+SELECT run, '{"generator":"loomfold","completed":' || count(*) || ',"status":"done","items":[' || string_agg('{"doc_id":' || doc_id || ',"url":"https://x.com/i/status/' || doc_id || '","filename":"' || doc_id || '.md"}', ',' ORDER BY doc_id) || ']}' AS manifest
+FROM (SELECT doc_id // 100 AS run, doc_id FROM documents) GROUP BY run
+""")
 def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest of each run of 100 documents."""
     items = table(spark, sf_dir, "documents").select(F.expr("doc_id div 100").alias("run"), "doc_id", F.concat(F.lit("https://x.com/i/status/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"))

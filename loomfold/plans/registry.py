@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import content_queries, relational_queries, text_queries  # noqa: F401  they register themselves
+    from . import content_queries, format_queries, relational_queries, text_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:

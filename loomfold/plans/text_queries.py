@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
+from ..operators import export
 from .registry import query, table
 
 
@@ -149,14 +150,10 @@ def percent_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", F.sha2(urls.percent_encoded(F.col("text")), 256).alias("encoded_sha256"))
 
 
-@query("SELECT doc_id, sha256(to_base64(encode(coalesce(text, '')))) AS base64_sha256 FROM documents")
+@query("SELECT doc_id, sha256('data:application/zip;base64,' || to_base64(encode(coalesce(text, '')))) AS base64_sha256 FROM documents")
 def base64_one_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).select("doc_id", F.sha2(F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", ""), 256).alias("base64_sha256"))
-
-
-@query()
-def crc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
+    """Bytes as a data URL of one line."""
+    return _texts(spark, sf_dir).select("doc_id", F.sha2(export.data_url(F.col("text").cast("binary")), 256).alias("base64_sha256"))
 
 
 @query(r"""
@@ -181,7 +178,12 @@ def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "created", "iso", dates.date_only(F.col("iso")).alias("day"), dates.date_and_minute(F.col("iso")).alias("minute"), dates.display_date(F.col("iso")).alias("shown"))
 
 
-@query()
+_PART = r"regexp_replace(regexp_replace(regexp_replace(x, '[<>:\"|?*\x00-\x1f]', '_', 'g'), '\s+', '-', 'g'), '-{2,}', '-', 'g')"
+
+
+@query(rf"""
+SELECT page_id, coalesce(nullif(array_to_string(list_filter(list_transform(list_filter(string_split(replace(url, '\', '/'), '/'), lambda x: x NOT IN ('', '.', '..')), lambda x: substr({_PART}, 1, 80)), lambda x: x <> ''), '/'), ''), 'document.md') AS path FROM pages
+""")
 def safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses as file paths."""
     return table(spark, sf_dir, "pages").select("page_id", urls.safe_paths("url").alias("path"))
