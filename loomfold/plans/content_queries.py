@@ -161,12 +161,16 @@ def combined_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.digest(docs, "grp", "doc_id").select("grp.lang", "grp.source", F.col("n_items").cast("bigint").alias("n_items"), F.sha2("content", 256).alias("content_sha256"))
 
 
-@query()
+@query("""
+SELECT run, count(*) AS n_items, CAST(22 + sum(76 + 2 * (length(CAST(doc_id AS VARCHAR)) + 3) + octet_length(encode(coalesce(text, '')))) AS BIGINT) AS n_bytes,
+       CAST(28 + 4 * ((22 + sum(76 + 2 * (length(CAST(doc_id AS VARCHAR)) + 3) + octet_length(encode(coalesce(text, '')))) + 2) // 3) AS BIGINT) AS url_chars, '504b0304' AS opening
+FROM (SELECT doc_id // 100 AS run, doc_id, text FROM documents) GROUP BY run
+""")
 def zip_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive of each run of 100 documents."""
+    """An archive of each run of 100 documents: its bytes by the format's sizes, and as a data URL."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 100").alias("run"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), F.coalesce("text", F.lit("")).alias("content"))
     made = export.zip_archives(docs, "run", "doc_id", "name", "content", RUN_AT)
-    return made.select("run", "n_items", F.sha2("archive", 256).alias("archive_sha256"), F.length(export.data_url(F.col("archive"))).alias("url_chars"))
+    return made.select("run", "n_items", F.octet_length("archive").cast("bigint").alias("n_bytes"), F.length(export.data_url(F.col("archive"))).cast("bigint").alias("url_chars"), F.lower(F.hex(F.substring("archive", 1, 4))).alias("opening"))
 
 
 @query("""

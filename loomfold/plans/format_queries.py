@@ -398,3 +398,124 @@ def item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = export.item_files(rows, fmt).select("c_custkey", "ext", "name", "mime", (F.length("content") > 10).alias("there"))
         every = one if every is None else every.unionByName(one)
     return every
+
+
+# Notes, fragments, links and choices
+
+_SAID = ["<Hi> \"{{seg}}\"\nnext ", "https://t.co/1", " ", "#{{seg}}"]
+_SHOWN = (
+    '<article class="tweet-card"><header class="tweet-head"><div class="avatar avatar-placeholder">C</div><div class="author"><div class="name">{{name}}</div><div class="handle">@u{{k}} · Mar 2, 2024</div></div></header>'
+    '<div class="tweet-body">&lt;Hi&gt; &quot;{{seg}}&quot;<br>next <a href="https://ex.org/{{seg}}?a=1&amp;b">ex.org</a> <a class="entity entity-hashtag" href="https://x.com/hashtag/{{seg}}">#{{seg}}</a></div>'
+    '<div class="tweet-media"><div class="media-tile"><img src="https://pbs.twimg.com/media/P{{k}}?format=png&amp;name=large" alt="a &quot;b&quot;" loading="lazy"></div></div>'
+    '<div class="poll"><div class="poll-choice"><div class="poll-bar"><div class="poll-bar-fill" style="width:100%"></div></div><span class="poll-label">A</span><span class="poll-pct">100%</span></div></div>'
+    '<div class="source-footer"><a href="https://x.com/u{{k}}/status/{{k}}">https://x.com/u{{k}}/status/{{k}}</a></div></article>'
+)
+
+
+@query(f"SELECT c_custkey, {_sql(_SHOWN)} AS fragment FROM customer")
+def html_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts as pieces of HTML: heads, escaped text, entities, media, polls and sources."""
+    ends, places = F.lit(0), {}
+    for n, piece in enumerate(_SAID):
+        start, ends = ends, ends + F.length(_filled(piece))
+        places[f"p{n}"] = F.concat(F.lit("["), start.cast("string"), F.lit(","), ends.cast("string"), F.lit("]"))
+    said = "".join(_SAID).replace('"', '\\"').replace("\n", "\\n")
+    raw = _filled(
+        '{"rest_id":"{{k}}",' + _USER + ',"legacy":{"full_text":"' + said + '","created_at":"Sat Mar 02 07:08:09 +0000 2024","entities":{"urls":[{"expanded_url":"https://ex.org/{{seg}}?a=1&b","display_url":"ex.org","indices":{{p1}}}],'
+        '"hashtags":[{"text":"{{seg}}","indices":{{p3}}}]},"extended_entities":{"media":[{"type":"photo","media_url_https":"https://pbs.twimg.com/media/P{{k}}.png","ext_alt_text":"a \\"b\\""}]}},'
+        '"card":{"legacy":{"name":"poll2choice","binding_values":[{"key":"choice1_label","value":{"string_value":"A"}},{"key":"choice1_count","value":{"string_value":"1"}}]}}}',
+        **places,
+    )
+    page = columns.html_fragment_of(columns.post_documents(raw))
+    return _customers(spark, sf_dir).select("c_custkey", F.regexp_extract(page, "(?s)<article.*</article>", 0).alias("fragment"))
+
+
+_NOTES = export.Options(for_notes=True, inline_stats=True, download_images=True, filename_template="{date} {handle} {slug}", tags_template="clippings, {type}, {handle}, {nope}", run_date="2024-03-05", fields={"views": False})
+_LIKES = "(1 + c_custkey % 900)"
+_SLUG = f"substr(regexp_replace(regexp_replace(lower({_sql('Hi {{seg}} Source: https://x.com/u{{k}}/status/{{k}} Date: 2024-03-02T07:08:09.000Z')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60)"
+_NOTE = (
+    '---\ntitle: "Post by u{{k}} on X"\nsource: "https://x.com/u{{k}}/status/{{k}}"\nauthor: "[[u{{k}}]]"\nauthor_name: "{{name}}"\nhandle: "u{{k}}"\npublished: 2024-03-02\ncreated: 2024-03-05\ntype: tweet\ndescription: "Hi {{seg}}"\n'
+    "tags: [clippings, tweet, u{{k}}]\nlikes: {{likes}}\n---\n# {{name}} (@u{{k}})\n\nHi {{seg}}\n\n![Image]({{folder}}/P{{k}}.png)\n\n❤️ {{likes}}\n"
+)
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _filled(
+        '{"rest_id":"{{k}}",' + _USER + ',"legacy":{"full_text":"Hi {{seg}}","favorite_count":{{likes}},"created_at":"Sat Mar 02 07:08:09 +0000 2024","extended_entities":{"media":[{"type":"photo","media_url_https":"https://pbs.twimg.com/media/P{{k}}.png"}]}}}',
+        likes=F.expr(f"CAST({_LIKES} AS STRING)"),
+    )
+    rows = columns.wire_rows(_customers(spark, sf_dir).select("c_custkey", columns.post_documents(raw).alias("document")))
+    return rows.withColumn("body_markdown", columns.markdown_body_of("document"))
+
+
+@query(
+    f"SELECT c_custkey, folder || '.md' AS filename, {_sql(_NOTE, likes='likes', folder='folder')} AS markdown, {_sql('https://pbs.twimg.com/media/P{{k}}?format=png&name=large')} AS image, folder || '/P' || c_custkey || '.png' AS image_file "
+    f"FROM (SELECT *, CAST({_LIKES} AS VARCHAR) AS likes, '2024-03-02 u' || c_custkey || ' ' || {_SLUG} AS folder FROM customer)"
+)
+def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts as notes: title, tags, description, stats, templated names and local images."""
+    rows = export.post_processed(_notes(spark, sf_dir), _NOTES)
+    images = routing.image_manifest(rows, "c_custkey").select("c_custkey", F.col("url").alias("image"), F.col("filename").alias("image_file"))
+    return rows.select("c_custkey", "filename", "markdown").join(images, "c_custkey")
+
+
+@query(f"""
+SELECT c_custkey, {_sql('2024-03-02,2024-03-05,u{{k}},{{name}},u{{k}},Post by u{{k}} on X,tweet,Hi {{seg}},clippings tweet u{{k}},')} || {_LIKES} || {_sql(',,,,https://x.com/u{{k}}/status/{{k}},"Hi {{seg}}' + chr(10) + chr(10) + 'Image: https://pbs.twimg.com/media/P{{k}}?format=png&name=large"')} AS csv_line,
+       'published,created,author,author_name,handle,title,type,description,tags,likes,reposts,replies,bookmarks,source,text' AS header, 'date,source,text' AS bare FROM customer
+""")
+def csv_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV lines by the fields of notes, and the headers with and without metadata."""
+    lines = export.csv_lines(_notes(spark, sf_dir), _NOTES)
+    return lines.select("c_custkey", "csv_line", F.lit(export.csv_header(_NOTES)).alias("header"), F.lit(export.csv_header(export.Options(include_metadata=False))).alias("bare"))
+
+
+_CODED = "replace(replace(replace(replace(replace(url_encode({}), '%21', '!'), '%28', '('), '%29', ')'), '%27', ''''), '%2A', '*')"
+
+
+@query(f"""
+SELECT c_custkey, 'obsidian://new?' || CASE WHEN c_custkey % 2 = 1 THEN 'vault=My%20%26%20vault&' ELSE '' END || 'file=' || {_CODED.format("'Clips/' || c_mktsegment || '/note ' || c_custkey")} || '&content=' || {_CODED.format("'# ' || c_name || chr(10) || 'é (a) & b'")} AS link,
+       'https://x.com/ana/status/' || CASE c_custkey % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE '3' END AS target,
+       {_sql_list(["signed out", "sign-in asked for", "rate limit", None, "rate limit"])} AS wall, {_sql_list(["likes", "bookmarks", "timeline", "likes", "profile", None, None])} AS source, {_sql_list([None, None, None, "ana", "ana", None, None])} AS handle
+FROM customer
+""")
+def links_and_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that make notes, the target of a click, what keeps a page from showing its post, and the kind of a page."""
+    rows, key = _customers(spark, sf_dir), F.col("c_custkey")
+    address = lambda n: F.lit(f"https://x.com/ana/status/{n}/photo/1")
+    target = routing.target_url(F.when(key % 3 == 0, address(1)).otherwise("https://x.com/home"), F.when(key % 3 == 1, address(2)), address(3))
+    walls = [("/i/flow/login", False, ""), ("/ana/status/1", True, ""), ("/ana/status/1", False, "Sorry, Rate Limit exceeded"), ("/ana/status/1", False, "gone"), ("/ana", False, "Something went wrong. Try reloading.")]
+    page = urls.page_source(_of_list(["/i/history/likes", "/i/bookmarks/12", "/home/", "/ana/likes", "/ana", "/search", "/settings/likes"]))
+    return rows.select(
+        "c_custkey", urls.note_link(_filled("# {{name}}\né (a) & b"), _filled("note {{k}}.md"), F.when(key % 2 == 1, "My & vault").otherwise(""), _filled("/Clips/../ {{seg}} /.")).alias("link"),
+        target.alias("target"), routing.interstitial(_of_list([w[0] for w in walls]), _of_list([w[1] for w in walls]), _of_list([w[2] for w in walls])).alias("wall"), page["source"].alias("source"), page["handle"].alias("handle"),
+    )
+
+
+@query("""
+WITH old AS (SELECT o_custkey AS key, o_orderkey AS seq FROM orders WHERE o_orderkey % 3 = 0), new AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 = 1),
+b AS (SELECT key, min(seq) AS seq FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY key)
+SELECT key, seq FROM b WHERE key NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0) ORDER BY seq DESC LIMIT 40
+""")
+def backlog_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to try again: old entries and new stubs without those that are settled, the last within the cap."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"))
+    return ledger.new_backlog(orders.where("seq % 3 = 0"), orders.where("seq % 3 = 1"), orders.where("seq % 10 = 0"), "key", "seq", 40)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY rank, doc_id) AS BIGINT) AS place, doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 0 ELSE 1 END AS rank FROM documents WHERE doc_id // 20 < 5)")
+def output_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed backlog first and then the first pages of the feed, in order."""
+    docs = routing.pages_within(table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 20").alias("page")), "page", 5).select("doc_id")
+    ordered = ledger.ordered_output(docs.where("doc_id % 7 = 3"), docs.where("doc_id % 7 <> 3"), "doc_id")
+    # At most 100 rows: five pages of twenty.
+    return ordered.agg(F.collect_list("doc_id").alias("ids")).select(F.posexplode("ids").alias("at", "doc_id")).select((F.col("at") + 1).cast("bigint").alias("place"), "doc_id")
+
+
+@query("SELECT event_id, strftime(ts, 'batch-%Y%m%d-%H%M%S') AS folder, CASE event_type WHEN 'click' THEN 'combined' ELSE 'both' END AS output FROM events")
+def run_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders by the time of a run, and the output that a format allows."""
+    from ..functions import dates
+
+    kept = {fmt: export.effective_output(fmt, "both", True, True) for fmt in ("csv", "md")}
+    events = table(spark, sf_dir, "events")
+    return events.select("event_id", dates.folder_name(F.col("ts").cast("timestamp")).alias("folder"), F.when(F.col("event_type") == "click", kept["csv"][0]).otherwise(kept["md"][0]).alias("output"))

@@ -100,10 +100,20 @@ def filename_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.numbered_names(rows, "name", "source", "doc_id").select("doc_id", "unique_name")
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, source, lang || CASE WHEN doc_id % 4 < 2 THEN '' ELSE '-' || (doc_id % 4) END AS stem, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+step AS (
+  SELECT place, source, doc_id, stem || '.md' AS made, [lower(stem || '.md')] AS given FROM d WHERE place = 1
+  UNION ALL
+  SELECT d.place, d.source, d.doc_id, x.made, list_append(s.given, lower(x.made)) FROM step s JOIN d ON d.source IS NOT DISTINCT FROM s.source AND d.place = s.place + 1,
+    LATERAL (SELECT CASE WHEN NOT list_contains(s.given, lower(d.stem || '.md')) THEN d.stem || '.md'
+      ELSE d.stem || '-' || list_min(list_filter(range(2, len(s.given) + 3), lambda n: NOT list_contains(s.given, lower(d.stem || '-' || n || '.md')))) || '.md' END AS made) x)
+SELECT doc_id, source, made AS unique_name FROM step
+""")
 def filename_collision_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names as a run gives them one after the other, so that a made name avoids a given one."""
-    rows = _docs(spark, sf_dir).select("doc_id", "source", F.concat("lang", F.lit("-"), (F.col("doc_id") % 4).cast("string"), F.lit(".md")).alias("name"))
+    """Names as a run gives them one after the other, so that a made name avoids a given one; en.md, en-2.md and en-3.md are all given."""
+    number = F.when(F.col("doc_id") % 4 < 2, "").otherwise(F.concat(F.lit("-"), (F.col("doc_id") % 4).cast("string")))
+    rows = _docs(spark, sf_dir).select("doc_id", "source", F.concat("lang", number, F.lit(".md")).alias("name"))
     return ledger.unique_names(rows, "name", "source", "doc_id").select("doc_id", "source", "unique_name")
 
 

@@ -13,8 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomfold.content import columns
-from loomfold.operators import export, jobs, ledger, runs
+from loomfold.content import columns, posts
+from loomfold.operators import export, jobs, ledger, runs, sinks
 from loomfold.sources.paged import PagedFeed, pages
 from loomfold.streaming import jobs as job_stream
 from loomfold.streaming.incremental import Exporter, Rules, start_cursor
@@ -407,3 +407,56 @@ def test_documents_on_frames(spark):
 @pytest.mark.parametrize(("status", "want"), [(429, "rate_limit"), (503, "transient"), (None, "transient"), (404, "permanent")])
 def test_error_classes(spark, status, want):
     assert spark.createDataFrame([(status,)], "s int").select(jobs.error_class(F.col("s")).alias("c")).first().c == want
+
+
+def run_rows(spark, n):
+    raw = [json.dumps({"rest_id": str(i), "legacy": {"full_text": f"Post *{i}*", "created_at": "Sat Mar 02 07:08:09 +0000 2024"}, "core": {"user_results": {"result": {"core": {"name": "Ana", "screen_name": "ana"}}}}}) for i in range(n)]
+    docs = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "pos int, raw string").select("pos", columns.post_documents("raw").alias("document"))
+    return columns.wire_rows(docs).withColumn("body_markdown", columns.markdown_body_of("document"))
+
+
+@pytest.mark.parametrize("fmt", ["md", "txt", "html", "json", "csv"])
+def test_a_run_writes_its_files(spark, tmp_path, fmt):
+    at = datetime(2024, 3, 2, 7, 8)
+    written = sinks.write_run(run_rows(spark, 3), str(tmp_path / fmt), fmt, "both", "pos", at, export.Options(), failures=[{"url": "u", "error": "e"}])
+    names = {w["name"] for w in written}
+    items = set() if fmt == "csv" else {f"ana-{i}.{fmt}" for i in range(3)}
+    assert names == items | {f"x-compilation-20240302.{fmt}", "data.json"}
+    assert {p.name: p.stat().st_size for p in (tmp_path / fmt).iterdir()} == {w["name"]: w["n_bytes"] for w in written} and not any(w["error"] for w in written)
+    manifest = json.loads((tmp_path / fmt / "data.json").read_text())
+    assert (manifest["completed"], manifest["failures"], [i["filename"] for i in manifest["items"]]) == (3, [{"url": "u", "error": "e"}], ["ana-0.md", "ana-1.md", "ana-2.md"])
+    whole = (tmp_path / fmt / f"x-compilation-20240302.{fmt}").read_text()
+    if fmt == "json":
+        assert [d["metadata"]["tweetId"] for d in json.loads(whole)] == ["0", "1", "2"]
+        assert json.loads((tmp_path / fmt / "ana-1.json").read_text()) == json.loads(whole)[1]
+    assert whole.index("Post *0*" if fmt in ("md", "json", "html") else "Post 0") < whole.index("Post *2*" if fmt in ("md", "json", "html") else "Post 2")
+
+
+def test_a_run_writes_archives_unless_they_are_empty(spark, tmp_path):
+    at = datetime(2024, 3, 2, 7, 8)
+    names = {w["name"] for w in sinks.write_run(run_rows(spark, 2), str(tmp_path / "a"), "txt", "files", "pos", at, export.Options(), zip_items=True)}
+    assert names == {"x-files-20240302.zip", "data.json"}
+    with zipfile.ZipFile(tmp_path / "a" / "x-files-20240302.zip") as z:
+        assert z.namelist() == ["ana-0.txt", "ana-1.txt"] and z.read("ana-1.txt").decode().startswith("Ana (@ana)\n\nPost 1\n")
+    empty = sinks.write_run(run_rows(spark, 2).limit(0), str(tmp_path / "b"), "txt", "both", "pos", at, export.Options(), zip_items=True, status="cancelled")
+    assert {w["name"] for w in empty} == {"data.json"} and json.loads((tmp_path / "b" / "data.json").read_text())["status"] == "cancelled"
+    # Markdown with local images isn't put into an archive, and longer runs come in parts.
+    kept = sinks.write_run(run_rows(spark, 2), str(tmp_path / "c"), "md", "files", "pos", at, export.Options(download_images=True), zip_items=True)
+    assert {w["name"] for w in kept} == {"ana-0.md", "ana-1.md", "data.json"}
+    parts = export.combined_files(run_rows(spark, 5).withColumn("run", F.lit(None).cast("string")), "run", "pos", "txt", export.Options(), most=2)
+    assert values(parts, "part", "n_items") == [(0, 2), (1, 2), (2, 1)]
+
+
+def test_files_that_can_not_be_written_are_reported(spark, tmp_path):
+    (tmp_path / "taken").write_text("a file where a folder is wanted")
+    rows = spark.createDataFrame([("ok.md", "x"), ("taken/in.md", "y"), ("../../up.md", "z"), (None, None)], "name string, content string")
+    out = {r.name: r for r in sinks.write_files(rows, str(tmp_path)).collect()}
+    assert out["ok.md"].n_bytes == 1 and out["taken/in.md"].n_bytes is None and out["taken/in.md"].error
+    assert (tmp_path / "up.md").read_text() == "z" and (tmp_path / "document.md").read_text() == ""
+
+
+def test_reposts_are_told_in_the_jvm(spark):
+    raws = ['{"legacy":{"retweeted_status_result":{}}}', '{"legacy":{}}', '{"tweet":{"legacy":{"retweeted_status_result":{"a":1}}}}', '{"tweet":{"legacy":{}},"legacy":{"retweeted_status_result":{}}}', '{"tweet":{},"legacy":{"retweeted_status_result":{}}}', "no json", None]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
+    got = [r[1] for r in frame.select("i", columns.is_repost("raw")).orderBy("i").collect()]
+    assert got == [posts.is_repost(json.loads(r)) if r and r.startswith("{") else False for r in raws]
