@@ -20,6 +20,8 @@ STYLE = """
 #: Counts in the order shown, and their signs.
 STATS = [("replies", "💬"), ("reposts", "🔁"), ("likes", "❤️"), ("bookmarks", "🔖"), ("views", "👁")]
 
+# Fixed output format: the elements and class names of the functions below, which style sheets of exported pages go by.
+
 
 def text(value: str) -> str:
     return escape(value, quote=True).replace("&#x27;", "&#39;")

@@ -6,6 +6,7 @@ strong and emphasis (children), inlineCode (value).
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import re
 
@@ -109,9 +110,9 @@ def from_ranges(block: dict, entities: dict[str, dict]) -> list[dict]:
     def paint(r: dict, slot: int, what) -> None:
         low = r.get("offset") or 0
         high = low + (r.get("length") or 0)
-        for i in range(len(value)):
-            if begin[i] < high and begin[i + 1] > low:
-                styles[i][slot] = what
+        # From the character that the range begins in, up to the first that begins at its end.
+        for i in range(max(0, bisect.bisect_right(begin, low) - 1), min(len(value), bisect.bisect_left(begin, high))):
+            styles[i][slot] = what
 
     for r in block.get("inlineStyleRanges") or []:
         name = (r.get("style") or "").lower()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 
-#: Marks of entities, and characters that show nothing.
+#: Marks of entities, and characters that show nothing; below, the signs and words of cards, covers and media ("📝", "🔗", "🎥 Video", "Article cover", "Link card preview").
 SIGILS = {"mention": "@", "hashtag": "#", "cashtag": "$"}
 INVISIBLE = re.compile("[​-‍⁠﻿]")
 

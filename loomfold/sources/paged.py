@@ -1,4 +1,4 @@
-"""A feed of pages as a Spark source: ``spark.read.format("paged_feed")`` and ``spark.readStream``.
+"""A feed of pages as a Spark source: ``spark.read.format("paged_feed")``, ``spark.readStream``, and ``feed`` over any store that Spark reads.
 
 Pages lie as JSON files, one a page, in a folder that every executor reads (option ``path``), named
 ``<cursor>.json``; the first is ``start.json`` or what ``cursor`` names. A page says where it goes on
@@ -11,9 +11,12 @@ import json
 import os
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
+from ..content import columns
 from ..content.posts import feed_page
 
 SCHEMA = "page INT, pos INT, post STRING, cursor STRING"
@@ -47,6 +50,27 @@ def rows(number: int, page: dict) -> Iterator[tuple[int, int, str, str | None]]:
         yield number, pos, json.dumps(post, ensure_ascii=False), page["cursor"]
 
 
+def feed(spark: SparkSession, path: str, cursor: str = "start", most: int = 50) -> DataFrame:
+    """page, pos, post, cursor as the source gives them, from ``<cursor>.json`` files in any store that Spark reads.
+
+    Pages are parsed by executors. Only names and cursors come to the driver, which follows them from ``cursor``;
+    with the order found, the pages' rows are joined to it. A page that has no posts or isn't there ends the feed;
+    pages that nothing leads to are left out. An empty folder gives no rows.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("name"), columns.feed_pages("value").alias("page"))
+    files = files.where("name <> ''").select(F.url_decode("name").alias("name"), "page.posts", "page.cursor", "page.done")
+    leads = {r["name"]: r for r in files.select("name", "cursor", "done", F.size("posts").alias("n")).toLocalIterator()}
+    order: list[tuple[str, int]] = []
+    while len(order) < most and (at := leads.get(cursor)) is not None and cursor not in dict(order):
+        if at["n"]:
+            order.append((cursor, len(order)))
+        if at["done"] or not at["cursor"]:
+            break
+        cursor = at["cursor"]
+    found = files.join(F.broadcast(spark.createDataFrame(order, "name string, number int")), "name")
+    return found.select(F.col("number").alias("page"), F.posexplode("posts").alias("pos", "post"), "cursor")
+
+
 class PagedFeed(DataSource):
     """Register with ``spark.dataSource.register(PagedFeed)``. Options: path, cursor, maxPages, maxPagesPerTrigger."""
 

@@ -1,5 +1,6 @@
 """Column functions on single values."""
 
+import time
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
@@ -92,3 +93,10 @@ def test_date_range(spark):
     rows = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-02 23:59:59.999",), ("2024-01-03 00:00:00",), (None,)], "t string").select(F.col("t").cast("timestamp").alias("t"))
     assert rows.where(dates.in_date_range(F.col("t"), "2024-01-02", "2024-01-01")).count() == 2
     assert rows.where(dates.in_date_range(F.col("t"), None, None)).count() == 3
+
+
+def test_trimming_long_runs_takes_linear_time(spark):
+    began = time.perf_counter()
+    value = "a" + " " * 300_000 + "b \n\t"
+    assert spark.createDataFrame([(value,)], "t string").select(text.trimmed(F.col("t")).alias("t")).first().t == value.strip()
+    assert time.perf_counter() - began < 20

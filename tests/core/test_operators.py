@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loomfold.content import columns, posts
 from loomfold.operators import export, jobs, ledger, runs, sinks
 from loomfold.sources.paged import PagedFeed, pages
+from loomfold.sources.paged import feed as stored_feed
 from loomfold.streaming import jobs as job_stream
 from loomfold.streaming.incremental import Exporter, Rules, start_cursor
 
@@ -228,6 +229,8 @@ def test_paged_source(spark, tmp_path):
     ids = F.get_json_object("post", "$.rest_id").alias("id")
     assert values(spark.read.format("paged_feed").option("path", str(tmp_path)).load().select("page", "pos", ids), "page", "pos", "id") == [(0, 0, "1"), (0, 1, "2"), (1, 0, "3"), (2, 0, "4")]
     assert spark.read.format("paged_feed").option("path", str(tmp_path)).option("maxPages", 1).load().count() == 2
+    assert values(stored_feed(spark, str(tmp_path)).select("page", "pos", ids), "page", "pos", "id") == [(0, 0, "1"), (0, 1, "2"), (1, 0, "3"), (2, 0, "4")]
+    assert stored_feed(spark, f"file://{tmp_path}", most=1).count() == 2 and stored_feed(spark, str(tmp_path), "b").count() == 2 and stored_feed(spark, str(tmp_path), "none").count() == 0
     assert spark.read.format("paged_feed").option("path", str(tmp_path)).option("cursor", "b").load().count() == 2
     stream = spark.readStream.format("paged_feed").option("path", str(tmp_path)).load().select(ids)
     query = stream.writeStream.format("memory").queryName("feed").option("checkpointLocation", str(tmp_path / "cp")).start()
