@@ -50,6 +50,21 @@ post_documents = _json_function(lambda raw: dumped(posts.post_document(raw)))
 conversation_documents = _json_function(lambda raw: _or_none(posts.conversation_document(raw)))
 markdown_of = _json_function(markdown.document)
 markdown_body_of = _json_function(markdown.body_of)
+
+
+@arrow_udf(StructType([StructField("markdown", StringType()), StructField("body", StringType())]))
+def markdown_and_body_of(documents: pa.Array) -> pa.Array:
+    """``markdown_of`` and ``markdown_body_of`` of documents that are read once."""
+    out = []
+    for v in documents.to_pylist():
+        try:
+            read = json.loads(v) if v is not None else None
+        except ValueError:
+            read = None
+        out.append((None, None) if read is None else (markdown.document(read), markdown.body_of(read)))
+    return pa.StructArray.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(2)], ["markdown", "body"])
+
+
 html_of = _json_function(html.document)
 html_with_counts_of = _json_function(lambda d: html.document(d, True))
 html_fragment_of = _json_function(html.fragment)
@@ -103,15 +118,18 @@ def blocks_of_pages(frame: DataFrame, id_col: str = "page_id", html_col: str = "
     return read.select(id_col, F.explode("blocks").alias("b")).select(id_col, "b.pos", "b.kind", "b.tag", "b.text")
 
 
-def wire_rows(frame: DataFrame, document: str = "document", handle_prefix: str = "") -> DataFrame:
-    """frame with the columns that post-processing takes: type, author, title, markdown, source_url, date, tweet_id, counts.
+def wire_rows(frame: DataFrame, document: str = "document", handle_prefix: str = "", body: bool = False) -> DataFrame:
+    """frame with the columns that post-processing takes: type, author, title, markdown, source_url, date, tweet_id, counts; with ``body`` also body_markdown.
 
     Handles stand bare; rows that come from a page's own export carry ``@`` as ``handle_prefix``.
     """
     meta = F.from_json(F.get_json_object(document, "$.metadata"), METADATA)
     read = frame.withColumn("_meta", meta)
+    if body:
+        read = read.withColumn("_shown", markdown_and_body_of(F.col(document)))
+    shown = {"markdown": F.col("_shown.markdown"), "body_markdown": F.col("_shown.body")} if body else {"markdown": markdown_of(F.col(document))}
     author = F.struct(F.col("_meta.author.name").alias("name"), F.concat(F.lit(handle_prefix), F.col("_meta.author.handle")).alias("handle"))
     return read.withColumns({
-        "type": F.col("_meta.type"), "author": author, "title": F.col("_meta.title"), "markdown": markdown_of(F.col(document)), "source_url": F.col("_meta.sourceUrl"),
+        "type": F.col("_meta.type"), "author": author, "title": F.col("_meta.title"), **shown, "source_url": F.col("_meta.sourceUrl"),
         "date": F.col("_meta.date"), "tweet_id": F.col("_meta.tweetId"), "counts": F.col("_meta.engagement"),
-    }).drop("_meta")
+    }).drop("_meta", "_shown")

@@ -136,7 +136,7 @@ FROM (SELECT doc_id, source, n_chars, coalesce({_CSV_TEXT}, '') AS t FROM docume
 """)
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV line for each post, the text last."""
-    rows = columns.wire_rows(_documents(spark, sf_dir)).withColumn("body_markdown", columns.markdown_body_of("document"))
+    rows = columns.wire_rows(_documents(spark, sf_dir), body=True)
     return export.csv_lines(rows, export.Options()).select("doc_id", "csv_line")
 
 

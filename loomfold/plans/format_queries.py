@@ -344,7 +344,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts in runs of 100, with what every format needs."""
     raw = _filled('{"rest_id":"{{k}}",' + _USER + ',"legacy":{"full_text":"**Hi** {{seg}}, \\"{{k}}\\"","favorite_count":{{k}},"created_at":"Sat Mar 02 07:08:09 +0000 2024"}}')
     rows = _customers(spark, sf_dir).select("c_custkey", F.expr("c_custkey div 100").alias("run"), columns.post_documents(raw).alias("document"))
-    return columns.wire_rows(rows).withColumn("body_markdown", columns.markdown_body_of("document"))
+    return columns.wire_rows(rows, body=True)
 
 
 _TAIL = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
@@ -444,8 +444,7 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"rest_id":"{{k}}",' + _USER + ',"legacy":{"full_text":"Hi {{seg}}","favorite_count":{{likes}},"created_at":"Sat Mar 02 07:08:09 +0000 2024","extended_entities":{"media":[{"type":"photo","media_url_https":"https://pbs.twimg.com/media/P{{k}}.png"}]}}}',
         likes=F.expr(f"CAST({_LIKES} AS STRING)"),
     )
-    rows = columns.wire_rows(_customers(spark, sf_dir).select("c_custkey", columns.post_documents(raw).alias("document")))
-    return rows.withColumn("body_markdown", columns.markdown_body_of("document"))
+    return columns.wire_rows(_customers(spark, sf_dir).select("c_custkey", columns.post_documents(raw).alias("document")), body=True)
 
 
 @query(
