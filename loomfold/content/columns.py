@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
+from ..operators.routing import interstitial
 from . import html, markdown, pages, posts
 
 #: What is read from a document's JSON into columns.
@@ -105,6 +106,31 @@ def documents_of_pages(frame: DataFrame, now: str = "", single: bool = False, id
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, document string")
 
 
+def results_of_pages(frame: DataFrame, now: str = "", single: bool = False, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """id_col, document, error, wall: what reading each page came to, one row a page and no failed task.
+
+    A page without a post has as its error the wall that stands before it (``wall`` is true, and the session, not the
+    post, is to blame) or that nothing was found; a page that can't be read has the reader's own words.
+    """
+    path = F.regexp_extract(url_col, r"^[^:]+://[^/?#]*(/[^?#]*)", 1)
+    shown = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " "), "<[^>]*>", " ")
+    asks = F.col(html_col).rlike(r'(?i)data-testid="?loginButton')
+    rows = frame.select(frame[id_col], frame[url_col].alias("_url"), frame[html_col].alias("_html"), interstitial(path, asks, shown).alias("_wall"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for url, page, wall in zip(*(batch.column(n).to_pylist() for n in (1, 2, 3)), strict=True):
+                try:
+                    made = _or_none(pages.page_document(page or "", url or "", now, single))
+                    out.append((made, None if made else wall or "no post found", bool(made is None and wall)))
+                except Exception as e:  # noqa: BLE001  whatever a page does to the reader is that page's result
+                    out.append((None, f"{type(e).__name__}: {e}", False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_())))], [id_col, "document", "error", "wall"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, document string, error string, wall boolean")
+
+
 def blocks_of_pages(frame: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id_col, pos, kind, tag, text: a row for each block of running text of any page."""
     rows = frame.select(frame[id_col], frame[html_col].alias("_html"))

@@ -11,7 +11,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 
 import pyarrow as pa
@@ -263,6 +263,17 @@ def item_files(rows: DataFrame, fmt: str) -> DataFrame:
     return rows.withColumns({"name": item_name(F.col("filename"), fmt), "content": content, "mime": F.lit(FORMATS[fmt]), "ext": F.lit(fmt), "images": images})
 
 
+def stored_entries(frame: DataFrame, fmt: str, options: Options) -> DataFrame:
+    """frame (``document`` and, if it was named when it was stored, ``filename``) with name and content of each document's entry in an archive.
+
+    Everything is made anew from the tree, with images left where they are: an archive holds none. The stored name stays.
+    """
+    held = [F.col("filename").alias("_held")] if "filename" in frame.columns else [F.lit(None).cast("string").alias("_held")]
+    rows = columns.wire_rows(frame.select(*[c for c in frame.columns if c != "filename"], *held))
+    made = post_processed(rows, replace(options, download_images=False))
+    return item_files(made.withColumn("filename", F.coalesce("_held", "filename")).drop("_held"), fmt)
+
+
 def combined_name(fmt: str, day: str, part: int = 0) -> str:
     """What a run's combined file is called, by its day (YYYY-MM-DD)."""
     return f"x-compilation-{day.replace('-', '')}{f'-{part + 1}' if part else ''}.{fmt}"

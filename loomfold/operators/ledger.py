@@ -167,15 +167,21 @@ def ordered_output(backlog: DataFrame, fresh: DataFrame, order: str) -> DataFram
     return both.withColumn("_at", F.struct("_rank", order)).orderBy("_at").drop("_rank", "_at")
 
 
-def settled(items: DataFrame, order: str, status: str) -> DataFrame:
-    """items with ``settled``: whether they are done and may enter the ledger.
+def stopped(items: DataFrame, order: str, status: str) -> DataFrame:
+    """items whose outcomes are known in order, as a run meets them: behind the first rate limit or cancel nothing is asked for, and all is pending."""
+    stop = items.where(F.col(status).isin("rate_limit", "cancelled")).agg(F.min(order).alias("_stop"))
+    behind = F.coalesce(F.col(order) > F.col("_stop"), F.lit(False))
+    return items.join(F.broadcast(stop)).withColumn(status, F.when(behind, "pending").otherwise(F.col(status))).drop("_stop")
+
 
-    From the first item at which the rate limit or a cancel stopped the run, nothing is settled, whatever
-    became of it; failures before it aren't either.
+def settled(status: Column, needs_detail: Column | None = None) -> Column:
+    """Whether an item may enter the ledger.
+
+    One whose detail came may, and one whose detail is not to be had (``gone``), as its root is all there will ever be; one that
+    needs no detail may in any case. What met the rate limit, a cancel, or is pending or null waits for another run.
     """
-    stop = items.where(F.col(status).isin("rate_limit", "cancelled")).agg(F.min(order).alias("_stop"))
-    before = F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))
-    return items.join(F.broadcast(stop)).withColumn("settled", F.coalesce(before & (F.col(status) == "done"), F.lit(False))).drop("_stop")
+    known = F.coalesce(status.isin("done", "gone"), F.lit(False))
+    return known if needs_detail is None else known | F.coalesce(~needs_detail, F.lit(False))
 
 
 def finalised(staged: DataFrame, wanted: DataFrame, key: str, order: str) -> DataFrame:

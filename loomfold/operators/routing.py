@@ -8,7 +8,7 @@ from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import text, urls
 
 #: Actions and the format and mode that each means; None for those that aren't format exports.
 ACTIONS = {"download": None, "copy": None, "obsidian": None, "pdf": None, "copy-txt": ("txt", "copy"), "txt": ("txt", "download"), "html": ("html", "download"), "json": ("json", "download"), "csv": ("csv", "download")}
@@ -60,9 +60,74 @@ def feed_template(templates: dict[str, str], names: list[str]) -> str | None:
 def with_cursor(url: str, cursor: str) -> str:
     """A feed request that goes on from a cursor: it is a member of the JSON in the parameter ``variables``."""
     at = urlsplit(url)
-    query = dict(parse_qsl(at.query, keep_blank_values=True))
-    query["variables"] = json.dumps(json.loads(query.get("variables", "{}")) | {"cursor": cursor}, separators=(",", ":"))
-    return urlunsplit(at._replace(query=urlencode(query)))
+    query = parse_qsl(at.query, keep_blank_values=True)
+    known = dict(reversed(query)).get("variables", "{}")
+    value = json.dumps(json.loads(known) | {"cursor": cursor}, separators=(",", ":"), ensure_ascii=False)
+    first = next((n for n, (k, _) in enumerate(query) if k == "variables"), len(query))
+    rest = [p for p in query[first:] if p[0] != "variables"]
+    return urlunsplit(at._replace(query=urlencode([*query[:first], ("variables", value), *rest])))
+
+
+_QUERY = r"^([^?#]*)(?:\?([^#]*))?(#.*)?$"
+
+
+def _parameters(url: Column) -> Column:
+    """An array of struct(key, value), decoded; what can't be decoded stays as it is."""
+    plain = lambda c: F.coalesce(F.try_url_decode(c), c)
+    pieces = F.filter(F.split(F.regexp_extract(url, _QUERY, 2), "&", -1), lambda p: p != "")
+    return F.transform(pieces, lambda p: F.struct(plain(F.regexp_extract(p, "^[^=]*", 0)).alias("key"), plain(F.regexp_replace(p, "^[^=]*=?", "")).alias("value")))
+
+
+def variables(url: Column) -> Column:
+    """The JSON in a feed request's first parameter ``variables``; ``{}`` without one, null for a null address."""
+    found = F.filter(_parameters(url), lambda p: p["key"] == "variables")
+    return F.when(url.isNotNull(), F.coalesce(F.get(found, F.lit(0))["value"], F.lit("{}")))
+
+
+def with_variables(url: Column, value: Column) -> Column:
+    """A feed request with other variables, where the first stood or at the end; a second set of them goes, all else stays in order. Null variables give null."""
+    joined = lambda ps: F.transform(ps, lambda p: F.concat(F.url_encode(p["key"]), F.lit("="), F.url_encode(p["value"])))
+    ours = lambda p: p["key"] == "variables"
+    one = F.concat(F.lit("variables="), F.url_encode(value))
+
+    def set_in(all_: Column) -> Column:
+        first = F.array_position(F.transform(all_, lambda p: ours(p)), True).cast("int")
+        before, after = F.slice(all_, F.lit(1), F.greatest(first - 1, F.lit(0))), F.filter(F.slice(all_, F.greatest(first, F.lit(1)), F.size(all_)), lambda p: ~ours(p))
+        return F.when(first > 0, F.concat(joined(before), F.array(one), joined(after))).otherwise(F.concat(joined(all_), F.array(one)))
+
+    query = F.array_join(text.bound(_parameters(url), set_in), "&")
+    return F.when(value.isNotNull(), F.concat(F.regexp_extract(url, _QUERY, 1), F.lit("?"), query, F.regexp_extract(url, _QUERY, 3)))
+
+
+def cursor_in(variables_: Column, cursor: Column) -> Column:
+    """Variables with a cursor, in its place if they have one and last if not; null for what is no JSON object."""
+    value = F.parse_json(F.to_json(F.struct(cursor.alias("c"))))
+    value = F.variant_get(value, "$.c", "variant")
+
+    def with_it(held: Column) -> Column:
+        put = F.transform_values(held, lambda k, v: F.when(k == "cursor", value).otherwise(v))
+        return F.when(F.map_contains_key(held, "cursor"), put).otherwise(F.map_concat(held, F.create_map(F.lit("cursor"), value)))
+
+    return F.to_json(text.bound(F.from_json(variables_, "map<string,variant>"), with_it))
+
+
+def harvested(rows: DataFrame, viewer: str, order: str, path: str, link: str, reposts: bool = False) -> DataFrame:
+    """viewer, visit, source_key, url, first_at: distinct permalinks that a viewer saw on each visit to a source, from rows in order.
+
+    A source is a kind of page, with its account where the path names one. A viewer who goes elsewhere and comes back
+    starts anew, so that what was removed meanwhile isn't exported. On a profile only its owner's posts count, unless reposts
+    are wanted. Rows without a source or a permalink give nothing; those without a source still end a visit.
+    """
+    page, url = urls.page_source(F.col(path)), urls.permalink(F.col(link))
+    key = F.when(page["handle"].isNotNull(), F.concat_ws(":", page["source"], F.lower(page["handle"]))).otherwise(page["source"])
+    seen = rows.select(viewer, F.col(order).alias("_at"), key.alias("source_key"), page.alias("_page"), url.alias("url"))
+    in_order = Window.partitionBy(viewer).orderBy("_at")
+    visits = seen.withColumn("_new", (~F.col("source_key").eqNullSafe(F.lag("source_key").over(in_order))).cast("int")).withColumn("visit", F.sum("_new").over(in_order))
+    own = F.lower(F.regexp_extract("url", "://[^/]+/([^/]+)/status/", 1)) == F.lower("_page.handle")
+    kept = visits.where("source_key IS NOT NULL AND url IS NOT NULL")
+    if not reposts:
+        kept = kept.where(F.coalesce(F.col("_page.source") != "profile", F.lit(True)) | own)
+    return kept.groupBy(viewer, "visit", "source_key", "url").agg(F.min("_at").alias("first_at"))
 
 
 def resume_frontier(items: DataFrame, source: str, page: str, cursor: str, taken: Column) -> DataFrame:

@@ -56,6 +56,12 @@ def write_files(files: DataFrame, folder: str, in_flight: int = IN_FLIGHT) -> Da
     return files.select("name", "content").repartition(in_flight).mapInArrow(run, "name string, n_bytes bigint, error string")
 
 
+def write_details(details: DataFrame, folder: str, key: str, raw: str = "raw") -> DataFrame:
+    """name, n_bytes, error of the raw details that are kept to look into, a file ``debug/detail-<id>.json`` each; ids and details that are null are left out."""
+    kept = details.where(F.col(key).isNotNull() & F.col(raw).isNotNull())
+    return write_files(kept.select(F.concat(F.lit("debug/detail-"), F.col(key).cast("string"), F.lit(".json")).alias("name"), F.col(raw).alias("content")), folder)
+
+
 def write_run(rows: DataFrame, folder: str, fmt: str, output: str, order: str, at: datetime, options: export.Options, zip_items: bool = False, failures: list[dict] | None = None, status: str = "done") -> list[dict]:
     """Writes what a run leaves and returns a row (name, n_bytes, error) for each file.
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..content import columns
 from ..functions import text, urls
-from ..operators import export, jobs, ledger, routing
+from ..operators import checks, export, jobs, ledger, routing
+from ..sources import details
 from ..streaming import incremental
 from .registry import query, table
 
@@ -308,12 +309,15 @@ def ledger_both_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, user_id, event_type <> 'error' AND event_id < coalesce((SELECT min(event_id) FROM events WHERE event_type = 'purchase' AND event_id > 50), 1e18) AND event_type <> 'purchase' AS settled FROM events
+WITH s AS (SELECT min(event_id) AS stop FROM events WHERE event_type = 'purchase' AND event_id > 50),
+o AS (SELECT event_id, user_id, CASE WHEN event_id > (SELECT stop FROM s) THEN 'pending' WHEN event_type = 'error' THEN 'gone' WHEN event_type = 'purchase' AND event_id > 50 THEN 'rate_limit' WHEN event_type = 'purchase' THEN 'gone' ELSE 'done' END AS status FROM events)
+SELECT event_id, user_id, status, status IN ('done', 'gone') OR user_id % 7 = 0 AS settled FROM o
 """)
 def run_settles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is done before the rate limit stopped a run, and nothing after it."""
-    status = F.when(F.col("event_type") == "error", "failed").when((F.col("event_type") == "purchase") & (F.col("event_id") > 50), "rate_limit").when(F.col("event_type") == "purchase", "failed").otherwise("done")
-    return ledger.settled(table(spark, sf_dir, "events").select("event_id", "user_id", status.alias("status")), "event_id", "status").select("event_id", "user_id", "settled")
+    """What a run leaves pending once the rate limit stops it, and what may enter the ledger: what is done, gone, or needs no detail."""
+    status = F.when(F.col("event_type") == "error", "gone").when((F.col("event_type") == "purchase") & (F.col("event_id") > 50), "rate_limit").when(F.col("event_type") == "purchase", "gone").otherwise("done")
+    run = ledger.stopped(table(spark, sf_dir, "events").select("event_id", "user_id", status.alias("status")), "event_id", "status")
+    return run.withColumn("settled", ledger.settled(F.col("status"), F.col("user_id") % 7 != 0))
 
 
 @query("""
@@ -518,3 +522,120 @@ def run_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = {fmt: export.effective_output(fmt, "both", True, True) for fmt in ("csv", "md")}
     events = table(spark, sf_dir, "events")
     return events.select("event_id", dates.folder_name(F.col("ts").cast("timestamp")).alias("folder"), F.when(F.col("event_type") == "click", kept["csv"][0]).otherwise(kept["md"][0]).alias("output"))
+
+
+# Requests, senders, marks, visits, details and results
+
+
+@query("""
+SELECT c_custkey, '{"userId":"' || c_custkey || '","count":20,"all":[1,true,null,"' || c_mktsegment || '"]' || CASE WHEN c_custkey % 3 = 0 THEN ',"cursor":"old"' ELSE '' END || '}' AS variables,
+  'https://x.com/g/F' || c_custkey || '?a=b+c&variables=' || '%7B%22userId%22%3A%22' || c_custkey || '%22%2C%22count%22%3A20%2C%22all%22%3A%5B1%2Ctrue%2Cnull%2C%22' || c_mktsegment || '%22%5D%2C%22cursor%22%3A%22D%2FA%3D' || c_custkey || '%22%7D&f=%7B%7D' AS url
+FROM customer
+""")
+def feed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variables of a feed request, and the request that goes on from a cursor."""
+    held = _filled('{"userId":"{{k}}","count":20,"all":[1,true,null,"{{seg}}"]{{old}}}', old=F.expr("""CASE WHEN c_custkey % 3 = 0 THEN ',"cursor":"old"' ELSE '' END"""))
+    url = F.concat(_filled("https://x.com/g/F{{k}}?a=b%20c&variables="), F.url_encode(held), F.lit("&f=%7B%7D&variables=no"))
+    known = routing.variables(F.col("url"))
+    rows = _customers(spark, sf_dir).select("c_custkey", url.alias("url"))
+    return rows.select("c_custkey", known.alias("variables"), routing.with_variables(F.col("url"), routing.cursor_in(known, F.concat(F.lit("D/A="), F.col("c_custkey").cast("string")))).alias("url"))
+
+
+#: A sender's address, origin and tab, and whether it is trusted, as page and as the application's own.
+_SENDERS = [
+    ("https://x.com/a", None, None, True), ("https://X.com:443?q", None, None, True), ("http://x.com/a", None, None, False), ("https://x.com.evil.org/", None, None, False), ("https://evil.org/x.com", "https://x.com", None, False),
+    ("about:blank", "https://x.com", None, True), (None, "https://x.com", None, True), ("no address", "https://x.com", None, True), (None, None, "https://x.com/a", True), ("about:blank", None, "https://x.com/a", False), (None, None, None, False),
+]
+
+
+@query(f"SELECT c_custkey, {_sql_list([s[3] for s in _SENDERS])} AS trusted, c_custkey % 4 <> 3 AS own FROM customer")
+def sender_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which senders are pages of the site, and which the application's own."""
+    url, origin, tab = (F.nullif(_of_list([s[n] or "" for s in _SENDERS]), F.lit("")) for n in range(3))
+    sender = F.when(F.expr("c_custkey % 4 = 3"), "other").otherwise("app")
+    own = F.when(F.expr("c_custkey % 2 = 0"), "ext://app/popup.html")
+    return _customers(spark, sf_dir).select("c_custkey", checks.trusted_page(url, origin, tab, "x.com").alias("trusted"), checks.own_page(sender, own, F.lit("ext://app"), "ext", "app").alias("own"))
+
+
+_MARKED = [("https://x.com/a", "https://x.com/a#export="), ("https://x.com/a#", "https://x.com/a#export="), ("https://x.com/a#top", "https://x.com/a#top&export="), ("https://x.com/a#export=copy-txt&export_single=1", "https://x.com/a#export="), ("https://x.com/a#top&export=copy&x=1", "https://x.com/a#top&x=1&export=")]
+_DO = ["download", "copy", "copy-txt", "pdf", "json", "csv"]
+
+
+@query(f"""
+SELECT c_custkey, {_sql_list([m[1] for m in _MARKED])} || {_sql_list(_DO)} || CASE WHEN c_custkey % 2 = 0 THEN '&export_single=1' ELSE '' END AS url, {_sql_list(_DO)} AS action, c_custkey % 2 = 0 AS single,
+  replace({_sql_list([m[1] for m in _MARKED])}, CASE WHEN contains({_sql_list([m[1] for m in _MARKED])}, '&') THEN '&export=' ELSE '#export=' END, '') AS bare FROM customer
+""")
+def job_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that carry what to do with the page, read back and cleaned."""
+    url = checks.with_job(_of_list([m[0] for m in _MARKED]), _of_list(_DO), F.expr("c_custkey % 2 = 0"))
+    rows = _customers(spark, sf_dir).select("c_custkey", url.alias("url"))
+    return rows.select("c_custkey", "url", checks.job_of(F.col("url")).alias("j"), checks.without_job(F.col("url")).alias("bare")).select("c_custkey", "url", "j.action", "j.single", "bare")
+
+
+@query("""
+WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'timeline' WHEN 'click' THEN 'profile:u1' WHEN 'error' THEN NULL ELSE 'bookmarks' END AS source_key, 'u' || (event_id % 3) AS who, event_id % 5 AS post FROM events),
+c AS (SELECT *, CASE WHEN source_key IS NOT DISTINCT FROM lag(source_key) OVER w THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+v AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS visit FROM c)
+SELECT user_id, CAST(visit AS BIGINT) AS visit, source_key, 'https://x.com/' || who || '/status/' || post AS url, min(event_id) AS first_at FROM v
+WHERE source_key IS NOT NULL AND (source_key <> 'profile:u1' OR who = 'u1') GROUP BY ALL
+""")
+def harvest_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permalinks that each user saw on each visit to a source; a visit ends where the source changes."""
+    kind = F.col("event_type")
+    path = F.when(kind == "view", "/home").when(kind == "click", "/U1").when(kind == "error", "/settings").otherwise("/i/bookmarks/all")
+    link = F.concat(F.lit("https://x.com/u"), F.expr("event_id % 3").cast("string"), F.lit("/status/"), F.expr("event_id % 5").cast("string"), F.lit("/photo/1"))
+    seen = table(spark, sf_dir, "events").select("user_id", "event_id", path.alias("path"), link.alias("link"))
+    return routing.harvested(seen, "user_id", "event_id", "path", "link")
+
+
+@query("""
+SELECT c_name AS name FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 15 <> 0
+""")
+def unused_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that no source names, in quotes or as a message."""
+    rows = _customers(spark, sf_dir)
+    key = F.replace("c_name", F.lit("#"), F.lit("_"))
+    named = _filled("get('{{key}}')\"{{key}}\", __MSG_{{key}}__", key=key)
+    sources = rows.select(F.when(F.expr("c_custkey % 5 <> 0"), named).when(F.expr("c_custkey % 15 = 0"), _filled("{{key}} and __MSG_{{key}}__", key=key)).otherwise(_filled("'x{{key}}' {{key}} \"{{key}}", key=key)).alias("content"))
+    return checks.unreferenced(rows.select(key.alias("name")), sources, "name", "content").select(F.replace("name", F.lit("_"), F.lit("#")).alias("name"))
+
+
+def _answer(identity: str) -> str:
+    """A detail by its id: every seventh is gone, every eleventh times out."""
+    n = int(identity)
+    if n % 7 == 0:
+        raise details.Refused(404)
+    if n % 11 == 0:
+        raise details.Refused()
+    return f'{{"id":{n}}}'
+
+
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN NULL ELSE '{"id":' || doc_id || '}' END AS raw, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'gone' ELSE 'done' END AS status,
+  CASE WHEN doc_id % 7 = 0 THEN 'status 404' WHEN doc_id % 11 = 0 THEN 'no answer' END AS error FROM documents
+""")
+def details_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details of items, a few at a time, with further tries for what may pass."""
+    return details.fetched(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", _answer, wait=0)
+
+
+@query("""
+SELECT page_id, page_id % 3 = 0 AS has_document, CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN 'signed out' WHEN page_id % 2 = 0 THEN 'rate limit' ELSE 'no post found' END AS error,
+  page_id % 3 = 1 OR (page_id % 3 = 2 AND page_id % 2 = 0) AS wall FROM pages
+""")
+def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading each page came to: a document, a wall before it, or nothing."""
+    number = F.col("page_id").cast("string")
+    post = F.concat(F.lit('<article role="article"><div data-testid="User-Name"><a>Site</a><a>@site</a></div><div data-testid="tweetText">Post '), number, F.lit("</div></article>"))
+    body = F.when(F.expr("page_id % 3 = 0"), post).when(F.expr("page_id % 2 = 0"), F.lit("<p>Something went <b>wrong</b>. Try  reloading.</p><p>Rate limit exceeded</p>")).otherwise(F.lit("<script>'rate limit'</script><p>Nothing</p>"))
+    url = F.concat(F.when(F.expr("page_id % 3 = 1"), "https://x.com/login?to=").otherwise("https://x.com/site/status/"), number)
+    made = columns.results_of_pages(table(spark, sf_dir, "pages").select("page_id", url.alias("url"), body.alias("html")))
+    return made.select("page_id", F.col("document").isNotNull().alias("has_document"), "error", "wall")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'held-' || c_custkey || '.json' ELSE 'u' || c_custkey || '-' || c_custkey || '.json' END AS name, CAST(c_custkey AS VARCHAR) AS id FROM customer")
+def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored documents as entries of an archive, made anew from their trees under their stored names."""
+    rows = _runs(spark, sf_dir).select("c_custkey", "document", F.when(F.expr("c_custkey % 2 = 0"), _filled("held-{{k}}.md")).alias("filename"))
+    made = export.stored_entries(rows, "json", export.Options(download_images=True))
+    return made.select("c_custkey", "name", F.get_json_object("content", "$.metadata.tweetId").alias("id"))

@@ -14,7 +14,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomfold.content import columns, posts
-from loomfold.operators import export, jobs, ledger, runs, sinks
+from loomfold.operators import checks, export, jobs, ledger, routing, runs, sinks
+from loomfold.sources import details
 from loomfold.sources.paged import PagedFeed, pages
 from loomfold.sources.paged import feed as stored_feed
 from loomfold.streaming import jobs as job_stream
@@ -368,9 +369,12 @@ def test_order_counts_and_settling(spark):
     assert values(ledger.exclusion_counts(items.limit(0), old, "key", 2, "pos"), "taken", "skipped") == [(0, 0)]
     assert values(ledger.new_count(items.unionByName(one([(9, None)], "pos int, key string")), old, one([("a",)], "key string"), "key"), "n_new") == [(4,)]
     assert [r.key for r in ledger.ordered_output(items.where("pos > 4"), items.where("pos < 2"), "pos").collect()] == ["f", "g", "a", "b"]
-    run = one([(0, "done"), (1, "failed"), (2, "done"), (3, "rate_limit"), (4, "done"), (5, None)], "pos int, status string")
-    assert values(ledger.settled(run, "pos", "status").where("settled"), "pos") == [(0,), (2,)]
-    assert values(ledger.settled(run.where("pos < 3"), "pos", "status").where("settled"), "pos") == [(0,), (2,)]
+    run = one([(0, "done"), (1, "gone"), (2, "done"), (3, "rate_limit"), (4, "done"), (5, None)], "pos int, status string")
+    stopped = ledger.stopped(run, "pos", "status")
+    assert values(stopped, "pos", "status") == [(0, "done"), (1, "gone"), (2, "done"), (3, "rate_limit"), (4, "pending"), (5, "pending")]
+    assert values(stopped.where(ledger.settled(F.col("status"))), "pos") == [(0,), (1,), (2,)]
+    assert values(stopped.where(ledger.settled(F.col("status"), F.col("pos") != 4)), "pos") == [(0,), (1,), (2,), (4,)]
+    assert values(ledger.stopped(run.where("pos IN (0, 5)"), "pos", "status").where(ledger.settled(F.col("status"), F.lit(None).cast("boolean"))), "pos") == [(0,)]
     assert values(ledger.ledger_entries(one([("1", "9", 4), ("2", None, 5), ("9", "9", 6)], "a string, b string, at long"), ["a", "b"], "at"), "key", "seq") == [("1", 4), ("2", 5), ("9", 4)]
     staged = one([("a", 1, "old"), ("a", 2, "new"), ("z", 1, "no")], "key string, staged_at int, content string")
     assert values(ledger.finalised(staged, items, "key", "pos"), "key", "pos", "content") == [("a", 0, "new")]
@@ -463,3 +467,69 @@ def test_reposts_are_told_in_the_jvm(spark):
     frame = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
     got = [r[1] for r in frame.select("i", columns.is_repost("raw")).orderBy("i").collect()]
     assert got == [posts.is_repost(json.loads(r)) if r and r.startswith("{") else False for r in raws]
+
+
+def test_details_retry_stop_and_are_kept(spark, tmp_path):
+    asked = []
+
+    def answer(identity):
+        asked.append(identity)
+        if identity == "late" and len(asked) < 3:
+            raise details.Refused(503)
+        if identity in ("gone", "limit", "down"):
+            raise details.Refused({"gone": 404, "limit": 429}.get(identity))
+        return "{}"
+
+    assert details.patiently(answer, "late", wait=0) == "{}" and asked == ["late"] * 3
+    for identity, tries in (("gone", 1), ("limit", 3), ("down", 3)):
+        asked.clear()
+        with pytest.raises(details.Refused):
+            details.patiently(answer, identity, wait=0)
+        assert len(asked) == tries
+    ids = spark.createDataFrame([("gone",), ("limit",), ("ok",), ("ok",), (None,), ("z",)], "id string")
+    found = {r.id: (r.raw, r.status, r.error) for r in details.fetched(ids, "id", answer, in_flight=1, wait=0).collect()}
+    assert len(found) == 5 and found[None] == (None, "gone", None) and found["limit"] == (None, "rate_limit", "status 429")
+    assert found["gone"] in ((None, "gone", "status 404"), (None, "pending", None)) and {found["ok"], found["z"]} <= {("{}", "done", None), (None, "pending", None)}
+    assert details.fetched(ids.limit(0), "id", answer).count() == 0
+
+    raw = spark.createDataFrame([("7", '{"a":"ä"}'), ("8", None), (None, "{}")], "id string, raw string")
+    assert values(sinks.write_details(raw, str(tmp_path), "id"), "name", "n_bytes", "error") == [("debug/detail-7.json", 10, None)]
+    stored = details.landed(f"{tmp_path}/debug")
+    again = details.fetched(raw, "id", lambda identity: stored(f"detail-{identity}"), wait=0)
+    assert {(r.id, r.raw, r.status) for r in again.collect()} == {("7", '{"a":"ä"}', "done"), ("8", None, "gone"), (None, None, "gone")}
+
+
+def test_pages_that_fail_give_results(spark):
+    post = '<article role="article"><div data-testid="User-Name"><a>A</a><a>@a</a></div><div data-testid="tweetText">Hi</div></article>'
+    rows = spark.createDataFrame([(1, f"{URL}1", post), (2, "https://x.com/login", ""), (3, f"{URL}3", "<p>Rate limit</p>"), (4, f"{URL}4", None), (5, None, None)], "page_id long, url string, html string")
+    found = {r.page_id: (r.document is not None, r.error, r.wall) for r in columns.results_of_pages(rows).collect()}
+    assert found == {1: (True, None, False), 2: (False, "signed out", True), 3: (False, "rate limit", True), 4: (False, "no post found", False), 5: (False, "no post found", False)}
+    assert columns.results_of_pages(rows.limit(0)).count() == 0
+
+
+def test_unused_keys_visits_and_marks(spark):
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    keys = one([("a",), ("ab",), ("b",), ("c",), ("title",), (None,)], "key string")
+    sources = one([("""t("a")"b" 'x'ab'""",), ("__MSG_c__ 'title'",), (None,), ("",)], "content string")
+    assert values(checks.unreferenced(keys, sources, "key", "content", ["title"]), "key") == [("title",)]
+    assert values(checks.unreferenced(keys, sources, "key", "content"), "key") == []
+    assert values(checks.unreferenced(keys, sources.limit(0), "key", "content"), "key") == [("a",), ("ab",), ("b",), ("c",), ("title",)]
+    seen = [(1, "/ana", "ana", 1), (2, "/ana", "bob", 2), (3, "/Ana/", "ana", 1), (4, "/settings", "ana", 9), (5, "/ana", "ana", 1), (6, "/ana", None, 0), (7, None, "ana", 1), (8, "/home", "bob", 2)]
+    rows = one([("v", at, path, None if who is None else f"https://x.com/{who}/status/{n}?s=1") for at, path, who, n in seen], "viewer string, at int, path string, link string")
+    kept = lambda reposts: values(routing.harvested(rows, "viewer", "at", "path", "link", reposts), "visit", "source_key", "url", "first_at")
+    own = [(1, "profile:ana", "https://x.com/ana/status/1", 1), (3, "profile:ana", "https://x.com/ana/status/1", 5), (5, "timeline", "https://x.com/bob/status/2", 8)]
+    assert kept(False) == own and kept(True) == sorted([*own, (1, "profile:ana", "https://x.com/bob/status/2", 2)])
+    marks = one([("https://x.com/a#export=1",), ("https://x.com/a",), (None,)], "url string")
+    assert [r[0] for r in marks.select(checks.job_of(F.col("url"))).collect()] == [("1", False), None, None]
+    assert [r[0] for r in marks.select(checks.without_job(F.col("url"))).collect()] == ["https://x.com/a", "https://x.com/a", None]
+
+
+def test_cursor_of_requests(spark):
+    urls_ = ["https://x.com/g", "https://x.com/g?a=%zz&variables=%7B%22cursor%22%3A%22o%22%2C%22n%22%3A1.5%7D&a=2#f", "https://x.com/g?variables=no", None]
+    rows = spark.createDataFrame([(n, u) for n, u in enumerate(urls_)], "n int, url string")
+    held = routing.variables(F.col("url"))
+    found = [(r.v, r.u) for r in rows.select("n", held.alias("v"), routing.with_variables(F.col("url"), routing.cursor_in(held, F.lit('q"'))).alias("u")).orderBy("n").collect()]
+    assert found[0] == ("{}", "https://x.com/g?variables=%7B%22cursor%22%3A%22q%5C%22%22%7D")
+    assert found[1] == ('{"cursor":"o","n":1.5}', "https://x.com/g?a=%25zz&variables=%7B%22cursor%22%3A%22q%5C%22%22%2C%22n%22%3A1.5%7D&a=2#f")
+    assert found[2] == ("no", None) and found[3] == (None, None)
+    assert routing.with_cursor(urls_[1].replace("%zz", "1"), 'q"') == "https://x.com/g?a=1&variables=%7B%22cursor%22%3A%22q%5C%22%22%2C%22n%22%3A1.5%7D&a=2#f"
