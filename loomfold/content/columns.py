@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, Stru
 
 from ..operators.routing import interstitial
 from . import html, markdown, pages, posts
+from .dom import parse
 
 #: What is read from a document's JSON into columns.
 METADATA = StructType([
@@ -131,6 +132,12 @@ def results_of_pages(frame: DataFrame, now: str = "", single: bool = False, id_c
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, document string, error string, wall boolean")
 
 
+@arrow_udf(StringType())
+def cleaned_text_of(pages_html: pa.Array) -> pa.Array:
+    """The text of pages without controls, navigation, prompts and hidden elements, in one line; null for null."""
+    return pa.array([None if h is None else pages.squeezed(pages.cleaned(parse(h)).text()) for h in pages_html.to_pylist()], pa.string())
+
+
 def blocks_of_pages(frame: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id_col, pos, kind, tag, text: a row for each block of running text of any page."""
     rows = frame.select(frame[id_col], frame[html_col].alias("_html"))

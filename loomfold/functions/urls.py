@@ -73,6 +73,11 @@ def permalink(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"^(https?://(?:www\.)?x\.com/[^/]+/status/\d+)", 1), F.lit(""))
 
 
+def without_query(url: Column) -> Column:
+    """What stands before the first ``?`` or ``#`` of a line, by which addresses are told apart."""
+    return F.regexp_replace(url, r"[?#].*$", "")
+
+
 def percent_encoded(c: Column) -> Column:
     """As a URI component: spaces as %20, and ~!*()' as they are."""
     c = F.url_encode(c)

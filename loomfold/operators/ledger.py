@@ -140,6 +140,17 @@ def unique_names(rows: DataFrame, name: str, group: str, order: str, out: str =
     return rows.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, kinds)
 
 
+def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """key, first_at, n: distinct keys, where each was first seen and how often; a null key counts as one key."""
+    return rows.groupBy(key).agg(F.min(order).alias("first_at"), F.count("*").alias("n"))
+
+
+def articles_first(rows: DataFrame, group: str, is_article: Column, order: str) -> DataFrame:
+    """rows with their ``place`` from 1 in each group's run: articles first, as only a detail has their text, and then the rest, each in order. A null kind is no article."""
+    rank = F.when(F.coalesce(is_article, F.lit(False)), 0).otherwise(1)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(rank, order)))
+
+
 def ledger_entries(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """key, seq of every id that rows are known by, such as a repost's own and that of what it reposts; null ids are none."""
     return rows.select(F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(k) for k in keys])))).alias("key"), F.col(seq).alias("seq")).groupBy("key").agg(F.min("seq").alias("seq"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -225,7 +225,8 @@ SELECT coalesce(event_type, '') AS event_type, count(*) AS n, min(event_id) AS f
 """)
 def harvest_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct keys with where they were first seen."""
-    return table(spark, sf_dir, "events").groupBy(F.coalesce("event_type", F.lit("")).alias("event_type")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    seen = table(spark, sf_dir, "events").select(F.coalesce("event_type", F.lit("")).alias("event_type"), "event_id")
+    return ledger.first_seen(seen, "event_type", "event_id").withColumnRenamed("first_at", "first_id")
 
 
 @query("""
@@ -239,17 +240,6 @@ def queue_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.appended_to_queue(docs.where("doc_id % 3 = 0"), docs, table(spark, sf_dir, "labels"), "doc_id", "doc_id", 1000)
 
 
-@query("""
-WITH spans AS (SELECT user_id, event_id AS n, CAST(floor(value) AS BIGINT) AS s, CAST(floor(value) AS BIGINT) + 20 AS e FROM events),
-o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, n) AS k FROM spans)
-SELECT user_id, count(*) AS n_spans, max(e) AS reach FROM o GROUP BY user_id
-""")
-def span_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number and reach of spans by key, before they are spliced."""
-    spans = table(spark, sf_dir, "events").select("user_id", F.floor("value").cast("bigint").alias("s"))
-    return spans.groupBy("user_id").agg(F.count("*").alias("n_spans"), (F.max("s") + 20).alias("reach"))
-
-
 @query("""
 WITH RECURSIVE o AS (SELECT user_id, CAST(floor(value) AS BIGINT) AS s, CAST(floor(value) AS BIGINT) + 20 AS e, row_number() OVER (PARTITION BY user_id ORDER BY floor(value), event_id) AS k FROM events),
 walk AS (SELECT user_id, k, s, CASE WHEN s >= 0 THEN e ELSE 0 END AS cursor, CASE WHEN s >= 0 THEN 1 ELSE 0 END AS taken FROM o WHERE k = 1
@@ -268,5 +258,4 @@ SELECT event_id, nth FROM (SELECT event_id, row_number() OVER (PARTITION BY user
 """)
 def articles_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One kind first, each kind in its own order."""
-    w = Window.partitionBy("user_id").orderBy(F.when(F.col("event_type") == "view", 0).otherwise(1), "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(w).alias("nth"))
+    return ledger.articles_first(table(spark, sf_dir, "events"), "user_id", F.col("event_type") == "view", "event_id").select("event_id", F.col("place").alias("nth"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..content import columns
 from ..functions import dates, text, urls
-from ..operators import export
+from ..operators import export, ledger
 from .registry import query, table
 
 
@@ -48,6 +49,14 @@ def page_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.groupBy("page_id", F.lower("tag").alias("tag")).agg(F.count("*").alias("n"))
 
 
+@query(r"""
+SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<nav>.*?</nav>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_sha256 FROM pages
+""")
+def page_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each page's body without navigation and controls, by the HTML parser."""
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(columns.cleaned_text_of(F.regexp_extract("html", "(?s)<body>(.*)", 1)), 256).alias("text_sha256"))
+
+
 _NOT = ", ".join(f"'{x}'" for x in urls.NOT_ACCOUNTS)
 
 
@@ -66,14 +75,8 @@ def page_route_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT text, min(doc_id) AS first_id, count(*) AS n FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[?#].*$', '') AS text FROM documents) GROUP BY text")
 def norm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct normalised keys with the first row of each."""
-    rows = _texts(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[?#].*$", "").alias("text"))
-    return rows.groupBy("text").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-
-
-@query(r"SELECT doc_id, regexp_replace(coalesce(text, ''), '\*\*([^*]+)\*\*', '\1', 'g') AS plain FROM documents")
-def md_strip_bold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bold marks off."""
-    return _texts(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"\*\*([^*]+)\*\*", "$1").alias("plain"))
+    rows = _texts(spark, sf_dir).select("doc_id", urls.without_query(F.col("text")).alias("text"))
+    return ledger.first_seen(rows, "text", "doc_id").withColumnRenamed("first_at", "first_id")
 
 
 _PLAIN = "coalesce(text, '')"
@@ -167,17 +170,6 @@ def base64_one_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", F.sha2(export.data_url(F.col("text").cast("binary")), 256).alias("base64_sha256"))
 
 
-@query(r"""
-SELECT page_id, coalesce(starts_with(lower(url), 'https:') AND regexp_matches(lower(url), '^https://[^/?#:@]*\.example\.com([/?#:]|$)'), false) AS allowed,
-       nullif(regexp_extract(url, '/(?:en|fr|de|es)/(\d+)', 1), '') AS number FROM pages
-""")
-def url_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """https and a host of a list, here every host of one domain."""
-    hosts = F.lower(F.try_parse_url("url", F.lit("HOST")))
-    allowed = (F.lower(F.try_parse_url("url", F.lit("PROTOCOL"))) == "https") & hosts.endswith(".example.com")
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(allowed, F.lit(False)).alias("allowed"), F.nullif(F.regexp_extract("url", r"/(?:en|fr|de|es)/(\d+)", 1), F.lit("")).alias("number"))
-
-
 @query("""
 SELECT event_id, strftime(ts, '%a %b %d %H:%M:%S +0000 %Y') AS created, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS iso, strftime(ts, '%Y-%m-%d') AS day,
        strftime(ts, '%Y-%m-%d_%H%M') AS minute, strftime(ts, '%b %-d, %Y') AS shown FROM events
