@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..content import columns
 from ..functions import dates, text, urls
+from . import routing
 
 #: Fields of the two kinds of front matter, and the order of CSV columns.
 DEFAULT_FIELDS = ["author", "handle", "source", "date", "type", "likes", "reposts", "replies", "bookmarks", "views"]
@@ -263,6 +264,39 @@ def item_files(rows: DataFrame, fmt: str) -> DataFrame:
     return rows.withColumns({"name": item_name(F.col("filename"), fmt), "content": content, "mime": F.lit(FORMATS[fmt]), "ext": F.lit(fmt), "images": images})
 
 
+def format_export(rows: DataFrame, fmt: str, options: Options) -> DataFrame:
+    """rows (wire rows with ``document`` and, for CSV, ``body_markdown``) with content, mime and ext of each alone in a format; a CSV has its header."""
+    content = {
+        "md": lambda r: r.withColumn("content", F.col("markdown")), "txt": lambda r: r.withColumn("content", text.markdown_to_plain(F.col("markdown"))), "json": lambda r: r.withColumn("content", columns.pretty_json_of("document")),
+        "html": lambda r: r.withColumn("content", (columns.html_with_counts_of if options.inline_stats else columns.html_of)(F.col("document"))),
+        "csv": lambda r: csv_lines(r, options).withColumn("content", F.concat(F.lit(csv_header(options) + "\n"), F.col("csv_line"), F.lit("\n"))).drop("csv_line"),
+    }
+    return content[fmt](rows).withColumns({"mime": F.lit(FORMATS[fmt]), "ext": F.lit(fmt)})
+
+
+def single_export(rows: DataFrame, action: str, options: Options, vault: str = "", folder: str = "") -> DataFrame:
+    """rows with name, content, mime, mode, images and link: what one action makes of a page's document, options settled by the action.
+
+    A copy keeps images where they are; a note takes the notes' fields whatever is set, keeps images too, and has the
+    ``link`` that makes it; another format has no images of its own. An unknown action raises ValueError.
+    """
+    if action not in routing.ACTIONS:
+        raise ValueError(f"no such action: {action}")
+    named = routing.ACTIONS[action]
+    if action == "pdf":
+        named = ("html", "download")
+    none = F.array().cast("array<struct<url: string, filename: string>>")
+    if named is not None:
+        fmt, mode = named
+        made = format_export(rows.withColumn("_name", filename(options.filename_template)), fmt, options)
+        return made.withColumns({"name": item_name(F.col("_name"), fmt), "mode": F.lit(mode), "images": none, "link": F.lit(None).cast("string")}).drop("_name", "ext")
+    settled = replace(options, for_notes=action == "obsidian" or options.for_notes, download_images=action == "download" and options.download_images)
+    made = post_processed(rows, settled)
+    link = urls.note_link(F.col("markdown"), F.col("filename"), F.lit(vault.strip()), F.lit(folder.strip())) if action == "obsidian" else F.lit(None).cast("string")
+    mode = {"copy": "copy", "obsidian": "link"}.get(action, "download")
+    return made.withColumns({"name": F.col("filename"), "content": F.col("markdown"), "mime": F.lit(FORMATS["md"]), "mode": F.lit(mode), "link": link}).drop("filename")
+
+
 def stored_entries(frame: DataFrame, fmt: str, options: Options) -> DataFrame:
     """frame (``document`` and, if it was named when it was stored, ``filename``) with name and content of each document's entry in an archive.
 

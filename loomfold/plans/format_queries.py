@@ -639,3 +639,25 @@ def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _runs(spark, sf_dir).select("c_custkey", "document", F.when(F.expr("c_custkey % 2 = 0"), _filled("held-{{k}}.md")).alias("filename"))
     made = export.stored_entries(rows, "json", export.Options(download_images=True))
     return made.select("c_custkey", "name", F.get_json_object("content", "$.metadata.tweetId").alias("id"))
+
+
+_ACTED = ["download", "copy", "obsidian", "copy-txt", "json", "csv", "pdf"]
+
+
+@query("""
+SELECT c_custkey, action, 'u' || c_custkey || '-' || c_custkey || CASE action WHEN 'copy-txt' THEN '.txt' WHEN 'json' THEN '.json' WHEN 'csv' THEN '.csv' WHEN 'pdf' THEN '.html' ELSE '.md' END AS name,
+  CASE action WHEN 'copy-txt' THEN 'text/plain' WHEN 'json' THEN 'application/json' WHEN 'csv' THEN 'text/csv' WHEN 'pdf' THEN 'text/html' ELSE 'text/markdown' END AS mime,
+  CASE action WHEN 'copy' THEN 'copy' WHEN 'copy-txt' THEN 'copy' WHEN 'obsidian' THEN 'link' ELSE 'download' END AS mode,
+  CASE action WHEN 'download' THEN '---' || chr(10) || 'author: "' WHEN 'copy' THEN '---' || chr(10) || 'author: "' WHEN 'obsidian' THEN '---' || chr(10) || 'title: "P' WHEN 'json' THEN '{' || chr(10) || '  "version"' WHEN 'csv' THEN 'date,author,h' WHEN 'pdf' THEN '<!doctype htm' ELSE substr(c_name || ' (@u' || c_custkey, 1, 13) END AS opening,
+  CASE WHEN action = 'obsidian' THEN 'obsidian://new?vault=V%20a&file=F%2Fu' || c_custkey || '-' || c_custkey || '&content=---%0Atitle' END AS link
+FROM customer, (SELECT unnest(['download', 'copy', 'obsidian', 'copy-txt', 'json', 'csv', 'pdf']) AS action)
+""")
+def single_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each action makes of one post: its file's name, type and opening, and the link that makes a note."""
+    rows, every = _runs(spark, sf_dir), None
+    for action in _ACTED:
+        made = export.single_export(rows, action, export.Options(), " V a ", "F")
+        until = F.regexp_extract("link", "^.*?content=---%0Atitle", 0)
+        one = made.select("c_custkey", F.lit(action).alias("action"), "name", "mime", "mode", F.substring("content", 1, 13).alias("opening"), until.alias("link"))
+        every = one if every is None else every.unionByName(one)
+    return every

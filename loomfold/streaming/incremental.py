@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
@@ -85,9 +85,7 @@ class Exporter:
         first = came.where("key IS NOT NULL").groupBy("key").agg(F.min_by(F.struct(*names), "seq").alias("_first")).select("_first.*")
         items = ledger.exclude(first.unionByName(came.where("key IS NULL")), done, "key")
         if self.rules.most_items is not None:
-            ranked = items.withColumn("_place", F.row_number().over(Window.orderBy("seq")))
-            ranked.where(F.col("_place") > self.rules.most_items).drop("_place").write.mode("overwrite").parquet(f"{self.folder}/held/batch={number}")
-            items = items.orderBy("seq").limit(self.rules.most_items)
+            items = self._within_cap(items, number)
         complete = F.col("complete") if "complete" in batch.columns else F.lit(True)
         made = self.content(items.withColumn("status", F.when(complete, "done").otherwise("incomplete")))
         made.write.mode("overwrite").partitionBy("status").parquet(f"{self.folder}/output/batch={number}")
@@ -99,6 +97,14 @@ class Exporter:
             entries = ledger.ledger_entries(known, keys, "seq") if name == "ledger" else known.select("key", "seq")
             entries.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={number}")
 
+    def _within_cap(self, items: DataFrame, number: int) -> DataFrame:
+        """The first items by number and key; what stands behind the last of them is held. Rows alike in both stay together, above the cap if need be."""
+        place = F.struct(F.col("seq"), F.col("key"))
+        last = items.select(place.alias("at")).orderBy("at").limit(self.rules.most_items).agg(F.max("at").alias("_last"))
+        marked = items.join(F.broadcast(last)).withColumn("_taken", F.coalesce(place <= F.col("_last"), F.lit(False))).drop("_last")
+        marked.where("NOT _taken").drop("_taken").write.mode("overwrite").parquet(f"{self.folder}/held/batch={number}")
+        return marked.where("_taken").drop("_taken")
+
     def _held(self, spark: SparkSession, number: int, like: DataFrame) -> DataFrame:
         """What the batch before this one left over; each batch carries on what it doesn't take itself."""
         every = _state(spark, f"{self.folder}/held", StructType([*like.schema.fields, StructField("batch", LongType())])).where(F.col("batch") < number)
