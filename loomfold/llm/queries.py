@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup, ogg, sharding, toxicity, url_filter, warc
+from . import bpe, exact_dedup, language_id, mixing, near_dedup, ogg, sentence_pieces, sharding, toxicity, url_filter, warc
 from .common import held_out, small_batches, train_row
 
 #: The rules of op2, as (host, path, verdict).
@@ -77,8 +77,12 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(ogg.with_media(table(spark, sf_dir, "documents")))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_bpe, op4_warc, op5_near_dedup, op6_mixing, op7_toxicity, op8_sharding, op9_language_id, op10_ogg)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_bpe, op4_warc, op5_near_dedup, op6_mixing, op7_toxicity, op8_sharding, op9_language_id, op10_ogg, op11_sentencepiece)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
