@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup, ogg, sentence_pieces, sharding, toxicity, url_filter, warc
+from . import bpe, exact_dedup, language_id, merkle, mixing, near_dedup, ogg, sentence_pieces, sharding, toxicity, url_filter, warc
 from .common import held_out, small_batches, train_row
 
 #: The rules of op2, as (host, path, verdict).
@@ -81,8 +81,18 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = merkle.leaf_hash([F.try_add("n_chars", F.lit(1)) if c == "n_chars" else F.col(c) for c in columns])
+    made = merkle.build(docs, columns, "lang", "doc_id", carry={"claimed": F.when(tampered, changed)})
+    found = merkle.verify(merkle.proofs(made), made.root, F.coalesce("claimed", "h"))
+    return found.select(F.col("id").alias("doc_id"), F.col("h").alias("leaf"), "subroot", F.lit(made.root).alias("root"), F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_bpe, op4_warc, op5_near_dedup, op6_mixing, op7_toxicity, op8_sharding, op9_language_id, op10_ogg, op11_sentencepiece)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_bpe, op4_warc, op5_near_dedup, op6_mixing, op7_toxicity, op8_sharding, op9_language_id, op10_ogg, op11_sentencepiece, op12_merkle)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -121,5 +131,41 @@ FROM bits
 """
 
 
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+#: crc32 of digits, bit by bit.
+_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)), CAST(4294967295 AS BIGINT))"""
+_OP12 = f"""
+WITH RECURSIVE l AS (
+    SELECT doc_id, lang, leaf, coalesce(CASE WHEN {_CRC} % 7 = 0 THEN changed END, leaf) AS claimed, count(*) OVER (PARTITION BY lang) AS n,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+    FROM (SELECT *, {_LEAF.format("n_chars")} AS leaf, {_LEAF.format("(n_chars + 1)")} AS changed FROM documents)),
+nodes AS (
+    SELECT tree, 0 AS level, pos, n AS width, leaf AS h FROM l
+    UNION ALL
+    SELECT tree, level + 1, pos // 2, (any_value(width) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE width > 1 GROUP BY tree, level, pos // 2),
+subroots AS (SELECT tree AS pos, h, count(*) OVER () AS n FROM nodes WHERE width = 1),
+tops AS (
+    SELECT 0 AS level, pos, n AS width, h FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 2, (any_value(width) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE width > 1 GROUP BY level, pos // 2),
+way AS (
+    SELECT doc_id, leaf, tree, 0 AS level, pos, n AS width, claimed AS h, '' AS siblings, l.tree AS own, pos AS place FROM l
+    UNION ALL
+    SELECT w.doc_id, w.leaf, w.tree, w.level + 1, w.pos // 2, (w.width + 1) // 2,
+           sha256(CASE WHEN s.h IS NULL THEN w.h WHEN s.pos < w.pos THEN s.h || w.h ELSE w.h || s.h END), w.siblings || coalesce(s.h, ''), w.own, w.place
+    FROM way w LEFT JOIN nodes s ON s.tree = w.tree AND s.level = w.level AND s.pos = xor(w.pos, 1) WHERE w.width > 1),
+high AS (
+    SELECT w.doc_id, w.leaf, 0 AS level, w.tree AS pos, s.n AS width, w.h, w.siblings, s.h AS subroot FROM way w JOIN subroots s ON s.pos = w.tree WHERE w.width = 1
+    UNION ALL
+    SELECT w.doc_id, w.leaf, w.level + 1, w.pos // 2, (w.width + 1) // 2,
+           sha256(CASE WHEN s.h IS NULL THEN w.h WHEN s.pos < w.pos THEN s.h || w.h ELSE w.h || s.h END), w.siblings || coalesce(s.h, ''), w.subroot
+    FROM high w LEFT JOIN tops s ON s.level = w.level AND s.pos = xor(w.pos, 1) WHERE w.width > 1)
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(siblings) AS proof_sha256, high.h AS folded_root, high.h = r.h AS verified
+FROM high JOIN (SELECT h FROM tops WHERE width = 1) r ON high.width = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op2_url_filter": _OP2, "op4_warc": _OP4}
+    return {"op12_merkle": _OP12, "op1_exact_dedup": _OP1, "op2_url_filter": _OP2, "op4_warc": _OP4}
