@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, merkle, mixing, near_dedup, ogg, sentence_pieces, sharding, toxicity, url_filter, warc
+from . import bpe, exact_dedup, hard_negatives, language_id, merkle, mixing, near_dedup, ogg, sentence_pieces, sharding, toxicity, url_filter, warc
 from .common import held_out, small_batches, train_row
 
 #: The rules of op2, as (host, path, verdict).
@@ -91,8 +91,15 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("h").alias("leaf"), "subroot", F.lit(made.root).alias("root"), F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", moved.alias("label"), (F.col("vec_id") % 50 == 0).alias("asked"))
+    return hard_negatives.mine(rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_bpe, op4_warc, op5_near_dedup, op6_mixing, op7_toxicity, op8_sharding, op9_language_id, op10_ogg, op11_sentencepiece, op12_merkle)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_bpe, op4_warc, op5_near_dedup, op6_mixing, op7_toxicity, op8_sharding, op9_language_id, op10_ogg, op11_sentencepiece, op12_merkle, op13_hard_negatives)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -166,6 +173,16 @@ SELECT doc_id, leaf, subroot, r.h AS root, sha256(siblings) AS proof_sha256, hig
 FROM high JOIN (SELECT h FROM tops WHERE width = 1) r ON high.width = 1
 """
 
+_OP13 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS nth FROM s WHERE alike),
+n AS (SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) AS rank, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.nth <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_merkle": _OP12, "op1_exact_dedup": _OP1, "op2_url_filter": _OP2, "op4_warc": _OP4}
+    return {"op13_hard_negatives": _OP13, "op12_merkle": _OP12, "op1_exact_dedup": _OP1, "op2_url_filter": _OP2, "op4_warc": _OP4}
