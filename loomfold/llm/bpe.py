@@ -25,6 +25,8 @@ from .common import id_text, lean, texts_of
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text that are cut in one go, and what the cache of fragments may hold.
 SLAB_BYTES, CACHE_FRAGMENTS, CACHED_BYTES = 4 << 20, 150_000, 96
+#: Bytes up to which a fragment goes to the faster library: its regular expressions recurse over white space.
+FAST_BYTES = 4096
 #: Characters that every version of Unicode classes alike, so that two regular-expression engines split them alike.
 SETTLED = re.compile(r"[\x00-\x7f\u00c0-\u024f]*")
 
@@ -73,6 +75,8 @@ class ForcedBoundaryBPE:
             for pair in zip(token, token[1:]):
                 inside[pair] = True
         self.added = sorted(((t["content"].encode(), t["id"]) for t in described["added_tokens"]), key=lambda x: -len(x[0]))
+        if any(a != b and (a in b or any(a.endswith(b[:k]) for k in range(1, len(b)))) for a, _ in self.added for b, _ in self.added):
+            raise ValueError("added tokens that overlap are found in an order of the library's own")
         self.bytes_of |= {i: content for content, i in self.added}
         self.cut_between = (~inside & self.harmless()).reshape(-1)
         self.may_end_space = self.space_ends().reshape(-1)
@@ -88,7 +92,7 @@ class ForcedBoundaryBPE:
         import tiktoken
 
         fast = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks={self.bytes_of[i]: i for i in vocab.values()}, special_tokens={}).encode_ordinary
-        return lambda text: fast(text) if SETTLED.fullmatch(text) else slow(text)
+        return lambda text: fast(text) if len(text) <= FAST_BYTES and SETTLED.fullmatch(text) else slow(text)
 
     @staticmethod
     def harmless() -> np.ndarray:
@@ -135,7 +139,7 @@ class ForcedBoundaryBPE:
             slab = text[start:stop]
             cuts = self.cuts(slab) if len(slab) > 1 else np.zeros(0, np.int64)
             while stop < end and not len(cuts):  # no certain cut in the whole slab: look further
-                stop = min(end, stop + SLAB_BYTES)
+                stop = min(end, stop + stop - start)  # twice as far each time, so that all of it is looked at twice at most
                 slab = text[start:stop]
                 cuts = self.cuts(slab)
             if stop < end:

@@ -56,6 +56,25 @@ def test_bpe_cuts_slabs(tokenizer, monkeypatch):
         assert tokenizer.encode(text.encode()) == want
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "\t" * 2_000_000, " \n\t" * 400_000, "a" + " " * 1_000_000 + "b" + "\n" * 100_000 + " c", "x" * 20_000, "\u3000" * 50_000], ids=range(7))
+def test_bpe_takes_long_runs(tokenizer, text):
+    ids = tokenizer.encode(text.encode())
+    assert ids == library_ids(tokenizer, text)
+    assert tokenizer.decode(ids) == text.encode()
+
+
+def test_bpe_refuses_added_tokens_that_overlap(tmp_path):
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        described = json.load(f)
+    described["added_tokens"].append(described["added_tokens"][0] | {"id": 50257, "content": "text|>x"})
+    path = tmp_path / "overlapping.json"
+    path.write_text(json.dumps(described), encoding="utf-8")
+    with pytest.raises(ValueError, match="overlap"):
+        bpe.ForcedBoundaryBPE(str(path))
+
+
 def test_bpe_cuts_are_never_inside_tokens(tokenizer):
     text = " ".join(t for t in TRICKY if "<|" not in t)
     cuts = set(tokenizer.cuts(text.encode()).tolist())
