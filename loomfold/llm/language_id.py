@@ -34,6 +34,27 @@ def plain(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode()
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of text is of a category of letters; number signs such as a half are not."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
+#: The compressors of the classifier that a worker used last, so that its next task doesn't prepare them again.
+_PREPARED: dict[tuple, list] = {}
+
+
+def prepared(contents: dict[str, bytes]) -> list:
+    """A compressor for each dictionary."""
+    import zstandard as zstd
+
+    how, out = zstd.ZstdCompressionParameters(**PARAMETERS), []
+    for content in contents.values():
+        raw = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(compression_params=how)
+        out.append(zstd.ZstdCompressor(dict_data=raw, compression_params=how))
+    return out
+
+
 class CompressionClassifier:
     """Dictionaries by language, the likeliest first, which wins ties; picklable, compressors are made where they are used."""
 
@@ -45,14 +66,12 @@ class CompressionClassifier:
         return self.__dict__ | {"_engines": None}
 
     def engines(self) -> list:
-        import zstandard as zstd
-
         if self._engines is None:
-            how, self._engines = zstd.ZstdCompressionParameters(**PARAMETERS), []
-            for content in self.contents.values():
-                raw = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-                raw.precompute_compress(compression_params=how)
-                self._engines.append(zstd.ZstdCompressor(dict_data=raw, compression_params=how))
+            key = tuple((lang, len(c), xxhash.xxh3_128_digest(c)) for lang, c in self.contents.items())
+            if key not in _PREPARED:
+                _PREPARED.clear()
+                _PREPARED[key] = prepared(self.contents)
+            self._engines = _PREPARED[key]
         return self._engines
 
     def sizes(self, letters: bytes) -> list[int]:
@@ -63,7 +82,7 @@ class CompressionClassifier:
     def classify(self, text: bytes) -> tuple[str, float, bool]:
         """(language, score, rejected). The score is the margin to the runner-up on a scale from 0 to 1; with one language it is 1."""
         letters = text.decode()
-        if not self.contents or not _LETTER.search(letters):
+        if not self.contents or not has_letter(letters):
             return UNDETERMINED, 0.0, True
         sizes = self.sizes(plain(letters))
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
@@ -78,6 +97,8 @@ class CompressionClassifier:
 PIECE_BITS, PIECE_WORDS, PIECE_BYTES = 15, 64, 256
 #: Texts that a task remembers, so as to cut copies into pieces once; languages up to which their few numbers are broadcast.
 SEEN_TEXTS, BROADCAST_LANGUAGES = 100_000, 100_000
+#: Bytes that a dictionary has to have.
+LEAST_BYTES = 8
 
 
 def pieces(letters: bytes) -> Iterator[bytes]:
@@ -156,7 +177,8 @@ def fit(docs: DataFrame, sample_docs: int = 10_000, dictionary_bytes: int = 192
     released(merged)
     released(counted)
     contents = {lang: b"\n".join(lowest(taken[lang], room).values())[:room] for lang in sorted(taken, key=lambda x: (-often[x], x))}
-    return CompressionClassifier({k: v for k, v in contents.items() if len(v) >= 8}, **kwargs)
+    # A dictionary has eight bytes at least; shorter ones are repeated, so that the language stays.
+    return CompressionClassifier({k: v if len(v) >= LEAST_BYTES else (v + b"\n") * LEAST_BYTES for k, v in contents.items() if v}, **kwargs)
 
 
 def identify(docs: DataFrame, model: CompressionClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -488,6 +488,23 @@ def test_language_identification_edge_cases(spark):
     assert language_id.identify(odd.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize(("text", "letters"), [("½", False), ("² ①", False), ("Ⅷ", False), ("_9", False), ("́", False), ("", False), ("½ a", True), ("日", True), ("ª", True), ("ʰ", True)])
+def test_language_letters_are_those_of_the_category(spark, text, letters):
+    import unicodedata
+
+    assert letters == any(unicodedata.category(c)[0] == "L" for c in text)
+    model = language_id.CompressionClassifier({"en": b"one language and its words", "de": b"eine andere Sprache hat andere"})
+    assert (model.classify(text.encode())[0] != "und") == letters
+
+
+def test_a_language_of_two_letters_stays(spark):
+    docs = spark.createDataFrame([(1, "the words of one language", "en"), (2, "ab", "xx"), (3, "½", "yy")], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert set(model.contents) == {"en", "xx"}
+    assert min(map(len, model.contents.values())) >= language_id.LEAST_BYTES
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()} == {1: "en", 2: "xx", 3: "und"}
+
+
 def test_language_ties_clashing_columns_and_long_texts(spark):
     """Languages with the same dictionary tie: that of more texts wins, then the lesser name; names of columns don't matter."""
     texts = ["ein text der beiden gehört", "noch einer davon"]
