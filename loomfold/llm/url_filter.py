@@ -1,6 +1,7 @@
 """URL rules by host-suffix and path-prefix expressions.
 
-Each URL expands into the suffixes of its host and the prefixes of its path that a rule could have.
+Each URL expands into the suffixes of its host and the prefixes of its path that a rule could have by
+its number of labels and its length.
 Expressions meet rules in an equi-join on the first bytes of their digest; the full digest then
 confirms a rule, and the longest confirmed rule wins.
 """
@@ -25,19 +26,21 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and every domain that it is under; none for an empty host."""
-    labels = F.split(host, r"\.", -1)
-    each = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(each)
+def numbers(values: list[int]) -> Column:
+    return F.array(*[F.lit(n) for n in values]).cast("array<int>")
 
 
-def path_prefixes(path: Column, odd_lengths: list[int]) -> Column:
-    """Nothing, what ends in each slash, and the starts of the lengths that rules not ending in a slash have."""
-    parts = F.split(path, "/", -1)
-    slashed = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when(i == 1, F.lit("")).otherwise(F.concat(F.concat_ws("/", F.slice(parts, 1, i - 1)), F.lit("/"))))
-    odd = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in odd_lengths]) if odd_lengths else F.array().cast("array<string>")
-    return F.array_distinct(F.array_compact(F.concat(slashed, odd)))
+def host_suffixes(host: Column, label_counts: list[int]) -> Column:
+    """The host and the domains that it is under, of those numbers of labels that rules have; none for an empty host."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    fitting = F.filter(numbers(label_counts), lambda n: (n <= labels) & (host != ""))
+    # What stands after the n-th dot from the right, all without one.
+    return F.transform(fitting, lambda n: F.call_function("substring_index", host, F.lit("."), -n))
+
+
+def path_prefixes(path: Column, lengths: list[int]) -> Column:
+    """The starts of the path of those lengths that paths of rules have."""
+    return F.transform(F.filter(numbers(lengths), lambda n: n <= F.length(path)), lambda n: F.call_function("substring", path, F.lit(1), n))
 
 
 def prepared_rules(rules: DataFrame, hash_bytes: int) -> DataFrame:
@@ -53,16 +56,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     A rule fits its host and all its subdomains if the path starts with the rule's; the longest rule
     wins, and where none fits ``rule`` is null and the verdict is ``default``. A null url, or one
     without ://, has empty host and path and fits no rule. Rules are broadcast when they number at most ``broadcast_rules``;
-    beyond that both sides are shuffled on the short hash. Rules that don't end in a slash cost one
-    expression for each distinct length of their paths.
+    beyond that both sides are shuffled on the short hash. An address has as many expressions as rules have
+    distinct numbers of labels times distinct lengths of paths, at most, however long it is.
     """
     urls = pages.select(pages[id_col].alias("id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
-    # Lengths, not rules: at most as many as the longest path has characters.
-    odd = [r[0] for r in rules.where("path != '' AND NOT endswith(path, '/')").select(F.length("path")).distinct().collect()]
+    # Lengths and numbers of labels, not rules: at most as many as the longest rule has characters.
+    shapes = rules.where("host <> '' AND path IS NOT NULL").select(F.length("path"), F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).distinct().collect()
+    lengths, label_counts = (sorted({r[k] for r in shapes}) for k in (0, 1))
     known = bounded(pinned(prepared_rules(rules, hash_bytes)), broadcast_rules)
     # Expanded where they are read, by as many tasks; the join with the rules leaves few of the expressions, and these are shuffled.
-    hosts = urls.select("host", "path").where("host != ''").withColumn("suffix", F.explode(host_suffixes(F.col("host"))))
-    spelled = hosts.withColumn("prefix", F.explode(path_prefixes(F.col("path"), sorted(odd))))
+    hosts = urls.select("host", "path").where("host != ''").withColumn("suffix", F.explode(host_suffixes(F.col("host"), label_counts)))
+    spelled = hosts.withColumn("prefix", F.explode(path_prefixes(F.col("path"), lengths)))
     digested = spelled.withColumn("digest", F.sha2(F.concat("suffix", F.lit("\n"), "prefix"), 256)).withColumn("short", F.substring("digest", 1, 2 * hash_bytes))
     met = digested.join(known, "short").where(F.col("digest") == F.col("rule_digest"))
     best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("verdict"))).alias("best")).withColumnRenamed("host", "at")

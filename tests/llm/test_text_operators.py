@@ -122,6 +122,18 @@ def test_url_rules_are_brute_force(spark, broadcast):
             assert (r.host, r.path, r.rule, r.verdict) == judged(URLS[r.page_id % len(URLS)], [(h, p, v) for (h, p), v in settled.items()]), URLS[r.page_id % len(URLS)]
 
 
+def test_url_rules_take_long_addresses(spark):
+    """A megabyte of path, and of host, costs no more expressions than the rules have shapes."""
+    long = ["http://x.net/es/" + "a/" * 500_000, "http://" + "a." * 500_000 + "net/fr/", "http://example.com/en/" + "b" * 1_000_000]
+    pages = spark.createDataFrame(list(enumerate(long)), "page_id long, url string")
+    rules = spark.createDataFrame(URL_RULES, url_filter.RULE_SCHEMA)
+    url_filter.judge_urls(pages.limit(0), rules).collect()
+    began = time.perf_counter()
+    out = url_filter.judge_urls(pages, rules).collect()
+    assert time.perf_counter() - began < 15
+    assert sorted((r.page_id, r.rule, r.verdict) for r in out) == [(0, "net/es/", "block"), (1, "net/fr/", "block"), (2, "example.com/en/", "block")]
+
+
 def test_url_rules_edge_cases(spark):
     rules = spark.createDataFrame([], url_filter.RULE_SCHEMA)
     pages = spark.createDataFrame([(None, "http://a.com/"), (1, "http://a.com/"), (1, "http://a.com/")], "page_id long, url string").withColumn("host", F.lit(1))
