@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, lean, pinned, released, texts_of
+from .common import bounded, id_text, lean, pinned, released, texts_of
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -162,7 +162,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most_rows: int, merge_copies: b
     Labels are sampled by a hash of the id, so that what is broadcast is bounded by ``most_rows``. With
     ``merge_copies``, of documents with the same label and least hash of five words in a row, as copies
     have, one is taken: a passage that is copied a thousand times says no more than one that is written once. Rows that repeat
-    both id and text are all taken. The chosen are broadcast as a number each, at most ``most_rows``.
+    both id and text are all taken. The chosen are broadcast as a number each if they are at most ``most_rows``; more of them, as rows of a labelled id with different texts can be, are joined by a shuffle.
     """
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("of")).agg(F.max(labels[label_col].cast("int")).alias("label"))
     draw = F.pmod(F.xxhash64(F.col("of").cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -182,7 +182,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most_rows: int, merge_copies: b
     # Of a group the row of the least draw goes on by one number, so that no text is shuffled.
     each = pinned(joined.mapInArrow(lean(keys), "text string, label int, draw double, least bigint").withColumn("pick", F.xxhash64("draw", "text")))
     chosen = pinned(each.groupBy("least", "label").agg(F.min(F.struct("draw", "pick")).alias("one")).select("one.pick").distinct())
-    out = pinned(each.join(F.broadcast(chosen), "pick", "left_semi").select("text", "label", "draw"))
+    out = pinned(each.join(bounded(chosen, most_rows), "pick", "left_semi").select("text", "label", "draw"))
     released(each)
     released(chosen)
     return out
