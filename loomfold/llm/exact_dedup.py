@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
@@ -95,20 +95,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one_of_equals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, broadcast_keys: int = 500_000) -> DataFrame:
     """The rows of docs, all columns, that ``exact_dedup`` keeps.
 
-    Rows are dropped by an anti-join with (id, digest) of the others; where ids repeat with the same
-    text, one of those rows is chosen.
+    Rows are dropped by an anti-join with the ids of the others, or, where ids repeat, with their numbers: a row's partition and
+    place in it. So docs has then to lie in the same partitions each time it is read, as a table does. Of rows with the same id
+    and text the last one stays. Which rows go is decided on narrow rows either way; a text is hashed in full only as in ``exact_dedup``.
     """
-    decided = pinned(exact_dedup(docs, id_col, text_col, prefix_chars, broadcast_keys, digest_all=False))
-    gone = decided.groupBy(F.col(id_col).alias("gone_id")).agg(F.max("kept").alias("some_kept"), F.count("*").alias("n_rows"))
-    repeats = gone.where("n_rows > 1").limit(1).count() > 0
-    dropped = gone.where("NOT some_kept").select("gone_id")
-    if not repeats:
-        return docs.join(bounded(dropped, broadcast_keys), docs[id_col].eqNullSafe(dropped["gone_id"]), "left_anti")
-    # Ids repeat: an id no longer names a text, so rows are told apart by id and digest, and equal rows by their place.
-    columns = docs.columns
-    named = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(columns)], content_sha256(F.coalesce(docs[text_col], F.lit(""))).alias("_digest"))
-    at = f"c{columns.index(id_col)}"
-    best = named.groupBy("_digest").agg(F.max(at).alias("_keep"))
-    left = named.join(best, "_digest").where(F.col(at).eqNullSafe(F.col("_keep")))
-    first = left.withColumn("_nth", F.row_number().over(Window.partitionBy("_digest").orderBy(*[f"c{i}" for i in range(len(columns))])))
-    return first.where("_nth = 1").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    nth = "_nth"
+    while nth in docs.columns:
+        nth += "_"
+    numbered = docs.withColumn(nth, F.monotonically_increasing_id())
+    rows = numbered.select(F.struct(numbered[id_col].alias("id"), numbered[nth].alias("nth")).alias("row"), numbered[text_col].alias("text"))
+    decided = pinned(exact_dedup(rows, "row", "text", prefix_chars, broadcast_keys, digest_all=False))
+    repeats = not decided.groupBy("row.id").count().where("count > 1").isEmpty()
+    if repeats:
+        dropped = decided.where("NOT kept").select(F.col("row.nth").alias("_gone"))
+        return numbered.join(bounded(dropped, broadcast_keys), numbered[nth] == dropped["_gone"], "left_anti").drop(nth)
+    dropped = decided.where("NOT kept").select(F.col("row.id").alias("_gone"))
+    return docs.join(bounded(dropped, broadcast_keys), docs[id_col].eqNullSafe(dropped["_gone"]), "left_anti")

@@ -146,6 +146,25 @@ def test_keep_one_without_repeated_ids(spark):
     assert {r.doc_id for r in keep_one_of_equals(spark.createDataFrame(docs, SCHEMA)).collect()} == want
 
 
+def test_keep_one_moves_no_texts_where_ids_repeat(spark, monkeypatch, tmp_path):
+    """One repeated id, and a third of all rows with the same empty text: nothing but narrow rows is pinned or exchanged."""
+    docs = [(i, t, "x", 1) for i, t in some_documents()] + [(7, None, "y", 2), (7, "", "z", 3), (None, "", "z", 4), (7, "text of its own", "z", 5)] + [(1000 + i // 2, "", "w", i) for i in range(150)]
+    spark.createDataFrame(docs, "doc_id long, text string, _nth string, row int").repartition(3).write.parquet(str(tmp_path / "d"))
+    kept, was = [], exact_dedup_module.pinned
+    monkeypatch.setattr(exact_dedup_module, "pinned", lambda df: kept.append(df) or was(df))
+    out = keep_one_of_equals(spark.read.parquet(str(tmp_path / "d")))
+    assert all("text" not in df.columns for df in kept)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert "hashpartitioning" not in plan
+    got = [(r["doc_id"], az(r["text"])) for r in out.collect()]
+    want = {}
+    for i, t, *_ in docs:
+        want[az(t)] = max(want.get(az(t), -1), -1 if i is None else i)
+    assert sorted(got) == sorted((i, t) for t, i in want.items())
+    assert out.columns == ["doc_id", "text", "_nth", "row"]
+
+
 def shingles(text, k):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", az(text)) if w]
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
