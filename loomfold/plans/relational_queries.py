@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import jobs, ledger, runs
+from ..operators import chains, jobs, ledger, runs
 from .registry import query, table
 
 #: Items that one run takes at most, and entries that the ledger keeps.
@@ -259,3 +259,18 @@ SELECT event_id, nth FROM (SELECT event_id, row_number() OVER (PARTITION BY user
 def articles_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One kind first, each kind in its own order."""
     return ledger.articles_first(table(spark, sf_dir, "events"), "user_id", F.col("event_type") == "view", "event_id").select("event_id", F.col("place").alias("nth"))
+
+
+@query("""
+WITH RECURSIVE walk AS (
+    SELECT doc_id AS chain, doc_id, 0 AS place FROM documents WHERE doc_id < 7
+    UNION ALL
+    SELECT w.chain, d.doc_id, w.place + 1 FROM walk w JOIN documents d ON d.doc_id = w.doc_id + 7)
+SELECT chain, doc_id, CAST(place AS BIGINT) AS place FROM walk
+""")
+def feed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every page in its feed, where a page names the next one alone: seven feeds side by side, ranked without a walk."""
+    name = lambda c: F.md5(c.cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", name(F.col("doc_id")).alias("node"), name(F.col("doc_id") + 7).alias("then"))
+    found = chains.places(docs, docs.where("doc_id < 7").select(F.col("doc_id").alias("chain"), "node"))
+    return found.join(docs, "node").select("chain", "doc_id", "place")

@@ -1,9 +1,10 @@
 """Incremental export: each micro-batch is filtered, written, and only then entered in the ledger.
 
-State is tables in a folder: ``ledger`` (key, seq), ``backlog`` (key, seq), ``held`` (whole items) and ``output``. A batch
+State is tables in a folder: ``ledger``, ``backlog`` and ``gone`` (keys, as ``KeyLedger`` keeps them), ``held`` (whole items) and ``output``. A batch
 writes its files under its own number first and its ledger entries after that, under the same number, each
 replacing what an earlier try left. A crash between the two exports the batch again and never loses
-it; a batch that is run again changes nothing. Items beyond a batch's cap are held as they came and lead the next batch.
+it; a batch that is run again changes nothing. Items beyond a batch's cap are held as they came and lead the next batch; the ledger's manifest says
+where they lie, so that what a later batch has taken never comes back. What earlier batches left incomplete is tried again at the head of each batch.
 """
 
 from __future__ import annotations
@@ -14,11 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.utils import AnalysisException
 
 from ..functions import dates
 from ..operators import ledger
+from ..operators.keyledger import KeyLedger
 
 
 @dataclass(frozen=True)
@@ -49,24 +49,24 @@ def with_expansion(items: DataFrame, rules: Rules) -> DataFrame:
     return items.withColumn("needs_detail", F.col("is_article") | F.lit(rules.expand_threads))
 
 
-def _state(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-
-
 class Exporter:
-    """Writes batches of items (``key``, ``seq`` and what the content needs) and keeps the state."""
+    """Writes batches of items (``key``, ``seq`` and what the content needs) and keeps the state.
+
+    ``again`` takes pending entries (key, seq), those that earlier batches left incomplete, and gives the items that it found for them, with the columns of a batch
+    and ``outcome``: ``found``, or ``gone`` for good. Found items lead a batch, past its rules and its cap; gone ones are settled; those without
+    a row stay pending.
+    """
 
-    def __init__(self, folder: str, content: Callable[[DataFrame], DataFrame], rules: Rules | None = None, key_type: str = "string"):
-        self.folder, self.content, self.rules, self.kind = folder.rstrip("/"), content, rules or Rules(), key_type
+    def __init__(self, folder: str, content: Callable[[DataFrame], DataFrame], rules: Rules | None = None, key_type: str = "string", again: Callable[[DataFrame], DataFrame] | None = None):
+        self.folder, self.content, self.rules, self.again = folder.rstrip("/"), content, rules or Rules(), again
+        self.known = KeyLedger(f"{self.folder}/ledger", key_type, tail=self.rules.ledger_tail)
+        self.left, self.given_up = (KeyLedger(f"{self.folder}/{name}", key_type) for name in ("backlog", "gone"))
 
     def ledger(self, spark: SparkSession) -> DataFrame:
-        return _state(spark, f"{self.folder}/ledger", f"key {self.kind}, seq bigint, batch bigint")
+        return self.known.entries(spark)
 
     def backlog(self, spark: SparkSession) -> DataFrame:
-        return _state(spark, f"{self.folder}/backlog", f"key {self.kind}, seq bigint, batch bigint")
+        return self.left.entries(spark)
 
     def output(self, spark: SparkSession) -> DataFrame:
         return spark.read.option("basePath", f"{self.folder}/output").parquet(f"{self.folder}/output")
@@ -74,48 +74,53 @@ class Exporter:
     def write(self, batch: DataFrame, number: int) -> None:
         """One batch; those that are incomplete go to the backlog and a folder of their own, and not to the ledger."""
         spark = batch.sparkSession
-        done = self.ledger(spark).where(F.col("batch") != number)
-        if self.rules.ledger_tail is not None:
-            done = ledger.tail(done, self.rules.ledger_tail, "seq")
         came = filtered(batch, self.rules)
-        if self.rules.most_items is not None:
-            came = self._held(spark, number, came).unionByName(came)
+        held = self.known.manifest(spark, number)["note"]
+        if held is not None:
+            came = spark.read.schema(came.schema).parquet(f"{self.folder}/held/{held}").unionByName(came)
         # Of a key the row of the least number; rows without a key are all taken.
         names = came.columns
         first = came.where("key IS NOT NULL").groupBy("key").agg(F.min_by(F.struct(*names), "seq").alias("_first")).select("_first.*")
-        items = ledger.exclude(first.unionByName(came.where("key IS NULL")), done, "key")
+        items = self.known.exclude(first.unionByName(came.where("key IS NULL")), "key", number)
+        over = None
         if self.rules.most_items is not None:
-            items = self._within_cap(items, number)
+            items, over = self._within_cap(items, number)
         complete = F.col("complete") if "complete" in batch.columns else F.lit(True)
-        made = self.content(items.withColumn("status", F.when(complete, "done").otherwise("incomplete")))
+        items = items.withColumn("status", F.when(complete, "done").otherwise("incomplete"))
+        gone = None
+        if self.again is not None:
+            tried = self.again(self.pending(spark, before=number))
+            gone = tried.where("outcome = 'gone'").select("key", "seq")
+            found = tried.where("outcome = 'found'").select(*names, F.lit("done").alias("status"))
+            items = ledger.exclude(items, found, "key").unionByName(found)
+        made = self.content(items)
         made.write.mode("overwrite").partitionBy("status").parquet(f"{self.folder}/output/batch={number}")
         written = spark.read.schema(made.schema).parquet(f"{self.folder}/output/batch={number}")
         # An item may be known by a second id, as a repost is; both enter the ledger.
         keys = ["key", *(c for c in ("canonical_key",) if c in made.columns)]
-        for name, status in (("ledger", "done"), ("backlog", "incomplete")):
-            known = written.where(F.col("status") == status)
-            entries = ledger.ledger_entries(known, keys, "seq") if name == "ledger" else known.select("key", "seq")
-            entries.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={number}")
-
-    def _within_cap(self, items: DataFrame, number: int) -> DataFrame:
-        """The first items by number and key; what stands behind the last of them is held. Rows alike in both stay together, above the cap if need be."""
+        self.left.add(written.where("status = 'incomplete'").select("key", "seq"), number)
+        if gone is not None:
+            self.given_up.add(gone, number)
+        # Last: from here on the batch is done.
+        self.known.add(ledger.ledger_entries(written.where("status = 'done'"), keys, "seq"), number, note=over)
+
+    def _within_cap(self, items: DataFrame, number: int) -> tuple[DataFrame, str | None]:
+        """The first items by number and key, and where what stands behind the last of them is held, if anything does. Rows alike in both stay together, above the cap if need be."""
         place = F.struct(F.col("seq"), F.col("key"))
         last = items.select(place.alias("at")).orderBy("at").limit(self.rules.most_items).agg(F.max("at").alias("_last"))
         marked = items.join(F.broadcast(last)).withColumn("_taken", F.coalesce(place <= F.col("_last"), F.lit(False))).drop("_last")
-        marked.where("NOT _taken").drop("_taken").write.mode("overwrite").parquet(f"{self.folder}/held/batch={number}")
-        return marked.where("_taken").drop("_taken")
-
-    def _held(self, spark: SparkSession, number: int, like: DataFrame) -> DataFrame:
-        """What the batch before this one left over; each batch carries on what it doesn't take itself."""
-        every = _state(spark, f"{self.folder}/held", StructType([*like.schema.fields, StructField("batch", LongType())])).where(F.col("batch") < number)
-        return every.where(F.col("batch") == F.lit(every.agg(F.max("batch")).first()[0])).select(*like.columns)
+        path = f"batch={number}"
+        marked.where("NOT _taken").drop("_taken").write.mode("overwrite").parquet(f"{self.folder}/held/{path}")
+        left = items.sparkSession.read.schema(items.schema).parquet(f"{self.folder}/held/{path}")
+        return marked.where("_taken").drop("_taken"), None if left.isEmpty() else path
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-    def pending(self, spark: SparkSession, cap: int = 2000) -> DataFrame:
-        """Backlog entries that no later batch has exported, the last ones within the cap: what the next run tries first."""
-        return ledger.tail(ledger.exclude(self.backlog(spark).groupBy("key").agg(F.min("seq").alias("seq")), self.ledger(spark), "key"), cap, "seq")
+    def pending(self, spark: SparkSession, cap: int = 2000, before: int | None = None) -> DataFrame:
+        """Backlog entries (key, seq) that no later batch has exported or given up, the last ones within the cap: what the next batch tries first."""
+        once = self.left.entries(spark, before).groupBy("key").agg(F.min("seq").alias("seq"))
+        return ledger.tail(self.given_up.exclude(self.known.exclude(once, "key", before), "key", before), cap, "seq")
 
 
 def start_cursor(cursors: DataFrame, mode: str, source: str, first_day: str | None = None, last_day: str | None = None) -> str | None:
