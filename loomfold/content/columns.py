@@ -95,6 +95,14 @@ def feed_pages(raw: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("posts", pa.list_(pa.string())), ("cursor", pa.string()), ("done", pa.bool_())]))
 
 
+@arrow_udf(StructType([StructField("key", StringType()), StructField("handle", StringType()), StructField("promoted", BooleanType()), StructField("media", LongType()), StructField("chars", LongType())]))
+def snapshot_facts(html: pa.Array) -> pa.Array:
+    """``pages.snapshot_facts`` of each snapshot; null counts as empty."""
+    found = [pages.snapshot_facts(h or "") for h in html.to_pylist()]
+    kinds = [("key", pa.string()), ("handle", pa.string()), ("promoted", pa.bool_()), ("media", pa.int64()), ("chars", pa.int64())]
+    return pa.StructArray.from_arrays([pa.array([f[n] for f in found], k) for n, k in kinds], [n for n, _ in kinds])
+
+
 def documents_of_pages(frame: DataFrame, now: str = "", single: bool = False, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, document (JSON) of each page at a post's address; null where there is no post. Filter pages before, not after."""
     rows = frame.select(frame[id_col], frame[url_col].alias("_url"), frame[html_col].alias("_html"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..content import columns, html
-from ..operators import export
+from ..operators import export, snapshots
 from . import text_queries
 from .registry import query, table
 
@@ -221,3 +221,43 @@ def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "documents").select(F.expr("doc_id div 100").alias("run"), "doc_id", F.concat(F.lit("https://x.com/i/status/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"))
     job = items.groupBy("run").agg(F.count("*").alias("completed")).withColumn("status", F.lit("done"))
     return export.manifest(job, items, "run", "doc_id")
+
+
+_ROW = (
+    '<article role="article"><div data-testid="User-Name"><a href="/{{who}}">N {{who}}</a><a href="/{{who}}">@{{who}}</a>{{mark}}</div>'
+    '<div data-testid="tweetText">{{text}}</div>{{photo}}<a href="/{{who}}/status/{{id}}"><time datetime="2024-03-02T07:08:09.000Z"></time></a></article>'
+)
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, 1000 * conv_id + turn + 1 AS id, turn % 6 = 4 AS other, role <> 'system' AS shown, md5(text) || ' ' || turn AS whole FROM conversations),
+w AS (SELECT t.*, c.c AS capture, t.turn - 2 * c.c AS pos, (t.turn + c.c) % 2 = 0 AS loaded FROM t JOIN (SELECT unnest(range(100)) AS c) c ON t.turn BETWEEN 2 * c.c AND 2 * c.c + 3 WHERE shown),
+kept AS (SELECT * FROM w WHERE NOT other AND NOT EXISTS (SELECT 1 FROM w o WHERE o.conv_id = w.conv_id AND o.capture = w.capture AND o.pos < w.pos AND o.other)),
+best AS (SELECT conv_id, id, turn, min(100 * capture + pos) AS seen, CASE WHEN bool_or(loaded) THEN any_value(whole) ELSE substr(any_value(whole), 1, 10) END AS text, bool_or(loaded) AND turn % 3 = 0 AS photo FROM kept GROUP BY ALL HAVING true)
+SELECT conv_id, count(*) AS n_posts, string_agg(id, ',' ORDER BY seen) AS ids, string_agg(text || CASE WHEN photo THEN ' +' ELSE '' END, '|' ORDER BY seen) AS texts FROM best GROUP BY conv_id
+""".replace("GROUP BY ALL HAVING true", "GROUP BY conv_id, id, turn"))
+def threads_of_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads rebuilt from screens of four posts that overlap by two: the best snapshot of each post, in the order in which posts were first seen, read together with the last screen, which is all that the page still shows."""
+    turns = table(spark, sf_dir, "conversations")
+    each = turns.withColumn("capture", F.explode(F.expr("filter(array(turn div 2 - 1, turn div 2), c -> c >= 0)"))).withColumn("pos", F.col("turn") - 2 * F.col("capture"))
+    loaded = (F.col("turn") + F.col("capture")) % 2 == 0
+    whole = F.concat(F.md5("text"), F.lit(" "), F.col("turn").cast("string"))
+    values = {
+        "who": F.when(F.col("turn") % 6 == 4, "bob").otherwise("ana"), "id": (F.col("conv_id") * 1000 + F.col("turn") + 1).cast("string"), "text": F.when(loaded, whole).otherwise(F.substring(whole, 1, 10)),
+        "mark": F.when(F.col("role") == "system", "<span>Ad</span>").otherwise(""), "photo": F.when(F.col("turn") % 3 == 0, F.concat(F.lit('<div data-testid="tweetPhoto"><img src="'), F.when(loaded, "https://pbs.twimg.com/media/A?format=jpg&amp;name=small").otherwise(""), F.lit('"></div>'))).otherwise(""),
+    }
+    row = F.lit(_ROW)
+    for name, value in values.items():
+        row = F.replace(row, F.lit("{{" + name + "}}"), value)
+    rows = each.select(F.col("conv_id").alias("thread"), "capture", "pos", F.lit("ANA").alias("owner"), row.alias("html")).withColumn("facts", columns.snapshot_facts("html")).select("*", "facts.*").drop("facts")
+    best = snapshots.merged_windows(rows)
+    # The last screen of a conversation has at most four posts.
+    live = rows.groupBy("thread").agg(F.max_by("html", F.struct("capture", "pos")).alias("html")).withColumn("url", F.concat(F.lit("https://x.com/ana/status/"), (F.col("thread") * 1000 + 1).cast("string")))
+    pages_ = snapshots.with_snapshots(live, best).join(best.select("thread").distinct(), "thread", "left_semi")
+    made = columns.documents_of_pages(pages_, id_col="thread")
+    body = F.get_json_object("document", "$.body")
+    kind = "array<struct<tweetId:string,text:array<struct<value:string>>,media:array<struct<url:string>>>>"
+    shown = F.from_json(F.coalesce(F.get_json_object(body, "$.tweets"), F.concat(F.lit("["), body, F.lit("]"))), kind)
+    text = lambda p: F.concat(p["text"][0]["value"], F.when(F.size(p["media"]) > 0, " +").otherwise(""))
+    read = made.select(F.col("thread").alias("conv_id"), shown.alias("posts"))
+    return read.select("conv_id", F.size("posts").cast("bigint").alias("n_posts"), F.array_join("posts.tweetId", ",").alias("ids"), F.array_join(F.transform("posts", text), "|").alias("texts"))
