@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +87,7 @@ def last_choice(events: DataFrame, key: str, action: str, seq: str, chosen: str)
 def numbered_names(rows: DataFrame, name: str, group: str, order: str, out: str = "unique_name") -> DataFrame:
     """Names with -2, -3 before the extension from their second use on, case aside.
 
-    A made name may meet a name that is given as such; ``unique_names`` settles that too.
+    A made name may meet a name that is given as such; ``names.unique_names`` settles that too.
     """
     nth = F.row_number().over(Window.partitionBy(group, F.lower(name)).orderBy(order))
     stem, ext = F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?$", 2)
@@ -118,28 +117,6 @@ class Names:
         return made
 
 
-def unique_names(rows: DataFrame, name: str, group: str, order: str, out: str = "unique_name") -> DataFrame:
-    """Names as a run gives them one after the other: the first free of name, name-2, name-3, case aside; a null name stays null.
-
-    Sequential in a run (``group``, null being a run of its own), as each name depends on those before; only names are held, and
-    runs are independent. Rows come to a task in order, batch by batch.
-    """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` string"
-    of, named = rows.columns.index(group), rows.columns.index(name)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names = object(), Names()
-        for batch in batches:
-            made = []
-            for g, n in zip(batch.column(of).to_pylist(), batch.column(named).to_pylist(), strict=True):
-                if g != now:
-                    now, names = g, Names()
-                made.append(names.give(n))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, out])
-
-    return rows.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, kinds)
-
-
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     """key, first_at, n: distinct keys, where each was first seen and how often; a null key counts as one key."""
     return rows.groupBy(key).agg(F.min(order).alias("first_at"), F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import chains, jobs, ledger, runs
+from ..operators import chains, jobs, ledger, names, runs
 from .registry import query, table
 
 #: Items that one run takes at most, and entries that the ledger keeps.
@@ -114,7 +114,7 @@ def filename_collision_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names as a run gives them one after the other, so that a made name avoids a given one; en.md, en-2.md and en-3.md are all given."""
     number = F.when(F.col("doc_id") % 4 < 2, "").otherwise(F.concat(F.lit("-"), (F.col("doc_id") % 4).cast("string")))
     rows = _docs(spark, sf_dir).select("doc_id", "source", F.concat("lang", number, F.lit(".md")).alias("name"))
-    return ledger.unique_names(rows, "name", "source", "doc_id").select("doc_id", "source", "unique_name")
+    return names.unique_names(rows, "name", "source", "doc_id").select("doc_id", "source", "unique_name")
 
 
 @query("""

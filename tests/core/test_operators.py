@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomfold.content import columns, posts
-from loomfold.operators import checks, export, jobs, ledger, routing, runs, sinks
+from loomfold.operators import checks, export, jobs, ledger, names, routing, runs, sinks
 from loomfold.sources import details
 from loomfold.sources.paged import PagedFeed, pages
 from loomfold.sources.paged import feed as stored_feed
@@ -73,7 +73,7 @@ def test_free_names_never_collide(names):
 
 def test_unique_names(spark):
     rows = spark.createDataFrame([(1, "r", "a.md"), (2, "r", "A.md"), (3, "r", "a-2.md"), (4, "r", "a.md"), (1, "s", "a.md")], "pos int, run string, name string")
-    assert values(ledger.unique_names(rows, "name", "run", "pos"), "run", "pos", "unique_name") == [("r", 1, "a.md"), ("r", 2, "A-2.md"), ("r", 3, "a-2-2.md"), ("r", 4, "a-3.md"), ("s", 1, "a.md")]
+    assert values(names.unique_names(rows, "name", "run", "pos"), "run", "pos", "unique_name") == [("r", 1, "a.md"), ("r", 2, "A-2.md"), ("r", 3, "a-2-2.md"), ("r", 4, "a-3.md"), ("s", 1, "a.md")]
     assert values(ledger.numbered_names(rows, "name", "run", "pos").where("run = 'r'"), "pos", "unique_name")[1] == (2, "A-2.md")
 
 
@@ -385,7 +385,7 @@ def test_order_counts_and_settling(spark):
 
 def test_names_of_null_runs_and_null_names(spark):
     rows = spark.createDataFrame([(i, g, n) for i, (g, n) in enumerate([(None, "a.md"), (1, "a.md"), (None, "A.md"), (1, None), (None, None), (1, "a.md"), (None, ".md"), (None, ".md")])], "pos int, run int, name string")
-    got = {r.pos: r.unique_name for r in ledger.unique_names(rows, "name", "run", "pos").collect()}
+    got = {r.pos: r.unique_name for r in names.unique_names(rows, "name", "run", "pos").collect()}
     assert got == {0: "a.md", 1: "a.md", 2: "A-2.md", 3: None, 4: None, 5: "a-2.md", 6: ".md", 7: ".md-2"}
     many = ledger.Names()
     assert [many.give("x.md") for _ in range(20_000)][-1] == "x-20000.md"
