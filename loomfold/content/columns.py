@@ -70,6 +70,7 @@ def markdown_and_body_of(documents: pa.Array) -> pa.Array:
 html_of = _json_function(html.document)
 html_with_counts_of = _json_function(lambda d: html.document(d, True))
 html_fragment_of = _json_function(html.fragment)
+html_card_of = _json_function(lambda doc: html.card(doc))
 html_many_of = _json_function(lambda docs: html.many(docs))
 json_many_of = _json_function(lambda docs: json.dumps(docs, ensure_ascii=False, indent=2))
 pretty_json_of = _json_function(lambda d: json.dumps(d, ensure_ascii=False, indent=2))

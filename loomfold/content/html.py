@@ -212,5 +212,19 @@ def document(doc: dict, counts: bool = False) -> str:
     return _page(title, f'<div class="document">{body(doc, counts)}</div>')
 
 
+def card(doc: dict, counts: bool = False) -> str:
+    return f'<div class="document">{body(doc, counts)}</div>'
+
+
+#: What stands between two documents of one page.
+CARD_RULE = "\n<hr>\n"
+
+
+def around_cards(n: str) -> tuple[str, str]:
+    """What stands before and behind the cards of a page of n documents."""
+    head, _, foot = _page(f"Export ({n})", "\1").partition("\1")
+    return head, foot
+
+
 def many(docs: list[dict], counts: bool = False) -> str:
-    return _page(f"Export ({len(docs)})", "\n<hr>\n".join(f'<div class="document">{body(d, counts)}</div>' for d in docs))
+    return _page(f"Export ({len(docs)})", CARD_RULE.join(card(d, counts) for d in docs))

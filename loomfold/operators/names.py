@@ -12,25 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import gone, kept
+from .shared import gone, kept, running
 
 #: A stem and its extension; a dot at the start is no extension. A stem that a numbering makes ends in a number from 2 on.
 NAMED, NUMBERED = r"(?s)^(.+?)(\.[^.]*)?$", r"(?s)^(.+)-([2-9]|[1-9][0-9]{1,8})$"
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str = "nth") -> DataFrame:
-    """rows, kept, with the place from 1 of each among those of its keys, in order; a key of any size lies in as many ranges as it fills.
-
-    Rows are numbered range by range and moved by what the ranges before have of the same key, of which there are as many numbers as ranges.
-    """
-    laid = kept(rows.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).withColumn("_range", F.spark_partition_id()))
-    own = Window.partitionBy("_range", *keys).orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = laid.groupBy("_range", *keys).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_before > 0").drop("_n")
-    made = laid.withColumn(out, F.row_number().over(own).cast("bigint")).join(ahead, ["_range", *keys], "left")
-    done = kept(made.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_range", "_before"))
-    gone(laid)
-    return done
+    """rows, kept, with the place from 1 of each among those of its keys, in order."""
+    return running(rows.withColumn("_one", F.lit(1).cast("bigint")), keys, order, "_one", out).drop("_one")
 
 
 def gaps(children: DataFrame, requests: DataFrame) -> DataFrame:

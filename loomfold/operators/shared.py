@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -36,3 +37,19 @@ def remove(spark: SparkSession, path: str) -> None:
 def gone(df: DataFrame) -> None:
     """Deletes the table of a kept df that nothing reads any more."""
     remove(df.sparkSession, df.kept_at)
+
+
+def running(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """rows, kept, with the sum of ``value`` over those of the same keys up to and with each, in order, which tells them apart.
+
+    Rows are summed up range by range and moved by the sums of the ranges before, of which a key has as many as it fills; so a key may have any
+    number of rows.
+    """
+    laid = kept(rows.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).withColumn("_range", F.spark_partition_id()))
+    own = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = laid.groupBy("_range", *keys).agg(F.sum(value).alias("_n")).withColumn("_before", F.sum("_n").over(before)).where("_before IS NOT NULL").drop("_n")
+    made = laid.withColumn(out, F.sum(value).over(own)).join(ahead, ["_range", *keys], "left")
+    done = kept(made.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_range", "_before"))
+    gone(laid)
+    return done

@@ -425,7 +425,7 @@ def run_rows(spark, n):
 @pytest.mark.parametrize("fmt", ["md", "txt", "html", "json", "csv"])
 def test_a_run_writes_its_files(spark, tmp_path, fmt):
     at = datetime(2024, 3, 2, 7, 8)
-    written = sinks.write_run(run_rows(spark, 3), str(tmp_path / fmt), fmt, "both", "pos", at, export.Options(), failures=[{"url": "u", "error": "e"}])
+    written = sinks.write_run(run_rows(spark, 3), str(tmp_path / fmt), fmt, "both", "pos", at, export.Options(), failures=[{"url": "u", "error": "e"}]).collect()
     names = {w["name"] for w in written}
     items = set() if fmt == "csv" else {f"ana-{i}.{fmt}" for i in range(3)}
     assert names == items | {f"x-compilation-20240302.{fmt}", "data.json"}
@@ -441,14 +441,14 @@ def test_a_run_writes_its_files(spark, tmp_path, fmt):
 
 def test_a_run_writes_archives_unless_they_are_empty(spark, tmp_path):
     at = datetime(2024, 3, 2, 7, 8)
-    names = {w["name"] for w in sinks.write_run(run_rows(spark, 2), str(tmp_path / "a"), "txt", "files", "pos", at, export.Options(), zip_items=True)}
+    names = {w["name"] for w in sinks.write_run(run_rows(spark, 2), str(tmp_path / "a"), "txt", "files", "pos", at, export.Options(), zip_items=True).collect()}
     assert names == {"x-files-20240302.zip", "data.json"}
     with zipfile.ZipFile(tmp_path / "a" / "x-files-20240302.zip") as z:
         assert z.namelist() == ["ana-0.txt", "ana-1.txt"] and z.read("ana-1.txt").decode().startswith("Ana (@ana)\n\nPost 1\n")
-    empty = sinks.write_run(run_rows(spark, 2).limit(0), str(tmp_path / "b"), "txt", "both", "pos", at, export.Options(), zip_items=True, status="cancelled")
+    empty = sinks.write_run(run_rows(spark, 2).limit(0), str(tmp_path / "b"), "txt", "both", "pos", at, export.Options(), zip_items=True, status="cancelled").collect()
     assert {w["name"] for w in empty} == {"data.json"} and json.loads((tmp_path / "b" / "data.json").read_text())["status"] == "cancelled"
-    # Markdown with local images isn't put into an archive, and longer runs come in parts.
-    kept = sinks.write_run(run_rows(spark, 2), str(tmp_path / "c"), "md", "files", "pos", at, export.Options(download_images=True), zip_items=True)
+    # Markdown with local images isn't put into an archive; what is made in memory comes in parts.
+    kept = sinks.write_run(run_rows(spark, 2), str(tmp_path / "c"), "md", "files", "pos", at, export.Options(download_images=True), zip_items=True).collect()
     assert {w["name"] for w in kept} == {"ana-0.md", "ana-1.md", "data.json"}
     parts = export.combined_files(run_rows(spark, 5).withColumn("run", F.lit(None).cast("string")), "run", "pos", "txt", export.Options(), most=2)
     assert values(parts, "part", "n_items") == [(0, 2), (1, 2), (2, 1)]
