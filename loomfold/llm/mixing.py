@@ -23,6 +23,8 @@ from .common import bounded, pinned, released, running_sums, texts_of
 
 #: Bits of a key's place, and how many of them each round of sums adds to a slot.
 PLACE_BITS, ROUND_BITS = 47, (12, 12, 12)
+#: Sources up to which what is known of each, a few numbers, is settled on the driver; of more it is settled by tables.
+FEW_SOURCES = 4096
 #: Words in a stretch of which the share of distinct ones is taken.
 STRETCH = 64
 
@@ -85,6 +87,19 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: flo
     return sums.select("source", "source_size", (full if first is None else F.least(full, F.col("weight") * F.lit(first["common"]))).cast("double").alias("target"))
 
 
+def few_targets(sources: list, weights: tuple[int, ...], share: float, cap: float) -> list[tuple]:
+    """(source, source_size, target) of a few sources (source, source_size), as ``targets`` has them."""
+    order = sorted(sources, key=lambda r: (r[0] is None, r[0] if r[0] is not None else ""))
+    known = [(size * cap / float(weights[k % len(weights)]), k, float(weights[k % len(weights)]), size) for k, (_, size) in enumerate(order)]
+    before, heavy, total, common = 0.0, sum(x[2] for x in known), float(sum(x[3] for x in known)) * share, None
+    for level, _, weight, size in sorted(known):
+        if (total - before) / heavy <= level:
+            common = (total - before) / heavy
+            break
+        before, heavy = before + size * cap, heavy - weight
+    return [(source, size, size * cap if common is None else min(size * cap, known[k][2] * common)) for k, (source, size) in enumerate(order)]
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", quality_col: str | None = None, seed: int = 0, cut_last: bool = True, broadcast_sources: int = 200_000) -> DataFrame:
     """One row per row of docs: id_col, source, size, source_size, target, epochs, selected, taken.
 
@@ -94,35 +109,47 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     without ``cut_last``, comes whole if more than half of it fits and else not at all. The quality
     weight is ``quality_col`` (null or not positive counts as the least weight, 1e-6) or, without one, the
     share of words that are no repeats, in stretches of 64. Null text has size 0 and takes nothing; null sources are a source of
-    their own, the last, and null ids an id. Rows that repeat an id have the same key and are taken one after the other; they are put
+    their own, the last; rows without an id are told apart by a hash of their text. Rows that repeat an id, or a text without one, have the same key and are taken one after the other; they are put
     in order by one task where the budget ends among them. A rerun gives the same
     result, wherever rows lie. An empty table gives an empty result; other columns of docs are not read, whatever their names.
     """
     read = words_and_quality(docs[text_col])
-    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), read.alias("read"), (F.lit(None).cast("double") if quality_col is None else docs[quality_col].cast("double")).alias("given"))
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), read.alias("read"), F.when(docs[id_col].isNull(), F.xxhash64(docs[text_col])).alias("text_hash"), (F.lit(None).cast("double") if quality_col is None else docs[quality_col].cast("double")).alias("given"))
     weight = F.col("read.quality") if quality_col is None else F.greatest(F.coalesce(F.nanvl("given", F.lit(0.0)), F.lit(0.0)), F.lit(1e-6))
-    key = -F.log(uniform(F.coalesce(F.col("id").cast("string"), F.lit("")), seed)) / weight
+    key = -F.log(uniform(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("\u0000"), F.col("text_hash").cast("string"))), seed)) / weight
     keyed = pinned(rows.select("id", "source", F.col("read.size").alias("size"), key.alias("key")).withColumn("place", place_of(F.col("key"))))
     shift = PLACE_BITS - ROUND_BITS[0]
     slots = pinned(keyed.groupBy("source", F.shiftright("place", shift).alias("slot")).agg(F.sum("size").alias("slot_size")))
-    sources = targets(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, share, cap)
+    sizes = slots.groupBy("source").agg(F.sum("slot_size").alias("source_size"))
+    first_few = sizes.limit(FEW_SOURCES + 1).collect()
+    few = len(first_few) <= FEW_SOURCES
+    spark = docs.sparkSession
+    # What has a row a source: of a few sources a local table, which costs no job to read, else one in the shared folder.
+    settle = (lambda df: spark.createDataFrame(df.collect(), df.schema)) if few else pinned
+    small = F.broadcast if few else lambda df: bounded(df, broadcast_sources)
+    if few:
+        schema = StructType([slots.schema["source"], StructField("source_size", LongType()), StructField("target", DoubleType())])
+        sources = spark.createDataFrame(few_targets(first_few, weights, share, cap), schema)
+    else:
+        sources = targets(sizes, weights, share, cap)
     budget = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = pinned(budget.withColumns({"rest": F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"), "taken_before": F.lit(0).cast("long")}).withColumnRenamed("source", "of"))
+    plan = settle(budget.withColumns({"rest": F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"), "taken_before": F.lit(0).cast("long")}).withColumnRenamed("source", "of"))
     for r, bits in enumerate(ROUND_BITS):
         if r:
             shift -= bits
-            at_last = keyed.join(bounded(plan.select("of", "slot"), broadcast_sources), F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("place", shift + bits) == F.col("slot")))
+            at_last = keyed.join(small(plan.select("of", "slot")), F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("place", shift + bits) == F.col("slot")))
             slots = at_last.groupBy("source", F.shiftright("place", shift).alias("slot")).agg(F.sum("size").alias("slot_size"))
         # At most 4096 rows a source.
         running = slots.withColumn("before", F.sum("slot_size").over(Window.partitionBy("source").orderBy("slot")) - F.col("slot_size"))
-        meets = running.join(bounded(plan.select("of", "rest", "taken_before"), broadcast_sources), F.col("source").eqNullSafe(F.col("of")))
+        meets = running.join(small(plan.select("of", "rest", "taken_before")), F.col("source").eqNullSafe(F.col("of")))
         meets = meets.withColumn("before", F.col("before") + F.col("taken_before")).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("slot_size") >= F.col("rest")))
         last = meets.groupBy(F.col("source").alias("source")).agg(F.min(F.struct("slot", "before")).alias("last"))
         was = plan
-        plan = plan.drop("slot", "taken_before").join(bounded(pinned(last), broadcast_sources), F.col("of").eqNullSafe(F.col("source")), "left")
-        plan = pinned(plan.select("of", "source_size", "target", "epochs", "rest", F.col("last.slot").alias("slot"), F.col("last.before").alias("taken_before")))
-        released(was)
-    all_rows = keyed.join(bounded(plan, broadcast_sources), keyed["source"].eqNullSafe(plan["of"])).drop("of").withColumn("own", F.shiftright("place", shift))
+        plan = plan.drop("slot", "taken_before").join(small(settle(last)), F.col("of").eqNullSafe(F.col("source")), "left")
+        plan = settle(plan.select("of", "source_size", "target", "epochs", "rest", F.col("last.slot").alias("slot"), F.col("last.before").alias("taken_before")))
+        if not few:
+            released(was)
+    all_rows = keyed.join(small(plan), keyed["source"].eqNullSafe(plan["of"])).drop("of").withColumn("own", F.shiftright("place", shift))
     # Without a last slot nothing is left to select.
     at_last = F.coalesce(F.col("own") == F.col("slot"), F.lit(False))
     ahead = F.coalesce(F.col("own") < F.col("slot"), F.lit(False))

@@ -237,6 +237,38 @@ def test_mixing_targets_of_many_sources(spark):
     assert {x.source: x.target for x in got} == pytest.approx(water_filled(sizes), abs=1e-4)
 
 
+def test_mixing_of_few_and_many_sources_is_the_same(spark, monkeypatch):
+    r = random.Random(21)
+    docs = spark.createDataFrame([(None if i % 9 == 0 else i % 70, r.choice("abcde") if i % 6 else None, "w " * r.randrange(40) + str(i % 11)) for i in range(300)], "doc_id long, source string, text string")
+    few = sorted(tuple(x) for x in mixing.mix(docs).select("doc_id", "size", "target", "taken").na.fill(-1).collect())
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 2)
+    many = sorted(tuple(x) for x in mixing.mix(docs).select("doc_id", "size", "target", "taken").na.fill(-1).collect())
+    assert [(a, b, d) for a, b, _, d in few] == [(a, b, d) for a, b, _, d in many]
+    assert [x[2] for x in few] == pytest.approx([x[2] for x in many])
+
+
+def test_mixing_of_few_sources_takes_few_jobs(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], "w " * (i % 7)) for i in range(200)], "doc_id long, source string, text string")
+    group = f"mixing-{time.time()}"
+    spark.sparkContext.setJobGroup(group, "mixing")
+    try:
+        mixing.mix(docs).collect()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 30
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_mixing_of_one_id_on_all_rows(spark):
+    """Documents that share an id, or have none, reach their source's target, with and without the cut."""
+    for one in (5, None):
+        docs = spark.createDataFrame([(one, "s" if i % 3 else "t", f"{i} " + "w " * (i % 13)) for i in range(240)], "doc_id long, source string, text string")
+        rows = mixing.mix(docs).collect()
+        for source in "st":
+            own = [x for x in rows if x.source == source]
+            assert sum(x.taken for x in own) == pytest.approx(own[0].target, abs=1)
+            assert all(x.taken <= 2 * x.size for x in own)
+
+
 def test_mixing_quality_does_not_fall_with_length():
     words = [f"w{i % 400}".encode() for i in range(20_000)]
     assert mixing.variety(words) == mixing.variety(words[:300]) == 1.0
