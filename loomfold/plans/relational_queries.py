@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import chains, jobs, ledger, names, runs
+from ..operators import chains, jobs, ledger, names, overlays, runs
 from .registry import query, table
 
 #: Items that one run takes at most, and entries that the ledger keeps.
@@ -274,3 +274,47 @@ def feed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", name(F.col("doc_id")).alias("node"), name(F.col("doc_id") + 7).alias("then"))
     found = chains.places(docs, docs.where("doc_id < 7").select(F.col("doc_id").alias("chain"), "node"))
     return found.join(docs, "node").select("chain", "doc_id", "place")
+
+
+_STRETCHES = """
+p AS (SELECT g, low AS pos FROM r UNION SELECT g, high FROM r), e AS (SELECT g, pos, lead(pos) OVER (PARTITION BY g ORDER BY pos) AS next FROM p),
+s AS (SELECT e.g, e.pos, e.next, bool_or(coalesce(kind = 'bold', false)) AS bold, bool_or(coalesce(kind = 'italic', false)) AS italic, arg_max(link, nth) FILTER (WHERE link IS NOT NULL) AS link FROM e JOIN r ON r.g = e.g AND r.low <= e.pos AND r.high >= e.next GROUP BY e.g, e.pos, e.next),
+c AS (SELECT *, CASE WHEN pos IS NOT DISTINCT FROM lag(next) OVER w AND (bold, italic, coalesce(link, '')) IS NOT DISTINCT FROM lag((bold, italic, coalesce(link, ''))) OVER w THEN 0 ELSE 1 END AS change FROM s WINDOW w AS (PARTITION BY g ORDER BY pos)),
+i AS (SELECT *, sum(change) OVER (PARTITION BY g ORDER BY pos) AS island FROM c),
+o AS (SELECT g, min(pos) AS low, max(next) AS high, any_value(bold) AS bold, any_value(italic) AS italic, any_value(link) AS link FROM i GROUP BY g, island)
+"""
+
+
+@query(f"""
+WITH r AS (SELECT event_type AS g, CAST(floor(10 * value) AS BIGINT) + 1000 * (user_id % 10) AS low, CAST(floor(10 * value) AS BIGINT) + 1000 * (user_id % 10) + user_id % 7 AS high,
+  CASE event_id % 3 WHEN 0 THEN 'bold' WHEN 1 THEN 'italic' END AS kind, CASE WHEN event_id % 4 = 0 THEN 'u' || user_id END AS link, event_id AS nth FROM events WHERE value IS NOT NULL AND user_id % 7 > 0), {_STRETCHES}
+SELECT g AS event_type, low, high, bold, italic, link FROM o
+""")
+def range_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a range of its kind's line: stretches of equal state over all of them, with the link that was painted last."""
+    low = F.floor(10 * F.col("value")).cast("bigint") + 1000 * (F.col("user_id") % 10)
+    ranges = table(spark, sf_dir, "events").select("event_type", low.alias("low"), (low + F.col("user_id") % 7).alias("high"), "event_id", "user_id")
+    flags = {"bold": F.col("event_id") % 3 == 0, "italic": F.col("event_id") % 3 == 1}
+    link = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    return overlays.overlaid(ranges, "event_type", "low", "high", flags, link, "event_id", "link")
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+k AS (SELECT t.*, x.k AS nth, 40 * x.k + doc_id * x.k % 17 AS low, 40 * x.k + doc_id * x.k % 17 + (doc_id + 7 * x.k) % 60 AS high FROM t, LATERAL (SELECT unnest(range(n // 40 + 1)) AS k) x),
+r AS (SELECT doc_id AS g, low, least(high, n) AS high, CASE nth % 4 WHEN 0 THEN 'bold' WHEN 1 THEN 'italic' END AS kind, CASE WHEN nth % 4 > 1 THEN 'u' || nth % 3 END AS link, nth FROM k WHERE low < least(high, n)
+  UNION ALL SELECT doc_id, 0, n, NULL, NULL, -1 FROM t), {_STRETCHES}
+SELECT o.g AS doc_id, count(*) AS n_pieces, sha256(string_agg(substr(t.text, low + 1, high - low) || '|' || CASE WHEN bold THEN 'b' ELSE '' END || CASE WHEN italic THEN 'i' ELSE '' END || coalesce(link, '') || '|', '' ORDER BY low)) AS pieces_sha256
+FROM o JOIN t ON t.doc_id = o.g GROUP BY o.g
+""")
+def styled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with overlapping bold, italic and linked ranges all over them, cut into pieces of one style."""
+    docs = table(spark, sf_dir, "documents")
+    nth = F.col("place")
+    each = docs.where("length(text) > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("length(text) div 40").cast("int"))).alias("place"))
+    url, style = F.when(nth % 4 > 1, F.concat(F.lit("u"), (nth % 3).cast("string"))), F.when(nth % 4 == 0, "bold").when(nth % 4 == 1, "italic")
+    ranges = each.select("doc_id", (40 * nth + F.col("doc_id") * nth % 17).alias("offset"), ((F.col("doc_id") + 7 * nth) % 60).alias("length"), style.alias("style"), url.alias("url"), "place")
+    marks = F.concat(F.when(F.col("bold"), "b").otherwise(""), F.when(F.col("italic"), "i").otherwise(""), F.coalesce("link", F.lit("")))
+    shown = overlays.styled_pieces(docs, ranges, "doc_id", "text").select("doc_id", "low", F.concat("piece", F.lit("|"), marks, F.lit("|")).alias("shown"))
+    # The pieces of one text, which is a row itself.
+    return shown.groupBy("doc_id").agg(F.count("*").alias("n_pieces"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", "shown"))), lambda p: p["shown"]), ""), 256).alias("pieces_sha256"))
