@@ -11,8 +11,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..content import columns, html
+from ..content import columns, html, wire
 from ..operators import export, snapshots
+from ..operators.shared import kept
 from . import text_queries
 from .registry import query, table
 
@@ -261,3 +262,51 @@ def threads_of_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda p: F.concat(p["text"][0]["value"], F.when(F.size(p["media"]) > 0, " +").otherwise(""))
     read = made.select(F.col("thread").alias("conv_id"), shown.alias("posts"))
     return read.select("conv_id", F.size("posts").cast("bigint").alias("n_posts"), F.array_join("posts.tweetId", ",").alias("ids"), F.array_join(F.transform("posts", text), "|").alias("texts"))
+
+
+@query("""
+SELECT doc_id, CAST(doc_id AS VARCHAR) AS post_id, upper(source[1]) || source[2:] AS name, source AS handle, doc_id % 2 = 0 AS verified, strftime(TIMESTAMP '2024-01-01' + INTERVAL (doc_id) HOUR, '%Y-%m-%dT%H:%M:%S.000Z') AS date,
+  n_chars AS likes, CASE WHEN doc_id % 3 = 0 THEN n_chars * 2 END AS views, doc_id % 5 = 0 AS is_repost, sha256(coalesce(text, '')) AS text_sha256, CASE WHEN doc_id % 4 = 0 THEN 'q' || doc_id END AS quoted_id
+FROM documents WHERE NOT (source = 'web' AND doc_id % 5 = 0)
+""")
+def post_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors, dates, counts, reposts, long texts and quotes of raw posts, some in a wrapper, read without Python."""
+    docs = table(spark, sf_dir, "documents")
+    doc, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    at = F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, int(doc_id))")
+    user = F.struct(F.struct(F.initcap("source").alias("name"), F.col("source").alias("screen_name")).alias("core"), (doc % 2 == 0).alias("is_blue_verified"))
+    # Every second text is a long one, whose beginning alone stands in the post itself.
+    long = F.when(doc % 2 == 1, F.struct(F.struct(F.struct(text.alias("text")).alias("result")).alias("note_tweet_results")))
+    legacy = F.struct(
+        F.when(doc % 2 == 1, F.substring(text, 1, 10)).otherwise(text).alias("full_text"), F.date_format(at, "EEE MMM dd HH:mm:ss '+0000' yyyy").alias("created_at"), F.col("n_chars").alias("favorite_count"),
+        F.when(doc % 5 == 0, F.struct(F.lit(1).alias("result"))).alias("retweeted_status_result"),
+    )
+    quoted = F.when(doc % 4 == 0, F.struct(F.struct(F.concat(F.lit("q"), doc.cast("string")).alias("rest_id")).alias("result")))
+    views = F.when(doc % 3 == 0, F.struct((F.col("n_chars") * 2).cast("string").alias("count")))
+    bare = F.to_json(F.struct(doc.cast("string").alias("rest_id"), F.struct(F.struct(user.alias("result")).alias("user_results")).alias("core"), legacy.alias("legacy"), long.alias("note_tweet"), quoted.alias("quoted_status_result"), views.alias("views")))
+    raw = F.when(doc % 7 == 0, F.concat(F.lit('{"__typename":"Other","tweet":'), bare, F.lit("}"))).otherwise(bare)
+    # The feed is a table of its own, as a stored feed is; making it and reading it in one projection is more than one generated method holds.
+    feed = kept(docs.select("doc_id", raw.alias("raw")))
+    posts = wire.headers(feed.select("doc_id", wire.variant("raw").alias("post")), "post").where("NOT (author.handle = 'web' AND is_repost)")
+    return posts.select("doc_id", "post_id", "author.name", "author.handle", "author.verified", "date", "counts.likes", "counts.views", "is_repost", F.sha2("text", 256).alias("text_sha256"), F.try_variant_get("quoted", "$.rest_id", "string").alias("quoted_id"))
+
+
+@query("""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations)
+SELECT conv_id, place, turn, role AS handle, sha256(coalesce(text, '')) AS text_sha256, 'n' || conv_id AS cursor FROM t
+""")
+def feed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as feed pages, at places known and unknown, turns alone and in modules by turns, read back into posts and cursors without Python."""
+    said = F.struct(F.col("role").alias("screen_name"))
+    post = F.to_json(F.struct(F.col("turn").cast("string").alias("rest_id"), F.struct(F.struct(F.struct(said.alias("core")).alias("result")).alias("user_results")).alias("core"), F.struct(F.coalesce("text", F.lit("")).alias("full_text")).alias("legacy")))
+    holder = F.concat(F.lit('{"itemContent":{"tweet_results":{"result":'), post, F.lit("}}}"))
+    entry = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('{"content":{"items":[{"item":'), holder, F.lit('},{"item":{}}]}}'))).otherwise(F.concat(F.lit('{"content":'), holder, F.lit("}")))
+    # Entries of a conversation are bounded by its length.
+    each = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", entry.alias("entry")))).alias("entries"))
+    cursor = F.concat(F.lit('{"content":{"cursorType":"Bottom","value":"n'), F.col("conv_id").cast("string"), F.lit('"}}'))
+    timeline = F.concat(F.lit('{"instructions":[{"type":"TimelineAddEntries","entries":['), cursor, F.lit(","), F.array_join("entries.entry", ","), F.lit("]}]}"))
+    known = F.concat(F.lit('{"data":{"bookmark_timeline":{"timeline":'), timeline, F.lit('},"a":{"instructions":[]}}}'))
+    found = F.concat(F.lit('{"data":{"z":[{"x":{"timeline":'), timeline, F.lit('}}],"a":{"instructions":[]}}}'))
+    pages = wire.feed_pages(each.select("conv_id", F.when(F.col("conv_id") % 2 == 0, known).otherwise(found).alias("raw")), "raw")
+    posts = pages.select("conv_id", "cursor", F.posexplode("posts").alias("place", "post"))
+    return wire.headers(posts, "post").select("conv_id", F.col("place").cast("bigint").alias("place"), F.col("post_id").cast("bigint").alias("turn"), "author.handle", F.sha2("text", 256).alias("text_sha256"), "cursor")
