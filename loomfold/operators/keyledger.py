@@ -84,22 +84,27 @@ class KeyLedger:
 
     # Looking up
 
-    def exclude(self, items: DataFrame, key: str = "key", before: int | None = None) -> DataFrame:
-        """items whose key has no entry; items without a key stay. Runs are read only for items that the filter doesn't rule out."""
+    def met(self, items: DataFrame, key: str = "key", before: int | None = None) -> DataFrame | None:
+        """The entries of the keys of items; None if none can have one. Runs are read only for items that the filter doesn't rule out."""
         spark = items.sparkSession
         now = self.manifest(spark, before)
         if not now["runs"]:
-            return items
+            return None
         keys = items.where(F.col(key).isNotNull()).select(F.col(key).alias("key"))
         pieces = spark.read.schema("piece int, bits binary").parquet(f"{self.folder}/filter/{now['filter']}")
         met = keys.withColumn("piece", spot(F.col("key"), now["pieces"])).join(F.broadcast(pieces) if now["pieces"] <= BROADCAST_PIECES else pieces, "piece")
         maybe = shared.kept(met.where(may_hold(F.col("bits"), F.col("key"))).select("key", F.pmod(F.col("piece"), F.lit(self.buckets)).alias("bucket")).distinct())
         touched = [r[0] for r in maybe.select("bucket").distinct().collect()]  # at most as many as buckets
         if not touched:
-            return items
+            return None
         # With a tail, what counts depends on all entries, of which merging leaves few.
         there = self.entries(spark, before, touched) if self.tail is None else ledger.tail(self.entries(spark, before), self.tail, "seq")
-        return ledger.exclude(items, there.join(maybe.select("key"), "key", "left_semi"), key, "key")
+        return there.join(maybe.select("key"), "key", "left_semi")
+
+    def exclude(self, items: DataFrame, key: str = "key", before: int | None = None) -> DataFrame:
+        """items whose key has no entry; items without a key stay."""
+        found = self.met(items, key, before)
+        return items if found is None else ledger.exclude(items, found, key, "key")
 
     # Adding
 

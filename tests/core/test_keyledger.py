@@ -115,3 +115,28 @@ def test_backlog_leads_the_next_batch(spark, tmp_path):
     assert seen == [[], ["p1", "p2", "p3"], ["p1", "p2", "p3"], ["p3"]]
     assert sorted((r.batch, r.key) for r in exporter.output(spark).where("status = 'done'").collect()) == [(1, "a"), (1, "b"), (1, "c"), (1, "p1"), (2, "d"), (2, "e")]
     assert [r.key for r in exporter.pending(spark).collect()] == ["p3"]
+
+
+def test_counts_of_batches_are_those_of_the_tables(spark, tmp_path):
+    """A stream of three files and more batches, with a cap, incomplete items, items that come again, some of the backlog found and some gone."""
+    schema = "key string, seq long, complete boolean"
+    files = [[("a", 1, True), ("b", 2, False), ("c", 3, True), ("d", 4, False), (None, 5, True)], [("a", 6, True), ("c", 7, True), ("e", 8, True)], [("e", 9, True), ("f", 10, True), ("a", 11, True)]]
+    asked = []
+
+    def again(pending):
+        asked.append(1)
+        outcome = F.when(F.col("key") == "b", "found").when(F.col("key") == "d", "gone")
+        return pending.select("key", "seq", F.lit(True).alias("complete"), outcome.alias("outcome")).where("outcome IS NOT NULL")
+
+    exporter = Exporter(str(tmp_path / "state"), lambda items: items.select("key", "seq", "status"), Rules(most_items=3), again=again)
+    for rows in files:
+        frame(spark, rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        exporter.start(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination(120)
+    exporter.write(frame(spark, files[2], schema), 2)  # run again
+    told = {r.batch: r.asDict() for r in exporter.progress(spark).collect()}
+    out = exporter.output(spark).groupBy("batch").pivot("status", ["done", "incomplete"]).count().na.fill(0).collect()
+    assert {r.batch: (r.done, r.incomplete) for r in out} == {b: (t["completed"], t["incomplete"]) for b, t in told.items() if t["completed"] + t["incomplete"]}
+    assert sum(t["failed"] for t in told.values()) == exporter.given_up.entries(spark).select("key").distinct().count() == 1
+    assert [(t["skipped"], t["held"], t["percent"]) for _, t in sorted(told.items())] == [(0, 2, 40), (2, 0, 75), (2, 0, 100)] and len(asked) == 4
+    exporter.write(frame(spark, [], schema), 3)
+    assert {r.batch: tuple(r)[1:] for r in exporter.progress(spark).collect()}[3] == (0, 0, 0, 0, 0, 0)
