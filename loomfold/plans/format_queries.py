@@ -5,12 +5,13 @@ The feed's JSON is filled in from columns, and the SQL says what is shown of it.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..content import columns
+from ..content import columns, html
 from ..functions import text, urls
 from ..operators import checks, export, jobs, ledger, routing
 from ..sources import details
@@ -385,21 +386,55 @@ def combined_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("run", "n_items", F.array_join(ids, ",").alias("ids"), "ext", F.substring("content", 1, 5).alias("opening"))
 
 
-@query("SELECT c_custkey // 100 AS run, count(*) AS n_items, count(*) - 1 AS n_rules, count(*) AS n_posts, 'html' AS ext, 'Export (' || count(*) || ')' AS title FROM customer GROUP BY run")
+_SEGMENT = "'**Hi** ' || c_mktsegment || ', "
+_PAGE_HEAD = "'<!doctype html>' || chr(10) || '<html lang=\"en\"><head><meta charset=\"utf-8\"><title>' || {} || '</title>' || chr(10) || '<style>" + html.STYLE.replace("{", "{{").replace("}", "}}") + "</style></head><body>'"
+_CARD = (
+    "'<div class=\"document\"><article class=\"tweet-card\"><header class=\"tweet-head\"><div class=\"avatar avatar-placeholder\">C</div><div class=\"author\"><div class=\"name\">' || c_name || '</div><div class=\"handle\">@u' || c_custkey || ' · Mar 2, 2024</div></div></header>'"
+    f" || '<div class=\"tweet-body\">' || {_SEGMENT}&quot;' || c_custkey || '&quot;</div><div class=\"source-footer\"><a href=\"https://x.com/u' || c_custkey || '/status/' || c_custkey || '\">https://x.com/u' || c_custkey || '/status/' || c_custkey || '</a></div></article></div>'"
+)
+_MD = (
+    "'---' || chr(10) || 'author: \"' || c_name || '\"' || chr(10) || 'handle: \"u' || c_custkey || '\"' || chr(10) || 'source: \"https://x.com/u' || c_custkey || '/status/' || c_custkey || '\"' || chr(10) || 'date: 2024-03-02T07:08:09.000Z' || chr(10) || 'type: tweet' || chr(10) || 'likes: ' || c_custkey || chr(10) || '---' || chr(10)"
+    f" || '# ' || c_name || ' (@u' || c_custkey || ')' || chr(10) || chr(10) || {_SEGMENT}\"' || c_custkey || '\"'"
+)
+
+
+def _pretty(value) -> str:
+    """A template's JSON, two spaces a level, as an SQL string in which ${k}, ${name} and ${seg} are columns."""
+    said = json.dumps(value, ensure_ascii=False, indent=2).replace("'", "''")
+    for name, column in (("${k}", "c_custkey"), ("${name}", "c_name"), ("${seg}", "c_mktsegment")):
+        said = said.replace(f'"#{name}"', name).replace(name, f"' || {column} || '")
+    return "'" + said.replace("\n", "' || chr(10) || '") + "'"
+
+
+_WHO = {"name": "${name}", "handle": "u${k}"}
+_JSON = _pretty({
+    "version": 1, "metadata": {"type": "tweet", "sourceUrl": "https://x.com/u${k}/status/${k}", "tweetId": "${k}", "author": _WHO, "date": "2024-03-02T07:08:09.000Z", "engagement": {"likes": "#${k}"}},
+    "body": {"type": "tweet", "author": _WHO, "date": "2024-03-02T07:08:09.000Z", "tweetId": "${k}", "text": [{"type": "text", "value": '**Hi** ${seg}, "${k}"'}], "media": [], "engagement": {"likes": "#${k}"}},
+})
+
+
+@query(f"""
+SELECT c_custkey // 100 AS run, count(*) AS n_items, 'html' AS ext, 'Export (' || count(*) || ')' AS title,
+  sha256({_PAGE_HEAD.format("'Export (' || count(*) || ')'")} || string_agg({_CARD}, chr(10) || '<hr>' || chr(10) ORDER BY c_custkey) || '</body></html>') AS content_sha256
+FROM customer GROUP BY run
+""")
 def combined_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs as one page each under one style sheet, a rule between posts."""
+    """Runs as one page each under one style sheet, a rule between posts, by their whole contents."""
     made = export.combined_files(_runs(spark, sf_dir), "run", "c_custkey", "html", export.Options())
-    number = lambda pattern: F.regexp_count("content", F.lit(pattern)).cast("bigint")
-    return made.select("run", "n_items", number("<hr>").alias("n_rules"), number('<article class="tweet-card">').alias("n_posts"), "ext", F.regexp_extract("content", "<title>([^<]*)</title>", 1).alias("title"))
+    return made.select("run", "n_items", "ext", F.regexp_extract("content", "<title>([^<]*)</title>", 1).alias("title"), F.sha2("content", 256).alias("content_sha256"))
 
 
-@query("SELECT c_custkey, ext, name, CASE ext WHEN 'md' THEN 'text/markdown' WHEN 'txt' THEN 'text/plain' WHEN 'json' THEN 'application/json' ELSE 'text/html' END AS mime, true AS there FROM (SELECT c_custkey, unnest(['md', 'txt', 'json', 'html']) AS ext, 'u' || c_custkey || '-' || c_custkey || '.' || ext AS name FROM customer)")
+@query(f"""
+SELECT c_custkey, ext, 'u' || c_custkey || '-' || c_custkey || '.' || ext AS name, CASE ext WHEN 'md' THEN 'text/markdown' WHEN 'txt' THEN 'text/plain' WHEN 'json' THEN 'application/json' ELSE 'text/html' END AS mime,
+  sha256(CASE ext WHEN 'md' THEN {_MD} WHEN 'txt' THEN {_TXT} WHEN 'json' THEN {_JSON} ELSE {_PAGE_HEAD.format("'Post by @u' || c_custkey")} || {_CARD} || '</body></html>' END) AS content_sha256
+FROM customer, (SELECT unnest(['md', 'txt', 'json', 'html']) AS ext)
+""")
 def item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each post as a file of its own in every format that has one."""
+    """Each post as a file of its own in every format that has one, by their whole contents."""
     rows = export.post_processed(_runs(spark, sf_dir), export.Options())
     every = None
     for fmt in ("md", "txt", "json", "html"):
-        one = export.item_files(rows, fmt).select("c_custkey", "ext", "name", "mime", (F.length("content") > 10).alias("there"))
+        one = export.item_files(rows, fmt).select("c_custkey", "ext", "name", "mime", F.sha2("content", 256).alias("content_sha256"))
         every = one if every is None else every.unionByName(one)
     return every
 
