@@ -679,20 +679,29 @@ def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ACTED = ["download", "copy", "obsidian", "copy-txt", "json", "csv", "pdf"]
 
 
-@query("""
+#: The note of a post, and how it stands in a link: what addresses may hold as it is, stays.
+_NOTE = (
+    "'---' || chr(10) || 'title: \"Post by u' || c_custkey || ' on X\"' || chr(10) || 'source: \"https://x.com/u' || c_custkey || '/status/' || c_custkey || '\"' || chr(10) || 'author: \"[[u' || c_custkey || ']]\"' || chr(10) || 'author_name: \"' || c_name || '\"' || chr(10)"
+    " || 'handle: \"u' || c_custkey || '\"' || chr(10) || 'published: 2024-03-02' || chr(10) || 'created: 2024-03-05' || chr(10) || 'type: tweet' || chr(10) || 'description: \"Hi ' || c_mktsegment || ', \\\"' || c_custkey || '\\\"\"' || chr(10) || 'tags: [clippings, x, tweet]' || chr(10) || 'likes: ' || c_custkey || chr(10) || '---' || chr(10)"
+    f" || '# ' || c_name || ' (@u' || c_custkey || ')' || chr(10) || chr(10) || {_SEGMENT}\"' || c_custkey || '\"'"
+)
+_IN_LINK = f"replace(replace(replace(url_encode({_NOTE}), '%28', '('), '%29', ')'), '%2A', '*')"
+
+
+@query(f"""
 SELECT c_custkey, action, 'u' || c_custkey || '-' || c_custkey || CASE action WHEN 'copy-txt' THEN '.txt' WHEN 'json' THEN '.json' WHEN 'csv' THEN '.csv' WHEN 'pdf' THEN '.html' ELSE '.md' END AS name,
   CASE action WHEN 'copy-txt' THEN 'text/plain' WHEN 'json' THEN 'application/json' WHEN 'csv' THEN 'text/csv' WHEN 'pdf' THEN 'text/html' ELSE 'text/markdown' END AS mime,
   CASE action WHEN 'copy' THEN 'copy' WHEN 'copy-txt' THEN 'copy' WHEN 'obsidian' THEN 'link' ELSE 'download' END AS mode,
-  CASE action WHEN 'download' THEN '---' || chr(10) || 'author: "' WHEN 'copy' THEN '---' || chr(10) || 'author: "' WHEN 'obsidian' THEN '---' || chr(10) || 'title: "P' WHEN 'json' THEN '{' || chr(10) || '  "version"' WHEN 'csv' THEN 'date,author,h' WHEN 'pdf' THEN '<!doctype htm' ELSE substr(c_name || ' (@u' || c_custkey, 1, 13) END AS opening,
-  CASE WHEN action = 'obsidian' THEN 'obsidian://new?vault=V%20a&file=F%2Fu' || c_custkey || '-' || c_custkey || '&content=---%0Atitle' END AS link
+  sha256(CASE action WHEN 'download' THEN {_MD} WHEN 'copy' THEN {_MD} WHEN 'obsidian' THEN {_NOTE} WHEN 'json' THEN {_JSON} WHEN 'copy-txt' THEN {_TXT}
+    WHEN 'csv' THEN 'date,author,handle,type,likes,reposts,replies,bookmarks,views,source,text' || chr(10) || {_CSV} || chr(10) ELSE {_PAGE_HEAD.format("'Post by @u' || c_custkey")} || {_CARD} || '</body></html>' END) AS content_sha256,
+  CASE WHEN action = 'obsidian' THEN 'obsidian://new?vault=V%20a&file=F%2Fu' || c_custkey || '-' || c_custkey || '&content=' || {_IN_LINK} END AS link
 FROM customer, (SELECT unnest(['download', 'copy', 'obsidian', 'copy-txt', 'json', 'csv', 'pdf']) AS action)
 """)
 def single_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each action makes of one post: its file's name, type and opening, and the link that makes a note."""
+    """What each action makes of one post: its file's name, type and whole content, and the link that makes a note."""
     rows, every = _runs(spark, sf_dir), None
     for action in _ACTED:
-        made = export.single_export(rows, action, export.Options(), " V a ", "F")
-        until = F.regexp_extract("link", "^.*?content=---%0Atitle", 0)
-        one = made.select("c_custkey", F.lit(action).alias("action"), "name", "mime", "mode", F.substring("content", 1, 13).alias("opening"), until.alias("link"))
+        made = export.single_export(rows, action, export.Options(run_date="2024-03-05"), " V a ", "F")
+        one = made.select("c_custkey", F.lit(action).alias("action"), "name", "mime", "mode", F.sha2("content", 256).alias("content_sha256"), "link")
         every = one if every is None else every.unionByName(one)
     return every
