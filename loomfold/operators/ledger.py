@@ -9,6 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import running
+
 
 def exclude(items: DataFrame, ledger: DataFrame, key: str, ledger_key: str | None = None) -> DataFrame:
     """Items whose key isn't in the ledger; items without a key stay."""
@@ -150,9 +152,9 @@ def new_count(items: DataFrame, queued: DataFrame, exported: DataFrame, key: str
 
 
 def ordered_output(backlog: DataFrame, fresh: DataFrame, order: str) -> DataFrame:
-    """Completed backlog entries first, in the backlog's order, then fresh items in the feed's; all rows of both, with their ``place``."""
+    """Completed backlog entries first, in the backlog's order, then fresh items in the feed's; all rows of both, with their ``place`` from 1 on, a running sum over ranges of rows."""
     both = backlog.withColumn("_rank", F.lit(0)).unionByName(fresh.withColumn("_rank", F.lit(1)))
-    return both.withColumn("_at", F.struct("_rank", order)).orderBy("_at").drop("_rank", "_at")
+    return running(both.withColumn("_one", F.lit(1).cast("bigint")), [], ["_rank", order], "_one", "place").orderBy("place").drop("_rank", "_one")
 
 
 def stopped(items: DataFrame, order: str, status: str) -> DataFrame:

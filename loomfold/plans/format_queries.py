@@ -544,9 +544,7 @@ def backlog_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 def output_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completed backlog first and then the first pages of the feed, in order."""
     docs = routing.pages_within(table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 20").alias("page")), "page", 5).select("doc_id")
-    ordered = ledger.ordered_output(docs.where("doc_id % 7 = 3"), docs.where("doc_id % 7 <> 3"), "doc_id")
-    # At most 100 rows: five pages of twenty.
-    return ordered.agg(F.collect_list("doc_id").alias("ids")).select(F.posexplode("ids").alias("at", "doc_id")).select((F.col("at") + 1).cast("bigint").alias("place"), "doc_id")
+    return ledger.ordered_output(docs.where("doc_id % 7 = 3"), docs.where("doc_id % 7 <> 3"), "doc_id").select("place", "doc_id")
 
 
 @query("SELECT event_id, strftime(ts, 'batch-%Y%m%d-%H%M%S') AS folder, CASE event_type WHEN 'click' THEN 'combined' ELSE 'both' END AS output FROM events")
