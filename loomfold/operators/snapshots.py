@@ -24,6 +24,13 @@ def merged_windows(rows: DataFrame, thread: str = "thread", capture: str = "capt
     return best.select(thread, key, "first_seen", *[F.col(f"_best.`{c}`").alias(c) for c in rest])
 
 
+def last_windows(rows: DataFrame, thread: str = "thread", capture: str = "capture", pos: str = "pos", html: str = "html") -> DataFrame:
+    """thread, html: what a page still shows of each thread, which is every post of its last screen, in their order. Only posts of a screen are gathered."""
+    screens = rows.groupBy(thread, capture).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(html).alias("html")))).alias("_all"))
+    last = screens.groupBy(thread).agg(F.max_by("_all", capture).alias("_all"))
+    return last.select(thread, F.array_join(F.transform("_all", lambda x: x["html"]), "").alias(html))
+
+
 def with_snapshots(pages: DataFrame, best: DataFrame, thread: str = "thread", key: str = "key", html: str = "html") -> DataFrame:
     """pages (thread, html and more) with the snapshots of their thread, in the order in which they were first seen, as rehydrated cells at the end of their HTML.
 

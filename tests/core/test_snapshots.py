@@ -55,3 +55,17 @@ def test_facts_of_a_snapshot():
     assert pages.snapshot_facts(post(loaded)) == {"key": "7", "handle": "ana", "promoted": False, "media": 3, "chars": 4}
     assert pages.snapshot_facts(post("", "<span>Ad</span>"))["promoted"]
     assert pages.snapshot_facts("<p>none</p>")["key"] is None and pages.snapshot_facts("")["handle"] == "unknown"
+
+
+def test_a_page_shows_every_post_of_its_last_screen(spark):
+    """Another's post in the last screen ends a thread before what follows it there, though no screen before had that."""
+    rows = spark.createDataFrame([(1, 0, 0, "<a>"), (1, 2, 1, "<c>"), (1, 2, 0, "<b>"), (2, 0, 0, "<d>")], "thread int, capture int, pos int, html string")
+    assert {r.thread: r.html for r in snapshots.last_windows(rows).collect()} == {1: "<b><c>", 2: "<d>"}
+
+
+def test_threads_stop_at_anothers_post_in_the_last_screen(spark, tmp_path):
+    """Six turns: the fifth is another's, and the last screen has it before the sixth."""
+    from loomfold.plans import registry
+
+    spark.createDataFrame([(13, t, "user", f"t{t}") for t in range(6)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r.ids for r in registry.queries()["threads_of_windows"](spark, str(tmp_path)).collect()] == ["13001,13002,13003,13004"]
