@@ -100,3 +100,31 @@ def test_trimming_long_runs_takes_linear_time(spark):
     value = "a" + " " * 300_000 + "b \n\t"
     assert spark.createDataFrame([(value,)], "t string").select(text.trimmed(F.col("t")).alias("t")).first().t == value.strip()
     assert time.perf_counter() - began < 20
+
+
+def test_references_count_with_their_semicolon_only(spark):
+    cases = {"a &amp b": "a &amp;amp b", "&amp;&quot;&#38;&#x26;&b;": "&amp;&quot;&#38;&#x26;&b;", "R&D &#; &copy</h1>": "R&amp;D &amp;#; &amp;copy</h1>", "": "", None: None}
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "html string, want string")
+    assert rows.where(~text.whole_references(F.col("html")).eqNullSafe(F.col("want"))).count() == 0
+
+
+CUT = '<!DOCTYPE html><html lang="en"><head><title>A &amp</title></head><body><nav>n</nav><article><h1>A &amp;&amp</h1><p>B &amp;C &copy</article></body></html>'
+
+
+def _on_a_cut_page(spark, tmp_path, name):
+    """A query and its SQL on a page whose heading ends within a reference."""
+    import duckdb
+
+    from loomfold.plans import registry
+
+    spark.createDataFrame([(7, CUT)], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found, want = registry.queries()[name](spark, str(tmp_path)), con.sql(registry.oracle_sql()[name])
+    order = sorted(found.columns)
+    return sorted(tuple(r[c] for c in order) for r in found.collect()), sorted(tuple(r[want.columns.index(c)] for c in order) for r in want.fetchall())
+
+
+def test_blocks_of_a_page_cut_within_a_reference(spark, tmp_path):
+    found, want = _on_a_cut_page(spark, tmp_path, "page_block_inventory")
+    assert found == want
