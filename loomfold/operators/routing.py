@@ -142,6 +142,7 @@ def pages_within(items: DataFrame, page: str, most: int) -> DataFrame:
     return items.where(F.col(page) < most)
 
 
-def image_manifest(rows: DataFrame, key: str) -> DataFrame:
-    """key, url, filename of every image that exported rows refer to; nothing is fetched."""
-    return rows.select(key, F.explode("images").alias("i")).select(key, "i.url", "i.filename")
+def image_manifest(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """key, url, filename of every image that exported rows refer to, with ``more`` columns of its row; nothing is fetched."""
+    # An inner explode is met with a filter on the array's size, which repeats all that made the array for every row.
+    return rows.select(key, *more, F.explode_outer("images").alias("_i")).where("_i IS NOT NULL").select(key, *more, "_i.url", "_i.filename")

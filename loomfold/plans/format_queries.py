@@ -493,8 +493,9 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts as notes: title, tags, description, stats, templated names and local images."""
     rows = export.post_processed(_notes(spark, sf_dir), _NOTES)
-    images = routing.image_manifest(rows, "c_custkey").select("c_custkey", F.col("url").alias("image"), F.col("filename").alias("image_file"))
-    return rows.select("c_custkey", "filename", "markdown").join(images, "c_custkey")
+    # Images are read off the same pass over the notes; a join would make every note twice.
+    images = routing.image_manifest(rows.withColumn("note", F.struct("filename", "markdown")), "c_custkey", "note")
+    return images.select("c_custkey", "note.filename", "note.markdown", F.col("url").alias("image"), F.col("filename").alias("image_file"))
 
 
 @query(f"""
