@@ -27,19 +27,28 @@ def dumped(value) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
+#: Rows of a batch whose trees and texts a worker holds as Python objects at once.
+MOST_AT_ONCE = 100
+
+
+def _read(value: str | None):
+    try:
+        return json.loads(value) if value is not None else None
+    except ValueError:
+        return None
+
+
+def _in_slices(values: pa.Array, kind: pa.DataType, make: Callable[[list], list]) -> pa.Array:
+    return pa.concat_arrays([pa.array([], kind), *(pa.array(make(values.slice(at, MOST_AT_ONCE).to_pylist()), kind) for at in range(0, len(values), MOST_AT_ONCE))])
+
+
 def _json_function(make: Callable[[dict], str | None]):
     """An Arrow function from JSON strings to strings; null and what is no JSON give null."""
+    one = lambda v: None if (read := _read(v)) is None else make(read)
 
     @arrow_udf(StringType())
     def run(values: pa.Array) -> pa.Array:
-        out = []
-        for v in values.to_pylist():
-            try:
-                read = json.loads(v) if v is not None else None
-            except ValueError:
-                read = None
-            out.append(None if read is None else make(read))
-        return pa.array(out, pa.string())
+        return _in_slices(values, pa.string(), lambda some: [one(v) for v in some])
 
     return run
 
@@ -54,17 +63,34 @@ markdown_of = _json_function(markdown.document)
 markdown_body_of = _json_function(markdown.body_of)
 
 
-@arrow_udf(StructType([StructField("markdown", StringType()), StructField("body", StringType())]))
-def markdown_and_body_of(documents: pa.Array) -> pa.Array:
-    """``markdown_of`` and ``markdown_body_of`` of documents that are read once."""
-    out = []
-    for v in documents.to_pylist():
-        try:
-            read = json.loads(v) if v is not None else None
-        except ValueError:
-            read = None
-        out.append((None, None) if read is None else (markdown.document(read), markdown.body_of(read)))
-    return pa.StructArray.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(2)], ["markdown", "body"])
+#: What a document is shown as.
+SHOWN = {"document": dumped, "metadata": lambda doc: dumped(doc["metadata"]), "markdown": markdown.document, "body": markdown.body_of, "html": html.document}
+
+
+def _shown(parts: tuple[str, ...], tree: Callable[[dict], dict]):
+    """An Arrow function from JSON strings to a struct of ``parts`` (of SHOWN) of the document that ``tree`` makes, which is made once; null and what is no JSON give nulls."""
+    kind = pa.struct([(p, pa.string()) for p in parts])
+
+    def one(value: str | None) -> dict:
+        read = _read(value)
+        doc = None if read is None else tree(read)
+        return {p: None if doc is None else SHOWN[p](doc) for p in parts}
+
+    @arrow_udf(StructType([StructField(p, StringType()) for p in parts]))
+    def run(values: pa.Array) -> pa.Array:
+        return _in_slices(values, kind, lambda some: [one(v) for v in some])
+
+    return run
+
+
+def shown(document: Column, *parts: str) -> Column:
+    """A struct of parts of documents (markdown, body and so on) that are read once."""
+    return _shown(parts, lambda doc: doc)(document)
+
+
+def posts_shown(raw: Column, *parts: str) -> Column:
+    """A struct of parts (document, metadata, markdown, body, html) of the documents of raw posts, each made once and never read back."""
+    return _shown(parts, posts.post_document)(raw)
 
 
 html_of = _json_function(html.document)
@@ -160,18 +186,28 @@ def blocks_of_pages(frame: DataFrame, id_col: str = "page_id", html_col: str = "
     return read.select(id_col, F.explode("blocks").alias("b")).select(id_col, "b.pos", "b.kind", "b.tag", "b.text")
 
 
+def _wired(read: DataFrame, handle_prefix: str, texts: dict[str, Column]) -> DataFrame:
+    author = F.struct(F.col("_meta.author.name").alias("name"), F.concat(F.lit(handle_prefix), F.col("_meta.author.handle")).alias("handle"))
+    return read.withColumns({
+        "type": F.col("_meta.type"), "author": author, "title": F.col("_meta.title"), **texts, "source_url": F.col("_meta.sourceUrl"),
+        "date": F.col("_meta.date"), "tweet_id": F.col("_meta.tweetId"), "counts": F.col("_meta.engagement"),
+    }).drop("_meta", "_shown")
+
+
 def wire_rows(frame: DataFrame, document: str = "document", handle_prefix: str = "", body: bool = False) -> DataFrame:
     """frame with the columns that post-processing takes: type, author, title, markdown, source_url, date, tweet_id, counts; with ``body`` also body_markdown.
 
     Handles stand bare; rows that come from a page's own export carry ``@`` as ``handle_prefix``.
     """
-    meta = F.from_json(F.get_json_object(document, "$.metadata"), METADATA)
-    read = frame.withColumn("_meta", meta)
-    if body:
-        read = read.withColumn("_shown", markdown_and_body_of(F.col(document)))
-    shown = {"markdown": F.col("_shown.markdown"), "body_markdown": F.col("_shown.body")} if body else {"markdown": markdown_of(F.col(document))}
-    author = F.struct(F.col("_meta.author.name").alias("name"), F.concat(F.lit(handle_prefix), F.col("_meta.author.handle")).alias("handle"))
-    return read.withColumns({
-        "type": F.col("_meta.type"), "author": author, "title": F.col("_meta.title"), **shown, "source_url": F.col("_meta.sourceUrl"),
-        "date": F.col("_meta.date"), "tweet_id": F.col("_meta.tweetId"), "counts": F.col("_meta.engagement"),
-    }).drop("_meta", "_shown")
+    read = frame.withColumn("_meta", F.from_json(F.get_json_object(document, "$.metadata"), METADATA))
+    if not body:
+        return _wired(read, handle_prefix, {"markdown": markdown_of(F.col(document))})
+    return _wired(read.withColumn("_shown", shown(F.col(document), "markdown", "body")), handle_prefix, {"markdown": F.col("_shown.markdown"), "body_markdown": F.col("_shown.body")})
+
+
+def post_rows(frame: DataFrame, raw: Column, body: bool = False, document: bool = False) -> DataFrame:
+    """frame with the columns of ``wire_rows`` of raw posts, each read and made into a tree once; with ``document`` also that."""
+    parts = ["metadata", "markdown", *(["body"] if body else []), *(["document"] if document else [])]
+    names = {"markdown": "markdown", "body": "body_markdown", "document": "document"}
+    read = frame.withColumn("_shown", posts_shown(raw, *parts)).withColumn("_meta", F.from_json("_shown.metadata", METADATA))
+    return _wired(read, "", {names[p]: F.col(f"_shown.{p}") for p in parts[1:]})

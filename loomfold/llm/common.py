@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from ..operators.shared import small_batches  # noqa: F401  the queries take it from here
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -95,12 +97,6 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once: 1000 rows or 8 MB a batch, whichever is less."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-
-
 def lower_az(column: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

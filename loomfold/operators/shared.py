@@ -53,3 +53,16 @@ def running(rows: DataFrame, keys: list[str], order: list[str], value: str, out:
     done = kept(made.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_range", "_before"))
     gone(laid)
     return done
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once, in the session that it is given: 1000 rows or 8 MB a batch, whichever is less."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores, a few tasks each, for steps that cost far more than reading: narrow rows that compress well fill few splits, however many they are."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(4 * cores, 32))))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..content import columns, html
 from ..functions import text, urls
 from ..operators import checks, export, jobs, ledger, routing
+from ..operators.shared import kept, spread
 from ..sources import details
 from ..streaming import incremental
 from .registry import query, table
@@ -38,12 +39,17 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
 
 
+def _writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of whom posts and pages are made, which takes far longer than reading their rows."""
+    return spread(_customers(spark, sf_dir))
+
+
 _USER = '"core":{"user_results":{"result":{"core":{"name":"{{name}}","screen_name":"u{{k}}"}}}}'
 
 
 def _bodies(rows: DataFrame, raw: Column) -> DataFrame:
     """c_custkey, body: the Markdown of raw posts."""
-    return rows.select("c_custkey", columns.markdown_body_of(columns.post_documents(raw)).alias("body"))
+    return rows.select("c_custkey", columns.posts_shown(raw, "body")["body"].alias("body"))
 
 
 _PIECES = ["Hi ", "@u{{k}}", " see ", "https://t.co/{{k}}", " now ", "#{{seg}}", " ", "${{seg}}", " R&amp;D &lt;{{k}}&gt; \U0001f600\nnext ", "https://t.co/pic{{k}}"]
@@ -62,7 +68,7 @@ def post_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         '"symbols":[{"text":"{{seg}}","indices":{{p7}}}],"media":[{"indices":{{p9}}}]}}}',
         **places,
     )
-    return _bodies(_customers(spark, sf_dir), raw)
+    return _bodies(_writers(spark, sf_dir), raw)
 
 
 _HIGH = "CASE WHEN c_custkey % 2 = 1 THEN 'hi' ELSE 'mid' END"
@@ -82,8 +88,8 @@ def post_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"type":"animated_gif","video_info":{"variants":[{"url":"https://v/gif{{k}}"}]}},{"type":"video","video_info":{"variants":[]}},{"type":"model3d","media_url_https":"x"}]}}}',
         rate=rate,
     )
-    rows = _customers(spark, sf_dir).withColumn("document", columns.post_documents(raw))
-    return rows.select("c_custkey", columns.markdown_body_of("document").alias("body"), F.get_json_object("document", "$.body.media[1].url").alias("video"), F.get_json_object("document", "$.body.media[0].alt").alias("alt"))
+    rows = _writers(spark, sf_dir).select("c_custkey", columns.posts_shown(raw, "document", "body").alias("s")).select("c_custkey", "s.*")
+    return rows.select("c_custkey", "body", F.get_json_object("document", "$.body.media[1].url").alias("video"), F.get_json_object("document", "$.body.media[0].alt").alias("alt"))
 
 
 _VOTES = ["c_custkey % 7", "c_custkey % 5", "c_custkey % 3"]
@@ -98,7 +104,7 @@ def post_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polls with shares of the votes, halves up, and none without votes."""
     bound = "".join(f'{{"key":"choice{n + 1}_label","value":{{"string_value":"Choice {n + 1}"}}}},{{"key":"choice{n + 1}_count","value":{{"string_value":"{{{{v{n}}}}}"}}}},' for n in range(3))
     raw = _filled('{"rest_id":"{{k}}",' + _USER + ',"legacy":{"full_text":"Q{{k}}"},"card":{"legacy":{"name":"poll3choice_text_only","binding_values":[' + bound + '{"key":"choice1_label","value":{"string_value":"second of a key"}}]}}}', **{f"v{n}": F.expr(f"CAST({v} AS STRING)") for n, v in enumerate(_VOTES)})
-    return _bodies(_customers(spark, sf_dir), raw)
+    return _bodies(_writers(spark, sf_dir), raw)
 
 
 @query(f"""
@@ -113,7 +119,7 @@ def post_link_card(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"key":"card_url","value":{"string_value":"https://t.co/{{k}}"}},{"key":"thumbnail_image","value":{"image_value":{"url":"https://i/{{k}}"}}}]}}}',
         about=about,
     )
-    return _bodies(_customers(spark, sf_dir), raw)
+    return _bodies(_writers(spark, sf_dir), raw)
 
 
 @query(f"""
@@ -123,7 +129,7 @@ def post_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quoted posts behind wrappers, with lines and media; what they quote themselves isn't shown. Long text stands for the short one."""
     inner = '{"rest_id":"9","core":{"user_results":{"result":{"legacy":{"name":"Bob","screen_name":"bob{{k}}"}}}},"legacy":{"full_text":"one\\ntwo","extended_entities":{"media":[{"type":"photo","media_url_https":"https://pbs.twimg.com/media/P{{k}}.png"}]}},"quoted_status_result":{"result":{"rest_id":"1","legacy":{"full_text":"deep"}}}}'
     main = '{"rest_id":"{{k}}",' + _USER + ',"legacy":{"full_text":"short"},"note_tweet":{"note_tweet_results":{"result":{"text":"Main {{seg}}"}}},"quoted_status_result":{"result":{"__typename":"TweetWithVisibilityResults","tweet":' + inner + "}}}"
-    return _bodies(_customers(spark, sf_dir), _filled('{"__typename":"TweetWithVisibilityResults","tweet":' + main + "}"))
+    return _bodies(_writers(spark, sf_dir), _filled('{"__typename":"TweetWithVisibilityResults","tweet":' + main + "}"))
 
 
 @query("""
@@ -136,7 +142,7 @@ def post_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     views, again = F.expr("CASE WHEN c_custkey % 5 = 0 THEN 'n/a' ELSE CAST(c_custkey * 3 AS STRING) END"), F.expr("""CASE WHEN c_custkey % 3 = 0 THEN ',"retweeted_status_result":{"result":{}}' ELSE '' END""")
     few = F.expr("CAST(c_custkey % 10 AS STRING)")
     raw = _filled('{"tweet":{"rest_id":"{{k}}",' + _USER + ',"views":{"count":"{{views}}"},"legacy":{{{marks}}"created_at":"Sat Mar 02 07:08:09 +0000 2024","favorite_count":{{k}},"reply_count":{{few}},"full_text":"x"{{again}}}}}'.replace("{{{", "{{{"), marks=marks, views=views, again=again, few=few)
-    rows = columns.wire_rows(_customers(spark, sf_dir).withColumn("raw", raw).withColumn("document", columns.post_documents("raw")))
+    rows = columns.post_rows(_writers(spark, sf_dir).withColumn("raw", raw), F.col("raw"))
     return rows.select("c_custkey", "counts.likes", "counts.replies", "counts.bookmarks", "counts.views", columns.is_repost("raw").alias("is_repost"), "author.handle", "date")
 
 
@@ -162,8 +168,8 @@ def article_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"rest_id":"{{k}}",' + _USER + ',"legacy":{},"article":{"article_results":{"result":{"title":" Title {{seg}} ","content_state":{"blocks":[' + blocks + '],"entityMap":' + entities + '},"media_entities":[{"media_id":"m","media_info":{"original_img_url":"https://pbs.twimg.com/media/A{{k}}.jpg"}}]}}}}',
         whole=F.length(_filled("Head {{seg}}")).cast("string"),
     )
-    rows = _customers(spark, sf_dir).withColumn("document", columns.post_documents(raw))
-    return rows.select("c_custkey", columns.markdown_body_of("document").alias("body"), F.get_json_object("document", "$.metadata.title").alias("title"), F.get_json_object("document", "$.metadata.type").alias("type"))
+    rows = _writers(spark, sf_dir).select("c_custkey", columns.posts_shown(raw, "metadata", "body").alias("s")).select("c_custkey", "s.*")
+    return rows.select("c_custkey", "body", F.get_json_object("metadata", "$.title").alias("title"), F.get_json_object("metadata", "$.type").alias("type"))
 
 
 _PREVIEW = "# T {{k}}\n\n*By {{name}} (@u{{k}})*\n\n![Banner](https://pbs.twimg.com/media/B{{k}}?format=png&name=large)\n\nShort {{seg}}\n\n[Read the full article on X](https://x.com/i/article/7{{k}})\n\n---\n\n> Source: https://x.com/i/article/7{{k}}\n> Date: 2024-03-02T07:08:09.000Z"
@@ -175,7 +181,7 @@ def article_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _filled(
         '{"rest_id":"{{k}}",' + _USER + ',"legacy":{"created_at":"Sat Mar 02 07:08:09 +0000 2024"},"article":{"article_results":{"result":{"rest_id":"7{{k}}","title":"T {{k}}","preview_text":"Short {{seg}}","cover_media":{"media_info":{"original_img_url":"https://pbs.twimg.com/media/B{{k}}.png"}}}}}}'
     )
-    return _customers(spark, sf_dir).select("c_custkey", columns.markdown_of(columns.post_documents(raw)).alias("markdown"))
+    return _writers(spark, sf_dir).select("c_custkey", columns.posts_shown(raw, "markdown")["markdown"].alias("markdown"))
 
 
 _PAGE = (
@@ -193,7 +199,7 @@ SELECT c_custkey, {_sql('Hello {{seg}} x{{n}}[ex.org/{{k}}](https://ex.org/{{k}}
 """)
 def page_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads from pages: authors, text with pictures of signs and links, media, dates; advertisements and others' posts left out."""
-    rows = _customers(spark, sf_dir)
+    rows = _writers(spark, sf_dir)
     made = columns.documents_of_pages(rows.select("c_custkey", _filled("https://x.com/u{{k}}/status/{{k}}").alias("url"), _filled(_PAGE).alias("html")), id_col="c_custkey")
     read = columns.wire_rows(made)
     return read.select("c_custkey", columns.markdown_body_of("document").alias("body"), "type", "author.handle", F.col("author.name").alias("author"), "date", "source_url")
@@ -348,8 +354,8 @@ def run_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts in runs of 100, with what every format needs."""
     raw = _filled('{"rest_id":"{{k}}",' + _USER + ',"legacy":{"full_text":"**Hi** {{seg}}, \\"{{k}}\\"","favorite_count":{{k}},"created_at":"Sat Mar 02 07:08:09 +0000 2024"}}')
-    rows = _customers(spark, sf_dir).select("c_custkey", F.expr("c_custkey div 100").alias("run"), columns.post_documents(raw).alias("document"))
-    return columns.wire_rows(rows, body=True)
+    rows = _writers(spark, sf_dir).select("c_custkey", F.expr("c_custkey div 100").alias("run"), raw.alias("_raw"))
+    return columns.post_rows(rows, F.col("_raw"), body=True, document=True).drop("_raw")
 
 
 _TAIL = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
@@ -431,8 +437,7 @@ FROM customer, (SELECT unnest(['md', 'txt', 'json', 'html']) AS ext)
 """)
 def item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each post as a file of its own in every format that has one, by their whole contents."""
-    rows = export.post_processed(_runs(spark, sf_dir), export.Options())
-    every = None
+    rows, every = kept(export.post_processed(_runs(spark, sf_dir), export.Options())), None
     for fmt in ("md", "txt", "json", "html"):
         one = export.item_files(rows, fmt).select("c_custkey", "ext", "name", "mime", F.sha2("content", 256).alias("content_sha256"))
         every = one if every is None else every.unionByName(one)
@@ -466,7 +471,7 @@ def html_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
         **places,
     )
     page = columns.html_fragment_of(columns.post_documents(raw))
-    return _customers(spark, sf_dir).select("c_custkey", F.regexp_extract(page, "(?s)<article.*</article>", 0).alias("fragment"))
+    return _writers(spark, sf_dir).select("c_custkey", F.regexp_extract(page, "(?s)<article.*</article>", 0).alias("fragment"))
 
 
 _NOTES = export.Options(for_notes=True, inline_stats=True, download_images=True, filename_template="{date} {handle} {slug}", tags_template="clippings, {type}, {handle}, {nope}", run_date="2024-03-05", fields={"views": False})
@@ -483,7 +488,8 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"rest_id":"{{k}}",' + _USER + ',"legacy":{"full_text":"Hi {{seg}}","favorite_count":{{likes}},"created_at":"Sat Mar 02 07:08:09 +0000 2024","extended_entities":{"media":[{"type":"photo","media_url_https":"https://pbs.twimg.com/media/P{{k}}.png"}]}}}',
         likes=F.expr(f"CAST({_LIKES} AS STRING)"),
     )
-    return columns.wire_rows(_customers(spark, sf_dir).select("c_custkey", columns.post_documents(raw).alias("document")), body=True)
+    rows = _writers(spark, sf_dir).select("c_custkey", raw.alias("_raw"))
+    return columns.post_rows(rows, F.col("_raw"), body=True).drop("_raw")
 
 
 @query(
@@ -698,7 +704,7 @@ FROM customer, (SELECT unnest(['download', 'copy', 'obsidian', 'copy-txt', 'json
 """)
 def single_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each action makes of one post: its file's name, type and whole content, and the link that makes a note."""
-    rows, every = _runs(spark, sf_dir), None
+    rows, every = kept(_runs(spark, sf_dir)), None
     for action in _ACTED:
         made = export.single_export(rows, action, export.Options(run_date="2024-03-05"), " V a ", "F")
         one = made.select("c_custkey", F.lit(action).alias("action"), "name", "mime", "mode", F.sha2("content", 256).alias("content_sha256"), "link")

@@ -11,13 +11,45 @@ SF = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
+#: Queries over a table that fills one split, however many rows a larger one has in it.
+POSTS = ["article_blocks", "page_threads", "single_exports", "csv_notes", "item_files", "combined_csv", "html_fragments", "stored_entries", "combined_json", "note_files", "post_quotes", "post_entities", "post_media", "post_poll", "post_counts", "article_preview"]
+
+
 def _plan(found):
     return found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", POSTS)
+def test_posts_are_made_on_every_core(spark, name, monkeypatch):
+    """Rows are dealt out before their posts are made, also where those are kept for several readers."""
+    from loomfold.plans import format_queries
+
+    plans = []
+
+    def seen(rows):
+        plans.append(_plan(rows))
+        return rows
+
+    monkeypatch.setattr(format_queries, "kept", seen, raising=False)
+    plans.append(_plan(registry.queries()[name](spark, SF)))
+    assert all("RoundRobinPartitioning(4)" in p for p in plans)
+
+
+@pytest.mark.parametrize("name", ["article_blocks", "post_media", "csv_notes", "yaml_frontmatter", "note_frontmatter", "csv_rows", "combined_csv", "combined_json", "post_counts"])
+def test_a_post_is_made_once(spark, name):
+    """One result of Python comes from raw posts; a second one in the same step would be the same tree again."""
+    assert "pythonUDF1" not in _plan(registry.queries()[name](spark, SF))
+
+
 def test_images_are_listed_without_making_notes_again(spark):
     """The plan doesn't repeat what made the images, and rows without images stay out."""
     rows = spark.createDataFrame([(1, "ab"), (2, ""), (3, None)], "k int, t string").selectExpr("k", "transform(regexp_extract_all(t, '[a-z]', 0), x -> named_struct('url', x, 'filename', upper(x))) AS images", "t")
     found = routing.image_manifest(rows, "k", "t")
     assert sorted(map(tuple, found.collect())) == [(1, "ab", "a", "A"), (1, "ab", "b", "B")]
     assert _plan(found).count("regexp_extract_all") == 1
+
+
+def test_batches_of_queries_are_bounded(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    registry.queries()["yaml_frontmatter"](spark, SF)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
