@@ -53,3 +53,11 @@ def test_batches_of_queries_are_bounded(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     registry.queries()["yaml_frontmatter"](spark, SF)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+
+
+def test_trees_are_searched_in_document_order():
+    from loomfold.content import dom
+
+    root = dom.parse("<div><p>a<b>b</b></p><i><u></u></i></div><s></s>")
+    assert [e.tag for e in root] == ["div", "p", "b", "i", "u", "s"]
+    assert root.below() is root.below()
