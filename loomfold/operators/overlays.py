@@ -7,6 +7,8 @@ of every range with every place. No step needs a group in one task: rows lie in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,23 +108,122 @@ def overlaid(ranges: DataFrame, group: str, low: str, high: str, flags: dict[str
     return made
 
 
-def _unit(units: Column, at: Column) -> Column:
-    """Whether a pair of UTF-16 units is cut in two at a place."""
-    return F.hex(F.substring(units, (2 * at + 1).cast("int"), F.lit(1))).between("DC", "DF")
+#: UTF-16 units of a tile of text. Ranges that are alike in a tile are one there, so a tile has at most half the square of this.
+TILE = 256
+
+
+def _held(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is worked out once; a binary column is copied whole wherever a function over an array names it, what a function is given is not."""
+    return F.transform(F.array(value), made)[0]
+
+
+def _cut(units: Column, at: Column) -> Column:
+    """1 where a pair of UTF-16 units is cut in two at a place, else 0."""
+    return F.substring(units, (2 * at + 1).cast("int"), F.lit(1)).between(F.lit(b"\xdc"), F.lit(b"\xdf")).cast("int")
+
+
+def _said(blocks: DataFrame, key: str, text: str) -> DataFrame:
+    """key, _row, _all, _last: texts as UTF-16 units, and the last of the tiles of each."""
+    said = blocks.where(F.col(key).isNotNull()).select(key, F.monotonically_increasing_id().alias("_row"), F.encode(F.coalesce(text, F.lit("")), "UTF-16BE").alias("_all"))
+    return said.withColumn("_last", F.expr(f"(octet_length(_all) div 2 - 1) div {TILE}").cast("int")).where("octet_length(_all) > 0")
+
+
+def _tiles(said: DataFrame, key: str) -> DataFrame:
+    """key, _row, _tile, _ahead, _units: each text in tiles, which a pair of units that would be cut in two moves one place ahead."""
+
+    def tile(text: Column, k: Column) -> Column:
+        low, end = TILE * k - _cut(text, TILE * k), TILE * (k + 1) - _cut(text, TILE * (k + 1))
+        return F.struct(k.cast("bigint").alias("_tile"), (TILE * k - low).alias("_ahead"), F.substring(text, 2 * low + 1, 2 * (end - low)).alias("_units"))
+
+    # Rows that come of a text have a tile each, never the text itself.
+    each = _held(F.col("_all"), lambda text: F.transform(F.sequence(F.lit(0), "_last"), lambda k: tile(text, k)))
+    return said.select(key, "_row", each.alias("_t")).select(key, "_row", F.explode("_t").alias("_t")).select(key, "_row", "_t.*")
+
+
+_PAINT = ["_bold", "_italic", "_url"]
+
+
+def _painted(by: list[str], rows: DataFrame) -> DataFrame:
+    """One row for all that are alike in ``by``: each flag that any has, and of the links the one of the greatest place, the greater of equals."""
+    return rows.groupBy(*by).agg(F.max("_bold").alias("_bold"), F.max("_italic").alias("_italic"), F.max("_url").alias("_url"))
+
+
+def _in_tiles(ranges: DataFrame, said: DataFrame, key: str) -> DataFrame:
+    """key, _tile, _over: what is laid over each tile; where it begins and ends is counted from the tile's start, -1 is before it and more than a tile behind it.
+
+    A range is a row in the tiles of its ends; tiles between are met as aligned blocks, of which it has at most two of each size.
+    """
+    first, last = F.expr(f"_low div {TILE}"), F.expr(f"_high div {TILE}")
+    on = ranges.withColumns({"_first": first, "_last": last})
+    ends = on.select(key, *_PAINT, "_low", "_high", "_first", "_last", F.explode(F.array_distinct(F.array("_first", "_last"))).alias("_tile"))
+    at = ends.select(key, "_tile", F.when(F.col("_tile") == F.col("_first"), F.col("_low") % TILE).otherwise(-1).cast("int").alias("_from"), F.when(F.col("_tile") == F.col("_last"), F.col("_high") % TILE).otherwise(2 * TILE).cast("int").alias("_to"), *_PAINT)
+    between = on.where("_last - _first > 1").select(key, *_PAINT, F.explode(_blocks(F.col("_first") + 1, F.col("_last"))).alias("_b"))
+    nodes = _painted([key, "_size", "_block"], between.select(key, F.col("_b.size").alias("_size"), F.col("_b.block").alias("_block"), *_PAINT))
+    # A block that begins after the first tile is no larger than the place where it begins.
+    sizes = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.col("_tile").cast("double"))).cast("int")), lambda k: F.struct(k.alias("_size"), F.floor(F.col("_tile") / _size(k)).cast("bigint").alias("_block")))
+    places = said.select(key, "_last").where("_last > 0").select(key, F.explode(F.sequence(F.lit(1), "_last")).alias("_tile")).withColumn("_tile", F.col("_tile").cast("bigint"))
+    over = places.select(key, "_tile", F.explode(sizes).alias("_b")).select(key, "_tile", "_b.*").join(nodes, [key, "_size", "_block"])
+    whole = over.select(key, "_tile", F.lit(-1).alias("_from"), F.lit(2 * TILE).alias("_to"), *_PAINT)
+    alike = _painted([key, "_tile", "_from", "_to"], at.unionByName(whole).repartition(key, "_tile"))
+    return alike.groupBy(key, "_tile").agg(F.collect_list(F.struct("_from", "_to", *_PAINT)).alias("_over"))
+
+
+def _parts(met: DataFrame, key: str) -> DataFrame:
+    """key, _row, _tile, _parts: each tile cut where its style changes, as (low, state, piece)."""
+
+    def snapped(units: Column, n: Column, r: Column) -> Column:
+        low, high = r["_from"] + F.col("_ahead"), r["_to"] + F.col("_ahead")
+        low, high = F.when(r["_from"] < 0, 0).otherwise(low - _cut(units, low)), F.least(high + _cut(units, high), n)
+        return F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), *[r[c].alias(c) for c in _PAINT])
+
+    def states(over: Column, n: Column) -> Column:
+        ends = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(over, lambda r: r["low"]), F.transform(over, lambda r: r["high"]))))
+        state = lambda some: F.struct(F.exists(some, lambda r: r["_bold"]).alias("bold"), F.exists(some, lambda r: r["_italic"]).alias("italic"), F.array_max(F.transform(some, lambda r: r["_url"]))["url"].alias("link"))
+        return F.transform(F.filter(ends, lambda at: at < n), lambda at: F.struct(at.alias("low"), _held(F.filter(over, lambda r: (r["low"] <= at) & (at < r["high"])), state).alias("state")))
+
+    def part(units: Column, n: Column, changes: Column, s: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(changes, i + 1)["low"], n)
+        return F.struct((TILE * F.col("_tile") - F.col("_ahead") + s["low"]).alias("low"), s["state"].alias("state"), F.decode(F.substring(units, 2 * s["low"] + 1, 2 * (end - s["low"])), "UTF-16BE").alias("piece"))
+
+    def parts(units: Column, n: Column) -> Column:
+        over = F.filter(F.transform(F.coalesce("_over", F.filter(F.array(_no_range()), lambda _: F.lit(False))), lambda r: snapped(units, n, r)), lambda r: r["low"] < r["high"])
+        changes = lambda found: F.filter(found, lambda s, i: (i == 0) | ~s["state"].eqNullSafe(F.get(found, i - 1)["state"]))
+        return _held(_held(_held(over, lambda o: states(o, n)), changes), lambda found: F.transform(found, lambda s, i: part(units, n, found, s, i)))
+
+    made = _held(F.col("_units"), lambda units: _held((F.octet_length(units) / 2).cast("int"), lambda n: parts(units, n)))
+    return met.select(key, "_row", "_tile", made.alias("_parts"))
+
+
+def _no_range() -> Column:
+    paint = F.lit(None).cast("struct<place: bigint, url: string>")
+    return F.struct(F.lit(0).alias("_from"), F.lit(0).alias("_to"), F.lit(False).alias("_bold"), F.lit(False).alias("_italic"), paint.alias("_url"))
 
 
 def styled_pieces(blocks: DataFrame, ranges: DataFrame, key: str, text: str) -> DataFrame:
     """key, low, piece, bold, italic, link: each block's text cut into the longest pieces of one style, in the JVM.
 
     ``ranges`` are (key, offset, length, style, url, place): a style of any case sets bold or italic, and of the ranges with a url the one of the greatest place wins. Ranges count UTF-16 units, those that
-    cut a character in two take it whole, and what lies outside the text is left out. A block without text, or null, has no pieces; a null offset or length counts as 0.
+    cut a character in two take it whole, and what lies outside the text is left out. A block without text, or null, has no pieces; a null offset or length counts as 0. Of blocks that share a key each is
+    cut by all ranges of the key.
+
+    Texts are met by their ranges tile by tile, so no row has both a whole text and one of its ranges. What goes on from tile to tile is one piece in the end.
     """
-    said = blocks.where(F.col(key).isNotNull()).select(key, F.encode(F.coalesce(text, F.lit("")), "UTF-16BE").alias("_units")).withColumn("_n", (F.octet_length("_units") / 2).cast("bigint")).where("_n > 0")
-    from_, style = F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).cast("bigint"), F.lower("style")
-    on = ranges.select(key, from_.alias("_low"), (F.coalesce("offset", F.lit(0)) + F.coalesce("length", F.lit(0))).cast("bigint").alias("_high"), style.alias("_style"), F.nullif("url", F.lit("")).alias("_url"), F.col("place").cast("bigint").alias("_place"))
-    met = said.join(on, key).withColumn("_high", F.least("_high", "_n")).where("_low < _n AND _low <= _high")
-    snapped = met.select(key, (F.col("_low") - _unit(F.col("_units"), F.col("_low")).cast("int")).alias("low"), (F.col("_high") + _unit(F.col("_units"), F.col("_high")).cast("int")).alias("high"), "_style", "_url", "_place")
-    whole = said.select(key, F.lit(0).cast("bigint").alias("low"), F.col("_n").alias("high"), F.lit(None).cast("string").alias("_style"), F.lit(None).cast("string").alias("_url"), F.lit(-1).cast("bigint").alias("_place"))
-    over = overlaid(snapped.unionByName(whole), key, "low", "high", {"bold": F.col("_style") == "bold", "italic": F.col("_style") == "italic"}, F.col("_url"), "_place", "link")
-    piece = F.decode(F.substring("_units", (2 * F.col("low") + 1).cast("int"), (2 * (F.col("high") - F.col("low"))).cast("int")), "UTF-16BE")
-    return over.join(said, key).select(key, "low", piece.alias("piece"), "bold", "italic", "link")
+    offset, style, url = F.coalesce("offset", F.lit(0)).cast("bigint"), F.lower("style"), F.nullif("url", F.lit(""))
+    paint = F.when(url.isNotNull(), F.struct(F.col("place").cast("bigint").alias("place"), url.alias("url")))
+    flags = [F.coalesce(style == n, F.lit(False)).alias(f"_{n}") for n in ("bold", "italic")]
+    on = ranges.where(F.col(key).isNotNull()).select(key, F.greatest(offset, F.lit(0)).alias("_low"), (offset + F.coalesce("length", F.lit(0))).alias("_high"), *flags, paint.alias("_url")).where("_low <= _high")
+    said = _said(blocks, key, text)
+    parts = _parts(_tiles(said, key).join(_in_tiles(on, said, key), [key, "_tile"], "left"), key).repartition(key)
+    # The tiles of one text, which is a row itself.
+    order = Window.partitionBy(key, "_row").orderBy("_tile")
+    first, last = F.element_at("_parts", 1), F.element_at("_parts", -1)
+    marked = parts.withColumn("_goes_on", F.coalesce(F.lag(last["state"]).over(order).eqNullSafe(first["state"]) & (F.col("_tile") > 0), F.lit(False)))
+    begun = (~F.col("_goes_on") | (F.size("_parts") > 1)).cast("bigint")
+    # A tile in which a piece begins, and those after it that have nothing but that piece; each brings what the next one has of it.
+    traced = marked.withColumns({"_run": F.sum(begun).over(order), "_more": F.lead(F.when(F.col("_goes_on"), first["piece"])).over(order)})
+    own = F.when(F.col("_goes_on"), F.slice("_parts", F.lit(2), F.size("_parts"))).otherwise(F.col("_parts"))
+    runs = traced.groupBy(key, "_row", "_run").agg(F.array_sort(F.collect_list(F.struct("_tile", own.alias("own"), F.col("_more").alias("more")))).alias("_of"))
+    runs = runs.select(key, F.col("_of")[0]["own"].alias("_own"), F.array_join(F.transform("_of", lambda t: t["more"]), "").alias("_more"))
+    whole = runs.select(key, F.size("_own").alias("_n"), "_more", F.posexplode("_own").alias("_at", "_p"))
+    piece = F.when(F.col("_at") == F.col("_n") - 1, F.concat("_p.piece", "_more")).otherwise(F.col("_p.piece"))
+    return whole.select(key, "_p.low", piece.alias("piece"), "_p.state.bold", "_p.state.italic", "_p.state.link")

@@ -90,3 +90,39 @@ def test_styled_text_is_what_the_reader_of_articles_makes(spark):
         got.setdefault(r.key, []).append((r.piece, r.bold, r.italic, r.link))
     assert got == want
     assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def shuffled(spark):
+    """Rows that all stages of the session have written to shuffles so far."""
+    at = spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, at.new_array(at.jvm.double, 0), at.jvm.java.util.ArrayList())
+    return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
+
+
+def test_long_texts_are_styled_by_what_meets_each_part_of_them(spark):
+    """Ranges of any length over texts of many parts, and pairs of units where parts meet; what is shuffled grows with ranges, parts and pieces."""
+    some, texts, ranges, want = random.Random(9), [], [], {}
+    for key, units in enumerate([255, 256, 257, 511, 512, 513, 1300, 1301, 5000, 40000]):
+        value = "a" * (key % 2)
+        while len(value.encode("utf-16-be")) // 2 < units:
+            value += some.choice(["\U0001f600", "\U0001f600", "b", "é"])
+        texts.append((key, value))
+        spots = [*range(0, units, 256), *[some.randrange(units + 3) for _ in range(20)]]
+        place = lambda: max(0, some.choice(spots) + some.choice([-1, 0, 1]))
+        length = lambda: some.choice([*[0, 1, 2, 5, 9, 30] * 9, 256, 257, 700, 3000])
+        styles = [(place(), length() if n % 9 else 1, some.choice(["Bold", "ITALIC", "code"])) for n in range(units // 60)]
+        links = [(place(), length(), some.choice(["u1", "u2", ""])) for _ in range(units // 90)]
+        ranges += [(key, o, n, s, None, 0) for o, n, s in styles] + [(key, o, n, None, u, at) for at, (o, n, u) in enumerate(links)]
+        block = {"text": value, "inlineStyleRanges": [{"offset": o, "length": n, "style": s} for o, n, s in styles], "entityRanges": [{"offset": o, "length": n, "key": at} for at, (o, n, _) in enumerate(links)]}
+        want[key] = [p for node in inline.from_ranges(block, {str(at): {"type": "LINK", "data": {"url": u}} for at, (*_, u) in enumerate(links)}) for p in pieces(node)]
+    texts.append((99, "plain \U0001f600" * 400))
+    want[99] = [(texts[-1][1], False, False, None)]
+    before = shuffled(spark)
+    made = overlays.styled_pieces(spark.createDataFrame(texts, "key int, text string"), spark.createDataFrame(ranges, "key int, offset int, length int, style string, url string, place int"), "key", "text").collect()
+    rows, got = shuffled(spark) - before, {}
+    for r in sorted(made, key=lambda r: (r.key, r.low)):
+        got.setdefault(r.key, []).append((r.piece, r.bold, r.italic, r.link))
+    assert got == want
+    assert all(r.low == sum(len(p.piece.encode("utf-16-be")) // 2 for p in made if p.key == r.key and p.low < r.low) for r in made)
+    assert 0 < rows < 2.5 * (len(ranges) + sum(len(t.encode("utf-16-be")) for _, t in texts) // 512 + len(made))
