@@ -23,6 +23,11 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def trimmed_right(c: Column) -> Column:
+    """No white space at the end."""
+    return F.rtrim(c, F.lit(SPACES))
+
+
 def squeezed(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return trimmed(F.regexp_replace(c, rf"[{SPACE}]+", " "))
@@ -158,12 +163,30 @@ def description(markdown: Column, most: int = 200) -> Column:
     return bound(shown, lambda x: F.when(F.length(x) <= most, x).otherwise(F.concat(F.regexp_replace(F.substring(x, 1, most), rf"[{SPACE}]+[^{SPACE}]*$", ""), F.lit("…"))))
 
 
-def slug_preview(markdown: Column) -> Column:
-    body = F.regexp_replace(F.regexp_replace(without_front(markdown), IMAGE, ""), LINK, "$1")
+def _preview(body: Column) -> Column:
+    body = F.regexp_replace(F.regexp_replace(body, IMAGE, ""), LINK, "$1")
     body = F.regexp_replace(body, rf"(?m)^[>{SPACE}-]+", "")
     return squeezed(F.regexp_replace(body, "[*_`]", ""))
 
 
+def slug_preview(markdown: Column) -> Column:
+    return _preview(without_front(markdown))
+
+
+#: Characters of a body that are looked at for its slug before the rest.
+_HEAD = 400
+
+
+def preview_slug(markdown: Column, most: int = 60) -> Column:
+    """``slug`` of ``slug_preview``, from the first characters of the body where these tell.
+
+    They do if no bracket is among them, so that no image or link begins there, and the slug is full: all else is done to each character or run by itself, so what comes after only adds to it.
+    """
+    full = lambda body: slug(_preview(body), most)
+    first = lambda body: F.when(~F.contains(F.substring(body, 1, _HEAD), F.lit("[")), full(F.substring(body, 1, _HEAD)))
+    return bound(without_front(markdown), lambda body: bound(first(body), lambda found: F.when(F.length(found) >= most, found).otherwise(full(body))))
+
+
 def without_source_footer(markdown: Column) -> Column:
     return F.regexp_replace(markdown, r"(?s)\n+---\n+> Source:.*\n> Date:.*$", "")
 

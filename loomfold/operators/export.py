@@ -69,10 +69,10 @@ def title_of() -> Column:
 
 
 def placeholders() -> dict[str, Column]:
-    preview = F.when((F.col("type") == "article") & (F.coalesce("title", F.lit("")) != ""), F.col("title")).otherwise(text.slug_preview(F.col("markdown")))
+    slug = F.when((F.col("type") == "article") & (F.coalesce("title", F.lit("")) != ""), text.slug(F.col("title"))).otherwise(text.preview_slug(F.col("markdown")))
     values = {
         "date": dates.date_only(F.col("date")), "datetime": dates.date_and_minute(F.col("date")), "handle": F.regexp_replace("author.handle", "^([^@]*)@", "$1"),
-        "author": F.col("author.name"), "id": F.col("tweet_id"), "slug": text.slug(preview), "type": F.col("type"),
+        "author": F.col("author.name"), "id": F.col("tweet_id"), "slug": slug, "type": F.col("type"),
     }
     return {k: F.coalesce(v, F.lit("")) for k, v in values.items()}
 
@@ -125,7 +125,7 @@ def front_matter(options: Options, body: Column) -> Column:
 
 def with_stats(markdown: Column, line: Column) -> Column:
     """Markdown with its stats line: in a thread before the first rule after the front matter, else before the footer or at the end."""
-    at_end = F.concat(F.regexp_replace(markdown, rf"[{text.SPACE}]*\z", ""), F.lit("\n\n"), line, F.lit("\n"))
+    at_end = F.concat(text.trimmed_right(markdown), F.lit("\n\n"), line, F.lit("\n"))
     head = F.regexp_extract(markdown, r"(?s)\A(---.*?\n.*?---)?", 0)
     rest = F.substring(markdown, F.length(head) + 1, F.lit(1 << 30))
     rule = F.locate("\n---\n", rest)

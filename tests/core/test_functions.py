@@ -1,5 +1,6 @@
 """Column functions on single values."""
 
+import random
 import time
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomfold.content.html import count
 from loomfold.functions import dates, text, urls
+from loomfold.operators import export
 
 
 def apply(spark, function, values, kind="string"):
@@ -138,3 +140,21 @@ def test_text_of_a_page_cut_within_a_reference(spark, tmp_path):
 def test_document_of_a_page_cut_within_a_reference(spark, tmp_path):
     found, want = _on_a_cut_page(spark, tmp_path, "page_documents")
     assert found == want
+
+
+def test_slugs_of_previews_are_those_of_whole_bodies(spark):
+    some = random.Random(4)
+    parts = ["word ", "Two words, ", "\n", "\n\n> ", "- ", "[a](b) ", "![i](u) ", "[open ", "![", "](", "*b* ", "Σ", "É", "😀", "   ", "\r\n", "--- ", "# h\n", "x" * 70, "...", " "]
+    bodies = ["".join(some.choice(parts) for _ in range(some.choice([0, 3, 20, 80, 400]))) for _ in range(300)]
+    bodies += [None, "a " * 200 + "![b](c)", "- " * 300 + "late words " * 20, "w" * 399 + "[x](y) z" * 20, "plain " * 100 + "[x", "a" * 60, "a" * 59 + " " * 500 + "b"]
+    frame = spark.createDataFrame([(b,) for b in bodies], "body string")
+    rows = frame.select("body", text.slug(text.slug_preview(F.col("body"))).alias("want"), text.preview_slug(F.col("body")).alias("got")).collect()
+    assert [r for r in rows if r.want != r.got] == []
+
+
+def test_stats_end_long_texts_in_linear_time(spark):
+    said = "a" + " " * 100_000 + "b"
+    rows = spark.createDataFrame([(said + " \n 　", "tweet"), ("\n", "tweet")], "markdown string, type string")
+    began = time.perf_counter()
+    made = [r[0] for r in rows.select(export.with_stats(F.col("markdown"), F.lit("line"))).collect()]
+    assert made == [said + "\n\nline\n", "\n\nline\n"] and time.perf_counter() - began < 10
