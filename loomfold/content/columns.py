@@ -23,8 +23,12 @@ METADATA = StructType([
 ])
 
 
+#: ``json.dumps`` with any option makes such an encoder anew for each value.
+_PLAIN, _PRETTY = json.JSONEncoder(ensure_ascii=False), json.JSONEncoder(ensure_ascii=False, indent=2)
+
+
 def dumped(value) -> str:
-    return json.dumps(value, ensure_ascii=False)
+    return _PLAIN.encode(value)
 
 
 #: Rows of a batch whose trees and texts a worker holds as Python objects at once.
@@ -64,21 +68,22 @@ markdown_body_of = _json_function(markdown.body_of)
 
 
 #: What a document is shown as.
-SHOWN = {"document": dumped, "metadata": lambda doc: dumped(doc["metadata"]), "markdown": markdown.document, "body": markdown.body_of, "html": html.document}
+SHOWN = {
+    "document": dumped, "metadata": lambda doc: dumped(doc["metadata"]), "markdown": markdown.document, "body": markdown.body_of,
+    "html": html.document, "fragment": html.fragment, "json": _PRETTY.encode,
+}
 
 
 def _shown(parts: tuple[str, ...], tree: Callable[[dict], dict]):
     """An Arrow function from JSON strings to a struct of ``parts`` (of SHOWN) of the document that ``tree`` makes, which is made once; null and what is no JSON give nulls."""
-    kind = pa.struct([(p, pa.string()) for p in parts])
 
-    def one(value: str | None) -> dict:
-        read = _read(value)
-        doc = None if read is None else tree(read)
-        return {p: None if doc is None else SHOWN[p](doc) for p in parts}
+    def some(values: list) -> pa.StructArray:
+        docs = [None if (read := _read(v)) is None else tree(read) for v in values]
+        return pa.StructArray.from_arrays([pa.array([None if d is None else SHOWN[p](d) for d in docs], pa.string()) for p in parts], list(parts))
 
     @arrow_udf(StructType([StructField(p, StringType()) for p in parts]))
     def run(values: pa.Array) -> pa.Array:
-        return _in_slices(values, kind, lambda some: [one(v) for v in some])
+        return pa.concat_arrays([some([]), *(some(values.slice(at, MOST_AT_ONCE).to_pylist()) for at in range(0, len(values), MOST_AT_ONCE))])
 
     return run
 
@@ -89,7 +94,7 @@ def shown(document: Column, *parts: str) -> Column:
 
 
 def posts_shown(raw: Column, *parts: str) -> Column:
-    """A struct of parts (document, metadata, markdown, body, html) of the documents of raw posts, each made once and never read back."""
+    """A struct of parts (document, metadata, markdown, body, html, fragment, json) of the documents of raw posts, each made once and never read back."""
     return _shown(parts, posts.post_document)(raw)
 
 
@@ -98,8 +103,8 @@ html_with_counts_of = _json_function(lambda d: html.document(d, True))
 html_fragment_of = _json_function(html.fragment)
 html_card_of = _json_function(lambda doc: html.card(doc))
 html_many_of = _json_function(lambda docs: html.many(docs))
-json_many_of = _json_function(lambda docs: json.dumps(docs, ensure_ascii=False, indent=2))
-pretty_json_of = _json_function(lambda d: json.dumps(d, ensure_ascii=False, indent=2))
+json_many_of = _json_function(_PRETTY.encode)
+pretty_json_of = _json_function(_PRETTY.encode)
 
 
 def is_repost(raw: Column | str) -> Column:
@@ -205,9 +210,12 @@ def wire_rows(frame: DataFrame, document: str = "document", handle_prefix: str =
     return _wired(read.withColumn("_shown", shown(F.col(document), "markdown", "body")), handle_prefix, {"markdown": F.col("_shown.markdown"), "body_markdown": F.col("_shown.body")})
 
 
-def post_rows(frame: DataFrame, raw: Column, body: bool = False, document: bool = False) -> DataFrame:
-    """frame with the columns of ``wire_rows`` of raw posts, each read and made into a tree once; with ``document`` also that."""
-    parts = ["metadata", "markdown", *(["body"] if body else []), *(["document"] if document else [])]
-    names = {"markdown": "markdown", "body": "body_markdown", "document": "document"}
+def post_rows(frame: DataFrame, raw: Column, body: bool = False, document: bool = False, markdown: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+    """frame with the columns of ``wire_rows`` of raw posts, each read and made into a tree once; with ``document`` also that, and with ``more`` further parts under their own names.
+
+    Each part takes time; where only the body is used, as in a CSV without descriptions, ``markdown`` may be left out.
+    """
+    parts = ["metadata", *(["markdown"] if markdown else []), *(["body"] if body else []), *(["document"] if document else []), *more]
+    names = {p: p for p in more} | {"markdown": "markdown", "body": "body_markdown", "document": "document"}
     read = frame.withColumn("_shown", posts_shown(raw, *parts)).withColumn("_meta", F.from_json("_shown.metadata", METADATA))
     return _wired(read, "", {names[p]: F.col(f"_shown.{p}") for p in parts[1:]})

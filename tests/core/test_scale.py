@@ -61,3 +61,12 @@ def test_trees_are_searched_in_document_order():
     root = dom.parse("<div><p>a<b>b</b></p><i><u></u></i></div><s></s>")
     assert [e.tag for e in root] == ["div", "p", "b", "i", "u", "s"]
     assert root.below() is root.below()
+
+
+def test_an_encoder_serves_all_values(monkeypatch):
+    import json
+
+    from loomfold.content import columns
+
+    monkeypatch.setattr(json, "JSONEncoder", None)
+    assert columns.dumped({"a": ["é", None]}) == '{"a": ["é", null]}'
