@@ -70,3 +70,59 @@ def test_an_encoder_serves_all_values(monkeypatch):
 
     monkeypatch.setattr(json, "JSONEncoder", None)
     assert columns.dumped({"a": ["é", None]}) == '{"a": ["é", null]}'
+
+
+PLAIN = {"rest_id": "7", "core": {"user_results": {"result": {"core": {"name": "A", "screen_name": "a"}}}}, "legacy": {"full_text": "Hi", "favorite_count": 7, "created_at": "Sat Mar 02 07:08:09 +0000 2024"}}
+
+
+def _calls(raw):
+    """Calls of functions of the library that a post's tree and its Markdown take."""
+    import sys
+
+    from loomfold.content import markdown, posts
+
+    n = 0
+
+    def seen(frame, event, arg):
+        nonlocal n
+        n += event == "call" and "loomfold" in frame.f_code.co_filename
+
+    posts.post_document(raw)
+    sys.setprofile(seen)
+    try:
+        markdown.body_of(posts.post_document(raw))
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+@pytest.mark.parametrize(
+    ("most", "more"),
+    [
+        (170, {"quoted_status_result": {"result": PLAIN | {"quoted_status_result": {"result": PLAIN}}}}),
+        (76, {"legacy": PLAIN["legacy"] | {"entities": {"urls": [{"expanded_url": "https://e", "display_url": "e", "indices": [0, 1]}], "hashtags": [{"text": "t", "indices": [1, 2]}]}}}),
+        (66, {"legacy": PLAIN["legacy"] | {"extended_entities": {"media": [{"type": "photo", "media_url_https": "https://pbs.twimg.com/media/P.png"}]}}}),
+    ],
+    ids=["quotes", "entities", "media"],
+)
+def test_a_post_takes_few_steps(most, more):
+    """What a post costs is calls of small functions: 197, 82 and 73 of them before."""
+    assert _calls(PLAIN | more) <= most
+
+
+def test_usual_dates_are_read_without_patterns_of_time(monkeypatch):
+    """Dates as the feed writes them are read by their places, all others as before."""
+    import datetime as dt
+
+    from loomfold.content import posts
+
+    odd = ["sat mar 2 7:08:09 +0000 2024", "Sat Mar 02 07:08:09 +0530 2024", "Sat Feb 30 07:08:09 +0000 2024", "Sat Mar 02 07:08:61 +0000 2024", "Sat Mar 02 24:08:09 +0000 2024", "2024-01-02", "nope"]
+    assert [posts.iso(d) for d in odd] == ["2024-03-02T07:08:09.000Z", "2024-03-02T01:38:09.000Z", *odd[2:5], "2024-01-02T00:00:00.000Z", "nope"]
+
+    class Slow(dt.datetime):
+        @classmethod
+        def strptime(cls, *a):
+            raise AssertionError("read by a pattern")
+
+    monkeypatch.setattr(posts, "datetime", Slow)
+    assert posts.iso("Sat Mar 02 07:08:09 +0000 2024") == "2024-03-02T07:08:09.000Z"
