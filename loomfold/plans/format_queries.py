@@ -470,7 +470,7 @@ def html_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
         '"card":{"legacy":{"name":"poll2choice","binding_values":[{"key":"choice1_label","value":{"string_value":"A"}},{"key":"choice1_count","value":{"string_value":"1"}}]}}}',
         **places,
     )
-    page = columns.html_fragment_of(columns.post_documents(raw))
+    page = columns.posts_shown(raw, "fragment")["fragment"]
     return _writers(spark, sf_dir).select("c_custkey", F.regexp_extract(page, "(?s)<article.*</article>", 0).alias("fragment"))
 
 

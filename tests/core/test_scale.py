@@ -126,3 +126,19 @@ def test_usual_dates_are_read_without_patterns_of_time(monkeypatch):
 
     monkeypatch.setattr(posts, "datetime", Slow)
     assert posts.iso("Sat Mar 02 07:08:09 +0000 2024") == "2024-03-02T07:08:09.000Z"
+
+
+@pytest.mark.parametrize(("name", "parts"), [("html_fragments", {"fragment"})])
+def test_queries_make_the_parts_that_they_show(spark, monkeypatch, name, parts):
+    """A struct of Python isn't pruned: each part that is asked for is made, whether something reads it or not."""
+    from loomfold.content import columns
+
+    asked, made = [], columns.posts_shown
+
+    def seen(raw, *wanted):
+        asked.append(set(wanted))
+        return made(raw, *wanted)
+
+    monkeypatch.setattr(columns, "posts_shown", seen)
+    registry.queries()[name](spark, SF)
+    assert asked == [parts]
