@@ -184,18 +184,23 @@ def csv_columns(options: Options) -> list[str]:
     return [c for c in CSV_ORDER if c in active] + [c for c in active if c not in CSV_ORDER] + ["text"]
 
 
-def csv_value(key: str, options: Options) -> Column:
+def csv_value(key: str, options: Options, texts: tuple[str, ...] = ("body_markdown", "markdown")) -> Column:
+    """A column's value; ``texts`` are the columns in which a row's text is looked for."""
     values = {
         "title": title_of, "source": lambda: F.col("source_url"), "author": lambda: F.col("author.handle" if options.for_notes else "author.name"), "author_name": lambda: F.col("author.name"),
         "handle": lambda: F.col("author.handle"), "date": lambda: F.col("date"), "published": lambda: dates.date_only(F.col("date")), "created": lambda: F.lit(options.run_date), "type": lambda: F.col("type"),
-        "description": lambda: text.description(F.col("markdown")), "tags": lambda: F.array_join(tags(options.tags_template), " "), "text": lambda: text.trimmed(text.markdown_to_plain(F.coalesce(F.col("body_markdown"), F.col("markdown")))),
+        "description": lambda: text.description(F.col("markdown")), "tags": lambda: F.array_join(tags(options.tags_template), " "), "text": lambda: text.trimmed(text.markdown_to_plain(F.coalesce(*map(F.col, texts)))),
     } | {k: (lambda k=k: F.col(f"counts.{k}").cast("string")) for k in COUNTS}
     return F.coalesce(values[key](), F.lit(""))
 
 
 def csv_lines(rows: DataFrame, options: Options) -> DataFrame:
-    """rows (with body_markdown, null where there is no tree) with ``csv_line``; the header is ``csv_header``. Each value is computed once."""
-    return rows.withColumn("csv_line", F.concat_ws(",", *[text.bound(csv_value(c, options), text.csv_field) for c in csv_columns(options)]))
+    """rows (with body_markdown, null where there is no tree) with ``csv_line``; the header is ``csv_header``. Each value is computed once.
+
+    Where every row has its body, ``markdown`` may be missing, unless the line has descriptions.
+    """
+    texts = tuple(c for c in ("body_markdown", "markdown") if c in rows.columns)
+    return rows.withColumn("csv_line", F.concat_ws(",", *[text.bound(csv_value(c, options, texts), text.csv_field) for c in csv_columns(options)]))
 
 
 def csv_header(options: Options) -> str:
@@ -264,6 +269,28 @@ def item_files(rows: DataFrame, fmt: str) -> DataFrame:
     return rows.withColumns({"name": item_name(F.col("filename"), fmt), "content": content, "mime": F.lit(FORMATS[fmt]), "ext": F.lit(fmt), "images": images})
 
 
+def every_item_file(rows: DataFrame, formats: tuple[str, ...] = ("md", "txt", "json", "html"), made: Column | None = None) -> DataFrame:
+    """The rows of ``item_files`` in each of several formats, in one pass: a document is read once for all of them, and nothing is kept in between.
+
+    ``made`` is a struct of the documents' markdown, html and json where these are at hand; else they come from ``document``.
+    """
+    if made is None:
+        made = columns.shown(F.col("document"), "markdown", "html", "json")
+    none = F.array().cast(rows.schema["images"].dataType)
+    each = rows.withColumn("_made", made).withColumn("ext", F.explode(F.array(*map(F.lit, formats))))
+    contents = {"md": F.col("markdown"), "txt": text.markdown_to_plain(F.col("_made.markdown")), "html": F.col("_made.html"), "json": F.col("_made.json")}
+
+    def by_format(values: dict[str, Column]) -> Column:
+        chosen = F
+        for fmt in formats:
+            chosen = chosen.when(F.col("ext") == fmt, values[fmt])
+        return chosen
+
+    return each.withColumns({
+        "name": by_format({f: item_name(F.col("filename"), f) for f in formats}), "content": by_format(contents), "mime": by_format({f: F.lit(FORMATS[f]) for f in formats}), "images": F.when(F.col("ext") == "md", F.col("images")).otherwise(none),
+    }).drop("_made")
+
+
 def format_export(rows: DataFrame, fmt: str, options: Options) -> DataFrame:
     """rows (wire rows with ``document`` and, for CSV, ``body_markdown``) with content, mime and ext of each alone in a format; a CSV has its header."""
     content = {

@@ -351,11 +351,13 @@ def run_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Combined files
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts in runs of 100, with what every format needs."""
-    raw = _filled('{"rest_id":"{{k}}",' + _USER + ',"legacy":{"full_text":"**Hi** {{seg}}, \\"{{k}}\\"","favorite_count":{{k}},"created_at":"Sat Mar 02 07:08:09 +0000 2024"}}')
-    rows = _writers(spark, sf_dir).select("c_custkey", F.expr("c_custkey div 100").alias("run"), raw.alias("_raw"))
-    return columns.post_rows(rows, F.col("_raw"), body=True, document=True).drop("_raw")
+_RUN_POST = '{"rest_id":"{{k}}",' + _USER + ',"legacy":{"full_text":"**Hi** {{seg}}, \\"{{k}}\\"","favorite_count":{{k}},"created_at":"Sat Mar 02 07:08:09 +0000 2024"}}'
+
+
+def _runs(spark: SparkSession, sf_dir: str, **parts) -> DataFrame:
+    """Posts in runs of 100, with what every format needs, or only the parts that are named as in ``post_rows``."""
+    rows = _writers(spark, sf_dir).select("c_custkey", F.expr("c_custkey div 100").alias("run"), _filled(_RUN_POST).alias("_raw"))
+    return columns.post_rows(rows, F.col("_raw"), **(parts or {"body": True, "document": True})).drop("_raw")
 
 
 _TAIL = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
@@ -368,7 +370,8 @@ def _file_sql(content: str) -> str:
 
 
 def _files(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
-    made = export.combined_files(_runs(spark, sf_dir), "run", "c_custkey", fmt, export.Options())
+    parts = {"body": True, "markdown": False} if fmt == "csv" else {}
+    made = export.combined_files(_runs(spark, sf_dir, **parts), "run", "c_custkey", fmt, export.Options())
     return made.select("run", "n_items", "ext", "mime", F.sha2("content", 256).alias("content_sha256"), F.lit(export.combined_name(fmt, "2024-03-02")).alias("name"))
 
 
