@@ -679,7 +679,8 @@ def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'held-' || c_custkey || '.json' ELSE 'u' || c_custkey || '-' || c_custkey || '.json' END AS name, CAST(c_custkey AS VARCHAR) AS id FROM customer")
 def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored documents as entries of an archive, made anew from their trees under their stored names."""
-    rows = _runs(spark, sf_dir).select("c_custkey", "document", F.when(F.expr("c_custkey % 2 = 0"), _filled("held-{{k}}.md")).alias("filename"))
+    document = columns.posts_shown(_filled(_RUN_POST), "document")["document"]
+    rows = _writers(spark, sf_dir).select("c_custkey", document.alias("document"), F.when(F.expr("c_custkey % 2 = 0"), _filled("held-{{k}}.md")).alias("filename"))
     made = export.stored_entries(rows, "json", export.Options(download_images=True))
     return made.select("c_custkey", "name", F.get_json_object("content", "$.metadata.tweetId").alias("id"))
 

@@ -128,7 +128,7 @@ def test_usual_dates_are_read_without_patterns_of_time(monkeypatch):
     assert posts.iso("Sat Mar 02 07:08:09 +0000 2024") == "2024-03-02T07:08:09.000Z"
 
 
-@pytest.mark.parametrize(("name", "parts"), [("combined_csv", {"metadata", "body"}), ("html_fragments", {"fragment"})])
+@pytest.mark.parametrize(("name", "parts"), [("combined_csv", {"metadata", "body"}), ("stored_entries", {"document"}), ("html_fragments", {"fragment"})])
 def test_queries_make_the_parts_that_they_show(spark, monkeypatch, name, parts):
     """A struct of Python isn't pruned: each part that is asked for is made, whether something reads it or not."""
     from loomfold.content import columns
