@@ -440,11 +440,9 @@ FROM customer, (SELECT unnest(['md', 'txt', 'json', 'html']) AS ext)
 """)
 def item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each post as a file of its own in every format that has one, by their whole contents."""
-    rows, every = kept(export.post_processed(_runs(spark, sf_dir), export.Options())), None
-    for fmt in ("md", "txt", "json", "html"):
-        one = export.item_files(rows, fmt).select("c_custkey", "ext", "name", "mime", F.sha2("content", 256).alias("content_sha256"))
-        every = one if every is None else every.unionByName(one)
-    return every
+    rows = _runs(spark, sf_dir, more=("html", "json")).withColumn("made", F.struct("markdown", "html", "json"))
+    files = export.every_item_file(export.post_processed(rows, export.Options()), ("md", "txt", "json", "html"), F.col("made"))
+    return files.select("c_custkey", "ext", "name", "mime", F.sha2("content", 256).alias("content_sha256"))
 
 
 # Notes, fragments, links and choices

@@ -128,7 +128,7 @@ def test_usual_dates_are_read_without_patterns_of_time(monkeypatch):
     assert posts.iso("Sat Mar 02 07:08:09 +0000 2024") == "2024-03-02T07:08:09.000Z"
 
 
-@pytest.mark.parametrize(("name", "parts"), [("combined_csv", {"metadata", "body"}), ("stored_entries", {"document"}), ("html_fragments", {"fragment"})])
+@pytest.mark.parametrize(("name", "parts"), [("combined_csv", {"metadata", "body"}), ("stored_entries", {"document"}), ("html_fragments", {"fragment"}), ("item_files", {"metadata", "markdown", "html", "json"})])
 def test_queries_make_the_parts_that_they_show(spark, monkeypatch, name, parts):
     """A struct of Python isn't pruned: each part that is asked for is made, whether something reads it or not."""
     from loomfold.content import columns
@@ -142,3 +142,24 @@ def test_queries_make_the_parts_that_they_show(spark, monkeypatch, name, parts):
     monkeypatch.setattr(columns, "posts_shown", seen)
     registry.queries()[name](spark, SF)
     assert asked == [parts]
+
+
+def test_files_of_all_formats_come_from_one_pass(spark):
+    """The table is read once, each post is made once and nothing is kept for further readers."""
+    plan = _plan(registry.queries()["item_files"](spark, SF))
+    assert plan.count("FileScan") == 1 and "Union" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_files_of_all_formats_are_those_of_each(spark):
+    from pyspark.sql import functions as F
+
+    from loomfold.content import columns
+    from loomfold.operators import export
+
+    raw = '{"rest_id":"%s","core":{"user_results":{"result":{"core":{"name":"N","screen_name":"h"}}}},"legacy":{"full_text":"**Hi** [a](https://b) é"}}'
+    frame = spark.createDataFrame([(1, raw % 1), (2, raw % 2), (3, None), (4, "no json")], "k int, raw string")
+    rows = export.post_processed(columns.wire_rows(frame.select("k", columns.post_documents("raw").alias("document"))), export.Options(download_images=True))
+    shown = ["k", "ext", "name", "mime", "content", F.to_json("images").alias("images")]
+    for formats in (("md", "txt", "json", "html"), ("json",), ("txt", "md")):
+        found = sorted(map(tuple, export.every_item_file(rows, formats).select(*shown).collect()), key=str)
+        assert found == sorted((tuple(r) for f in formats for r in export.item_files(rows, f).select(*shown).collect()), key=str)
