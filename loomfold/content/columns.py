@@ -72,6 +72,8 @@ SHOWN = {
     "document": dumped, "metadata": lambda doc: dumped(doc["metadata"]), "markdown": markdown.document, "body": markdown.body_of,
     "html": html.document, "fragment": html.fragment, "json": _PRETTY.encode,
 }
+#: Of these, what shows the lines of the content, which are made once for both.
+FLOWING = {"markdown", "body"}
 
 
 def _shown(parts: tuple[str, ...], tree: Callable[[dict], dict]):
@@ -79,7 +81,9 @@ def _shown(parts: tuple[str, ...], tree: Callable[[dict], dict]):
 
     def some(values: list) -> pa.StructArray:
         docs = [None if (read := _read(v)) is None else tree(read) for v in values]
-        return pa.StructArray.from_arrays([pa.array([None if d is None else SHOWN[p](d) for d in docs], pa.string()) for p in parts], list(parts))
+        flows = [None if d is None else markdown.flow(d) for d in docs] if FLOWING & set(parts) else []
+        made = [[None if d is None else SHOWN[p](d, lines) for d, lines in zip(docs, flows, strict=True)] if p in FLOWING else [None if d is None else SHOWN[p](d) for d in docs] for p in parts]
+        return pa.StructArray.from_arrays([pa.array(m, pa.string()) for m in made], list(parts))
 
     @arrow_udf(StructType([StructField(p, StringType()) for p in parts]))
     def run(values: pa.Array) -> pa.Array:

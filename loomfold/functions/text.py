@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -57,19 +59,27 @@ def escape_attribute(c: Column) -> Column:
     return replaced(c, [("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;")])
 
 
-def markdown_to_plain(c: Column) -> Column:
-    """Markdown as plain text with one newline at the end; links keep their targets."""
+def _replaced_at(c: Column, sign: str, pattern: str, new: str) -> Column:
+    """A pattern replaced where a sign that it needs stands in the text; a search for that costs far less than the pattern."""
+    return bound(c, lambda x: F.when(F.contains(x, F.lit(sign)), F.regexp_replace(x, pattern, new)).otherwise(x))
+
+
+def plain_text(c: Column) -> Column:
+    """Markdown as plain text without white space at its ends; links keep their targets."""
     # What is taken out, in this order.
     steps = [
         (r"!\[\]\(([^)]+)\)", "$1"), (r"!\[([^\]]+)\]\(([^)]+)\)", "$1: $2"), (r"\[([^\]]+)\]\(\1\)", "$1"), (r"\[([^\]]+)\]\(([^)]+)\)", "$1 ($2)"),
         (rf"(?m)^#{{1,6}}[{SPACE}]+", ""), (rf"(?m)^>[{SPACE}]?", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"(^|[^*])\*([^*]+)\*", "$1$2"), (r"`([^`]+)`", "$1"), (r"\n{3,}", "\n\n"),
     ]
-    # What each step needs to stand in the text; a search for it costs far less than the pattern.
-    signs = ["![", "![", "](", "](", "#", ">", "**", "*", "`", "\n\n\n"]
-    replaced_at = lambda sign, pattern, new: lambda x: F.when(F.contains(x, F.lit(sign)), F.regexp_replace(x, pattern, new)).otherwise(x)
+    signs = ["![](", "![", "](", "](", "#", ">", "**", "*", "`", "\n\n\n"]
     for (pattern, new), sign in zip(steps, signs, strict=True):
-        c = bound(c, replaced_at(sign, pattern, new))
-    return F.concat(trimmed(c), F.lit("\n"))
+        c = _replaced_at(c, sign, pattern, new)
+    return trimmed(c)
+
+
+def markdown_to_plain(c: Column) -> Column:
+    """``plain_text`` with one newline at the end."""
+    return F.concat(plain_text(c), F.lit("\n"))
 
 
 def yaml_quoted(c: Column) -> Column:
@@ -125,40 +135,25 @@ def bound(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(c), f), 1)
 
 
-def _cut(s: Column, start: Column, end: Column) -> Column:
-    """s without the characters from start up to end (from 1), as it is where start is 0."""
-    return F.when(start > 0, F.concat(F.substring(s, F.lit(1), start - 1), F.substring(s, end, F.lit(1 << 30)))).otherwise(s)
-
-
 def without_front(markdown: Column) -> Column:
     """Markdown without what stands between the first line that begins with three dashes and the next three dashes, and without the first heading line.
 
     In a thread that takes out the second post; descriptions and slugs depend on it.
     """
-
-    def front(s: Column) -> Column:
-        def close(first: Column) -> Column:
-            def cut(second: Column) -> Column:
-                rest = F.regexp_replace(F.substring(s, second + 3, F.lit(1 << 30)), rf"\A[{SPACE}]+", "")
-                return F.when((first > 0) & (second > 0), F.concat(F.substring(s, F.lit(1), first - 1), rest)).otherwise(s)
-
-            return bound(F.when(first > 0, F.call_function("locate", F.lit("---"), s, first + 3)).otherwise(0), cut)
-
-        return bound(F.regexp_instr(s, F.lit("(?m)^---")), close)
-
-    def heading(s: Column) -> Column:
-        return bound(F.regexp_instr(s, F.lit("(?m)^# ")), lambda at: _cut(s, at, F.when(F.call_function("locate", F.lit("\n"), s, F.greatest(at, F.lit(1))) > 0, F.call_function("locate", F.lit("\n"), s, F.greatest(at, F.lit(1)))).otherwise(F.length(s) + 1)))
-
-    return bound(bound(markdown, front), heading)
+    # Patterns from the start, not places that they are found at: these count UTF-16 units, and substrings code points.
+    twice = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit("---"), F.lit(""))) >= 6
+    rest = bound(markdown, lambda x: F.when(twice(x), F.regexp_replace(x, rf"(?s)\A(.*?)(?m:^)---.*?---[{SPACE}]*", "$1")).otherwise(x))
+    return _replaced_at(rest, "# ", r"(?s)\A(.*?)(?m:^)# [^\n]*", "$1")
 
 
 def description(markdown: Column, most: int = 200) -> Column:
     """A line of prose from the body: no quotes, rules, images or marks; cut at a word with an ellipsis."""
-    lines = F.transform(F.split(without_front(markdown), "\n", -1), trimmed)
-    prose = F.filter(lines, lambda x: (x != "") & ~x.startswith(">") & ~x.startswith("---") & ~x.startswith("!["))
+    is_prose = lambda x: (x != "") & ~x.startswith(">") & ~x.startswith("---") & ~x.startswith("![")
+    # What is none untrimmed is none trimmed either, and trimming costs more than looking.
+    prose = F.filter(F.transform(F.filter(F.split(without_front(markdown), "\n", -1), is_prose), trimmed), is_prose)
     # Lines are taken until what is joined is 80 characters longer than needed.
     taken = F.aggregate(prose, F.lit(""), lambda acc, x: F.when(F.length(acc) >= most + 80, acc).otherwise(F.concat_ws(" ", F.nullif(acc, F.lit("")), x)))
-    text = F.regexp_replace(F.regexp_replace(taken, IMAGE, ""), LINK, "$1")
+    text = _replaced_at(_replaced_at(taken, "![", IMAGE, ""), "](", LINK, "$1")
     shown = squeezed(F.regexp_replace(text, "[*_`]", ""))
     return bound(shown, lambda x: F.when(F.length(x) <= most, x).otherwise(F.concat(F.regexp_replace(F.substring(x, 1, most), rf"[{SPACE}]+[^{SPACE}]*$", ""), F.lit("…"))))
 
@@ -193,7 +188,8 @@ def without_source_footer(markdown: Column) -> Column:
 
 def csv_field(c: Column) -> Column:
     """RFC 4180: quoted where a comma, quote or line end stands in the value."""
-    return F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    quoted = functools.reduce(operator.or_, [F.contains(c, F.lit(sign)) for sign in '",\r\n'])
+    return F.when(quoted, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
 
 def quoted_lines(c: Column) -> Column:

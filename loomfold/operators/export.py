@@ -98,9 +98,11 @@ def filename(template: str = "") -> Column:
 def tags(template: str = "") -> Column:
     """An array of tags; a piece with an unknown placeholder, or of which nothing is left, is dropped."""
     values = placeholders()
-    pieces = [_filled(p.strip(), values) for p in (template.strip() or DEFAULT_TAGS).split(",") if p.strip()]
-    made = [text.bound(p, lambda x: F.when(~x.rlike(r"\{[^}]+\}"), F.nullif(text.tag(x), F.lit("")))) for p in pieces]
-    return F.array_compact(F.array(*made)) if made else F.array().cast("array<string>")
+    known = lambda x: F.when(~F.contains(x, F.lit("{")) | ~x.rlike(r"\{[^}]+\}"), text.tag(x))
+    pieces = [(p.strip(), _filled(p.strip(), values)) for p in (template.strip() or DEFAULT_TAGS).split(",") if p.strip()]
+    # A piece without a placeholder isn't bound, so that Spark works it out once, not for each row.
+    made = [text.bound(c, known) if any(f"{{{v}}}" in p for v in PLACEHOLDERS) else known(c) for p, c in pieces]
+    return F.filter(F.array(*made), lambda t: t != "") if made else F.array().cast("array<string>")
 
 
 def _line(key: str, value: Column) -> Column:
@@ -189,7 +191,7 @@ def csv_value(key: str, options: Options, texts: tuple[str, ...] = ("body_markdo
     values = {
         "title": title_of, "source": lambda: F.col("source_url"), "author": lambda: F.col("author.handle" if options.for_notes else "author.name"), "author_name": lambda: F.col("author.name"),
         "handle": lambda: F.col("author.handle"), "date": lambda: F.col("date"), "published": lambda: dates.date_only(F.col("date")), "created": lambda: F.lit(options.run_date), "type": lambda: F.col("type"),
-        "description": lambda: text.description(F.col("markdown")), "tags": lambda: F.array_join(tags(options.tags_template), " "), "text": lambda: text.trimmed(text.markdown_to_plain(F.coalesce(*map(F.col, texts)))),
+        "description": lambda: text.description(F.col("markdown")), "tags": lambda: F.array_join(tags(options.tags_template), " "), "text": lambda: text.plain_text(F.coalesce(*map(F.col, texts))),
     } | {k: (lambda k=k: F.col(f"counts.{k}").cast("string")) for k in COUNTS}
     return F.coalesce(values[key](), F.lit(""))
 
@@ -200,7 +202,10 @@ def csv_lines(rows: DataFrame, options: Options) -> DataFrame:
     Where every row has its body, ``markdown`` may be missing, unless the line has descriptions.
     """
     texts = tuple(c for c in ("body_markdown", "markdown") if c in rows.columns)
-    return rows.withColumn("csv_line", F.concat_ws(",", *[text.bound(csv_value(c, options, texts), text.csv_field) for c in csv_columns(options)]))
+    names = {c: f"_csv_{c}" for c in csv_columns(options)}
+    valued = rows.withColumns({n: csv_value(c, options, texts) for c, n in names.items()})
+    # A step of its own, without lambdas, is compiled; Spark keeps values that cost something and are used more than once apart.
+    return valued.withColumn("csv_line", F.concat_ws(",", *[text.csv_field(F.col(n)) for n in names.values()])).drop(*names.values())
 
 
 def csv_header(options: Options) -> str:

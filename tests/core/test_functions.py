@@ -152,6 +152,14 @@ def test_slugs_of_previews_are_those_of_whole_bodies(spark):
     assert [r for r in rows if r.want != r.got] == []
 
 
+def test_front_and_heading_are_found_behind_characters_of_two_units(spark):
+    """Places of a pattern count UTF-16 units, parts of a string code points; before, each such character moved the cut."""
+    smile = "\U0001f600" * 5
+    cases = {f"{smile} a\n---\nb\n--- c": f"{smile} a\nc", f"{smile}\n# Head\nrest": f"{smile}\n\nrest", f"{smile}\n---\n{smile}": f"{smile}\n---\n{smile}", "----- a": "----- a", "------ a": "a"}
+    assert apply(spark, text.without_front, list(cases)) == list(cases.values())
+    assert apply(spark, text.description, [f"{smile}\n# Head\nrest of it"]) == [f"{smile} rest of it"]
+
+
 def test_stats_end_long_texts_in_linear_time(spark):
     said = "a" + " " * 100_000 + "b"
     rows = spark.createDataFrame([(said + " \n 　", "tweet"), ("\n", "tweet")], "markdown string, type string")

@@ -110,6 +110,29 @@ def test_a_post_takes_few_steps(most, more):
     assert _calls(PLAIN | more) <= most
 
 
+def test_csv_lines_are_compiled_and_fixed_tags_worked_out_once(spark):
+    """A step with a lambda isn't compiled; a tag without a placeholder is a constant of the plan, one with an unknown placeholder nothing."""
+    plan = _plan(registry.queries()["csv_notes"](spark, SF))
+    line = next(step for step in plan.split("\n+- ") if "AS csv_line" in step)
+    assert "lambda" not in line.partition("\n   +- ")[0]
+    assert "lower(clippings)" not in plan and "[clippings]" not in plan and "nope" not in plan
+    assert plan.count("lower(") == 2  # a type's and a handle's tag, once each
+
+
+def test_lines_of_a_post_are_made_once_for_all_that_shows_them(monkeypatch):
+    import json
+
+    import pyarrow as pa
+
+    from loomfold.content import columns, markdown, posts
+
+    made, seen = markdown.thread_lines, []
+    monkeypatch.setattr(markdown, "thread_lines", lambda p: seen.append(p) or made(p))
+    found = columns._shown(("markdown", "body"), posts.post_document).func(pa.array([json.dumps(PLAIN), None])).to_pylist()
+    assert found == [{"markdown": "# A (@a)\n\nHi\n\n---\n\n> Source: https://x.com/a/status/7\n> Date: 2024-03-02T07:08:09.000Z", "body": "Hi"}, {"markdown": None, "body": None}]
+    assert len(seen) == 1
+
+
 def test_usual_dates_are_read_without_patterns_of_time(monkeypatch):
     """Dates as the feed writes them are read by their places, all others as before."""
     import datetime as dt
